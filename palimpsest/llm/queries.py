@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, quality_rules, sharding, simhash
+from . import chat_format, decontaminate, mixing, quality_qda, quality_rules, sharding, simhash, token_ids, toxicity, warc
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
+    "op2_quality_qda": quality_qda.op2_quality_qda,
     "op3_simhash_components": simhash.op3_simhash_components,
+    "op4_warc_derivatives": warc.op4_warc_derivatives,
     "op5_minimax_shards": sharding.op5_minimax_shards,
     "op6_chat_windows": chat_format.op6_chat_windows,
+    "op7_parquet_token_ids": token_ids.op7_parquet_token_ids,
+    "op8_weak_toxicity": toxicity.op8_weak_toxicity,
     "op9_adaptive_rules": quality_rules.op9_adaptive_rules,
+    "op10_spaced_seed_overlaps": decontaminate.op10_spaced_seed_overlaps,
 }
 
 ORACLES = {
