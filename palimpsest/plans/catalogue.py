@@ -1,6 +1,547 @@
-"""The registered queries of the retrieval engine and their SQL."""
+"""The registered queries of the retrieval engine and the SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import paths as P
+from ..functions import text as T
+from ..operators import context, enrich, graph, memory, ranking, search
+from ..sources import conversations, documents
+from ..streaming import ingest
+from .views import EDGES, NODES, SPANS, edges, nodes, spans, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+#: A fixed present, 2024-02-01 in seconds: no query depends on the clock.
+NOW = 1_706_745_600
+
+
+def query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+KEYSTOP = ", ".join(f"'{w}'" for w in T.KEYWORD_STOP_WORDS)
+TOK = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+TERMS = f"(CASE WHEN len(list_filter({{0}}, lambda x: x NOT IN ({STOP}))) > 0 THEN list_filter({{0}}, lambda x: x NOT IN ({STOP})) ELSE {{0}} END)"
+
+
+@query("SELECT doc_id, (strlen(text) // 4)::BIGINT AS tokens FROM documents")
+def q_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"""WITH t AS (SELECT item_id, {TOK.format('text')} AS w FROM benchmark),
+u AS (SELECT item_id, unnest({TERMS.format('w')}) AS term, generate_subscripts({TERMS.format('w')}, 1) AS i FROM t),
+v AS (SELECT item_id, term, min(i) AS i FROM u GROUP BY ALL)
+SELECT item_id, string_agg(term, ' OR ' ORDER BY i) AS q, count(*)::BIGINT AS n FROM v GROUP BY item_id""")
+def q_terms(spark, d):
+    t = table(spark, d, "benchmark").select("item_id", T.query_terms(F.col("text")).alias("t"))
+    return t.select("item_id", F.array_join("t", " OR ").alias("q"), F.size("t").cast("long").alias("n"))
+
+
+BM25 = f"""tok AS (SELECT doc_id, unnest({TOK.format('text')}) AS term, len({TOK.format('text')}) AS len FROM documents),
+post AS (SELECT doc_id, term, len, count(*) AS tf FROM tok GROUP BY ALL),
+tot AS (SELECT count(*) AS n, avg(len({TOK.format('text')})) AS avg_len FROM documents),
+asked AS (SELECT DISTINCT item_id, unnest({TERMS.format(TOK.format('text'))}) AS term FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+sc AS (SELECT a.item_id AS query_id, p.doc_id, round(sum(ln(1 + (tot.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.len / tot.avg_len))), 6) AS score
+  FROM asked a JOIN post p USING (term) JOIN df USING (term) CROSS JOIN tot GROUP BY ALL),
+fts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lpad(doc_id::VARCHAR, 12, '0')) AS rank FROM sc) WHERE rank <= 40)"""
+VEC = """q0 AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
+vd AS (SELECT query_id, vec_id AS doc_id, round(list_sum(list_transform(list_zip(embedding, qe), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS d FROM embeddings CROSS JOIN q0),
+vec AS (SELECT query_id, doc_id, round(1 / (1 + d), 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, lpad(doc_id::VARCHAR, 12, '0')) AS rank FROM vd) WHERE rank <= 40)"""
+
+
+def _items(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _fts(spark, d) -> DataFrame:
+    return search.bm25(nodes(spark, d).select("node_id", "text"), _items(spark, d), 40)
+
+
+def _vec(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    asked = e.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    return search.vector_search(e.select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("node_id"), F.col("embedding").alias("vector")), asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 40, 64)
+
+
+def _doc(df: DataFrame) -> DataFrame:
+    return df.select("query_id", F.col("node_id").cast("long").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM fts")
+def q_bm25(spark, d):
+    return _doc(_fts(spark, d))
+
+
+@query(f"WITH {VEC} SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM vec")
+def q_vector(spark, d):
+    return _doc(_vec(spark, d))
+
+
+FUSED = f"""{BM25}, {VEC},
+al AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s FROM fts UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM vec),
+f0 AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM al GROUP BY ALL),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lpad(doc_id::VARCHAR, 12, '0')) AS rank FROM f0)"""
+
+
+@query(f"WITH {FUSED} SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM fused WHERE rank <= 5")
+def q_rrf(spark, d):
+    return _doc(search.rrf([(_fts(spark, d), 1.0), (_vec(spark, d), 1.0)]).where("rank <= 5"))
+
+
+@query(f"""WITH {BM25}, {VEC},
+w AS (SELECT item_id AS query_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM benchmark),
+al AS (SELECT query_id, doc_id, (CASE WHEN n <= 3 THEN 1.0 WHEN n >= 15 THEN 0.4 ELSE 0.7 END)::DOUBLE / (60 + rank) AS s FROM fts JOIN w USING (query_id)
+  UNION ALL SELECT query_id, doc_id, (CASE WHEN n <= 3 THEN 1.0 WHEN n >= 15 THEN 1.6 ELSE 1.3 END)::DOUBLE / (60 + rank) FROM vec JOIN w USING (query_id)),
+f0 AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM al GROUP BY ALL)
+SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lpad(doc_id::VARCHAR, 12, '0')) AS rank FROM f0) WHERE rank <= 5""")
+def q_rrf_weighted(spark, d):
+    w = _items(spark, d).select("query_id", search.rrf_weights(F.col("text")).alias("w"))
+    lists = [(_fts(spark, d).join(w, "query_id"), F.col("w.fts")), (_vec(spark, d).join(w, "query_id"), F.col("w.vec"))]
+    return _doc(search.rrf(lists).where("rank <= 5"))
+
+
+@query(f"""WITH {NODES}, {FUSED},
+r0 AS (SELECT f.query_id, f.doc_id, n.file_path, f.score FROM fused f JOIN n USING (doc_id) WHERE NOT regexp_matches(lower(n.file_path), '{P.NONCODE}')),
+r1 AS (SELECT query_id, doc_id, file_path, round(score * CASE WHEN regexp_matches(lower(file_path), '{P.TEST_DIR}|{P.TEST_NAME}') OR regexp_matches(file_path, '{P.TEST_CLASS}') THEN 1 - 0.85::DOUBLE ELSE 1 END * CASE WHEN regexp_matches(lower(file_path), '{P.FIXTURE}') THEN 0.05::DOUBLE ELSE 1 END, 8) AS score FROM r0)
+SELECT query_id, doc_id, file_path, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lpad(doc_id::VARCHAR, 12, '0')) AS rank FROM r1) WHERE rank <= 5""")
+def q_rank_pipeline(spark, d):
+    n = nodes(spark, d).select("node_id", "file_path")
+    out = ranking.rank_pipeline(search.rrf([(_fts(spark, d), 1.0), (_vec(spark, d), 1.0)]).join(n, "node_id", "left_semi"), n)
+    return out.select("query_id", F.col("node_id").cast("long").alias("doc_id"), "file_path", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {NODES}, q AS (SELECT query_id, 'src/MOD_' || (query_id * 7 + 3) AS text FROM range(100, 120) t(query_id)),
+m AS (SELECT q.query_id, n.doc_id, greatest(CASE WHEN lower(name) = lower(q.text) THEN 0.06 ELSE 0 END, CASE WHEN contains(lower(signature), lower(q.text)) THEN 0.05 ELSE 0 END, CASE WHEN contains(lower(doc_comment), lower(q.text)) THEN 0.04 ELSE 0 END, CASE WHEN contains(lower(n.text), lower(q.text)) THEN 0.035 ELSE 0 END, CASE WHEN contains(lower(file_path), lower(q.text)) THEN 0.025 ELSE 0 END, CASE WHEN contains(lower(name), lower(q.text)) THEN 0.02 ELSE 0 END)::DOUBLE AS score
+ FROM q JOIN n ON strlen(q.text) >= 8)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM m WHERE score > 0""")
+def q_literal(spark, d):
+    q = spark.range(100, 120).select(F.col("id").alias("query_id"), F.concat(F.lit("src/MOD_"), (F.col("id") * 7 + 3).cast("string")).alias("text"))
+    none = spark.createDataFrame([], "query_id long, node_id string, score double")
+    return _doc(ranking.literal_boost(none, nodes(spark, d), q))
+
+
+@query(f"""WITH {NODES} SELECT doc_id, regexp_matches(lower(file_path), '{P.TEST_DIR}|{P.TEST_NAME}') OR regexp_matches(file_path, '{P.TEST_CLASS}') AS is_test, regexp_matches(lower(file_path), '{P.NONCODE}') AS is_noncode, regexp_matches(lower(file_path), '{P.FIXTURE}') AS is_fixture,
+ regexp_matches(lower(file_path), '{P.EXCLUDED}') AS excluded, contains(file_path, 'src/mod_1') AS penalised FROM n""")
+def q_path_flags(spark, d):
+    p = F.col("file_path")
+    return nodes(spark, d).select("doc_id", P.is_test_file(p).alias("is_test"), P.is_noncode_file(p).alias("is_noncode"), P.is_test_fixture(p).alias("is_fixture"), P.should_exclude_from_search(p).alias("excluded"), P.matches_penalty_paths(p, ["src/mod_1"]).alias("penalised"))
+
+
+RANKED = f"{NODES}, r AS (SELECT doc_id % 20 AS query_id, doc_id, file_path, round(1.0::DOUBLE / (1 + doc_id // 20), 6) AS score, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS rank FROM n)"
+
+
+def _ranked(spark, d) -> DataFrame:
+    r = nodes(spark, d).select((F.col("doc_id") % 20).alias("query_id"), "node_id", "file_path", F.round(1 / (1 + F.floor(F.col("doc_id") / 20)), 6).alias("score"))
+    return ranking.reranked(r)
+
+
+@query(f"""WITH {RANKED}, h AS (SELECT DISTINCT query_id, regexp_replace(file_path, '/?[^/]*$', '') AS folder FROM r WHERE rank <= 5),
+s AS (SELECT r.query_id, r.doc_id, round(r.score + CASE WHEN r.rank > 5 AND h.folder IS NOT NULL THEN 0.01::DOUBLE ELSE 0 END, 6) AS score FROM r LEFT JOIN h ON h.query_id = r.query_id AND h.folder = regexp_replace(r.file_path, '/?[^/]*$', ''))
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM s""")
+def q_dir_cohesion(spark, d):
+    return _doc(ranking.directory_cohesion(_ranked(spark, d)))
+
+
+@query(f"""WITH {RANKED}, c AS (SELECT query_id, score, regexp_replace(regexp_replace(file_path, '.*/', ''), '^test_', '') AS s, regexp_replace(file_path, '/[^/]*$', '') AS dir FROM r WHERE regexp_matches(file_path, '(^|/)test_[^/]*[.]py$')),
+x AS (SELECT query_id, score, unnest([s, 'src/' || s, 'lib/' || s]) AS file_path FROM c),
+b AS (SELECT query_id, file_path, max(score * 1.5::DOUBLE) AS boost FROM x GROUP BY ALL),
+t AS (SELECT b.query_id, n.doc_id, boost FROM b JOIN n USING (file_path)),
+o AS (SELECT coalesce(r.query_id, t.query_id) AS query_id, coalesce(r.doc_id, t.doc_id) AS doc_id, round(coalesce(score, 0) + coalesce(boost, 0), 6) AS score FROM r FULL JOIN t ON r.query_id = t.query_id AND r.doc_id = t.doc_id)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM o""")
+def q_source_neighbors(spark, d):
+    return _doc(ranking.source_neighbors(_ranked(spark, d), nodes(spark, d)))
+
+
+@query(f"""WITH {SPANS} SELECT a.node_id AS src_id, b.node_id AS dst_id FROM sp a JOIN sp b ON a.file_path = b.file_path AND a.start_byte <= b.start_byte AND a.end_byte >= b.end_byte
+WHERE a.kind IN ('class', 'module') AND (a.end_byte - a.start_byte > b.end_byte - b.start_byte OR (a.end_byte - a.start_byte = b.end_byte - b.start_byte AND a.pos < b.pos))""")
+def q_contain(spark, d):
+    return graph.containment(spans(spark, d)).select("src_id", "dst_id")
+
+
+@query(f"""WITH {SPANS}, r AS (SELECT doc_id AS ref_id, source AS file_path, e - n + n // 2 AS "offset" FROM d WHERE n > 0)
+SELECT ref_id, "offset", arg_min(node_id, (end_byte - start_byte, pos, node_id)) AS node_id FROM r JOIN sp ON r.file_path = sp.file_path AND start_byte <= "offset" AND "offset" < end_byte GROUP BY ALL""")
+def q_innermost(spark, d):
+    s = spans(spark, d)
+    leaf = s.where("kind = 'function' and end_byte > start_byte")
+    refs = leaf.select(F.substring("node_id", 2, 20).cast("long").alias("ref_id"), "file_path", (F.col("start_byte") + F.floor((F.col("end_byte") - F.col("start_byte")) / 2)).alias("offset"))
+    return graph.innermost(refs, s).select("ref_id", "offset", "node_id")
+
+
+SYMBOLS = "y AS (SELECT 'p' || p_partkey AS dst_id, p_brand AS dst_file, split_part(p_name, ' ', 1) || p_size AS name FROM part), c AS (SELECT name, count(*) AS n FROM y GROUP BY name), ref AS (SELECT DISTINCT 'p' || l_partkey AS src_id, p_brand AS src_file, split_part(p_name, ' ', 1) || (p_size + 1) AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 10 = 0)"
+
+
+def _symbols(spark, d) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, d, "part")
+    key = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    targets = p.select(key.alias("node_id"), F.col("p_brand").alias("file_path"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.col("p_size").cast("string")).alias("name"))
+    used = table(spark, d, "lineitem").where("l_partkey % 10 = 0").select(F.col("l_partkey").alias("p_partkey"))
+    refs = p.join(used, "p_partkey", "left_semi").select(key.alias("src_id"), F.col("p_brand").alias("src_file"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), (F.col("p_size") + 1).cast("string")).alias("name"))
+    return refs, targets
+
+
+@query(f"WITH {SYMBOLS} SELECT DISTINCT src_id, dst_id, 'call' AS edge_type, CASE WHEN src_file = dst_file THEN 2 WHEN n = 1 THEN 1 ELSE 0 END AS confidence FROM ref JOIN y USING (name) JOIN c USING (name) WHERE src_id <> dst_id")
+def q_call_edges(spark, d):
+    return graph.call_edges(*_symbols(spark, d))
+
+
+@query(f"WITH {SYMBOLS} SELECT DISTINCT src_id, dst_id, 'import' AS edge_type, CASE WHEN n = 1 THEN 1 ELSE 0 END AS confidence FROM ref JOIN y USING (name) JOIN c USING (name) WHERE src_id <> dst_id")
+def q_import_edges(spark, d):
+    refs, targets = _symbols(spark, d)
+    return graph.import_edges(refs, targets)
+
+
+@query(f"WITH {EDGES}, b AS (SELECT src_id AS node, 0 AS i FROM e UNION ALL SELECT dst_id, 1 FROM e) SELECT node, sum(i)::BIGINT AS incoming, count(*)::BIGINT AS total FROM b GROUP BY node")
+def q_degree(spark, d):
+    return graph.degrees(edges(spark, d))
+
+
+@query(f"WITH {EDGES} SELECT dst_id AS node, count(*)::BIGINT AS incoming FROM e WHERE edge_type = 'call' GROUP BY dst_id ORDER BY incoming DESC, node LIMIT 10")
+def q_hotspots(spark, d):
+    return edges(spark, d).where("edge_type = 'call'").groupBy(F.col("dst_id").alias("node")).agg(F.count("*").alias("incoming")).orderBy(F.desc("incoming"), "node").limit(10)
+
+
+@query(f"""WITH RECURSIVE {EDGES}, l AS (SELECT DISTINCT src_id AS a, dst_id AS b FROM e UNION SELECT DISTINCT dst_id, src_id FROM e),
+k AS (SELECT 's' || s_suppkey AS query_id, 's' || s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey <= 3 UNION SELECT query_id, l.b, depth + 1 FROM k JOIN l ON l.a = k.node WHERE depth < 2)
+SELECT query_id, node, min(depth)::BIGINT AS depth FROM k GROUP BY ALL""")
+def q_khop(spark, d):
+    seeds = table(spark, d, "supplier").where("s_suppkey <= 3").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("query_id"))
+    out = graph.k_hop(edges(spark, d), seeds.withColumn("node", F.col("query_id")), 2)
+    return out.select("query_id", "node", F.col("depth").cast("long").alias("depth"))
+
+
+@query()
+def q_expand(spark, d):
+    anchors = table(spark, d, "supplier").where("s_suppkey <= 3").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node_id"), F.lit(1).alias("rank"))
+    costs = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), (F.col("p_size") * 10).cast("long").alias("tokens"))
+    return graph.expand(edges(spark, d), anchors, costs, 4096, 2)
+
+
+@query("""WITH RECURSIVE x AS (SELECT source, doc_id, strlen(text) // 4 AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+f AS (SELECT source, 0::BIGINT AS i, 0::BIGINT AS used, NULL::BIGINT AS id FROM x GROUP BY source UNION ALL SELECT f.source, x.i, CASE WHEN f.used + x.t <= 4096 THEN f.used + x.t ELSE f.used END, CASE WHEN f.used + x.t <= 4096 THEN x.doc_id END FROM f JOIN x ON x.source = f.source AND x.i = f.i + 1)
+SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY i)::BIGINT AS place, used::BIGINT AS used FROM f WHERE id IS NOT NULL""")
+def q_budget_pack(spark, d):
+    items = table(spark, d, "documents").select("source", F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), T.estimated_tokens(F.col("text")).alias("tokens"))
+    return context.packed(items, "source", 4096).select("source", "id", F.col("place").cast("long").alias("place"), "used")
+
+
+@query(f"""WITH {EDGES}, b AS (SELECT src_id AS node, dst_id AS other, edge_type, 'out' AS direction FROM e UNION ALL SELECT dst_id, src_id, edge_type, 'in' FROM e)
+SELECT node, p_name, direction, edge_type, count(*)::BIGINT AS n, count(DISTINCT other)::BIGINT AS others FROM b LEFT JOIN part ON node = 'p' || p_partkey GROUP BY ALL""")
+def q_topology(spark, d):
+    names = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), "p_name")
+    return graph.both_ways(edges(spark, d)).join(names, "node", "left").groupBy("node", "p_name", "direction", "edge_type").agg(F.count("*").alias("n"), F.count_distinct("other").alias("others"))
+
+
+@query(f"""WITH {EDGES}, own AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_suppkey <= 5),
+t AS (SELECT DISTINCT src_id, dst_id FROM e WHERE edge_type = 'import' AND src_id IN (SELECT id FROM own) AND dst_id NOT IN (SELECT id FROM own)),
+r AS (SELECT src_id, dst_id, strlen(p_name) // 4 + 5 AS cost FROM t JOIN part ON dst_id = 'p' || p_partkey),
+c AS (SELECT *, sum(cost) OVER (PARTITION BY src_id ORDER BY dst_id) AS used FROM r)
+SELECT src_id, dst_id, used::BIGINT AS used FROM c WHERE used <= 400""")
+def q_neighbor_signatures(spark, d):
+    e = edges(spark, d).where("edge_type = 'import'")
+    own = table(spark, d, "supplier").where("s_suppkey <= 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    rows = e.join(own, e.src_id == own.id, "left_semi").join(own, e.dst_id == own.id, "left_anti").select("src_id", "dst_id").distinct()
+    sig = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("dst_id"), (T.estimated_tokens(F.col("p_name")) + 5).alias("cost"))
+    used = F.sum("cost").over(W.partitionBy("src_id").orderBy("dst_id"))
+    return rows.join(sig, "dst_id").withColumn("used", used).where("used <= 400").select("src_id", "dst_id", "used")
+
+
+TURNS = """m AS (SELECT conv_id, turn, role, text, coalesce(sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM conversations),
+t AS (SELECT conv_id AS session_id, g AS turn_index, coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS prompt, arg_max(text, turn) FILTER (role = 'assistant') AS reply FROM m WHERE role IN ('user', 'assistant') GROUP BY ALL HAVING count(*) FILTER (role = 'assistant') > 0)"""
+
+
+def _turns(spark, d) -> DataFrame:
+    return memory.paired_turns(table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), "role", "text"))
+
+
+@query(f"WITH {TURNS} SELECT session_id, turn_index, prompt, reply FROM t")
+def q_turns(spark, d):
+    return _turns(spark, d).select("session_id", "turn_index", "prompt", "reply")
+
+
+@query(f"""WITH {TURNS} SELECT substr(sha256('conv|' || session_id || '|' || turn_index), 1, 32) AS id, session_id::VARCHAR AS session_id, turn_index,
+ substr(concat_ws(chr(10), CASE WHEN prompt <> '' THEN 'User: ' || prompt END, CASE WHEN reply <> '' THEN 'Assistant: ' || reply END), 1, 8000) AS content, substr(sha256(prompt || reply), 1, 32) AS content_hash FROM t""")
+def q_events(spark, d):
+    return memory.events_from_turns(_turns(spark, d), "conv", "repo", NOW).select("id", "session_id", "turn_index", "content", "content_hash")
+
+
+EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(text, '{EMAIL}', '<REDACTED_EMAIL>', 'g')) AS scrubbed, len(regexp_extract_all(text, '{EMAIL}'))::BIGINT AS n FROM documents")
+def q_scrub(spark, d):
+    s = table(spark, d, "documents").select("doc_id", T.scrubbed(F.col("text")).alias("s"))
+    return s.select("doc_id", F.sha2("s.text", 256).alias("scrubbed"), F.col("s.n").alias("n"))
+
+
+@query("SELECT a.doc_id FROM documents a WHERE a.doc_id % 2 = 1 AND trim(a.text) <> '' AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 2 = 0 AND b.text = a.text)")
+def q_dedupe(spark, d):
+    e = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.lit("r").alias("repo_id"), F.sha2("text", 256).alias("content_hash"))
+    return memory.fresh(e.where("doc_id % 2 = 1"), e.where("doc_id % 2 = 0")).select("doc_id")
+
+
+EV = f"ev AS (SELECT event_id, user_id, event_type, ts, floor(epoch(ts))::BIGINT AS created_at, value, event_type = 'purchase' AS pinned, event_type || ' by user ' || user_id AS content FROM events)"
+
+
+def _events(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select("event_id", F.col("event_id").alias("id"), "user_id", "event_type", "ts", F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_at"), "value", (F.col("event_type") == "purchase").alias("pinned"), F.concat("event_type", F.lit(" by user "), F.col("user_id").cast("string")).alias("content"))
+
+
+@query(f"""WITH {EV}, q AS (SELECT 1 AS query_id, 'purchase by user 7' AS text UNION ALL SELECT 2, 'error view'),
+base AS (SELECT q.query_id, event_id AS id, 1.0::DOUBLE / (60 + event_id) AS score FROM ev CROSS JOIN q WHERE event_id <= 50),
+late AS (SELECT * FROM ev WHERE created_at >= {NOW} - 90 * 86400 AND created_at <= {NOW} ORDER BY created_at DESC, event_id LIMIT 1000),
+al AS (SELECT * FROM base UNION ALL SELECT q.query_id, l.event_id, 2.0 FROM late l JOIN q ON contains(lower(l.content), lower(q.text)) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.query_id = q.query_id AND b.id = l.event_id)),
+sc AS (SELECT al.query_id, al.id, round(al.score + 0.01::DOUBLE / (1 + 0.1::DOUBLE * ({NOW} - e.created_at) / 86400.0::DOUBLE) + CASE WHEN contains(lower(e.content), lower(q.text)) THEN 1.0::DOUBLE ELSE 0.05::DOUBLE * len(list_filter(list_filter(string_split(lower(q.text), ' '), lambda t: strlen(t) >= 3), lambda t: contains(lower(e.content), t))) END, 6) AS score FROM al JOIN ev e ON e.event_id = al.id JOIN q USING (query_id))
+SELECT query_id, id, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 20""")
+def q_recall(spark, d):
+    q = spark.createDataFrame([(1, "purchase by user 7"), (2, "error view")], "query_id int, text string")
+    e = _events(spark, d)
+    ranked = e.where("event_id <= 50").select(F.col("id").alias("node_id"), (1.0 / (60 + F.col("event_id"))).alias("score"), F.explode(F.array(F.lit(1), F.lit(2))).alias("query_id"))
+    return memory.recall(ranked, e, q, NOW, 20).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {EV} SELECT event_id, created_at FROM ev WHERE created_at BETWEEN {NOW - 20 * 86400} AND {NOW - 10 * 86400} ORDER BY created_at DESC, event_id LIMIT 50")
+def q_period(spark, d):
+    return memory.summarize_period(_events(spark, d), NOW - 20 * 86400, NOW - 10 * 86400, 50).select("event_id", "created_at")
+
+
+@query(f"""WITH {EV}, x AS (SELECT *, NOT pinned AND created_at < {NOW} - 20 * 86400 AS expired FROM ev),
+k AS (SELECT *, row_number() OVER (PARTITION BY pinned, expired ORDER BY created_at, event_id) AS i FROM x), o AS (SELECT count(*) FILTER (NOT expired) - 100 AS over FROM x)
+SELECT event_id, CASE WHEN expired THEN 'expired' WHEN NOT pinned AND i <= greatest(over, 0) THEN 'over_limit' END AS gone FROM k, o""")
+def q_gc(spark, d):
+    return memory.collect_garbage(_events(spark, d), NOW, 20, 100).select("event_id", "gone")
+
+
+@query(f"""WITH {EV}, {NODES}, l AS (SELECT DISTINCT event_id, event_id % 100 AS doc_id FROM ev)
+SELECT e.event_id, e.created_at FROM ev e JOIN l USING (event_id) JOIN n USING (doc_id) WHERE n.file_path = (SELECT file_path FROM n WHERE doc_id = 7)""")
+def q_history(spark, d):
+    n = nodes(spark, d).select("node_id", "file_path", "doc_id")
+    e = _events(spark, d)
+    links = e.select(F.col("id").alias("src_id"), F.lpad((F.col("event_id") % 100).cast("string"), 12, "0").alias("dst_id"), F.lit("discussed").alias("edge_type"))
+    path = n.where("doc_id = 7").select("file_path").first()[0]
+    return memory.file_history(links, n, e, path).select("event_id", "created_at")
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, lower(text) AS t, lower(role) AS l FROM conversations), q AS (SELECT 1 AS query_id, unnest(['th', 'user']) AS term UNION ALL SELECT 2, unnest(['que', 'la']))
+, s AS (SELECT query_id, conv_id * 1000 + turn AS node, sum(CASE WHEN contains(t, term) THEN 1 ELSE 0 END + CASE WHEN contains(l, term) THEN 2 ELSE 0 END)::BIGINT AS score FROM c JOIN q ON contains(t, term) OR contains(l, term) GROUP BY ALL)
+SELECT query_id, node, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM s) WHERE rank <= 25""")
+def q_user_search(spark, d):
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("node_id"), "text", F.col("role").alias("label"))
+    q = spark.createDataFrame([(1, "th user"), (2, "que la")], "query_id int, text string")
+    return search.naive_search(c, q, 25).select("query_id", F.col("node_id").alias("node"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '(?i)<h[1-6][^>]*>'))::BIGINT AS headings, len(regexp_extract_all(html, '(?i)<a[^>]*\shref=\"'))::BIGINT AS links, len(regexp_extract_all(html, '(?i)<p[^>]*>'))::BIGINT AS paragraphs FROM pages")
+def q_html_counts(spark, d):
+    n = lambda rx: F.regexp_count("html", F.lit(rx)).cast("long")
+    return table(spark, d, "pages").select("page_id", n(r"(?i)<h[1-6][^>]*>").alias("headings"), n(r'(?i)<a[^>]*\shref="').alias("links"), n("(?i)<p[^>]*>").alias("paragraphs"))
+
+
+def _page_units(spark, d) -> DataFrame:
+    return documents.parse(table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.col("html").alias("content")))
+
+
+@query()
+def q_html_units(spark, d):
+    return _page_units(spark, d)
+
+
+@query()
+def q_document_graph(spark, d):
+    return documents.edges(documents.nodes(_page_units(spark, d)))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+i AS (SELECT *, count(*) FILTER (WHERE trim(line) = '') OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM l),
+p AS (SELECT doc_id, island, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS text FROM i WHERE trim(line) <> '' GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island)::BIGINT AS paragraph, n_lines::BIGINT AS n_lines, sha256(text) AS h FROM p""")
+def q_paragraphs(spark, d):
+    return documents.paragraphs(table(spark, d, "documents")).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("n_lines").cast("long").alias("n_lines"), F.sha2("text", 256).alias("h"))
+
+
+@query("""WITH s AS (SELECT DISTINCT conv_id FROM conversations), p AS (SELECT conv_id, lag(conv_id) OVER (ORDER BY conv_id) AS prior FROM s)
+SELECT 'contain' AS edge_type, count(*)::BIGINT AS n FROM conversations UNION ALL SELECT 'followed_by', count(*) FROM p WHERE prior IS NOT NULL""")
+def q_conv_graph(spark, d):
+    per = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("ms"))
+    none = F.lit(None).cast("string")
+    s = per.select(F.lit("log.json").alias("file_path"), F.col("conv_id").alias("session_at"), F.col("conv_id").cast("string").alias("session_id"), F.transform("ms", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), none.alias("timestamp"))).alias("messages"))
+    _, e = conversations.graph(s)
+    return e.where("edge_type in ('contain', 'followed_by')").groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH w AS (SELECT doc_id, list_transform(string_split_regex(text, '\s+'), lambda x: lower(regexp_replace(regexp_replace(x, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}]+$', ''))) AS w FROM documents)
+SELECT doc_id, array_to_string(list_filter(w, lambda x: strlen(x) > 2 AND x NOT IN ({KEYSTOP}))[1:20], ' ') AS keywords FROM w""")
+def q_keywords(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
+
+
+@query(f"WITH {NODES} SELECT kind, regexp_extract(file_path, '[.]([^.]*)$', 1) AS ext, count(*)::BIGINT AS n, count(DISTINCT file_path)::BIGINT AS files FROM n GROUP BY ALL")
+def q_index_stats(spark, d):
+    return nodes(spark, d).groupBy("kind", P.extension(F.col("file_path")).alias("ext")).agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"))
+
+
+@query(f"WITH {NODES} SELECT CASE regexp_extract(file_path, '[.]([^.]*)$', 1) WHEN 'py' THEN 'Python' WHEN 'md' THEN 'Markdown' WHEN 'ts' THEN 'TypeScript' WHEN 'go' THEN 'Go' ELSE 'Java' END AS language, count(DISTINCT file_path)::BIGINT AS files FROM n GROUP BY ALL")
+def q_languages(spark, d):
+    return nodes(spark, d).groupBy(P.language_name(F.col("file_path")).alias("language")).agg(F.count_distinct("file_path").alias("files"))
+
+
+@query("SELECT user_id, count(*)::BIGINT AS queries, min(floor(epoch(ts))::BIGINT) AS first_at, round(sum(value), 4) AS served, floor(greatest(round(sum(value), 4) - 100, 0))::BIGINT AS saved FROM events GROUP BY user_id")
+def q_stats_merge(spark, d):
+    per = _events(spark, d).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("created_at").alias("f"), F.sum("value").alias("v"))
+    return per.groupBy("user_id").agg(F.sum("n").alias("queries"), F.min("f").alias("first_at"), F.round(F.sum("v"), 4).alias("served"), F.floor(F.greatest(F.round(F.sum("v"), 4) - 100, F.lit(0.0))).alias("saved"))
+
+
+@query("""WITH o AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 9)
+SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS outcome FROM o FULL JOIN n ON o.path = n.path""")
+def q_manifest_diff(spark, d):
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
+    old = t.where("path % 10 <> 0").select("path", F.sha2("text", 256).alias("file_hash"))
+    new = t.where("path % 10 <> 9").select("path", F.sha2(F.when(F.col("path") % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("file_hash"))
+    return ingest.manifest_diff(old, new)
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_purchase FROM events")
+def q_asof(spark, d):
+    order = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(order).alias("last_purchase"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN floor(epoch(ts))::BIGINT - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)))::BIGINT >= 1800 THEN 1 ELSE 0 END AS gap FROM events),
+s AS (SELECT user_id, ts, sum(gap) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, session::BIGINT AS session, count(*)::BIGINT AS n, min(floor(epoch(ts))::BIGINT) AS first_at, max(floor(epoch(ts))::BIGINT) AS last_at FROM s GROUP BY ALL""")
+def q_sessions(spark, d):
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return ingest.sessions(e, "user_id", "ts", 1800).select("user_id", "session", "n", F.unix_seconds("first").alias("first_at"), F.unix_seconds("last").alias("last_at"))
+
+
+@query(f"""WITH u AS (SELECT user_id, count(*) AS n, max(floor(epoch(ts))::BIGINT) AS last, bool_or(event_type = 'purchase') AND user_id % 50 = 0 AS perm FROM events GROUP BY user_id),
+s AS (SELECT user_id, n, last, perm, round((user_id % 10) / 10.0::DOUBLE * exp(-ln(2.0::DOUBLE) / (14.0::DOUBLE * 86400) * greatest({NOW} - last, 0)) * (1 + 0.2::DOUBLE * n), 6) AS score FROM u)
+SELECT user_id, score, CASE WHEN perm THEN 'permanent' WHEN score < 0.05 THEN 'archive' WHEN score < 0.15 THEN 'prune' WHEN score < 0.65 THEN 'refresh' ELSE 'keep' END AS action, n >= 10 AND {NOW} - last < 14 * 86400 AS promote FROM s""")
+def q_retention(spark, d):
+    u = _events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.max("created_at").alias("last"), F.bool_or("pinned").alias("p"))
+    u = u.withColumn("score", F.round(enrich.retention_score((F.col("user_id") % 10) / 10, F.col("n"), F.col("last"), NOW, 14.0), 6))
+    return u.select("user_id", "score", enrich.retention_action(F.col("score"), F.col("p") & (F.col("user_id") % 50 == 0)).alias("action"), enrich.should_promote(F.col("n"), F.col("last"), NOW).alias("promote"))
+
+
+@query("""WITH x AS (SELECT DISTINCT l_orderkey, l_partkey % 500 AS item FROM lineitem)
+SELECT a.item AS a, b.item AS b, count(*)::BIGINT AS n, CASE WHEN count(*) >= 9 THEN 'likely' ELSE 'unknown' END AS confidence FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.item < b.item GROUP BY ALL HAVING count(*) >= 3""")
+def q_cooccur(spark, d):
+    return enrich.co_occurrence(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("set_id"), (F.col("l_partkey") % 500).alias("item")), 3)
+
+
+@query()
+def q_entity(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    b = p.select(F.col("p_partkey").alias("k2"), F.col("p_name").alias("n2"), F.col("p_brand").alias("b2"), F.col("p_type").alias("t2"))
+    block = lambda c: F.concat(F.substring(c, 1, 6), (F.length(c)).cast("string"))
+    pairs = p.withColumn("k", block("p_name")).join(b.withColumn("k", block("n2")), "k").where("p_partkey < k2 and p_brand = b2")
+    score = F.round(enrich.entity_score(F.col("p_name"), F.col("n2"), F.col("p_brand") == F.col("b2"), F.col("p_type"), F.col("t2")), 6)
+    out = pairs.select(F.col("p_partkey").alias("a"), F.col("k2").alias("b"), score.alias("score"))
+    return out.select("a", "b", "score", enrich.resolution(F.col("score")).alias("resolution"))
+
+
+CHG = """o AS (SELECT DISTINCT event_type AS file, user_id % 200 AS symbol FROM events WHERE ts < TIMESTAMP '2024-01-05'), n AS (SELECT DISTINCT event_type AS file, user_id % 200 AS symbol FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND user_id % 3 > 0),
+ch AS (SELECT file, 'added' AS change, symbol FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT file, 'deleted', symbol FROM (SELECT * FROM o EXCEPT SELECT * FROM n))"""
+
+
+def _changes(spark, d) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("event_type").alias("file"), (F.col("user_id") % 200).alias("symbol"), "ts", "user_id")
+    return enrich.detect_changes(e.where("ts < timestamp '2024-01-05'").select("file", "symbol").distinct(), e.where("ts >= timestamp '2024-01-20' and user_id % 3 > 0").select("file", "symbol").distinct())
+
+
+@query(f"WITH {CHG} SELECT file, change, symbol FROM ch")
+def q_changes(spark, d):
+    return _changes(spark, d)
+
+
+@query(f"""WITH {CHG}, r AS (SELECT symbol % 20 AS g, count(*) FILTER (change = 'added') AS a, count(*) FILTER (change = 'deleted') AS x, count(DISTINCT file) AS f FROM ch GROUP BY ALL)
+SELECT g, a::BIGINT AS n_added, 0::BIGINT AS n_modified, x::BIGINT AS n_deleted, f::BIGINT AS n_files, CASE WHEN a > x THEN 'feature_addition' WHEN x > a THEN 'cleanup' ELSE 'mixed_changes' END AS pattern FROM r""")
+def q_reflection(spark, d):
+    return enrich.reflection(_changes(spark, d).withColumn("g", F.col("symbol") % 20), "g")
+
+
+def _bundle(spark, d) -> DataFrame:
+    n = nodes(spark, d).where("doc_id < 200")
+    inc = n.select((F.col("doc_id") % 5).alias("query_id"), "node_id", F.col("doc_id").alias("place"), (F.col("doc_id") % 4 == 0).alias("is_anchor"))
+    at = n.select("node_id", "file_path", F.lit(0).alias("start_line"), F.lit(1).alias("end_line"))
+    return context.assemble(inc, at, n.select("file_path", F.col("text").alias("content")))
+
+
+BUNDLE = f"""{NODES}, bu AS (SELECT doc_id % 5 AS query_id, doc_id AS place, file_path, doc_id % 4 = 0 AS is_anchor, array_to_string(string_split(text, chr(10))[1:2], chr(10)) AS t, strlen(text) // 4 AS ft FROM n WHERE doc_id < 200)"""
+
+
+@query(f"""WITH {BUNDLE}, x AS (SELECT query_id, count(*)::BIGINT AS nodes, count(DISTINCT file_path)::BIGINT AS files, sum(strlen(t) // 4)::BIGINT AS tokens, sum(ft)::BIGINT AS file_tokens FROM bu GROUP BY query_id)
+SELECT *, greatest(file_tokens - tokens, 0)::BIGINT AS tokens_saved, CASE WHEN file_tokens > 0 THEN round(100.0::DOUBLE * greatest(file_tokens - tokens, 0) / file_tokens, 1) ELSE 0 END AS saved_percent FROM x""")
+def q_bundle_totals(spark, d):
+    return context.totals(_bundle(spark, d))
+
+
+@query(f"""WITH {BUNDLE} SELECT query_id, place, CASE WHEN is_anchor THEN t ELSE rtrim(regexp_replace(trim(split_part(split_part(t, chr(10), 1), '{{', 1)), ':$', '')) || ' // ...' END AS text FROM bu""")
+def q_compress(spark, d):
+    return context.compressed(_bundle(spark, d), 2).select("query_id", "place", "text")
+
+
+@query(f"""WITH {SPANS}, b AS (SELECT file_path, node_id, start_byte AS s, end_byte AS e, pos AS p, pos % 3 = 0 AS anchor FROM sp)
+SELECT node_id FROM b x WHERE anchor OR NOT EXISTS (SELECT 1 FROM b y WHERE y.file_path = x.file_path AND y.s <= x.s AND y.e >= x.e AND (y.s <> x.s OR y.e <> x.e OR y.p < x.p))""")
+def q_overlap(spark, d):
+    b = spans(spark, d).select(F.lit(1).alias("query_id"), "file_path", "node_id", F.col("start_byte").alias("start_line"), F.col("end_byte").alias("end_line"), F.concat(F.lpad("pos", 12, "0"), "file_path").alias("place"), (F.col("pos") % 3 == 0).alias("is_anchor"))
+    return context.without_overlaps(b).select("node_id")
+
+
+@query(f"""WITH {SPANS} SELECT node_id FROM (SELECT *, row_number() OVER (PARTITION BY file_path, start_byte, end_byte ORDER BY CASE kind WHEN 'function' THEN 3 WHEN 'class' THEN 2 ELSE 1 END DESC, pos) AS rn FROM sp) WHERE rn = 1""")
+def q_span_dedupe(spark, d):
+    return graph.dedupe_spans(spans(spark, d)).select("node_id")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+def q_stream_ingest(spark, d):
+    """The events file as a stream, deduplicated by (user, type), written exactly once and read back; a key's first event by id."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
+    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    schema = table(spark, d, "events").schema
+    s = ingest.read_stream(spark, d, schema, "events.parquet").select("user_id", "event_type", "event_id")
+    first = s.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    q = first.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{out}/rows")).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query("SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS start_at, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL")
+def q_stream_window(spark, d):
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    return ingest.windowed(e, "ts", "1 hour", "1 hour", "event_type").select(F.unix_seconds("start").alias("start_at"), "event_type", "n", F.round("v", 4).alias("v"))
+
+
+@query("""SELECT n_name, l_returnflag, count(*)::BIGINT AS n, round(sum(l_extendedprice), 2) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ROLLUP (n_name, l_returnflag)""")
+def q_groupings(spark, d):
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_extendedprice")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
+    rows = li.join(s, "l_suppkey").join(table(spark, d, "nation"), "n_nationkey")
+    return rows.rollup("n_name", "l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
+
+
+@query(f"""WITH {NODES}, b AS (SELECT regexp_replace(regexp_replace(file_path, '.*/', ''), '[.][^.]*$', '') AS stem, doc_id, source FROM n),
+t AS (SELECT doc_id, source, regexp_replace(stem, '^test_|_test$|[.]test$|_spec$', '') AS base FROM b WHERE stem LIKE 'test_%'), i AS (SELECT doc_id AS impl, source, stem FROM b WHERE stem NOT LIKE 'test_%')
+SELECT t.doc_id AS test, i.impl FROM t JOIN i ON t.source = i.source AND (contains(i.stem, t.base) OR contains(t.base, i.stem))""")
+def q_test_impl_links(spark, d):
+    n = nodes(spark, d).select("doc_id", "source", F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"\.[^.]*$", "").alias("stem"), enrich.base_name(F.col("file_path")).alias("base"))
+    t = n.where(F.startswith("stem", F.lit("test_"))).select(F.col("doc_id").alias("test"), "source", "base")
+    i = n.where(~F.startswith("stem", F.lit("test_"))).select(F.col("doc_id").alias("impl"), "source", "stem")
+    return t.join(i, "source").where(F.contains("stem", F.col("base")) | F.contains("base", F.col("stem"))).select("test", "impl")
