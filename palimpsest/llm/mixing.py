@@ -4,7 +4,9 @@ A source's target, in words, is its part of the mix. Where the target exceeds th
 each document first gets its certain whole copies; the rest is a fixed-size sample: document i
 with inclusion probability p_i and a uniform number u_i has the rank u_i (1 - p_i) : (1 - u_i) p_i,
 the random odds divided by the inclusion odds, and the lowest ranks are taken until their words
-fill what is left of the target. Ranks follow from the id alone, so reruns agree.
+fill what is left of the target. Large documents, each over 1 / LARGE of that, are sampled first,
+to the nearest of their expected words; the others fill the rest, so that one long document
+can't miss the target. Ranks follow from the id alone, so reruns agree.
 
 No source is ever sorted in one task: ranks are counted in 4096 bins per source, then in 4096
 finer ones inside the bin where the target falls, and only rows at that point are put in order.
@@ -26,6 +28,7 @@ from .common import null_safe, stored, table, word_count
 #: Rows after the cut that may fill the gap the cut leaves, by rank, where they fit.
 ZONE = 64
 BINS = 4096
+LARGE = 16
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -70,68 +73,98 @@ def ranked(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("v", odds / (odds + (1 - u) * p)).withColumn("sampled", (p > 0) & (F.col("size") > 0))
 
 
+def fine_bin() -> Column:
+    return F.floor(F.col("v") * F.lit(float(BINS * BINS))).cast("long")
+
+
 def cuts(rows: DataFrame, name: str) -> DataFrame:
-    """A row per source: at (rows in finer bins below are in), base (their words), room, end.
+    """From rows with the room of their source, a row per source that has more: at (rows in finer bins below are in), base (their words), room, cap, end.
 
     Bins hold sums only; the first pass finds the bin of the cut, the second the finer bin in it.
     """
-    rows = rows.where("sampled").withColumn("fine", F.floor(F.col("v") * F.lit(float(BINS * BINS))).cast("long"))
+    rows = rows.withColumn("fine", fine_bin())
     by = W.partitionBy("__mix_source").orderBy("bin")
     upto, before = by.rowsBetween(W.unboundedPreceding, W.currentRow), by.rowsBetween(W.unboundedPreceding, -1)
 
     def find(bins: DataFrame) -> DataFrame:
-        """From (source, bin, words, n, room, base): the bin where room is exceeded, and the bin that ends its zone."""
+        """From (source, bin, words, n, room, cap, base): the bin where room is exceeded, and the bin that ends its zone."""
         sums = bins.withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)) + F.col("base")).withColumn("upto", F.sum("words").over(upto) + F.col("base")).withColumn("n_below", F.coalesce(F.sum("n").over(before), F.lit(0)))
         over = F.col("upto") > F.col("room")
         every = W.partitionBy("__mix_source")
         sums = sums.withColumn("cut", F.min(F.when(over, F.struct("bin", "n_below", "below"))).over(every)).where("cut is not null")
-        return sums.groupBy("__mix_source").agg(F.first("cut.bin").alias("at"), F.first("cut.below").alias("base"), F.first("room").alias("room"), F.max(F.when(F.col("n_below") < F.col("cut.n_below") + ZONE, F.col("bin"))).alias("end"))
+        return sums.groupBy("__mix_source").agg(F.first("cut.bin").alias("at"), F.first("cut.below").alias("base"), F.first("room").alias("room"), F.first("cap").alias("cap"), F.max(F.when(F.col("n_below") < F.col("cut.n_below") + ZONE, F.col("bin"))).alias("end"))
+
+    sums = [F.sum("size").alias("words"), F.count("*").alias("n"), F.first("room").alias("room"), F.first("cap").alias("cap")]
+    first = rows.groupBy("__mix_source", F.floor(F.col("fine") / BINS).alias("bin")).agg(*sums).withColumn("base", F.lit(0).cast("long"))
+    coarse = stored(find(first), f"{name}-coarse").select(F.col("__mix_source").alias("s2"), "at", "end", "base")
+    near = null_safe(rows, coarse, [("__mix_source", "s2")]).drop("s2").where((F.floor(F.col("fine") / BINS) >= F.col("at")) & (F.floor(F.col("fine") / BINS) <= F.col("end")))
+    return find(near.groupBy("__mix_source", F.col("fine").alias("bin")).agg(*sums, F.first("base").alias("base")))
+
+
+def choose(rows: DataFrame, name: str, nearest: bool) -> DataFrame:
+    """s, at, chosen, used for each source of rows(__mix_source, __mix_id, size, v, room, cap).
+
+    In rank order rows are taken while they fit in room, or with nearest while half of them does and all in cap.
+    at: finer bins below are taken whole (null: all are); chosen: the (v, id, size) taken at and after it; used: words taken.
+    """
+    cut = stored(cuts(rows, name), f"{name}-cuts").withColumnRenamed("__mix_source", "s3")
+    near = rows.drop("room", "cap").withColumn("fine", fine_bin())
+    zone = null_safe(near, cut, [("__mix_source", "s3")]).drop("s3").where("fine >= at and fine <= end")
+    zone = zone.groupBy("__mix_source", "v", "__mix_id", "size").agg(F.count("*").alias("n"), F.first("room").alias("room"), F.first("cap").alias("cap"), F.first("base").alias("base"), F.first("at").alias("at"))
+    zone = zone.withColumn("k", F.row_number().over(W.partitionBy("__mix_source").orderBy("v", F.col("__mix_id").asc_nulls_first(), "size"))).where(F.col("k") <= ZONE)
+    lists = zone.groupBy("__mix_source").agg(F.sort_array(F.collect_list(F.struct("k", "v", "__mix_id", "size", "n"))).alias("z"), *[F.first(c).alias(c) for c in ("room", "cap", "base", "at")])
+    start = F.struct(F.col("base").cast("long").alias("used"), F.expr("filter(z, x -> false)").alias("took"))
+
+    def step(acc: Column, x: Column) -> Column:
+        words = x["size"] * x["n"]
+        fits = (acc["used"] + words / 2 <= F.col("room")) & (acc["used"] + words <= F.col("cap")) if nearest else acc["used"] + words <= F.col("room")
+        return F.when(fits, F.struct((acc["used"] + words).alias("used"), F.concat(acc["took"], F.array(x)).alias("took"))).otherwise(acc)
+
+    lists = lists.withColumn("f", F.aggregate("z", start, step))
+    chosen = F.transform(F.col("f.took"), lambda x: F.struct(x["v"].alias("v"), x["__mix_id"].alias("id"), x["size"].alias("size")))
+    cut_ones = lists.select(F.col("__mix_source").alias("s4"), "at", chosen.alias("chosen"), F.col("f.used").alias("cut_used"))
+    every = rows.groupBy("__mix_source").agg(F.sum("size").alias("all_words"))
+    return null_safe(every, cut_ones, [("__mix_source", "s4")], "left").select(F.col("__mix_source").alias("s"), "at", "chosen", F.coalesce("cut_used", "all_words").alias("used"))
 
-    room = rows.groupBy("__mix_source").agg(F.first("room").alias("room"))
-    first = rows.groupBy("__mix_source", F.floor(F.col("fine") / BINS).alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    first = null_safe(first, room.withColumnRenamed("__mix_source", "s1"), [("__mix_source", "s1")]).drop("s1").withColumn("base", F.lit(0).cast("long"))
-    coarse = stored(find(first), f"{name}-coarse")
-    near = null_safe(rows, coarse.drop("room").withColumnRenamed("__mix_source", "s2"), [("__mix_source", "s2")]).drop("s2").where((F.floor(F.col("fine") / BINS) >= F.col("at")) & (F.floor(F.col("fine") / BINS) <= F.col("end")))
-    second = near.groupBy("__mix_source", F.col("fine").alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("room").alias("room"), F.first("base").alias("base"))
-    return find(second)
+
+def is_large() -> Column:
+    return F.col("size") * LARGE > F.col("rest")
 
 
 def plan(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, name: str = "mix") -> tuple[DataFrame, DataFrame]:
     """(rows with ranks, a table of one row per source that decides every row of it).
 
-    sizes: __mix_source, __mix_id, size, u, importance. The table: source_size, target, at (all
-    sampled rows whose finer bin is below are taken; null: all are), and chosen, the at most
-    ZONE ties of (v, id, size) at the cut that fit in rank order.
+    sizes: __mix_source, __mix_id, size, u, importance. The table: source_size, target, rest (the target without
+    certain copies), and of large documents and of others what choose() gives.
     """
     targets = stored(source_targets(sizes, weights, share, most), f"{name}-targets")
     rows = ranked(sizes, targets)
-    certain = rows.groupBy("__mix_source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("room"))
-    certain = stored(certain.withColumnRenamed("__mix_source", "s0"), f"{name}-room")
-    with_room = null_safe(rows, certain, [("__mix_source", "s0")]).drop("s0")
-    cut = stored(cuts(with_room, name), f"{name}-cuts").withColumnRenamed("__mix_source", "s3")
-    fine = F.floor(F.col("v") * F.lit(float(BINS * BINS))).cast("long")
-    zone = null_safe(rows.where("sampled").withColumn("fine", fine), cut, [("__mix_source", "s3")]).drop("s3").where("fine >= at and fine <= end")
-    zone = zone.groupBy("__mix_source", "v", "__mix_id", "size").agg(F.count("*").alias("n"), F.first("room").alias("room"), F.first("base").alias("base"))
-    zone = zone.withColumn("k", F.row_number().over(W.partitionBy("__mix_source").orderBy("v", F.col("__mix_id").asc_nulls_first(), "size"))).where(F.col("k") <= ZONE)
-    lists = zone.groupBy("__mix_source").agg(F.sort_array(F.collect_list(F.struct("k", "v", "__mix_id", "size", "n"))).alias("z"), F.first("room").alias("room"), F.first("base").alias("base"))
-    start = F.struct(F.col("base").cast("long").alias("used"), F.expr("filter(z, x -> false)").alias("took"))
-    fold = F.aggregate(
-        "z",
-        start,
-        lambda acc, x: F.when(acc["used"] + x["size"] * x["n"] <= F.col("room"), F.struct((acc["used"] + x["size"] * x["n"]).alias("used"), F.concat(acc["took"], F.array(x)).alias("took"))).otherwise(acc),
-    )
-    chosen = lists.select(F.col("__mix_source").alias("s4"), F.transform(fold["took"], lambda x: F.struct(x["v"].alias("v"), x["__mix_id"].alias("id"), x["size"].alias("size"))).alias("chosen"))
-    table_ = null_safe(targets, cut.select("s3", "at"), [("__mix_source", "s3")], "left").drop("s3")
-    table_ = null_safe(table_, chosen, [("__mix_source", "s4")], "left").drop("s4")
+    certain = rows.groupBy("__mix_source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("rest"))
+    certain = stored(certain.withColumnRenamed("__mix_source", "s0"), f"{name}-rest")
+    rest = null_safe(rows.where("sampled"), certain, [("__mix_source", "s0")]).drop("s0")
+    large = rest.where(is_large())
+    expected = stored(large.groupBy("__mix_source").agg(F.sum(F.col("size") * (F.col("copies") - F.col("whole"))).alias("room"), F.first("rest").alias("cap")).withColumnRenamed("__mix_source", "s1"), f"{name}-expected")
+    first = stored(choose(null_safe(large, expected, [("__mix_source", "s1")]).drop("s1"), f"{name}-large", True), f"{name}-first")
+    room = null_safe(certain, first.select("s", "used"), [("s0", "s")], "left").select(F.col("s0").alias("s1"), (F.col("rest") - F.coalesce("used", F.lit(0))).alias("room"), F.col("rest").alias("cap"))
+    room = stored(room, f"{name}-room")
+    second = choose(null_safe(rest.where(~is_large()), room, [("__mix_source", "s1")]).drop("s1"), f"{name}-others", False)
+    table_ = null_safe(targets, certain, [("__mix_source", "s0")]).drop("s0")
+    for prefix, part in (("large", first), ("other", second)):
+        part = part.select(F.col("s"), F.col("at").alias(f"{prefix}_at"), F.col("chosen").alias(f"{prefix}_chosen"))
+        table_ = null_safe(table_, part, [("__mix_source", "s")], "left").drop("s")
     return rows, stored(table_, f"{name}-plan")
 
 
 def decided(sizes: DataFrame, table_: DataFrame) -> DataFrame:
-    """sizes with source_size, target, copies: what the plan's table says of each row."""
+    """sizes with source_size, target, __mix_copies: what the plan's table says of each row."""
     rows = ranked(sizes, table_)
-    below = F.col("sampled") & (F.col("at").isNull() | (F.floor(F.col("v") * F.lit(float(BINS * BINS))) < F.col("at")))
-    here = F.exists(F.coalesce("chosen", F.expr("filter(chosen, x -> false)")), lambda x: (x["v"] == F.col("v")) & x["id"].eqNullSafe(F.col("__mix_id")) & (x["size"] == F.col("size")))
-    extra = below | (F.col("sampled") & F.coalesce(here, F.lit(False)))
+
+    def taken(prefix: str) -> Column:
+        below = F.col(f"{prefix}_at").isNull() | (fine_bin() < F.col(f"{prefix}_at"))
+        here = F.exists(F.col(f"{prefix}_chosen"), lambda x: (x["v"] == F.col("v")) & x["id"].eqNullSafe(F.col("__mix_id")) & (x["size"] == F.col("size")))
+        return below | F.coalesce(here, F.lit(False))
+
+    extra = F.col("sampled") & F.when(is_large(), taken("large")).otherwise(taken("other"))
     return rows.withColumn("__mix_copies", F.col("whole") + F.when(extra, 1).otherwise(0))
 
 
@@ -165,7 +198,25 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(small, table_).select(F.col("__mix_id").alias("doc_id"), "size", "source_size", "target", (F.col("__mix_copies") * F.col("size")).alias("taken"))
 
 
-ORACLE = """
+def _choice(p: str, rows: str, fits: str) -> str:
+    """SQL of choose() over a table rows(source, doc_id, size, v, fine, room, cap): tables {p}_base (at) and {p}_took, and {p}_used."""
+    same = "IS NOT DISTINCT FROM"
+    return f"""
+{p}_sum AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY fine) AS upto FROM {rows}),
+{p}_cut AS (SELECT source, min(fine) AS at, first(room) AS room, first(cap) AS cap FROM {p}_sum WHERE upto > room GROUP BY source),
+{p}_base AS (SELECT c.*, coalesce((SELECT sum(size) FROM {rows} r WHERE r.source {same} c.source AND r.fine < c.at), 0)::BIGINT AS base FROM {p}_cut c),
+{p}_z0 AS (SELECT r.source, v, doc_id, size, count(*) AS n FROM {rows} r JOIN {p}_base b ON r.source {same} b.source WHERE r.fine >= b.at GROUP BY ALL),
+{p}_z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY v, doc_id NULLS FIRST, size) AS k FROM {p}_z0) WHERE k <= 64),
+{p}_f AS (
+  SELECT source, 0::BIGINT AS k, base AS used, false AS took FROM {p}_base
+  UNION ALL
+  SELECT f.source, z.k, CASE WHEN {fits} THEN f.used + z.size * z.n ELSE f.used END, {fits}
+  FROM {p}_f f JOIN {p}_z z ON z.source {same} f.source AND z.k = f.k + 1 JOIN {p}_base b ON b.source {same} f.source),
+{p}_took AS (SELECT z.* FROM {p}_f f JOIN {p}_z z ON z.source {same} f.source AND z.k = f.k WHERE f.took),
+{p}_used AS (SELECT r.source, coalesce((SELECT max(used) FROM {p}_f f WHERE f.source {same} r.source), sum(size)) AS used FROM {rows} r GROUP BY r.source)"""
+
+
+ORACLE = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          ((('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
@@ -179,22 +230,15 @@ s5 AS (SELECT source, source_size, CASE WHEN water IS NULL THEN lim ELSE least(l
 r0 AS (SELECT d.*, s5.source_size, s5.target, CASE WHEN s5.source_size > 0 THEN s5.target / s5.source_size ELSE 0.0 END AS copies FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
 r1 AS (SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS p FROM r0),
 r2 AS (SELECT *, (u * (1 - p)) / (u * (1 - p) + (1 - u) * p) AS v, p > 0 AND size > 0 AS sampled FROM r1),
-room AS (SELECT source, first(target) - sum(whole * size) AS room FROM r2 GROUP BY source),
-r3 AS (SELECT r2.*, room.room, floor(v * 16777216.0)::BIGINT AS fine FROM r2 JOIN room ON r2.source IS NOT DISTINCT FROM room.source WHERE sampled),
-r4 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY fine) AS upto FROM r3),
-cut AS (SELECT source, min(fine) AS at, first(room) AS room FROM r4 WHERE upto > room GROUP BY source),
-base AS (SELECT cut.source, cut.at, cut.room, coalesce((SELECT sum(size) FROM r3 WHERE r3.source IS NOT DISTINCT FROM cut.source AND r3.fine < cut.at), 0)::BIGINT AS base FROM cut),
-z0 AS (SELECT r3.source, v, doc_id, size, count(*) AS n FROM r3 JOIN base ON r3.source IS NOT DISTINCT FROM base.source WHERE r3.fine >= base.at GROUP BY ALL),
-z1 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY v, doc_id NULLS FIRST, size) AS k FROM z0),
-z AS (SELECT * FROM z1 WHERE k <= 64),
-f AS (
-  SELECT source, 0::BIGINT AS k, base AS used, false AS took FROM base
-  UNION ALL
-  SELECT f.source, z.k, CASE WHEN f.used + z.size * z.n <= base.room THEN f.used + z.size * z.n ELSE f.used END, f.used + z.size * z.n <= base.room
-  FROM f JOIN z ON z.source IS NOT DISTINCT FROM f.source AND z.k = f.k + 1 JOIN base ON base.source IS NOT DISTINCT FROM f.source),
-took AS (SELECT z.* FROM f JOIN z ON z.source IS NOT DISTINCT FROM f.source AND z.k = f.k WHERE f.took)
-SELECT r2.doc_id, r2.size, r2.source_size, r2.target,
-       (r2.size * (r2.whole + CASE WHEN r2.sampled AND (base.at IS NULL OR floor(r2.v * 16777216.0)::BIGINT < base.at OR took.k IS NOT NULL) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM r2 LEFT JOIN base ON r2.source IS NOT DISTINCT FROM base.source
-LEFT JOIN took ON r2.source IS NOT DISTINCT FROM took.source AND r2.doc_id IS NOT DISTINCT FROM took.doc_id AND r2.v = took.v AND r2.size = took.size AND r2.sampled
+rest AS (SELECT source, first(target) - sum(whole * size) AS rest FROM r2 GROUP BY source),
+r3 AS (SELECT r2.*, rest.rest, size * 16 > rest.rest AS large, floor(v * 16777216.0)::BIGINT AS fine FROM r2 JOIN rest ON r2.source IS NOT DISTINCT FROM rest.source),
+big AS (SELECT *, sum(size * p) OVER (PARTITION BY source) AS room, rest AS cap FROM r3 WHERE sampled AND large),
+{_choice("big", "big", "f.used + z.size * z.n / 2 <= b.room AND f.used + z.size * z.n <= b.cap")},
+other AS (SELECT r3.*, rest - coalesce((SELECT used FROM big_used x WHERE x.source IS NOT DISTINCT FROM r3.source), 0) AS room, rest AS cap FROM r3 WHERE sampled AND NOT large),
+{_choice("other", "other", "f.used + z.size * z.n <= b.room")},
+took AS (SELECT * FROM big_took UNION ALL SELECT * FROM other_took)
+SELECT r.doc_id, r.size, r.source_size, r.target,
+       (r.size * (r.whole + CASE WHEN r.sampled AND (CASE WHEN r.large THEN g.at IS NULL OR r.fine < g.at ELSE o.at IS NULL OR r.fine < o.at END OR k.k IS NOT NULL) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r3 r LEFT JOIN big_base g ON r.source IS NOT DISTINCT FROM g.source LEFT JOIN other_base o ON r.source IS NOT DISTINCT FROM o.source
+LEFT JOIN took k ON r.source IS NOT DISTINCT FROM k.source AND r.doc_id IS NOT DISTINCT FROM k.doc_id AND r.v = k.v AND r.size = k.size AND r.sampled
 """
