@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import split_identifier
 
@@ -37,7 +38,7 @@ def co_occurrence(results: DataFrame, threshold: int = 3) -> DataFrame:
     return counts.withColumn("confidence", F.when(F.col("n") >= 3 * threshold, "likely").otherwise("unknown"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a, b):
     """Jaro-Winkler similarity over characters; the prefix bonus always applies."""
     import pandas as pd

@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 
-ORDER = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("node_id"))
-
-
 def reranked(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(ORDER))
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("node_id"))))
 
 
 def with_nodes(rows: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:

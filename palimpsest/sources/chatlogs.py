@@ -104,14 +104,13 @@ class KeyValueSource(DataSource):
 def composer_messages(rows: DataFrame) -> DataFrame:
     """Messages of key-value rows: composerData:<id> with bubbles inside, or bubbleId:<id>:<bubble> rows in order of row id."""
     bubble = "struct<bubbleId:string, type:int, text:string, createdAt:string>"
-    seconds = lambda c: timestamp_or_unix(c)
     inline = rows.where(F.startswith("key", F.lit("composerData:"))).select(F.substring_index("key", ":", -1).alias("session_id"), F.from_json("value", f"createdAt string, conversation array<{bubble}>").alias("j"))
     a = inline.select("session_id", F.col("j.createdAt").alias("t"), F.posexplode("j.conversation").alias("pos", "b"))
-    apart = rows.where(F.startswith("key", F.lit("bubbleId:"))).select(F.get(F.split("key", ":"), F.lit(1)).alias("session_id"), F.col("rowid").cast("int").alias("pos"), F.from_json("value", bubble[7:-1]).alias("b"))
+    apart = rows.where(F.startswith("key", F.lit("bubbleId:"))).select(F.get(F.split("key", ":"), F.lit(1)).alias("session_id"), F.col("rowid").cast("int").alias("pos"), F.from_json("value", bubble).alias("b"))
     apart = apart.join(a.select("session_id").distinct(), "session_id", "left_anti").select("session_id", F.lit(None).cast("string").alias("t"), "pos", "b")
     x = a.unionByName(apart).where("b.type in (1, 2)")
     none = F.array().cast("array<string>")
-    return x.select("session_id", "pos", F.when(F.col("b.type") == 1, "user").otherwise("assistant").alias("role"), F.coalesce("b.text", F.lit("")).alias("text"), seconds(F.coalesce("b.createdAt", "t")).alias("timestamp"), none.alias("tools"), none.alias("files"))
+    return x.select("session_id", "pos", F.when(F.col("b.type") == 1, "user").otherwise("assistant").alias("role"), F.coalesce("b.text", F.lit("")).alias("text"), timestamp_or_unix(F.coalesce("b.createdAt", "t")).alias("timestamp"), none.alias("tools"), none.alias("files"))
 
 
 def as_of(rows: DataFrame, partition: str, order: str, value: Column, name: str) -> DataFrame:

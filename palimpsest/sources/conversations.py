@@ -36,7 +36,7 @@ COMMON = (
 
 def sessions(files: DataFrame) -> DataFrame:
     """file_path, session_at, session_id, timestamp, messages of files(file_path, content)."""
-    j = F.from_json("content", FILE[7:-1])
+    j = F.from_json("content", FILE)
     x = files.select("file_path", F.posexplode(j["sessions"]).alias("session_at", "s"))
     return x.select("file_path", "session_at", F.col("s.id").alias("session_id"), approximate_timestamp(F.col("s.timestamp")).alias("timestamp"), F.col("s.messages").alias("messages"))
 
