@@ -8,7 +8,7 @@ read of some documents touches their pages, and a read of doc_id and n_tokens no
 through Spark's own writer and reader: any file system works, and a lost task is written again.
 
 Encoding is that of the tokenizers library. Its pretokens never cross a single space or line
-feed between two other characters, so a text is cut there and each piece is encoded once per
+feed between two other characters, so a text is cut there and each word is encoded once per
 worker and kept in a bounded cache; a text with other white space is encoded whole.
 
 Defined cases: null text is empty and has the end id alone; null doc_id comes first; rows with
@@ -18,11 +18,10 @@ the input are not written.
 
 from __future__ import annotations
 
-import re
 import sys
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, table
 
-#: Pieces kept per worker. It bounds memory; pieces beyond it are encoded when met.
-CACHE = 400_000
-ODD_SPACE = r"\s\s|^\s|\s$|[^\S \n]"
+#: Words kept per worker and place. It bounds memory only: a word that isn't kept is encoded again.
+CACHE = 800_000
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WRITER = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(32 << 20),
@@ -46,8 +45,37 @@ WRITER = {
 }
 
 
-def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Texts to arrays of int32 ids, with one tokenizer and cache per process."""
+class Pieces(dict):
+    """Ids, as bytes, of words that follow `before` (a space, or nothing at a line's start).
+
+    A word's closing signs are pretokens of their own after a letter, so a word seen with one
+    sign costs no call when it comes with another. At most CACHE words stay; the oldest go first.
+    """
+
+    def __init__(self, before: str, apart: Callable[[list[str]], list[bytes]]) -> None:
+        super().__init__()
+        self.before, self.apart, self.signs = before, apart, {}
+
+    def learn(self, words: set[str]) -> None:
+        """Has all of words ready."""
+        cut = {w: b for w in words if (b := w.rstrip(SIGNS)) and b != w and b[-1].isalpha()}
+        plain = [w for w in {*(w for w in words if w not in cut), *cut.values()} if w not in self]
+        self.update(zip(plain, self.apart([self.before + w for w in plain]), strict=True))
+        tails = list({w[len(b) :] for w, b in cut.items()} - self.signs.keys())
+        self.signs.update(zip(tails, self.apart(tails), strict=True))
+        for w, b in cut.items():
+            self[w] = self[b] + self.signs[w[len(b) :]]
+
+    def trim(self) -> None:
+        if len(self) > CACHE:
+            for w in list(islice(self, len(self) - CACHE * 3 // 4)):
+                del self[w]
+        if len(self.signs) > CACHE // 8:
+            self.signs.clear()
+
+
+def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Texts to their ids as little-endian 32-bit bytes, with one tokenizer and cache per process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,40 +83,52 @@ def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
 
     kept = sys.modules["tokenizers"].__dict__.setdefault("_palimpsest_encoders", {})
     if path not in kept:
-        t = tokenizers.Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        kept[path] = (t, {})
-    tok, cache = kept[path]
-    odd = re.compile(ODD_SPACE)
-
-    def whole(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
-
-    def pieces(text: str) -> list[str]:
-        return text.replace("\n", " \n").replace(" ", "\0 ").replace("\0 \n", "\0\n\0").split("\0")
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        rest = [i for i, t in enumerate(texts) if "\0" in t or odd.search(t)]
-        for i, ids in zip(rest, whole([texts[i] for i in rest]), strict=True):
-            out[i] = np.array(ids, np.int32)
+        tok = tokenizers.Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
+
+        encode_batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
+
+        def whole(texts: list[str]) -> list[bytes]:
+            return [np.array(e.ids, "<i4").tobytes() for e in encode_batch(texts, add_special_tokens=False)] if texts else []
+
+        (feed,) = encode_batch(["\n"], add_special_tokens=False)[0].ids
+
+        def apart(words: list[str]) -> list[bytes]:
+            """Each word's ids, by one call for many words with a line feed, which no word holds, between them."""
+            out = []
+            for k in range(0, len(words), 4096):
+                ids = np.array(encode_batch(["\n".join(words[k : k + 4096])], add_special_tokens=False)[0].ids, "<i4")
+                ends = (np.flatnonzero(ids == feed) * 4).tolist()
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True)]
+            return out
+
+        kept[path] = (whole, Pieces("", apart), Pieces(" ", apart))
+    whole, starts, inner = kept[path]
+    (line_end,) = whole(["\n"])
+
+    def encode(texts: list[str]) -> list[bytes]:
+        odd, lines = [], []
         for i, t in enumerate(texts):
-            if out[i] is not None:
-                continue
-            if not t:
-                out[i] = np.empty(0, np.int32)
-                continue
-            cut = pieces(t)
-            new = {p for p in cut if p not in cache}
-            extra = {}
-            if new:
-                new = list(new)
-                extra = dict(zip(new, whole(new), strict=True))
-                if len(cache) + len(extra) <= CACHE:
-                    cache.update(extra)
-                    extra = {}
-            get = (lambda p: extra[p] if p in extra else cache[p]) if extra else cache.__getitem__
-            out[i] = np.fromiter(chain.from_iterable(map(get, cut)), np.int32)
+            # even: words with one space or line feed between two of them, and no other white space
+            words, gaps = t.split(), t.count(" ") + t.count("\n")
+            if len(words) == gaps + 1 and sum(map(len, words)) + gaps == len(t):
+                lines.append([x.split(" ") for x in t.split("\n")])
+            else:
+                odd.append(i)
+                lines.append([])
+        starts.learn({x[0] for t in lines for x in t} - starts.keys())
+        seen: set[str] = set()
+        for t in lines:
+            for x in t:
+                seen.update(x[1:])
+        inner.learn(seen - inner.keys())
+        get = inner.__getitem__
+        out = [line_end.join([b"".join((starts[x[0]], *map(get, x[1:]))) for x in t]) for t in lines]
+        for i, ids in zip(odd, whole([texts[i] for i in odd]), strict=True):
+            out[i] = ids
+        starts.trim()
+        inner.trim()
         return out
 
     return encode
@@ -98,13 +138,13 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens, ids for rows in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.array([end_id], np.int32)
+        encode, end = encoder(tokenizer), np.array([end_id], "<i4").tobytes()
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
                 ids = encode(part.column(1).to_pylist())
-                offsets = np.cumsum([0, *[len(x) + 1 for x in ids]]).astype(np.int32)
-                flat = np.concatenate([y for x in ids for y in (x, end)]) if ids else np.empty(0, np.int32)
+                offsets = np.cumsum([0, *[len(x) // 4 + 1 for x in ids]]).astype(np.int32)
+                flat = np.frombuffer(b"".join(y for x in ids for y in (x, end)), "<i4")
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets), pa.int32()), lists], names=["doc_id", "n_tokens", "ids"])
 
