@@ -86,13 +86,16 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 128, his
     # places where windows start: the next one where the turns since the last start no longer fit
     room = f"({budget} - sys_tok - (p[element_at(s, -1)] - p[element_at(s, -1) - back[element_at(s, -1)]]))"
     starts = f"aggregate(sequence(n_old, size(t) - 1), array(n_old), (s, i) -> if(i > element_at(s, -1) AND p[i + 1] - p[element_at(s, -1)] > {room}, concat(s, array(i)), s))"
-    wins = groups.selectExpr("*", f"{starts} AS s").selectExpr("conv_id", "episode", "sys", "t", "p", "back", "s", "posexplode(s) AS (window, lo)")
-    wins = wins.selectExpr("*", "coalesce(get(s, window + 1), size(t)) AS hi", "greatest(lo - back[lo], 0) AS h")
+    # each window takes its own slice of the turns before rows are made of windows, so rows stay small
+    hi = "coalesce(get(s, w + 1), size(t))"
+    cut = f"transform(s, (lo, w) -> named_struct('window', w, 'n_new', {hi} - lo, 'h', back[lo], 'x', slice(t, lo - back[lo] + 1, {hi} - lo + back[lo])))"
+    wins = groups.selectExpr("*", f"{starts} AS s").selectExpr("conv_id", "episode", "sys", f"explode({cut}) AS w")
+    wins = wins.selectExpr("conv_id", "episode", "w.window AS window", "w.n_new AS n_new", "w.h AS h", "w.x AS x", "sys")
     # the system turn is not repeated where the window holds it anyway
-    held = "if(size(sys) > 0 AND NOT exists(slice(t, h + 1, hi - h), x -> x = get(sys, 0)), sys, filter(sys, x -> false))"
-    parts = f"concat(transform({held}, x -> named_struct('k', 's', 't', x)), transform(slice(t, h + 1, lo - h), x -> named_struct('k', 'h', 't', x)), transform(slice(t, lo + 1, hi - lo), x -> named_struct('k', 'n', 't', x)))"
+    held = "if(size(sys) > 0 AND NOT exists(x, y -> y = get(sys, 0)), sys, filter(sys, y -> false))"
+    parts = f"concat(transform({held}, y -> named_struct('k', 's', 't', y)), transform(x, (y, i) -> named_struct('k', if(i < h, 'h', 'n'), 't', y)))"
     head = f"concat('<turn ', x.k, '>', {escape_role('x.t.role')}, '\\n')"
-    wins = wins.selectExpr("conv_id", "episode", "window", "hi - lo AS n_new", f"transform({parts}, x -> named_struct('head', {head}, 'body', {escape('x.t.text')}, 'target', x.k = 'n' AND x.t.role = 'assistant', 'tok', x.t.tok)) AS parts")
+    wins = wins.selectExpr("conv_id", "episode", "window", "n_new", f"transform({parts}, x -> named_struct('head', {head}, 'body', {escape('x.t.text')}, 'target', x.k = 'n' AND x.t.role = 'assistant', 'tok', x.t.tok)) AS parts")
     place = (
         "aggregate(parts, named_struct('at', 0L, 'loss', cast(array() AS array<struct<start:bigint,length:bigint>>)), (a, x) -> named_struct("
         "'at', a.at + length(x.head) + length(x.body) + 8, "
