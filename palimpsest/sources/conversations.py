@@ -45,6 +45,10 @@ def found(text: Column, rx: str, most: int) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(1)), F.trim), lambda x: (x != "") & (F.octet_length(x) < most))
 
 
+def _with(sentiment: str):
+    return lambda x: F.struct(x.alias("subject"), F.lit(sentiment).alias("sentiment"))
+
+
 def graph(s: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of sessions: node_id, kind, label, text, file_path; src_id, dst_id, edge_type."""
     topic = node_id(F.concat(F.lit("session:"), F.col("session_id")))
@@ -57,7 +61,7 @@ def graph(s: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = s.withColumn("prior", F.lag("topic").over(W.partitionBy("file_path").orderBy("session_at"))).where("prior is not null")
     edges = edge(m, "topic", "message", "contain").unionByName(edge(before, "prior", "topic", "followed_by"))
     own = m.where("role = 'user'")
-    likes = F.concat(*[F.transform(found(F.col("text"), rx, 100), lambda x, s=s_: F.struct(x.alias("subject"), F.lit(s).alias("sentiment"))) for rx, s_ in PREFERENCES])
+    likes = F.concat(*[F.transform(found(F.col("text"), rx, 100), _with(s_)) for rx, s_ in PREFERENCES])
     prefs = own.select("session_id", "at", "file_path", "message", "text", F.explode(likes).alias("x")).select("*", node_id(F.concat_ws(":", F.lit("pref"), "session_id", F.col("at").cast("string"), "x.subject")).alias("id")).dropDuplicates(["id"])
     nodes = nodes.unionByName(prefs.select(F.col("id").alias("node_id"), F.lit("preference").alias("kind"), F.concat_ws(": ", "x.sentiment", "x.subject").alias("label"), "text", "file_path"))
     edges = edges.unionByName(edge(prefs, "message", "id", "prefers"))
