@@ -159,6 +159,11 @@ def mined(rows: DataFrame) -> list[str]:
     return [r.term for r in c.orderBy(F.desc("sure"), "term").limit(VOTERS).collect()]
 
 
+def blocks(n: int, size: int = 4096) -> list[slice]:
+    """Slices of n rows, so that temporaries stay small beside the driver's heap."""
+    return [slice(k, k + size) for k in range(0, max(n, 1), size)]
+
+
 @dataclass
 class LabelModel:
     prior: float
@@ -169,7 +174,7 @@ class LabelModel:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         on = np.log(self.rates[:, 1] / self.rates[:, 0])
         off = np.log((1 - self.rates[:, 1]) / (1 - self.rates[:, 0]))
-        log = np.log(self.prior / (1 - self.prior)) + (votes * on + (1 - votes) * off) @ self.weights
+        log = np.log(self.prior / (1 - self.prior)) + off @ self.weights + np.concatenate([votes[k] @ ((on - off) * self.weights) for k in blocks(len(votes))])
         return 1 / (1 + np.exp(-np.clip(log, -40, 40)))
 
 
@@ -181,17 +186,18 @@ def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 15) -> LabelMode
     """
     known = y >= 0
     q = np.where(known, y, y[known].mean()).astype(float)
-    first = True
     model = None
-    for _ in range(rounds):
-        w = known.astype(float) if first else np.ones(len(y))
-        first = False
+    for turn in range(rounds):
+        w = known.astype(float) if turn == 0 else np.ones(len(y))
         n1, n0 = (w * q).sum(), (w * (1 - q)).sum()
-        rates = np.stack([((w * (1 - q)) @ votes + 0.2) / (n0 + 20), ((w * q) @ votes + 0.5) / (n1 + 2)], 1)
-        rates = np.clip(rates, 1e-5, 1 - 1e-5)
+        fired = sum(np.stack([(w[k] * (1 - q[k])) @ votes[k], (w[k] * q[k]) @ votes[k]], 1) for k in blocks(len(y)))
+        rates = np.clip((fired + [0.2, 0.5]) / [n0 + 20, n1 + 2], 1e-5, 1 - 1e-5)
         # correlations between voters once the class is known
-        left = votes - (q[:, None] * rates[:, 1] + (1 - q)[:, None] * rates[:, 0])
-        cov = (left * w[:, None]).T @ left / w.sum()
+        cov = np.zeros((votes.shape[1], votes.shape[1]))
+        for k in blocks(len(y)):
+            left = votes[k] - (q[k, None] * rates[:, 1] + (1 - q[k, None]) * rates[:, 0])
+            cov += (left * w[k, None]).T @ left
+        cov /= w.sum()
         sd = np.sqrt(np.diag(cov)) + 1e-9
         corr = cov / np.outer(sd, sd)
         np.fill_diagonal(corr, 0)
@@ -218,15 +224,21 @@ class Linear:
 
 def train(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> Linear:
     """Logistic regression on soft labels p by Newton steps."""
-    logs = np.log1p(x)
-    shift, scale = logs.mean(0), logs.std(0)
+    n, sums, squares = len(x), 0.0, 0.0
+    for k in blocks(n):
+        logs = np.log1p(x[k].astype(float))
+        sums, squares = sums + logs.sum(0), squares + (logs**2).sum(0)
+    shift = sums / n
+    scale = np.sqrt(np.maximum(squares / n - shift**2, 0))
     scale[scale < 1e-6] = 1
-    z = np.hstack([np.ones((len(x), 1)), (logs - shift) / scale])
-    w = np.zeros(z.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
-        m = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (m - p) + ridge * np.r_[0, w[1:]]
-        hess = (z * (m * (1 - m))[:, None]).T @ z + ridge * np.eye(len(w))
+        grad, hess = ridge * np.r_[0, w[1:]], ridge * np.eye(len(w))
+        for k in blocks(n):
+            z = np.hstack([np.ones((len(x[k]), 1)), (np.log1p(x[k].astype(float)) - shift) / scale])
+            m = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            grad = grad + z.T @ (m - p[k])
+            hess = hess + (z * (m * (1 - m))[:, None]).T @ z
         step = np.linalg.solve(hess, grad)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
@@ -244,7 +256,7 @@ def collected(rows: DataFrame, finder: Finder) -> tuple[np.ndarray, np.ndarray]:
 
     got = rows.select("text", F.col("y").cast("int").alias("y")).mapInArrow(run, "x array<float>, y int").toArrow().combine_chunks()
     x = got.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    return x.astype(float), got.column(1).to_numpy()
+    return x, got.column(1).to_numpy()
 
 
 @dataclass
@@ -255,7 +267,7 @@ class Model:
 
 
 def votes_of(x: np.ndarray) -> np.ndarray:
-    return (x[:, : x.shape[1] - 2] > 0).astype(float)
+    return x[:, : x.shape[1] - 2] > 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
