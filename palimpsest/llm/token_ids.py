@@ -21,7 +21,7 @@ from __future__ import annotations
 import sys
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ WRITER = {
     "parquet.page.row.count.limit": "2000",
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#n_tokens": "false",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 
@@ -107,24 +107,26 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     whole, starts, inner = kept[path]
     (line_end,) = whole(["\n"])
 
+    def even(t: str) -> bool:
+        """Whether t is words with one space or line feed between two of them, and no other white space."""
+        if t.isascii():
+            return bool(t) and not (t[0] in " \n" or t[-1] in " \n" or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or any(c in t for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"))
+        words, gaps = t.split(), t.count(" ") + t.count("\n")
+        return len(words) == gaps + 1 and sum(map(len, words)) + gaps == len(t)
+
     def encode(texts: list[str]) -> list[bytes]:
-        odd, lines = [], []
-        for i, t in enumerate(texts):
-            # even: words with one space or line feed between two of them, and no other white space
-            words, gaps = t.split(), t.count(" ") + t.count("\n")
-            if len(words) == gaps + 1 and sum(map(len, words)) + gaps == len(t):
-                lines.append([x.split(" ") for x in t.split("\n")])
-            else:
-                odd.append(i)
-                lines.append([])
-        starts.learn({x[0] for t in lines for x in t} - starts.keys())
-        seen: set[str] = set()
+        odd = [i for i, t in enumerate(texts) if not even(t)]
+        left = set(odd)
+        # of each line its first word and the list of the others
+        lines = [[] if i in left else [(x[0], x[1:]) for x in (y.split(" ") for y in t.split("\n"))] for i, t in enumerate(texts)]
+        starts.learn({x for t in lines for x, _ in t} - starts.keys())
+        new: set[str] = set()
         for t in lines:
-            for x in t:
-                seen.update(x[1:])
-        inner.learn(seen - inner.keys())
+            for _, rest in t:
+                new.update(filterfalse(inner.__contains__, rest))
+        inner.learn(new)
         get = inner.__getitem__
-        out = [line_end.join([b"".join((starts[x[0]], *map(get, x[1:]))) for x in t]) for t in lines]
+        out = [line_end.join([starts[x] + b"".join(map(get, rest)) for x, rest in t]) for t in lines]
         for i, ids in zip(odd, whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         starts.trim()
