@@ -4,9 +4,11 @@ Each text is measured in one pass over its own arrays, without exploding words.
 documents that are short or mostly repeat themselves. For the others the cutoffs adapt: KLL
 quantile sketches of four ratios are built per language and source and kept as a table of
 mergeable sketches; groups with fewer than MIN_GROUP documents use the merged sketch of their
-language, or of all. A document passes if every ratio is inside fences set REACH interquartile
-ranges beyond the quartiles (and never tighter than a floor below which a ratio says nothing),
-so a group in which nothing is odd loses nothing. The cutoffs are joined to the documents.
+language, or of all. A document passes if every ratio is inside fences set REACH spreads beyond
+an upper quantile and its mirror image. The spread is the distance of the two; it is at least LEAST_SHARE
+of that of the language and of all, so a group of equal documents has one too, and for word lengths at least
+LEAST_PART of the language's median. Only where a ratio's quantiles are zero in all of these does
+a constant stand in for the fence. The cutoffs are joined to the documents.
 
 Defined cases: a null text has no words and fails the fixed rules; null language or source is a
 group; an empty table gives no rows; repeated rows count as rows and get equal verdicts.
@@ -22,15 +24,16 @@ from .common import no_space, null_safe, stored, table, words
 
 MIN_GROUP = 30
 REACH = 4.0
-#: Ratio name: (expression over the measures, floor of the upper fence, whether low values fail too).
+LEAST_SHARE = 0.5
+LEAST_PART = {"word_len": 0.05}
+#: Ratio name: (expression over the measures, upper quantile, least upper fence, whether low values fail too). Most documents
+#: have no repeats, and good ones have some; junk by symbols is too common for a quantile near 1.
 RATIOS = {
-    "word_len": ("word_chars / n_words", 8.0, True),
-    "symbols": ("n_symbols / n_words", 0.10, False),
-    "dup_lines": ("n_dup_lines / n_words", 0.02, False),
-    "repeats": ("n_repeat_words / n_words", 0.35, False),
+    "word_len": ("word_chars / n_words", 0.75, 0.0, True),
+    "symbols": ("n_symbols / n_words", 0.75, 0.02, False),
+    "dup_lines": ("n_dup_lines / n_words", 0.98, 0.005, False),
+    "repeats": ("n_repeat_words / n_words", 0.98, 0.05, False),
 }
-#: The lower fence of a two-sided ratio is never above this.
-LOW_CEILING = {"word_len": 2.5}
 
 
 def repeat_words(w: Column) -> Column:
@@ -75,7 +78,7 @@ def measured(docs: DataFrame) -> DataFrame:
 def sketches(rows: DataFrame) -> DataFrame:
     """Mergeable state: per language and source, the number of documents and a sketch of each ratio."""
     rows = rows.where("not base_failed")
-    return rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.expr(e), 800).alias(k) for k, (e, _, _) in RATIOS.items()])
+    return rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.expr(e), 800).alias(k) for k, (e, *_) in RATIOS.items()])
 
 
 def merged(states: DataFrame, *by: str) -> DataFrame:
@@ -89,20 +92,23 @@ def cutoffs(states: DataFrame) -> DataFrame:
     rows = null_safe(states, langs.select(F.col("lang").alias("lang2"), *[F.col(k).alias(f"{k}_2") for k in names]), [("lang", "lang2")])
     rows = rows.withColumn("one", F.lit(1)).join(every.select(F.lit(1).alias("one"), *[F.col(k).alias(f"{k}_3") for k in names]), "one")
     pick = lambda k: F.when(F.col("n") >= MIN_GROUP, F.col(k)).when(F.col("n_2") >= MIN_GROUP, F.col(f"{k}_2")).otherwise(F.col(f"{k}_3"))
-    out = rows.select("lang", "source", *[pick(k).alias(k) for k in RATIOS])
+    wide = lambda k: F.when(F.col("n_2") >= MIN_GROUP, F.col(f"{k}_2")).otherwise(F.col(f"{k}_3"))
+    out = rows.select("lang", "source", *[x for k in RATIOS for x in (pick(k).alias(k), wide(k).alias(f"{k}_2"), F.col(f"{k}_3"))])
+    at = lambda k, q: F.kll_sketch_get_quantile_double(k, F.lit(q))
     fences = []
-    for k, (_, floor, low) in RATIOS.items():
-        q1, q3 = (F.kll_sketch_get_quantile_double(k, F.lit(q)) for q in (0.25, 0.75))
-        fences.append(F.greatest(q3 + REACH * (q3 - q1), F.lit(floor)).alias(f"{k}_max"))
+    for k, (_, high, least, low) in RATIOS.items():
+        own, lang, every = (at(x, high) - at(x, 1 - high) for x in (k, f"{k}_2", f"{k}_3"))
+        spread = F.greatest(own, LEAST_SHARE * lang, LEAST_SHARE * every, LEAST_PART.get(k, 0.0) * at(f"{k}_2", 0.5))
+        fences.append(F.greatest(at(k, high) + REACH * spread, F.lit(least)).alias(f"{k}_max"))
         if low:
-            fences.append(F.least(q1 - REACH * (q3 - q1), F.lit(LOW_CEILING[k])).alias(f"{k}_min"))
+            fences.append((at(k, 1 - high) - REACH * spread).alias(f"{k}_min"))
     return out.select(F.col("lang").alias("lang_c"), F.col("source").alias("source_c"), *fences)
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """rows with kept: the fixed rules, then the joined cutoffs."""
     inside = F.lit(True)
-    for k, (e, _, low) in RATIOS.items():
+    for k, (e, _, _, low) in RATIOS.items():
         inside = inside & (F.expr(e) <= F.col(f"{k}_max"))
         if low:
             inside = inside & (F.expr(e) >= F.col(f"{k}_min"))

@@ -173,6 +173,15 @@ def test_quality_verdicts(spark):
     assert quality_rules.quality_filter(docs(spark, []).limit(0)).count() == 0
 
 
+def test_quality_cutoffs_follow_the_group(spark):
+    """The same long words fail in a group where all words are alike and pass in one where they differ."""
+    text = lambda mean: " ".join(f"{j:0{int(mean) + (j % 100 < 100 * (mean % 1))}d}" for j in range(200))
+    rows = [(i, text(5), "tight") for i in range(60)] + [(100 + i, text(4 + i / 15), "wide") for i in range(60)]
+    rows += [(300, text(7.5), "tight"), (301, text(7.5), "wide")]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_filter(docs(spark, rows)).collect()}
+    assert [i for i, kept in got.items() if not kept] == [300]
+
+
 def test_oracles(spark, sf):
     """The queries with SQL agree with it."""
     duckdb = pytest.importorskip("duckdb")
