@@ -184,9 +184,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id has no overlap with an item."""
-    bad = stored(overlaps(docs, benchmark).select(F.col("doc_id").alias("__dc_id")).distinct(), "decon-bad")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__dc_id")), "left_anti")
+    """The rows of docs whose text has no overlap with an item; a row is known by a hash of its doc_id and text."""
+    key = F.xxhash64("doc_id", "text")
+    bad = stored(overlaps(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__dc_id")).distinct(), "decon-bad")
+    return docs.join(bad, key == F.col("__dc_id"), "left_anti")
 
 
 def op10_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

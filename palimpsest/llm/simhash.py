@@ -16,7 +16,8 @@ to the shared folder each round; nothing about single documents reaches the driv
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of one
 or two words hash as one shingle; equal rows share a component; a null doc_id is not a name for
-a component unless it has no other; an empty table gives no rows.
+a component unless it has no other; an empty table gives no rows. dedupe tells rows apart by doc_id and
+a hash of the text, so null or repeated ids cost no component its document.
 """
 
 from __future__ import annotations
@@ -63,13 +64,13 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x.as_py()) for x in b.column(1)], pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x.as_py()) for x in b.column(1)], pa.int64()), b.column(2)], names=["doc_id", "fp", "text_hash"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp for every row. bytes.lower() maps A-Z only and bytes.split() splits at U+0020, U+0009 to U+000D."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, fp, text_hash for every row. bytes.lower() maps A-Z only and bytes.split() splits at U+0020, U+0009 to U+000D."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
 
 
 def block_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
@@ -127,27 +128,33 @@ def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the component) for every row."""
+def rooted(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, text_hash, root (a fingerprint of the component), component_id (its smallest doc_id) for every row."""
     rows = stored(fingerprints(docs), "simhash-fps")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = components(links(distinct.select("fp")))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     owner = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = stored(named.select("fp", "root").join(owner, "root").select(F.col("fp").alias("fp1"), "component_id"), "simhash-components")
-    return rows.join(by_fp, rows.fp == by_fp.fp1).select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_fp = stored(named.select("fp", "root").join(owner, "root").select(F.col("fp").alias("fp1"), "root", "component_id"), "simhash-components")
+    return rows.join(by_fp, rows.fp == by_fp.fp1).select("doc_id", "fp", "text_hash", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id of the component) for every row."""
+    return rooted(docs).select("doc_id", "fp", "component_id")
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """The rows of docs with one document of each component: its smallest doc_id, and of rows equal in that one row.
 
-    Only ids are shuffled but for the join that keeps the chosen documents.
+    Only ids and hashes are shuffled but for the join that keeps the chosen documents.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
-    kept = near_duplicates(docs).groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select(key.alias("__sd_key")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("x")
+    kept = rooted(docs).groupBy("root").agg(first).select("x.doc_id", "x.text_hash").select(key.alias("__sd_key"), F.col("text_hash").alias("__sd_text"))
     kept = stored(kept, "simhash-kept")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__sd_row"), key.alias("__sd_key"))
-    return rows.join(kept, "__sd_key", "left_semi").dropDuplicates(["__sd_key"]).select("__sd_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__sd_row"), key.alias("__sd_key"), F.xxhash64("text").alias("__sd_text"))
+    return rows.join(kept, ["__sd_key", "__sd_text"], "left_semi").dropDuplicates(["__sd_key", "__sd_text"]).select("__sd_row.*")
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,25 @@ def test_repeated_and_null_ids(spark):
     assert sorted((x.doc_id or 0) for x in out) == [0, 1]
 
 
+def test_dedupe_keeps_a_row_of_each_component(spark):
+    r = random.Random(6)
+    texts = [prose(r, 80) for _ in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:]] + [(None, texts[0]), (7, texts[5]), (3, texts[6]), (None, texts[7])]
+    assert len({slow_fingerprint(t) for t in texts}) == 8
+    got = [(x.doc_id, x.text) for x in simhash.dedupe(docs(spark, rows)).collect()]
+    want = [*[(None, t) for t in texts[:4]], (7, texts[4]), (7, texts[5]), (3, texts[6]), (7, texts[7])]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_decontamination_by_row(spark):
+    r = random.Random(8)
+    item, clean = prose(r, 30), [prose(r, 60) for _ in range(4)]
+    rows = [(None, clean[0]), (None, f"{clean[1]} {item}"), (None, clean[1]), (5, clean[2]), (5, item), (6, clean[3])]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = [(x.doc_id, x.text) for x in decontaminate.decontaminate(docs(spark, rows), bench).collect()]
+    assert sorted(got, key=str) == sorted([(i, t) for i, t in rows if item not in t], key=str)
+
+
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 ODD = ["", "a  b", " a", "a ", "a\n", "\na", "a\n\nb", "it's\nI'll don't", "x y z", "a \n b", "<|endoftext|> b<|endoftext|>", "tab\tx", "a\0b c", "日本 語\n12 34", "a\r\nb", "!! ??\n  x", "a. b.c, d... 'e' f's g' é! 1. x9?", "\x1c a", "á. b"]
