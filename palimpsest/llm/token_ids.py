@@ -9,7 +9,8 @@ through Spark's own writer and reader: any file system works, and a lost task is
 
 Encoding is that of the tokenizers library. Its pretokens never cross a single space or line
 feed between two other characters, so a text is cut there and each word is encoded once per
-worker and kept in a bounded cache; a text with other white space is encoded whole.
+worker and kept in a bounded cache; a text with other white space or with the string of a special
+token is encoded whole.
 
 Defined cases: null text is empty and has the end id alone; null doc_id comes first; rows with
 equal doc_id stand together, in order of text; an empty table gives no rows. Extra columns of
@@ -18,10 +19,10 @@ the input are not written.
 
 from __future__ import annotations
 
+import struct
 import sys
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, table
 
-#: Words kept per worker and place. It bounds memory only: a word that isn't kept is encoded again.
+#: Words kept per worker. It bounds memory only: a word that isn't kept is encoded again.
 CACHE = 800_000
+#: The letters that byte-level vocabularies write bytes as: printable ones as themselves, the others from U+0100 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WRITER = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -45,93 +49,87 @@ WRITER = {
 }
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 class Pieces(dict):
-    """Ids, as bytes, of words that follow `before` (a space, or nothing at a line's start).
+    """Ids, as bytes, of words that follow `before` (a space, or nothing at a line's start), made when first asked for.
 
-    A word's closing signs are pretokens of their own after a letter, so a word seen with one
-    sign costs no call when it comes with another. At most CACHE words stay; the oldest go first.
+    A word of letters is one pretoken, so the library's model takes it as it is; its closing signs are a
+    pretoken of their own, so a word seen with one sign is known with another. Any other word goes through the whole library.
+    Words live in two generations: when the younger has `most` words it becomes the older and the one before that goes,
+    so words in use stay and memory is bounded.
     """
 
-    def __init__(self, before: str, apart: Callable[[list[str]], list[bytes]]) -> None:
+    def __init__(self, before: str, tok, most: int) -> None:
         super().__init__()
-        self.before, self.apart, self.signs = before, apart, {}
-
-    def learn(self, words: set[str]) -> None:
-        """Has all of words ready."""
-        cut = {w: b for w in words if (b := w.rstrip(SIGNS)) and b != w and b[-1].isalpha()}
-        plain = [w for w in {*(w for w in words if w not in cut), *cut.values()} if w not in self]
-        self.update(zip(plain, self.apart([self.before + w for w in plain]), strict=True))
-        tails = list({w[len(b) :] for w, b in cut.items()} - self.signs.keys())
-        self.signs.update(zip(tails, self.apart(tails), strict=True))
-        for w, b in cut.items():
-            self[w] = self[b] + self.signs[w[len(b) :]]
-
-    def trim(self) -> None:
-        if len(self) > CACHE:
-            for w in list(islice(self, len(self) - CACHE * 3 // 4)):
-                del self[w]
-        if len(self.signs) > CACHE // 8:
-            self.signs.clear()
-
-
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to their ids as little-endian 32-bit bytes, with one tokenizer and cache per process."""
+        self.before, self.most, self.older, self.signs = before, most, {}, {}
+        self.model, self.whole = tok.model.tokenize, lambda x: tok.encode(x, add_special_tokens=False).ids
+        self.head = before.replace(" ", "\u0120")
+
+    def __missing__(self, w: str) -> bytes:
+        found = self.older.get(w) or self.made(w)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[w] = found
+        return found
+
+    def made(self, w: str) -> bytes:
+        if w.isalpha() and max(w) < "\u0250":
+            # the model's own alphabet has a letter per byte
+            x = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS)
+            return packed([t.id for t in self.model(self.head + x)])
+        word = w.rstrip(SIGNS)
+        if word and word != w and word[-1].isalpha():
+            return self[word] + self.sign(w[len(word) :])
+        return packed(self.whole(self.before + w))
+
+    def sign(self, x: str) -> bytes:
+        found = self.signs.get(x)
+        if found is None:
+            found = packed(self.whole(x))
+            if len(self.signs) < self.most // 8:
+                self.signs[x] = found
+        return found
+
+
+def encoder(path: str, plain_marks: bool = False) -> Callable[[list[str]], list[bytes]]:
+    """Texts to their ids as little-endian 32-bit bytes, with one tokenizer and cache per process.
+
+    A special token's string in a text becomes that token, as the library has it; with plain_marks it is text.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tokenizers
 
     kept = sys.modules["tokenizers"].__dict__.setdefault("_palimpsest_encoders", {})
-    if path not in kept:
+    if (path, plain_marks) not in kept:
         tok = tokenizers.Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-
-        encode_batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
-
-        def whole(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<i4").tobytes() for e in encode_batch(texts, add_special_tokens=False)] if texts else []
-
-        (feed,) = encode_batch(["\n"], add_special_tokens=False)[0].ids
-
-        def apart(words: list[str]) -> list[bytes]:
-            """Each word's ids, by one call for many words with a line feed, which no word holds, between them."""
-            out = []
-            for k in range(0, len(words), 4096):
-                ids = np.array(encode_batch(["\n".join(words[k : k + 4096])], add_special_tokens=False)[0].ids, "<i4")
-                ends = (np.flatnonzero(ids == feed) * 4).tolist()
-                raw = ids.tobytes()
-                out += [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True)]
-            return out
-
-        kept[path] = (whole, Pieces("", apart), Pieces(" ", apart))
-    whole, starts, inner = kept[path]
-    (line_end,) = whole(["\n"])
+        tok.encode_special_tokens = plain_marks
+        marks = [] if plain_marks else [t.content for t in tok.get_added_tokens_decoder().values()]
+        kept[path, plain_marks] = (tok, marks, Pieces("", tok, CACHE // 16), Pieces(" ", tok, CACHE // 2))
+    tok, marks, starts, inner = kept[path, plain_marks]
+    line_end = packed(tok.encode("\n", add_special_tokens=False).ids)
+    get = inner.__getitem__
 
     def even(t: str) -> bool:
-        """Whether t is words with one space or line feed between two of them, and no other white space."""
+        """Whether t is words with one space or line feed between two of them, no other white space and no special token."""
+        if any(m in t for m in marks):
+            return False
         if t.isascii():
             return bool(t) and not (t[0] in " \n" or t[-1] in " \n" or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or any(c in t for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"))
         words, gaps = t.split(), t.count(" ") + t.count("\n")
         return len(words) == gaps + 1 and sum(map(len, words)) + gaps == len(t)
 
+    def line(x: str) -> bytes:
+        first, *rest = x.split(" ")
+        return starts[first] + b"".join(map(get, rest))
+
     def encode(texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if not even(t)]
-        left = set(odd)
-        # of each line its first word and the list of the others
-        lines = [[] if i in left else [(x[0], x[1:]) for x in (y.split(" ") for y in t.split("\n"))] for i, t in enumerate(texts)]
-        starts.learn({x for t in lines for x, _ in t} - starts.keys())
-        new: set[str] = set()
-        for t in lines:
-            for _, rest in t:
-                new.update(filterfalse(inner.__contains__, rest))
-        inner.learn(new)
-        get = inner.__getitem__
-        out = [line_end.join([starts[x] + b"".join(map(get, rest)) for x, rest in t]) for t in lines]
-        for i, ids in zip(odd, whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        starts.trim()
-        inner.trim()
-        return out
+        return [line_end.join(map(line, t.split("\n"))) if even(t) else packed(tok.encode(t, add_special_tokens=False).ids) for t in texts]
 
     return encode
 

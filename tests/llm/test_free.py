@@ -107,7 +107,7 @@ def test_decontamination_by_row(spark):
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
-ODD = ["", "a  b", " a", "a ", "a\n", "\na", "a\n\nb", "it's\nI'll don't", "x y z", "a \n b", "<|endoftext|> b<|endoftext|>", "tab\tx", "a\0b c", "日本 語\n12 34", "a\r\nb", "!! ??\n  x", "a. b.c, d... 'e' f's g' é! 1. x9?", "\x1c a", "á. b"]
+ODD = ["", "a <|endoftext|> b", "x<|endoftext|>", "ﬁne ɐb Ǆ ªº µ ß", "naïve Ünï élan", "it's'", "a-b", "a.b", "x2 2x", "³ x²", "a\u00a0b", "a\u00adb", "a\u0085b", "e\u0301 a", "a  b", " a", "a ", "a\n", "\na", "a\n\nb", "it's\nI'll don't", "x y z", "a \n b", "<|endoftext|> b<|endoftext|>", "tab\tx", "a\0b c", "日本 語\n12 34", "a\r\nb", "!! ??\n  x", "a. b.c, d... 'e' f's g' é! 1. x9?", "\x1c a", "á. b"]
 
 
 def test_token_files(spark, tmp_path):
@@ -117,7 +117,6 @@ def test_token_files(spark, tmp_path):
     name = public.path("byte_bpe_50k.json")
     token_ids.write_tokens(docs(spark, rows), path, name)
     tok = tokenizers.Tokenizer.from_file(name)
-    tok.encode_special_tokens = True
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
     assert {x.doc_id: x.ids for x in token_ids.read_tokens(spark, path).collect()} == ids
     start, want = 0, {}
@@ -134,10 +133,14 @@ def test_token_cache_eviction(monkeypatch):
     name = public.path("byte_bpe_50k.json")
     tok = tokenizers.Tokenizer.from_file(name)
     r = random.Random(2)
-    encode = token_ids.encoder(name)
+    tokenizers.__dict__.get("_palimpsest_encoders", {}).clear()
+    encode, plain = token_ids.encoder(name), token_ids.encoder(name, plain_marks=True)
     for _ in range(5):
-        texts = [prose(r, 40) for _ in range(10)]
+        texts = [prose(r, 40) + r.choice([".", "!?", ""]) for _ in range(10)] + ODD
         assert [np.frombuffer(x, "<i4").tolist() for x in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    tok.encode_special_tokens = True
+    assert [np.frombuffer(x, "<i4").tolist() for x in plain(ODD)] == [tok.encode(t, add_special_tokens=False).ids for t in ODD]
+    tokenizers.__dict__["_palimpsest_encoders"].clear()
 
 
 def test_masks_are_lossless():
