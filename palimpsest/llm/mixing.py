@@ -1,20 +1,23 @@
 """Mixing sources to target weights by Pareto order sampling [native].
 
-A source's target, in words, is its part of the mix. Where the target exceeds the source,
-each document first gets its certain whole copies; the rest is a fixed-size sample: document i
-with inclusion probability p_i and a uniform number u_i has the rank u_i (1 - p_i) : (1 - u_i) p_i,
-the random odds divided by the inclusion odds, and the lowest ranks are taken until their words
-fill what is left of the target. Large documents, each over 1 / LARGE of that, are sampled first,
-to the nearest of their expected words; the others fill the rest, so that one long document
-can't miss the target. Ranks follow from the id alone, so reruns agree.
-
-No source is ever sorted in one task: ranks are counted in 4096 bins per source, then in 4096
-finer ones inside the bin where the target falls, and only rows at that point are put in order.
-
-Defined cases: a null text has size 0 and is never a repeated copy; a null source is a source,
-last in order; documents of size 0 are taken whole copies only; rows with equal id and size tie
-and are taken together; no rows give no rows; a source without words has target 0. Columns of
-the input keep their names whatever they are: the operator's own start with __mix_.
+A source's target, in words, is its part of the mix. Every document has expected copies of its own:
+its importance (by default longer texts count for more) times a factor of its source, at most
+`most`, such that the words expected of the source are its target. The whole part of it is certain copies. What is
+left is the inclusion probability p of a fixed-size sample: with a uniform number u the document
+has the rank u (1 - p) : (1 - u) p, random odds divided by inclusion odds, and the lowest ranks are taken.
+
+The size of the sample is counted in words and sampled by octaves of document size, from the largest down. An octave takes the ranks
+whose words come nearest to what is expected of it and what the octaves above took too little or
+too much; so one long document can't miss the target, at any size of a source. u follows
+from id and text, so reruns agree.
+
+No source is ever sorted in one task. Bins of ranks give each octave a zone of words in which its cut must lie, whatever
+the octaves above leave, and only the rows in that zone, two documents or so, are put in order.
+
+Defined cases: a null text has size 0 and is taken as whole copies only; a null source is a source,
+last in order; rows with equal id and text share a rank and are taken together; null ids are told apart by
+text; importance that is null or not above 0 counts as the least; no rows give no rows; a source without words has
+target 0. Columns of the input keep their names whatever they are: the operator's own start with __mix_.
 """
 
 from __future__ import annotations
@@ -25,16 +28,25 @@ from pyspark.sql import functions as F
 
 from .common import null_safe, stored, table, word_count
 
-#: Rows after the cut that may fill the gap the cut leaves, by rank, where they fit.
-ZONE = 64
 BINS = 4096
-LARGE = 16
+#: Steps of importance: a factor's sums are kept per source and step.
+STEPS = 64
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in (0, 1) from 52 bits of an id's MD5; null ids share one."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
-    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(2**52))
+def uniform(key: Column, text: Column, seed: int) -> Column:
+    """A number in (0, 1) from 52 bits of the MD5 of seed, id and text."""
+    one = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return (F.conv(F.substring(F.md5(one), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(2**52))
+
+
+def length_steps(size: Column) -> Column:
+    """1 to STEPS: the default importance, half of the most at 256 words."""
+    return F.floor(F.lit(STEPS) * size / (size + 256)).cast("long") + 1
+
+
+def importance_steps(value: Column) -> Column:
+    """Importance of any scale as powers of 2 in steps of an eighth."""
+    return F.when(value > 0, F.pow(F.lit(2.0), F.floor(F.log2(value) * 8) / 8)).otherwise(F.lit(2.0**-60))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -62,164 +74,126 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return per.select("__mix_source", "source_size", target.alias("target"))
 
 
-def ranked(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """sizes with each row's certain copies (whole) and its rank (v, in (0, 1)) among the sampled."""
-    rows = null_safe(sizes, targets.withColumnRenamed("__mix_source", "__mix_s"), [("__mix_source", "__mix_s")]).drop("__mix_s")
-    factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = factor * F.coalesce(F.col("importance"), F.lit(1.0))
+def factors(sizes: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """s, source_size, target, factor: expected copies are the least of `most` and factor times importance (null: all are at `most`).
+
+    Sums by (source, importance) in falling order: the first importance below `most` when those above it are held at `most`.
+    """
+    per = sizes.groupBy("__mix_source", "w").agg(F.sum("size").alias("words"))
+    rows = null_safe(targets.withColumnRenamed("__mix_source", "s"), per, [("s", "__mix_source")]).drop("__mix_source")
+    order = W.partitionBy("s").orderBy(F.desc("w"))
+    held = F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    free = F.sum(F.col("w") * F.col("words")).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    rows = rows.withColumn("held", held).withColumn("free", free).withColumn("c", F.when(F.col("free") > 0, (F.col("target") - F.lit(float(most)) * F.col("held")) / F.col("free")))
+    own = F.when(F.col("c") * F.col("w") <= F.lit(float(most)), F.struct("w", "c"))
+    return rows.groupBy("s").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.max(own)["c"].alias("factor"))
+
+
+def ranked(sizes: DataFrame, factors_: DataFrame, most: float) -> DataFrame:
+    """sizes with certain copies (whole), inclusion probability (p), rank (v, in (0, 1)) and octave (k) of those that are sampled."""
+    rows = null_safe(sizes, factors_, [("__mix_source", "s")], "left").drop("s")
+    copies = F.when(F.col("factor").isNull(), F.when(F.col("source_size") > 0, F.lit(float(most))).otherwise(0.0)).otherwise(F.least(F.lit(float(most)), F.col("factor") * F.col("w")))
     rows = rows.withColumn("copies", copies).withColumn("whole", F.floor("copies").cast("long"))
     p, u = F.col("copies") - F.col("whole"), F.col("u")
     odds = u * (1 - p)
-    return rows.withColumn("v", odds / (odds + (1 - u) * p)).withColumn("sampled", (p > 0) & (F.col("size") > 0))
-
+    return rows.withColumn("p", p).withColumn("v", odds / (odds + (1 - u) * p)).withColumn("k", F.length(F.bin("size"))).withColumn("sampled", (F.col("p") > 0) & (F.col("size") > 0))
 
-def fine_bin() -> Column:
-    return F.floor(F.col("v") * F.lit(float(BINS * BINS))).cast("long")
 
+def octaves(rows: DataFrame) -> DataFrame:
+    """s, k, expected, margin: for each source and octave the words expected of the sample, and how far the octaves from this one up may miss theirs.
 
-def cuts(rows: DataFrame, name: str) -> DataFrame:
-    """From rows with the room of their source, a row per source that has more: at (rows in finer bins below are in), base (their words), room, cap, end.
-
-    Bins hold sums only; the first pass finds the bin of the cut, the second the finer bin in it.
-    """
-    rows = rows.withColumn("fine", fine_bin())
-    by = W.partitionBy("__mix_source").orderBy("bin")
-    upto, before = by.rowsBetween(W.unboundedPreceding, W.currentRow), by.rowsBetween(W.unboundedPreceding, -1)
-
-    def find(bins: DataFrame) -> DataFrame:
-        """From (source, bin, words, n, room, cap, base): the bin where room is exceeded, and the bin that ends its zone."""
-        sums = bins.withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)) + F.col("base")).withColumn("upto", F.sum("words").over(upto) + F.col("base")).withColumn("n_below", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        over = F.col("upto") > F.col("room")
-        every = W.partitionBy("__mix_source")
-        sums = sums.withColumn("cut", F.min(F.when(over, F.struct("bin", "n_below", "below"))).over(every)).where("cut is not null")
-        return sums.groupBy("__mix_source").agg(F.first("cut.bin").alias("at"), F.first("cut.below").alias("base"), F.first("room").alias("room"), F.first("cap").alias("cap"), F.max(F.when(F.col("n_below") < F.col("cut.n_below") + ZONE, F.col("bin"))).alias("end"))
-
-    sums = [F.sum("size").alias("words"), F.count("*").alias("n"), F.first("room").alias("room"), F.first("cap").alias("cap")]
-    first = rows.groupBy("__mix_source", F.floor(F.col("fine") / BINS).alias("bin")).agg(*sums).withColumn("base", F.lit(0).cast("long"))
-    coarse = stored(find(first), f"{name}-coarse").select(F.col("__mix_source").alias("s2"), "at", "end", "base")
-    near = null_safe(rows, coarse, [("__mix_source", "s2")]).drop("s2").where((F.floor(F.col("fine") / BINS) >= F.col("at")) & (F.floor(F.col("fine") / BINS) <= F.col("end")))
-    return find(near.groupBy("__mix_source", F.col("fine").alias("bin")).agg(*sums, F.first("base").alias("base")))
-
-
-def choose(rows: DataFrame, name: str, nearest: bool) -> DataFrame:
-    """s, at, chosen, used for each source of rows(__mix_source, __mix_id, size, v, room, cap).
-
-    In rank order rows are taken while they fit in room, or with nearest while half of them does and all in cap.
-    at: finer bins below are taken whole (null: all are); chosen: the (v, id, size) taken at and after it; used: words taken.
+    An octave misses by half a document at most, or by what is left for it beyond what it can give or take.
     """
-    cut = stored(cuts(rows, name), f"{name}-cuts").withColumnRenamed("__mix_source", "s3")
-    near = rows.drop("room", "cap").withColumn("fine", fine_bin())
-    zone = null_safe(near, cut, [("__mix_source", "s3")]).drop("s3").where("fine >= at and fine <= end")
-    zone = zone.groupBy("__mix_source", "v", "__mix_id", "size").agg(F.count("*").alias("n"), F.first("room").alias("room"), F.first("cap").alias("cap"), F.first("base").alias("base"), F.first("at").alias("at"))
-    zone = zone.withColumn("k", F.row_number().over(W.partitionBy("__mix_source").orderBy("v", F.col("__mix_id").asc_nulls_first(), "size"))).where(F.col("k") <= ZONE)
-    lists = zone.groupBy("__mix_source").agg(F.sort_array(F.collect_list(F.struct("k", "v", "__mix_id", "size", "n"))).alias("z"), *[F.first(c).alias(c) for c in ("room", "cap", "base", "at")])
-    start = F.struct(F.col("base").cast("long").alias("used"), F.expr("filter(z, x -> false)").alias("took"))
+    per = rows.where("sampled").groupBy(F.col("__mix_source").alias("s"), "k").agg((F.sum(F.floor(F.col("p") * F.col("size") * 1e6).cast("long")) / 1e6).alias("expected"), F.sum("size").alias("words"), F.max("size").alias("largest"))
+    per = per.withColumn("slack", F.least(F.col("expected"), F.col("words") - F.col("expected")))
+    down = W.partitionBy("s").orderBy(F.desc("k"))
+    above = F.coalesce(F.sum("slack").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    per = per.withColumn("given", above).withColumn("miss", F.max(F.col("largest") / 2 + F.col("given") + F.col("slack")).over(down.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("given") - F.col("slack"))
+    left = F.coalesce(F.lag("miss").over(down), F.lit(0.0))
+    return per.select("s", "k", "expected", (left + F.col("largest") + 1).alias("margin"))
 
-    def step(acc: Column, x: Column) -> Column:
-        words = x["size"] * x["n"]
-        fits = (acc["used"] + words / 2 <= F.col("room")) & (acc["used"] + words <= F.col("cap")) if nearest else acc["used"] + words <= F.col("room")
-        return F.when(fits, F.struct((acc["used"] + words).alias("used"), F.concat(acc["took"], F.array(x)).alias("took"))).otherwise(acc)
 
-    lists = lists.withColumn("f", F.aggregate("z", start, step))
-    chosen = F.transform(F.col("f.took"), lambda x: F.struct(x["v"].alias("v"), x["__mix_id"].alias("id"), x["size"].alias("size")))
-    cut_ones = lists.select(F.col("__mix_source").alias("s4"), "at", chosen.alias("chosen"), F.col("f.used").alias("cut_used"))
-    every = rows.groupBy("__mix_source").agg(F.sum("size").alias("all_words"))
-    return null_safe(every, cut_ones, [("__mix_source", "s4")], "left").select(F.col("__mix_source").alias("s"), "at", "chosen", F.coalesce("cut_used", "all_words").alias("used"))
+def zones(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """s, k, base, zone: the words before the zone of the octave's cut, and (v, words) of the rows in it in order of v.
 
-
-def is_large() -> Column:
-    return F.col("size") * LARGE > F.col("rest")
-
-
-def plan(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, name: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """(rows with ranks, a table of one row per source that decides every row of it).
-
-    sizes: __mix_source, __mix_id, size, u, importance. The table: source_size, target, rest (the target without
-    certain copies), and of large documents and of others what choose() gives.
+    Sums by coarse bin, then by fine bin inside the coarse ones that the zone touches, then rows inside its fine bins.
     """
-    targets = stored(source_targets(sizes, weights, share, most), f"{name}-targets")
-    rows = ranked(sizes, targets)
-    certain = rows.groupBy("__mix_source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("rest"))
-    certain = stored(certain.withColumnRenamed("__mix_source", "s0"), f"{name}-rest")
-    rest = null_safe(rows.where("sampled"), certain, [("__mix_source", "s0")]).drop("s0")
-    large = rest.where(is_large())
-    expected = stored(large.groupBy("__mix_source").agg(F.sum(F.col("size") * (F.col("copies") - F.col("whole"))).alias("room"), F.first("rest").alias("cap")).withColumnRenamed("__mix_source", "s1"), f"{name}-expected")
-    first = stored(choose(null_safe(large, expected, [("__mix_source", "s1")]).drop("s1"), f"{name}-large", True), f"{name}-first")
-    room = null_safe(certain, first.select("s", "used"), [("s0", "s")], "left").select(F.col("s0").alias("s1"), (F.col("rest") - F.coalesce("used", F.lit(0))).alias("room"), F.col("rest").alias("cap"))
-    room = stored(room, f"{name}-room")
-    second = choose(null_safe(rest.where(~is_large()), room, [("__mix_source", "s1")]).drop("s1"), f"{name}-others", False)
-    table_ = null_safe(targets, certain, [("__mix_source", "s0")]).drop("s0")
-    for prefix, part in (("large", first), ("other", second)):
-        part = part.select(F.col("s"), F.col("at").alias(f"{prefix}_at"), F.col("chosen").alias(f"{prefix}_chosen"))
-        table_ = null_safe(table_, part, [("__mix_source", "s")], "left").drop("s")
-    return rows, stored(table_, f"{name}-plan")
-
-
-def decided(sizes: DataFrame, table_: DataFrame) -> DataFrame:
-    """sizes with source_size, target, __mix_copies: what the plan's table says of each row."""
-    rows = ranked(sizes, table_)
-
-    def taken(prefix: str) -> Column:
-        below = F.col(f"{prefix}_at").isNull() | (fine_bin() < F.col(f"{prefix}_at"))
-        here = F.exists(F.col(f"{prefix}_chosen"), lambda x: (x["v"] == F.col("v")) & x["id"].eqNullSafe(F.col("__mix_id")) & (x["size"] == F.col("size")))
-        return below | F.coalesce(here, F.lit(False))
-
-    extra = F.col("sampled") & F.when(is_large(), taken("large")).otherwise(taken("other"))
-    return rows.withColumn("__mix_copies", F.col("whole") + F.when(extra, 1).otherwise(0))
-
-
-def sizes_of(docs: DataFrame, seed: int, importance: str | None) -> DataFrame:
-    return docs.select(
-        F.col("source").alias("__mix_source"),
-        F.col("doc_id").alias("__mix_id"),
-        word_count(F.col("text")).alias("size"),
-        uniform(F.col("doc_id"), seed).alias("u"),
-        (F.col(importance).cast("double") if importance else F.lit(1.0)).alias("importance"),
-    )
+
+    def narrowed(part: DataFrame, bin_: Column, base: str) -> DataFrame:
+        sums = part.groupBy("s", "k", bin_.alias("bin")).agg(F.sum("size").alias("words"), *[F.first(c).alias(c) for c in ("expected", "margin")], F.first(F.expr(base)).alias("base"))
+        by = W.partitionBy("s", "k").orderBy("bin")
+        sums = sums.withColumn("upto", F.col("base") + F.sum("words").over(by)).withColumn("below", F.col("upto") - F.col("words"))
+        inside = sums.where((F.col("upto") > F.col("expected") - F.col("margin")) & (F.col("below") < F.col("expected") + F.col("margin")))
+        return inside.groupBy("s", "k").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.min("below").alias("base"), F.first("expected").alias("expected"), F.first("margin").alias("margin"))
+
+    fine = F.floor(F.col("v") * F.lit(float(BINS * BINS))).cast("long")
+    rows = rows.where("sampled").select(F.col("__mix_source").alias("s1"), F.col("k").alias("k1"), "v", "size", fine.alias("fine"))
+    near = lambda cut: null_safe(rows, cut, [("s1", "s"), ("k1", "k")])
+    coarse = stored(narrowed(near(wanted), F.floor(F.col("fine") / BINS), "0L"), "mix-coarse")
+    at = F.floor(F.col("fine") / BINS)
+    exact = stored(narrowed(near(coarse).where((at >= F.col("lo")) & (at <= F.col("hi"))), F.col("fine"), "base"), "mix-fine")
+    held = near(exact).where("fine between lo and hi").groupBy("s", "k", "v").agg(F.sum("size").alias("words"), F.first("base").alias("base"), F.first("expected").alias("expected"))
+    return held.groupBy("s", "k").agg(F.first("base").cast("double").alias("base"), F.first("expected").alias("expected"), F.sort_array(F.collect_list(F.struct("v", "words"))).alias("zone"))
+
+
+def cuts(found: DataFrame) -> DataFrame:
+    """s2, k2, cut, at_cut: rows of the octave with v < cut are taken, and those with v = cut if at_cut. One fold per source, from the largest octave down."""
+    per = found.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("k", "base", "expected", "zone")), asc=False).alias("o"))
+    # open: no row has been passed over yet
+    first = "named_struct('used', x.base, 'cut', x.zone[0].v, 'at_cut', false, 'open', true)"
+    taken = "named_struct('used', r.used + z.words, 'cut', z.v, 'at_cut', true, 'open', true)"
+    closed = "named_struct('used', r.used, 'cut', r.cut, 'at_cut', r.at_cut, 'open', false)"
+    one = f"aggregate(x.zone, {first}, (r, z) -> if(r.open AND r.used + z.words / 2D <= a.left + x.expected, {taken}, {closed}))"
+    step = f"aggregate(array({one}), a, (b, r) -> named_struct('left', b.left + x.expected - r.used, 'cuts', concat(b.cuts, array(named_struct('k', x.k, 'cut', r.cut, 'at_cut', r.at_cut)))))"
+    start = "named_struct('left', 0D, 'cuts', cast(array() AS array<struct<k:int,cut:double,at_cut:boolean>>))"
+    return per.selectExpr("s", f"explode(aggregate(o, {start}, (a, x) -> {step}).cuts) AS c").selectExpr("s AS s2", "c.k AS k2", "c.cut", "c.at_cut")
+
+
+def plan(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """(a row per source: its target and factor; a row per source and octave: its cut) from sizes: __mix_source, size, u, w."""
+    targets = stored(source_targets(sizes, weights, share, most), "mix-targets")
+    by_source = stored(factors(sizes, targets, most), "mix-factors")
+    rows = ranked(sizes, by_source, most)
+    wanted = stored(octaves(rows), "mix-octaves")
+    return by_source, stored(cuts(zones(rows, wanted)), "mix-cuts")
+
+
+def decided(sizes: DataFrame, by_source: DataFrame, by_octave: DataFrame, most: float = 2.0) -> DataFrame:
+    """sizes with source_size, target, __mix_copies: what the plan says of each row."""
+    rows = null_safe(ranked(sizes, by_source, most), by_octave, [("__mix_source", "s2"), ("k", "k2")], "left")
+    extra = F.col("sampled") & ((F.col("v") < F.col("cut")) | ((F.col("v") == F.col("cut")) & F.col("at_cut")))
+    return rows.withColumn("__mix_copies", F.col("whole") + F.when(extra, 1).otherwise(0)).drop("s2", "k2")
+
+
+def measured(docs: DataFrame, seed: int, importance: str | None) -> list[Column]:
+    size = word_count(F.col("text"))
+    weight = importance_steps(F.col(f"`{importance}`").cast("double")) if importance else length_steps(size)
+    return [F.col("source").alias("__mix_source"), F.col("doc_id").alias("__mix_id"), size.alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), weight.alias("w")]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, importance: str | None = None) -> DataFrame:
     """docs(doc_id, source, text, ...) as mixed: each row as often as the mix takes it.
 
-    importance: a column that multiplies the expected copies of a row, for unequal probabilities
-    inside a source; the sample's size in words stays the source's target.
+    importance: a column that the expected copies of a source's rows are proportional to, up to `most`, in place of their length's;
+    the words taken stay the source's target.
     """
-    small = stored(sizes_of(docs, seed, importance), "mix-sizes")
-    _, table_ = plan(small, weights, share, most)
+    by_source, by_octave = plan(stored(docs.select(*measured(docs, seed, importance)), "mix-sizes"), weights, share, most)
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row")
-    wide = docs.select(held, F.col("source").alias("__mix_source"), F.col("doc_id").alias("__mix_id"), word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), seed).alias("u"), (F.col(importance).cast("double") if importance else F.lit(1.0)).alias("importance"))
-    taken = decided(wide, table_).where("__mix_copies > 0")
+    taken = decided(docs.select(held, *measured(docs, seed, importance)), by_source, by_octave, most).where("__mix_copies > 0")
     return taken.select("__mix_row", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))).alias("__mix_copy")).select("__mix_row.*")
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = stored(sizes_of(table(spark, sf_dir, "documents"), 42, None), "mix-sizes")
-    _, table_ = plan(small)
-    return decided(small, table_).select(F.col("__mix_id").alias("doc_id"), "size", "source_size", "target", (F.col("__mix_copies") * F.col("size")).alias("taken"))
-
-
-def _choice(p: str, rows: str, fits: str) -> str:
-    """SQL of choose() over a table rows(source, doc_id, size, v, fine, room, cap): tables {p}_base (at) and {p}_took, and {p}_used."""
-    same = "IS NOT DISTINCT FROM"
-    return f"""
-{p}_sum AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY fine) AS upto FROM {rows}),
-{p}_cut AS (SELECT source, min(fine) AS at, first(room) AS room, first(cap) AS cap FROM {p}_sum WHERE upto > room GROUP BY source),
-{p}_base AS (SELECT c.*, coalesce((SELECT sum(size) FROM {rows} r WHERE r.source {same} c.source AND r.fine < c.at), 0)::BIGINT AS base FROM {p}_cut c),
-{p}_z0 AS (SELECT r.source, v, doc_id, size, count(*) AS n FROM {rows} r JOIN {p}_base b ON r.source {same} b.source WHERE r.fine >= b.at GROUP BY ALL),
-{p}_z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY v, doc_id NULLS FIRST, size) AS k FROM {p}_z0) WHERE k <= 64),
-{p}_f AS (
-  SELECT source, 0::BIGINT AS k, base AS used, false AS took FROM {p}_base
-  UNION ALL
-  SELECT f.source, z.k, CASE WHEN {fits} THEN f.used + z.size * z.n ELSE f.used END, {fits}
-  FROM {p}_f f JOIN {p}_z z ON z.source {same} f.source AND z.k = f.k + 1 JOIN {p}_base b ON b.source {same} f.source),
-{p}_took AS (SELECT z.* FROM {p}_f f JOIN {p}_z z ON z.source {same} f.source AND z.k = f.k WHERE f.took),
-{p}_used AS (SELECT r.source, coalesce((SELECT max(used) FROM {p}_f f WHERE f.source {same} r.source), sum(size)) AS used FROM {rows} r GROUP BY r.source)"""
+    docs = table(spark, sf_dir, "documents")
+    small = stored(docs.select(*measured(docs, 42, None)), "mix-sizes")
+    return decided(small, *plan(small)).select(F.col("__mix_id").alias("doc_id"), "size", "source_size", "target", (F.col("__mix_copies") * F.col("size")).alias("taken"))
 
 
-ORACLE = f"""
+#: The same by sorting every source: ranks in order, octave after octave.
+ORACLE = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ((('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+         ((('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS n FROM d GROUP BY source),
 s1 AS (SELECT *, [5.0, 2.0, 1.0][((n - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 2.0::DOUBLE AS lim FROM s0),
@@ -227,18 +201,25 @@ s2 AS (SELECT *, lim / w AS fl FROM s1),
 s3 AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(lim) OVER (ORDER BY fl, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY fl, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM s2),
 s4 AS (SELECT *, (SELECT arg_min(lvl, (fl, n)) FROM s3 WHERE fl > lvl) AS water FROM s3),
 s5 AS (SELECT source, source_size, CASE WHEN water IS NULL THEN lim ELSE least(lim, w * water) END AS target FROM s4),
-r0 AS (SELECT d.*, s5.source_size, s5.target, CASE WHEN s5.source_size > 0 THEN s5.target / s5.source_size ELSE 0.0 END AS copies FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
-r1 AS (SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS p FROM r0),
-r2 AS (SELECT *, (u * (1 - p)) / (u * (1 - p) + (1 - u) * p) AS v, p > 0 AND size > 0 AS sampled FROM r1),
-rest AS (SELECT source, first(target) - sum(whole * size) AS rest FROM r2 GROUP BY source),
-r3 AS (SELECT r2.*, rest.rest, size * 16 > rest.rest AS large, floor(v * 16777216.0)::BIGINT AS fine FROM r2 JOIN rest ON r2.source IS NOT DISTINCT FROM rest.source),
-big AS (SELECT *, sum(size * p) OVER (PARTITION BY source) AS room, rest AS cap FROM r3 WHERE sampled AND large),
-{_choice("big", "big", "f.used + z.size * z.n / 2 <= b.room AND f.used + z.size * z.n <= b.cap")},
-other AS (SELECT r3.*, rest - coalesce((SELECT used FROM big_used x WHERE x.source IS NOT DISTINCT FROM r3.source), 0) AS room, rest AS cap FROM r3 WHERE sampled AND NOT large),
-{_choice("other", "other", "f.used + z.size * z.n <= b.room")},
-took AS (SELECT * FROM big_took UNION ALL SELECT * FROM other_took)
-SELECT r.doc_id, r.size, r.source_size, r.target,
-       (r.size * (r.whole + CASE WHEN r.sampled AND (CASE WHEN r.large THEN g.at IS NULL OR r.fine < g.at ELSE o.at IS NULL OR r.fine < o.at END OR k.k IS NOT NULL) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM r3 r LEFT JOIN big_base g ON r.source IS NOT DISTINCT FROM g.source LEFT JOIN other_base o ON r.source IS NOT DISTINCT FROM o.source
-LEFT JOIN took k ON r.source IS NOT DISTINCT FROM k.source AND r.doc_id IS NOT DISTINCT FROM k.doc_id AND r.v = k.v AND r.size = k.size AND r.sampled
+r0 AS (SELECT d.*, 64 * size // (size + 256) + 1 AS w, s5.source_size, s5.target FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
+i0 AS (SELECT source, w, first(target) AS target, sum(size)::BIGINT AS words FROM r0 GROUP BY source, w),
+i1 AS (SELECT *, (target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+  / nullif(sum(w * words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::DOUBLE AS c FROM i0),
+i2 AS (SELECT source, arg_max(c, w) FILTER (c * w <= 2.0) AS factor FROM i1 GROUP BY source),
+r1 AS (SELECT r0.*, CASE WHEN factor IS NULL THEN CASE WHEN source_size > 0 THEN 2.0 ELSE 0.0 END ELSE least(2.0, factor * w) END::DOUBLE AS copies FROM r0 JOIN i2 ON r0.source IS NOT DISTINCT FROM i2.source),
+r2 AS (SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS p, length(bin(size)) AS k FROM r1),
+r3 AS (SELECT *, (u * (1 - p)) / (u * (1 - p) + (1 - u) * p) AS v, p > 0 AND size > 0 AS sampled FROM r2),
+e AS (SELECT source, k, sum(floor(p * size * 1e6)::BIGINT)::DOUBLE / 1e6 AS expected FROM r3 WHERE sampled GROUP BY source, k),
+o0 AS (SELECT source, k, v, sum(size)::BIGINT AS words FROM r3 WHERE sampled GROUP BY source, k, v),
+o AS (SELECT o0.*, e.expected, row_number() OVER (PARTITION BY o0.source ORDER BY o0.k DESC, v) AS i FROM o0 JOIN e ON o0.source IS NOT DISTINCT FROM e.source AND o0.k = e.k),
+f AS (
+  SELECT source, i, k, v, expected, 0.0::DOUBLE AS room, words / 2.0 <= expected AS took, CASE WHEN words / 2.0 <= expected THEN words ELSE 0 END::DOUBLE AS used FROM o WHERE i = 1
+  UNION ALL
+  SELECT source, i, k, v, expected, room, took, CASE WHEN took THEN used + words ELSE used END
+  FROM (SELECT *, ok AND used + words / 2.0 <= room + expected AS took
+    FROM (SELECT o.source, o.i, o.k, o.v, o.expected, o.words, CASE WHEN o.k = f.k THEN f.room ELSE f.room + f.expected - f.used END AS room,
+      CASE WHEN o.k = f.k THEN f.used ELSE 0 END AS used, o.k <> f.k OR f.took AS ok
+      FROM f JOIN o ON o.source IS NOT DISTINCT FROM f.source AND o.i = f.i + 1)))
+SELECT r.doc_id, r.size, r.source_size, r.target, (r.size * (r.whole + CASE WHEN r.sampled AND f.took THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r3 r LEFT JOIN f ON r.source IS NOT DISTINCT FROM f.source AND r.k = f.k AND r.v = f.v AND r.sampled
 """
