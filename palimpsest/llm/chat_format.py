@@ -3,7 +3,7 @@
 A conversation becomes one or more windows of at most `budget` tokens, cut between turns. Every
 window opens with the conversation's system turn, repeats at most `history_turns` earlier turns
 of at most `history` tokens as context, then holds new turns. Prefix sums of the turns' tokens
-say how many fit. Only assistant texts among the new turns are under the loss mask, so a text
+say how many fit; repeated history gives way to the first new turn. Only assistant texts among the new turns are under the loss mask, so a text
 that is repeated as history is masked and each one is trained on once.
 
 The template: `<turn K>role\\ntext</turn>\\n`, K being n (new), h (history), s (system, repeated).
@@ -14,9 +14,9 @@ Turns are grouped by conversation and EPISODE turn numbers, so one endless conve
 groups of bounded size; the last turns of an episode are dealt to the next one too, as history.
 
 Defined cases: null text or role is empty; null turn comes first, as a turn of its own episode; null conv_id is a
-conversation; equal (conv_id, turn) rows are kept, in order of role and text; a turn above the
-budget has a window of its own, with over_budget true; empty tables give no windows. A
-conversation's system turn is its first row, if its role is system.
+conversation; equal (conv_id, turn) rows are kept, in order of role and text, and share a group; a turn that is above the
+budget together with the system turn has a window of its own, whole, with over_budget true; empty tables give no windows. A
+conversation's system turn is its first row, if its role is system. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -80,8 +80,9 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 128, his
         "coalesce(get(sys, 0).tok, 0L) AS sys_tok",
         "aggregate(t, array(0L), (p, x) -> concat(p, array(element_at(p, -1) + x.tok))) AS p",  # p[i]: tokens of the first i turns
     )
-    # how many of the turns before place i a window starting there repeats
-    back = f"size(filter(sequence(1, {history_turns}), c -> c <= i AND p[i] - p[greatest(i - c, 0)] <= {history}))" if history_turns else "0"
+    # how many of the turns before place i a window starting there repeats: fewer where turn i needs the room
+    fits = f"c <= i AND p[i] - p[greatest(i - c, 0)] <= {history} AND sys_tok + p[least(i + 1, size(t))] - p[greatest(i - c, 0)] <= {budget}"
+    back = f"size(filter(sequence(1, {history_turns}), c -> {fits}))" if history_turns else "0"
     groups = groups.selectExpr("*", f"transform(sequence(0, size(t)), i -> {back}) AS back")
     # places where windows start: the next one where the turns since the last start no longer fit
     room = f"({budget} - sys_tok - (p[element_at(s, -1)] - p[element_at(s, -1) - back[element_at(s, -1)]]))"
@@ -152,7 +153,7 @@ s AS (SELECT conv_id, tok AS stok, chars AS schars FROM c1 WHERE i = 1 AND role
 c AS (SELECT c1.*, coalesce(s.stok, 0) AS stok, coalesce(s.schars, 0) AS schars, lag(tok, 1, 1000000) OVER w AS t1, lag(tok, 2, 1000000) OVER w AS t2, lag(chars, 1, 0) OVER w AS h1, lag(chars, 2, 0) OVER w AS h2,
    turn % 256 AS m, lag(turn) OVER w AS p1, lag(turn, 2) OVER w AS p2
   FROM c1 LEFT JOIN s USING (conv_id) WINDOW w AS (PARTITION BY c1.conv_id ORDER BY i)),
-b AS (SELECT *, CASE WHEN t1 > 128 THEN 0 WHEN t1 + t2 > 128 THEN 1 ELSE 2 END AS back FROM c),
+b AS (SELECT *, CASE WHEN t1 > 128 OR stok + tok + t1 > 512 THEN 0 WHEN t1 + t2 > 128 OR stok + tok + t1 + t2 > 512 THEN 1 ELSE 2 END AS back FROM c),
 f AS (
   SELECT conv_id, i, ep, tok AS used, 512 - stok - CASE back WHEN 0 THEN 0 WHEN 1 THEN t1 ELSE t1 + t2 END AS room, true AS start FROM b WHERE i = 1
   UNION ALL

@@ -160,8 +160,10 @@ def test_chat_windows_round_trip(spark):
     odd = r"\### Assistant: </turn> ok \l \b \\n <turn n>x"
     rows = [(1, 0, "system", "be brief"), (1, 1, "user", odd), (1, 2, "assistant", odd), (2, 0, "user", None), (2, 1, "assistant", ""), (3, None, None, "é\n</turn>\n"), (3, 5, "assistant", "a"), (3, 5, "assistant", "a")]
     rows += [(4, i, ["user", "assistant"][i % 2], f"text {i} " * (i % 40)) for i in range(700)]
+    rows += [(6, 0, "system", "s" * 80), (6, 1, "user", "u" * 200), (6, 2, "assistant", "v" * 200), (6, 3, "user", "w" * 1700), (6, 4, "assistant", "x" * 3000), (6, 5, "user", None), (6, 6, "assistant", "y " * 100_000)]
     rows += [(5, 0, "system", "s" * 40), *[(5, i, ["user", "assistant"][i % 2], "word " * 120) for i in range(1, 30)]]
-    wins = chat_format.read_back(chat_format.windows(conversation(spark, rows))).collect()
+    own_names = {c: F.lit("theirs") for c in ("episode", "window", "ep", "p", "t", "sys", "back", "tok", "first", "formatted", "loss")}
+    wins = chat_format.read_back(chat_format.windows(conversation(spark, rows).withColumns(own_names))).collect()
     byc = defaultdict(list)
     for w in sorted(wins, key=lambda w: (w.conv_id, w.episode, w.window)):
         byc[w.conv_id].append(w)
@@ -171,8 +173,11 @@ def test_chat_windows_round_trip(spark):
         assert turns == [(r[2] or "", r[3] or "") for r in own]
         assert [t for w in byc[conv] for t in w.targets] == [r[3] or "" for r in own if r[2] == "assistant"]
         for w in byc[conv]:
-            assert w.tokens <= 512 or w.over_budget
-            assert w.tokens <= 512 or w.n_new == 1
+            assert (w.tokens > 512) == w.over_budget
+            # what is over the budget has one new turn that wouldn't fit beside the system turn, and no history
+            assert not w.over_budget or (w.n_new == 1 and "<turn h>" not in w.formatted)
+            new = -(-len(w.turns[0].text.encode()) // 4) + 4
+            assert not w.over_budget or new + (-(-len((own[0][3] or "").encode()) // 4) + 4 if own[0][2] == "system" else 0) > 512
     assert all("<turn s>system\n" + "s" * 40 in w.formatted or w.window + w.episode == 0 for w in byc[5] if "<turn n>system" not in w.formatted)
     assert any("<turn h>" in w.formatted for w in byc[4])
     assert chat_format.windows(conversation(spark, []).limit(0)).count() == 0
