@@ -7,18 +7,23 @@ digest of their own block; the metadata names the conversion's id and the source
 payload digests, kept if the source states them, else computed. Ids are UUIDs from the source's id
 and the record type, so a rerun makes the same records.
 
-Everything is a map over records: no shuffle, and a record's bytes are all that is in memory.
+Everything is a map over records: no shuffle, and a record's bytes are all that is in memory. Files are read
+as a stream of pieces between record ends, so their size doesn't matter; they are written with a gzip member per record and a warcinfo record first.
 
 Defined cases: a null page has an empty payload, a null url no target URI; a record that isn't
-an HTTP response yields a conversion of its block as text; malformed headers are skipped; records that are not
-responses are passed over; equal pages with equal ids give equal records; an empty table gives none.
+an HTTP response yields a conversion of its block as text; malformed headers are skipped; a body whose transfer or content
+coding is unknown or broken is taken as it is; records that are not
+responses, and null ones, are passed over; equal pages with equal ids give equal records, a null id names them
+like a value; an empty table gives none. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
@@ -31,11 +36,12 @@ from .common import table
 
 SPACE_OF_IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 CRLF = b"\r\n"
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+_HIDDEN = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
 _BLOCK = re.compile(r"</?(?:p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|table|tr|td|th|article|section|nav|header|footer|aside|main|pre|blockquote|title|body|form)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title[^>]*>", re.I)
+_ANCHOR = re.compile(r"<a\s[^>]*>", re.I)
+_HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACES = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
 SCHEMA = "source_id string, warc_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, source_block_digest string, source_payload_digest string, block_digest string, record string, block string"
@@ -81,12 +87,76 @@ def response_record(key: str, url: str | None, page: str | None, date: str = "20
     return record(fields, http)
 
 
+def visible(page: str) -> str:
+    """A page without scripts, styles and comments; one that never ends stays. Each is looked for once from its start, so the time is linear."""
+    low, out, at, endless = page.lower(), [], 0, set()
+    for m in _HIDDEN.finditer(page):
+        if m.start() < at:
+            continue
+        close = f"</{m[1].lower()}" if m[1] else "-->"
+        end = -1 if close in endless else low.find(close, m.end())
+        end = end if end < 0 or not m[1] else low.find(">", end)
+        if end < 0:
+            endless.add(close)
+            continue
+        out += [page[at : m.start()], " "]
+        at = end + (1 if m[1] else 3)
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """The text of a page: without scripts, styles, comments and tags; a line per block."""
-    x = _TAG.sub("", _BLOCK.sub("\n", _DROP.sub(" ", page)))
+    page = visible(page)
+    last = page.rfind(">") + 1  # no tag ends after it
+    x = _TAG.sub("", _BLOCK.sub("\n", page[:last])) + page[last:]
     return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(x))).strip()
 
 
+def title_of(page: str) -> str:
+    m = _TITLE.search(page)
+    end = page.lower().find("</title", m.end()) if m else -1
+    return html.unescape(page[m.end() : end]) if end >= 0 else ""
+
+
+def outlinks(page: str) -> list[str]:
+    page = visible(page)
+    found = (_HREF.search(m[0]) for m in _ANCHOR.finditer(page, 0, page.rfind(">") + 1))
+    return [html.unescape(next(x for x in m.groups() if x is not None)) for m in found if m]
+
+
+def unchunked(body: bytes) -> bytes:
+    """A chunked body's data; the body itself where its chunks don't hold."""
+    out, at = [], 0
+    while (end := body.find(CRLF, at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return body
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return body
+
+
+def uncoded(payload: bytes, headers: list[tuple[str, str]]) -> tuple[bytes, bytes]:
+    """(entity body, content): the payload without its transfer coding, and that without its content coding."""
+    import zlib
+
+    h = {k.lower(): v.lower() for k, v in headers}
+    body = unchunked(payload) if "chunked" in h.get("transfer-encoding", "") else payload
+    content = body
+    for coding in reversed([x.strip() for x in h.get("content-encoding", "").split(",")]):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                content = zlib.decompressobj(31).decompress(content)
+            elif coding == "deflate":
+                content = zlib.decompressobj(15 if content[:1] == b"\x78" else -15).decompress(content)
+        except zlib.error:
+            break
+    return body, content
+
+
 def derive(source: bytes) -> list[tuple[str, ...]]:
     """The two rows (columns of SCHEMA) that a response record gives; none for other records."""
     _, own, block = split_headers(source)
@@ -97,17 +167,16 @@ def derive(source: bytes) -> list[tuple[str, ...]]:
     source_id, uri, date = h.get("warc-record-id", ""), h.get("warc-target-uri", ""), h.get("warc-date", "")
     is_http = block.startswith(b"HTTP/")
     status, headers, payload = split_headers(block) if is_http else ("", [], block)
+    payload, content = uncoded(payload, headers)
     charset = next((m[1] for k, v in headers if k.lower() == "content-type" and (m := re.search(r"charset=[\"']?([\w-]+)", v, re.I))), "utf-8")
     try:
-        page = payload.decode(charset, "replace")
+        page = content.decode(charset, "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = content.decode("utf-8", "replace")
     block_digest, payload_digest = h.get("warc-block-digest") or digest(block), h.get("warc-payload-digest") or digest(payload)
     text = plain_text(page).encode("utf-8", "replace")
-    title = _TITLE.search(page)
-    links = [html.unescape(next(x for x in m if x is not None)) for m in (y.groups() for y in _LINK.finditer(_DROP.sub(" ", page)))]
     ids = {k: derived_id(source_id, k) for k in ("metadata", "conversion")}
-    lines = [("source-status", status), *[(f"source-header-{k.lower()}", v) for k, v in headers], ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("conversion", ids["conversion"]), ("title", html.unescape(title[1]) if title else ""), *[("outlink", x) for x in links]]
+    lines = [("source-status", status), *[(f"source-header-{k.lower()}", v) for k, v in headers], ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("conversion", ids["conversion"]), ("title", title_of(page)), *[("outlink", x) for x in outlinks(page)]]
     blocks = {"metadata": b"".join(f"{k}: {one_line(v)}\r\n".encode("utf-8", "replace") for k, v in lines if one_line(v)), "conversion": text}
     kinds = {"metadata": "application/warc-fields", "conversion": "text/plain; charset=utf-8"}
     rows = []
@@ -143,34 +212,82 @@ def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
     return records.select(F.col(key).cast("long").alias(key), "record").mapInArrow(run, f"{key} long, {SCHEMA}")
 
 
-def write_warc(derived: DataFrame, path: str) -> None:
-    """The records as gzipped WARC files: a record and the two line ends that close it are a line of Spark's text writer."""
-    derived.select("record").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+def member(data: bytes) -> bytes:
+    """A record with the line ends that close it as a gzip member without its last byte, which is 0.
 
+    That byte is the high one of the record's length. Where it isn't 0 (16 MB or more), an empty member follows, whose is.
+    """
+    data = gzip.compress(data + CRLF + CRLF, 6, mtime=0)
+    return (data if data[-1] == 0 else data + gzip.compress(b"", mtime=0))[:-1]
 
-def records_in(data: bytes) -> Iterator[bytes]:
-    """The records of an uncompressed WARC file, by their stated lengths."""
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", start) + 4
-        size = re.search(rb"\r\nContent-Length:\s*(\d+)", data[start:end], re.I)
-        at = end + int(size[1] if size else 0)
-        yield data[start:at]
 
+def write_warc(derived: DataFrame, path: str, software: str = "palimpsest") -> None:
+    """The records as .warc.gz files of a gzip member per record, the first a warcinfo record; a file per partition with records.
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """path, record binary for every record of the (gzipped) WARC files under a path."""
+    The members are lines of Spark's text writer, whose line end is the last byte of each, so any file system works.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
+        first = True
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = data.as_py()
-                for r in records_in(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([r], pa.binary())], names=["path", "record"])
+            rows = [x.encode("utf-8", "replace") for x in b.column(0).to_pylist() if x is not None]
+            if rows and first:
+                first = False
+                body = f"software: {software}\r\nformat: WARC File Format 1.1\r\n".encode()
+                name = derived_id(digest(rows[0]), "warcinfo")
+                rows.insert(0, record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", name), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], body))
+            yield pa.RecordBatch.from_arrays([pa.array([member(x) for x in rows], pa.binary())], names=["value"])
+
+    made = derived.select("record").mapInArrow(run, "value binary")
+    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    spark = derived.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for x in files.listStatus(folder):
+        name = x.getPath().getName()
+        if name.endswith(".txt"):
+            files.rename(x.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{name[:-4]}.warc.gz"))
+
+
+#: What stands between two records of a file.
+BETWEEN = b"\r\n\r\nWARC/"
+
+
+def whole_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Records from a file's pieces between BETWEEN, joined again where a record holds it, cut at their stated lengths."""
+    open_: list[bytes] = []
+    held, need = 0, 0
+    for n, piece in enumerate(pieces):
+        piece = piece if n == 0 and piece.startswith(b"WARC/") else b"WARC/" + piece
+        if open_ and held < need:
+            open_.append(BETWEEN[:4] + piece)
+            held += len(piece) + 4
+            continue
+        if open_:
+            yield b"".join(open_)[:need]
+        end = piece.find(b"\r\n\r\n")
+        size = re.search(rb"\r\nContent-Length:[ \t]*(\d+)", piece if end < 0 else piece[: end + 2], re.I)
+        # a piece that ends with its header has lost the line ends that close it
+        open_, held, need = [piece], len(piece), (end if end >= 0 else len(piece)) + 4 + (int(size[1]) if size else 0)
+    if open_:
+        yield b"".join(open_)[:need]
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """path, record binary for every record of the WARC files under a path, gzipped (by their name) or not.
+
+    Spark's text reader streams the pieces between records, so a file of any size is read with a record at a time in
+    memory. A file that isn't gzipped may be split between tasks; a record that holds BETWEEN itself is then whole unless the split falls in it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = ((n, x) for b in batches for n, x in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        for name, part in itertools.groupby(flat, key=lambda x: x[0]):
+            for r in whole_records(x.as_py() for _, x in part):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([r], pa.binary())], names=["path", "record"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, record binary")
+    rows = spark.read.option("lineSep", BETWEEN.decode()).text(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece")).mapInArrow(run, "path string, record binary")
 
 
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, quality_qda, simhash, token_ids, toxicity, warc
 
@@ -239,9 +241,57 @@ def test_label_model_discounts_copies_of_a_voter():
     assert m.correlations[0, 3] > 0.9 and m.weights[0] < 0.4 < 0.9 < m.weights[1]
 
 
+def members(data):
+    """The content of each gzip member of a file, opened by itself."""
+    out = []
+    while data:
+        d = zlib.decompressobj(31)
+        out.append(d.decompress(data) + d.flush())
+        assert d.eof
+        data = d.unused_data
+    return out
+
+
+def response(body, *headers):
+    http = b"\r\n".join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", *headers]) + b"\r\n\r\n" + body
+    return warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Target-URI", "u")], http)
+
+
+def test_warc_codings():
+    page = "<title>T</title><p>héllo</p><p>two</p>".encode()
+    chunks = lambda b: b"".join(f"{len(b[i : i + 7]):x};x=y\r\n".encode() + b[i : i + 7] + b"\r\n" for i in range(0, len(b), 7)) + b"0\r\n\r\n"
+    import gzip
+
+    for made in (response(page), response(chunks(page), b"Transfer-Encoding: chunked"), response(gzip.compress(page), b"Content-Encoding: gzip"), response(zlib.compress(page), b"Content-Encoding: deflate"), response(chunks(gzip.compress(page)), b"Transfer-Encoding: chunked", b"Content-Encoding: gzip")):
+        meta, text = warc.derive(made)
+        assert text[-1] == "T\nhéllo\ntwo" and "title: T" in meta[-1]
+    assert warc.derive(response(b"not chunks", b"Transfer-Encoding: chunked"))[1][-1] == "not chunks"
+    assert warc.derive(response(b"not gzip", b"Content-Encoding: gzip"))[1][-1] == "not gzip"
+
+
+def test_warc_records_between_pieces():
+    """Records whose block holds what stands between records, or begins with it, come back whole; a record of 16 MB is a member too."""
+    odd = [b"a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nb", b"WARC/ at once", b"", b"x" * (17 << 20), b"\r\n\r\nWARC/\r\n\r\nWARC/"]
+    records = [warc.record([("WARC-Type", "response")], b) for b in odd]
+    data = b"".join(r + b"\r\n\r\n" for r in records)
+    assert list(warc.whole_records(iter(data.split(warc.BETWEEN)))) == records
+    assert [m for m in members(b"".join(warc.member(r) + b"\0" for r in records)) if m] == [r + b"\r\n\r\n" for r in records]
+
+
+def test_warc_pages_of_any_shape():
+    import time
+
+    began = time.time()
+    for bad in ("<script" * 200_000, "<!--" * 200_000, "<a " * 300_000, "<a href=" * 200_000 + ">", "<title>" * 200_000, "<" * 500_000, "<p>word</p>" * 100_000):
+        warc.plain_text(bad), warc.outlinks(bad), warc.title_of(bad)
+    assert time.time() - began < 20
+    assert warc.plain_text("a<script>x</script >b<STYLE>y</style>c<!-- z -->d<template>") == "a b c d"
+    assert warc.outlinks('<a class="x" href=/b>1</a><area href="no"><a data-href="q">2</a><!-- <a href="c"> --><a\nhref=\'d\'>') == ["/b", "d"]
+
+
 def test_warc_round_trip(spark, tmp_path):
     page = '<html><head><title>T &amp; t</title><script>var x="</p>";</script></head><body><h1>Head</h1><p>One <b>two</b>&nbsp;é<br>x &lt; y</p><!-- no --><a href="/a?b&amp;c">l</a></body></html>'
-    pages = spark.createDataFrame([(1, "http://a/é", page), (2, None, None), (3, "http://b/", ""), (4, "u", "no tags at all"), (4, "u", "no tags at all")], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "http://a/é", page), (2, None, None), (3, "http://b/", ""), (4, "u", "no tags at all"), (4, "u", "no tags at all")], "page_id long, url string, html string").withColumns({c: F.lit("theirs") for c in ("record", "block", "refers_to", "date")})
     made = warc.derivatives(warc.responses(pages)).collect()
     assert len(made) == 10
     first = {x.warc_type: x for x in made if x.page_id == 1}
@@ -251,13 +301,20 @@ def test_warc_round_trip(spark, tmp_path):
     digest = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
     assert first["conversion"].block_digest == digest(text.encode()) and first["conversion"].source_payload_digest == digest(page.encode())
     assert first["conversion"].concurrent_to == first["metadata"].record_id and first["conversion"].refers_to == first["metadata"].refers_to
-    warc.write_warc(warc.derivatives(warc.responses(pages)), f"file://{tmp_path}/w")
-    back = warc.read_warc(spark, f"file://{tmp_path}/w/*.gz").collect()
-    assert len(back) == 10
+    warc.write_warc(warc.derivatives(warc.responses(pages.repartition(2))), f"file://{tmp_path}/w")
+    back = warc.read_warc(spark, f"file://{tmp_path}/w").collect()
+    kinds = Counter()
     for x in back:
         head, fields, block = warc.split_headers(bytes(x.record))
         h = dict(fields)
+        kinds[h["WARC-Type"]] += 1
         assert head == "WARC/1.1" and len(block) == int(h["Content-Length"]) and digest(block) == h["WARC-Block-Digest"]
-        assert h["WARC-Refers-To"].startswith("<urn:uuid:")
+        assert h["WARC-Type"] == "warcinfo" or h["WARC-Refers-To"].startswith("<urn:uuid:")
+    files = list((tmp_path / "w").glob("*.warc.gz"))
+    assert kinds == {"metadata": 5, "conversion": 5, "warcinfo": len(files)} and len(files) == len({x.path for x in back})
+    for f in files:
+        singles = members(f.read_bytes())
+        assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") and m.count(b"WARC/1.1\r\n") == 1 for m in singles)
+        assert b"WARC-Type: warcinfo" in singles[0] and len(singles) == sum(x.path.endswith(f.name) for x in back)
     assert warc.derive(b"WARC/1.1\r\nWARC-Type: request\r\n\r\nx") == []
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
