@@ -1,21 +1,21 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
 A fingerprint has a bit set where over half of the XXH64 values of the text's 3-word shingles
-have it. Two fingerprints link at DISTANCE or fewer differing bits. Cut into BLOCKS blocks, such a pair agrees on
-at least BLOCKS - DISTANCE of them, so it meets under one of the keys made of that many blocks
-(10 keys of 38 or 39 bits for 5 blocks). Equal fingerprints are one row from the start: a group of copies costs one.
-
-Inside a key, small buckets are compared pair by pair. A bucket of more than PAIRS fingerprints
-is linked without pairs and just as exactly: each fingerprint names itself and the fingerprints
-one bit away in the blocks outside of the key; two of them name a common one just if they differ in
-at most two bits, and all that name it are within two bits of each other, so a link to the
+have it. Two fingerprints link at `distance` or fewer differing bits (an even number). Cut into distance + 3 blocks,
+such a pair agrees on at least 3 of them, so it meets under one of the keys made of 3 blocks: 10 keys of 38 or 39 bits
+for distance 2, 35 of 27 or 28 for distance 4. Equal fingerprints are one row from the start: a group of copies costs one.
+
+Inside a key, small buckets are compared pair by pair. A bucket of more fingerprints than each has centers
+is linked without pairs and just as exactly: each fingerprint names as centers itself and the fingerprints up to half the
+distance away in the blocks outside of the key; two of them name a common one just if they are within
+the distance, and all that name it are within the distance of each other, so a link to the
 smallest of them keeps the components and every link of them holds.
 
 Components come from large-star and small-star rounds over links between fingerprints, written
 to the shared folder each round; nothing about single documents reaches the driver.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of one
-or two words hash as one shingle; equal rows share a component; a null doc_id is not a name for
+or two words hash as one shingle; a text of any length is hashed in parts of 65,536 shingles; equal rows share a component; a null doc_id is not a name for
 a component unless it has no other; an empty table gives no rows. dedupe tells rows apart by doc_id and
 a hash of the text, so null or repeated ids cost no component its document.
 """
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 DISTANCE = 2
-BLOCKS = 5
-PAIRS = 32
+#: Blocks that a key is made of.
+KEY_BLOCKS = 3
 
 
 def fingerprint(text: bytes) -> int:
@@ -73,11 +73,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
 
 
-def block_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
-    """For each key the bits it is made of: all choices of blocks - distance blocks."""
+def block_masks(distance: int = DISTANCE) -> list[int]:
+    """For each key the bits it is made of: all choices of KEY_BLOCKS of distance + KEY_BLOCKS blocks."""
+    blocks = distance + KEY_BLOCKS
     edges = [64 * k // blocks for k in range(blocks + 1)]
     own = [sum(1 << i for i in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(own, blocks - distance)]
+    return [sum(c) for c in combinations(own, KEY_BLOCKS)]
+
+
+def center_masks(mask: int, distance: int) -> list[int]:
+    """What a fingerprint's centers differ from it by: up to half the distance of bits outside of the key."""
+    free = [1 << i for i in range(64) if not mask >> i & 1]
+    return [sum(c) for n in range(distance // 2 + 1) for c in combinations(free, n)]
 
 
 def _signed(x: int) -> int:
@@ -88,20 +95,26 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """a, b: links between distinct fingerprints (fp) that connect all within DISTANCE of each other."""
-    masks = block_masks()
+def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """a, b: links between distinct fingerprints (fp) that connect all within the distance of each other."""
+    if distance % 2:
+        raise ValueError("the distance must be even")
+    masks = block_masks(distance)
+    centers = [center_masks(m, distance) for m in masks]
+    limit = max(map(len, centers))
     tables = F.array(*[F.struct(F.lit(k).cast("byte").alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for k, m in enumerate(masks)])
     keyed = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.m", "x.key")
     sizes = keyed.groupBy("m", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select(F.col("m").alias("m1"), F.col("key").alias("key1"), "n")
     met = stored(keyed.join(sizes, (keyed.m == sizes.m1) & (keyed.key == sizes.key1)).select("fp", "m", "key", "n"), "simhash-met")
-    small = met.where(F.col("n") <= PAIRS)
+    small = met.where(F.col("n") <= limit)
     left, right = small.select(F.col("fp").alias("a"), "m", "key"), small.select(F.col("fp").alias("b"), "m", "key")
-    near = left.join(right, ["m", "key"]).where((F.col("a") < F.col("b")) & (_distance(F.col("a"), F.col("b")) <= DISTANCE)).select("a", "b")
-    free = F.array(*[F.array(*[F.lit(_signed(1 << i)).cast("long") for i in range(64) if not m >> i & 1]) for m in masks])
-    large = met.where(F.col("n") > PAIRS)
-    named = large.select("fp", "m", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.get(free, F.col("m").cast("int")))).alias("bit")).select("fp", "m", F.col("fp").bitwiseXOR(F.col("bit")).alias("center"))
+    near = left.join(right, ["m", "key"]).where((F.col("a") < F.col("b")) & (_distance(F.col("a"), F.col("b")) <= distance)).select("a", "b")
+    # the centers' masks are a table: literals of them would not fit a plan
+    spark = fps.sparkSession
+    apart = spark.createDataFrame([(k, _signed(x)) for k, xs in enumerate(centers) for x in xs], "m1 int, bit long")
+    large = met.where(F.col("n") > limit)
+    named = large.join(F.broadcast(apart), large.m == apart.m1).select("fp", "m", F.col("fp").bitwiseXOR(F.col("bit")).alias("center"))  # thousands of rows, by the distance alone
     least = named.groupBy("m", "center").agg(F.min("fp").alias("a"), F.count("*").alias("k")).where("k > 1").select(F.col("m").alias("m1"), F.col("center").alias("c1"), "a")
     stars = named.join(least, (named.m == least.m1) & (named.center == least.c1)).where("a < fp").select("a", F.col("fp").alias("b"))
     return near.union(stars).distinct()
@@ -128,11 +141,11 @@ def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
         before = now
 
 
-def rooted(docs: DataFrame) -> DataFrame:
+def rooted(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, text_hash, root (a fingerprint of the component), component_id (its smallest doc_id) for every row."""
     rows = stored(fingerprints(docs), "simhash-fps")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(distinct.select("fp")))
+    roots = components(links(distinct.select("fp"), distance))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     owner = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = stored(named.select("fp", "root").join(owner, "root").select(F.col("fp").alias("fp1"), "root", "component_id"), "simhash-components")
@@ -144,14 +157,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rooted(docs).select("doc_id", "fp", "component_id")
 
 
-def dedupe(docs: DataFrame) -> DataFrame:
+def dedupe(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The rows of docs with one document of each component: its smallest doc_id, and of rows equal in that one row.
 
-    Only ids and hashes are shuffled but for the join that keeps the chosen documents.
+    Of rows equal in doc_id and text one stays, whatever their other columns hold. Columns keep their names; the operator's own start with __sd_. Only ids and hashes are shuffled but for the join that keeps the chosen documents.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("x")
-    kept = rooted(docs).groupBy("root").agg(first).select("x.doc_id", "x.text_hash").select(key.alias("__sd_key"), F.col("text_hash").alias("__sd_text"))
+    kept = rooted(docs, distance).groupBy("root").agg(first).select("x.doc_id", "x.text_hash").select(key.alias("__sd_key"), F.col("text_hash").alias("__sd_text"))
     kept = stored(kept, "simhash-kept")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__sd_row"), key.alias("__sd_key"), F.xxhash64("text").alias("__sd_text"))
     return rows.join(kept, ["__sd_key", "__sd_text"], "left_semi").dropDuplicates(["__sd_key", "__sd_text"]).select("__sd_row.*")

@@ -69,20 +69,38 @@ def test_simhash_components(spark):
     assert simhash.near_duplicates(docs(spark, []).limit(0)).count() == 0
 
 
-def test_simhash_links_in_crowded_buckets(spark):
-    """More fingerprints than PAIRS that share a key are linked without pairs, and just as they should."""
+@pytest.mark.parametrize("distance", [2, 4])
+def test_simhash_links_in_crowded_buckets(spark, distance):
+    """More fingerprints than centers that share a key are linked without pairs, and just as they should."""
     r = random.Random(5)
     center = r.getrandbits(64)
     fps = {center}
     for _ in range(3):
         fps |= {f ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for f in list(fps) for _ in range(4)}
     fps |= {center ^ x for x in range(0, 4096, 5)}  # one key, distances of all sizes
+    fps |= {center ^ (r.getrandbits(24) << 40) for _ in range(60)}
     fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
-    got = {x.node: x.root for x in simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()}
-    want = classes(fps, lambda a, b: ((a ^ b) % 2**64).bit_count() <= 2)
+    assert len(fps) > max(len(simhash.center_masks(m, distance)) for m in simhash.block_masks(distance))
+    got = {x.node: x.root for x in simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), distance)).collect()}
+    want = classes(fps, lambda a, b: ((a ^ b) % 2**64).bit_count() <= distance)
     assert {f: got.get(f, f) for f in fps} == want
 
 
+def test_simhash_keys_are_lossless():
+    """Whatever bits differ, some key holds none of them."""
+    r = random.Random(2)
+    for distance in (2, 4):
+        masks = simhash.block_masks(distance)
+        for _ in range(5000):
+            bits = sum(1 << i for i in r.sample(range(64), distance))
+            assert any(not m & bits for m in masks)
+
+
+def test_simhash_long_text():
+    text = prose(random.Random(4), 100_000)
+    assert simhash.fingerprint(text.encode()) == slow_fingerprint(text)
+
+
 def test_repeated_and_null_ids(spark):
     out = simhash.dedupe(docs(spark, [(1, "a b c"), (1, "a b c"), (None, "x y z"), (2, "a b c")])).collect()
     assert sorted((x.doc_id or 0) for x in out) == [0, 1]
