@@ -165,10 +165,17 @@ def test_token_cache_eviction(monkeypatch):
 
 def test_masks_are_lossless():
     """Whatever two of thirteen places differ, some mask fits between."""
-    fits = [frozenset(i + o for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for o in range(decontaminate.WINDOW - len(m) + 1)]
+    fits = [frozenset(i + o for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS[:2] for o in range(decontaminate.WINDOW - len(m) + 1)]
     assert all(any(not f & {a, b} for f in fits) for a, b in combinations(range(decontaminate.WINDOW), 2))
 
 
+def test_parts_of_short_items_are_lossless():
+    for n in range(decontaminate.LEAST, decontaminate.WINDOW):
+        spans = [set(range(at, at + len(decontaminate.MASKS[m]))) for m, at in decontaminate.parts(n)]
+        assert set().union(*spans) == set(range(n))
+        assert all(any(not s & set(c) for s in spans) for c in combinations(range(n), n // 6))
+
+
 def slow_overlap(text, item):
     d, b = decontaminate.word_hashes(text).tolist(), decontaminate.word_hashes(item).tolist()
     n = min(13, len(b))
@@ -177,7 +184,7 @@ def slow_overlap(text, item):
 
 def test_decontamination(spark):
     r = random.Random(7)
-    items = [(i, prose(r, 30)) for i in range(12)] + [(50, "too short to be evidence"), (51, None), (52, prose(r, 10))]
+    items = [(i, prose(r, 30)) for i in range(12)] + [(50, "too short an item"), (51, None), *[(50 + n, prose(r, n)) for n in range(5, 13)], (70, None), (None, items_of := prose(r, 20)), (71, items_of), (71, items_of)]
     rows = [(i, prose(r, 200)) for i in range(60)] + [(60, None), (61, "")]
     for k in range(12):
         w = items[k][1].split()
@@ -187,14 +194,28 @@ def test_decontamination(spark):
         w = w[4:22] if k % 4 == 0 else w
         rows.append((100 + k, f"{prose(r, 50)} {' '.join(w).upper()}, {prose(r, 50)}"))
     rows.append((200, " ".join(t for _, t in items if t)))
-    rows.append((201, items[-1][1]))
+    for i, t in items:
+        n = len((t or "").split())
+        if 5 <= n < 13:  # whole, and with each choice of as many words changed as may be, and one more
+            rows.append((201, f"{prose(r, 9)} {t} {prose(r, 9)}"))
+            for k in (n // 6, n // 6 + 1):
+                for c in combinations(range(n), k):
+                    w = t.split()
+                    for j in c:
+                        w[j] = "changed"
+                    rows.append((1000 + len(rows), f"{prose(r, 3)} {' '.join(w)} {prose(r, 3)}"))
+    rows += [(300, f"{items_of} {prose(r, 8_000)}"), (300, "same id"), (None, f"{prose(r, 5)} {items_of}"), (None, prose(r, 5)), (301, items_of), (301, items_of), (302, f"{items_of} end")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs(spark, rows), bench).collect()}
-    long_enough = [(b, y) for b, y in items if y and len(decontaminate.word_hashes(y)) >= 13]
-    assert {p for p in got if p[1] < 50} == {(i, b) for i, t in rows for b, y in long_enough if slow_overlap(t or "", y)}
-    assert (201, 52) in got and not any(b in (50, 51) for _, b in got)
-    left = {x.doc_id for x in decontaminate.decontaminate(docs(spark, rows), bench).collect()}
-    assert left == {i for i, _ in rows} - {d for d, _ in got}
+    theirs = {c: F.lit("theirs") for c in ("near", "class", "seed", "item", "around", "__dc")}
+    out = decontaminate.overlaps(docs(spark, rows).withColumns(theirs), bench.withColumns(theirs)).collect()
+    got = {(x.doc_id, x.item_id) for x in out}
+    assert len(got) == len(out)
+    long_enough = [(b, y) for b, y in items if y and len(decontaminate.word_hashes(y)) >= decontaminate.LEAST]
+    assert got == {(i, b) for i, t in rows for b, y in long_enough if slow_overlap(t or "", y)}
+    d = docs(spark, rows).withColumns(theirs)
+    left = decontaminate.decontaminate(d, bench)
+    assert left.columns == d.columns
+    assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted(((i, t) for i, t in rows if not any(slow_overlap(t or "", y) for _, y in long_enough)), key=str)
     assert decontaminate.overlaps(docs(spark, []).limit(0), bench).count() == 0
     assert decontaminate.overlaps(docs(spark, rows), bench.limit(0)).count() == 0
 
