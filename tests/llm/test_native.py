@@ -121,15 +121,55 @@ def minimax(sizes, k):
 @pytest.mark.parametrize("sizes", [[5, 1, 1, 1, 9, 2, 2], [1], [7, 7], [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5], [100, 1, 1, 1]])
 @pytest.mark.parametrize("k", [1, 2, 3, 4])
 def test_shard_capacity_is_minimax(spark, sizes, k):
-    atoms = spark.createDataFrame([(i * 10, s) for i, s in enumerate(sizes)], "k int, size long")
-    cuts = sharding.cut_points(atoms, k)
-    assert len(cuts) == k - 1
+    groups = spark.createDataFrame([(i * 10, s) for i, s in enumerate(sizes)], "key long, size long")
+    cuts = sharding.cut_points(groups, k)
+    assert len(cuts) <= k - 1
     load = Counter()
     for i, s in enumerate(sizes):
         load[sum(i * 10 >= c for c in cuts)] += s
     assert max(load.values()) == minimax(sizes, k)
 
 
+def capacity(sizes, k):
+    """The smallest capacity at which greedy filling needs k parts or fewer."""
+
+    def parts(c):
+        n, used = 1, 0
+        for s in sizes:
+            n, used = (n + 1, s) if used + s > c else (n, used + s)
+        return n
+
+    lo, hi = max(sizes), sum(sizes)
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if parts(mid) <= k else (mid + 1, hi)
+    return lo
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shards_are_minimax_over_groups(spark, monkeypatch, seed):
+    """With atoms of many groups, split where cuts can lie, the largest shard is as small as over the groups themselves."""
+    monkeypatch.setattr(sharding, "BITS", 3)
+    monkeypatch.setattr(sharding, "STEP", 3 + seed)
+    r = random.Random(seed)
+    keys = [r.getrandbits(64) - 2**63 if i % 3 else (5 << 58) + r.getrandbits(40) for i in range(900)]
+    sizes = {k: r.choice([1, 10, 100]) * r.randint(1, 50) for k in keys}
+    rows = [(k, s) for k, s in sizes.items()] + [(keys[0], 7)] * 9
+    sizes[keys[0]] += 63
+    cuts = sharding.cut_points(spark.createDataFrame(rows, "key long, size long"), 7)
+    load = Counter()
+    for k, s in sizes.items():
+        load[sum(k >= c for c in cuts)] += s
+    assert max(load.values()) == capacity([sizes[k] for k in sorted(sizes)], 7) and len(load) <= 7
+
+
+def test_write_shards(spark, tmp_path):
+    rows = many(300)
+    sharding.write_shards(docs(spark, rows), f"{tmp_path}/shards", 6)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert {(x.doc_id, x.shard, x.slot) for x in back.collect()} == {(x.doc_id, x.shard, x.slot) for x in sharding.shard(docs(spark, rows).withColumns({"shard": F.lit("theirs"), "slot": F.lit("theirs")}), 6).collect()}
+
+
 def test_shards(spark):
     rows = many(300) + [(1000 + i, "copy of one text", "a") for i in range(200)] + [(2000, None, "b"), (2001, "", "b"), (None, "z", None)]
     out = sharding.shard(docs(spark, rows), 6).collect()
