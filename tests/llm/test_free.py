@@ -235,6 +235,31 @@ def labelled(spark, n=400):
     return docs(spark, [x[:2] for x in rows] + [(9000, None), (9001, "")]), spark.createDataFrame([(x[0], x[2], x[3]) for x in rows] + [(None, 1, 1), (9001, None, None)], "doc_id long, quality int, toxic int"), rows
 
 
+def test_quality_scores_against_scipy_free_formula(spark):
+    """Class sums, shrinkage and scores again in numpy, from the whole texts."""
+    d, labels, rows = labelled(spark)
+    long = "Some words here, and 1 more! " * 20_000
+    every = [*rows, (9000, "", None, 0), (9001, "", None, 0), (9002, long, None, 0), (9002, long, None, 0)]
+    f = quality_qda.featured(d.union(docs(spark, [(9002, long), (9002, long)])).withColumns({c: F.lit("theirs") for c in ("x", "y", "score")})).cache()
+    assert f.count() == len(every)
+    got = {x.doc_id: x.score for x in quality_qda.scored(f, quality_qda.fit(quality_qda.training(f, labels.withColumn("x", F.lit("theirs")), "quality", 4, 2))).collect()}
+    train = [(quality_qda.statistics(t.encode()), q) for i, t, q, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    x, y = np.array([a for a, _ in train]), np.array([q for _, q in train])
+    shift, scale = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-6))
+    z = (x - shift) / scale
+    covs = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).mean() * covs[k] for k in (0, 1))
+    logs = []
+    for k in (0, 1):
+        c = 0.85 * covs[k] + 0.15 * pooled
+        c = 0.95 * c + 0.05 * (np.trace(c) / len(c) + 1e-6) * np.eye(len(c))
+        at = (np.array([quality_qda.statistics(t.encode()) for _, t, *_ in every]) - shift) / scale - z[y == k].mean(0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", at, np.linalg.inv(c), at) - 0.5 * np.linalg.slogdet(c)[1])
+    want = 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / 2 + np.log((y == 1).sum() / (y == 0).sum()), -50, 50)))
+    assert all(abs(got[i] - w) < 1e-6 for (i, *_), w in zip(every, want))
+    assert quality_qda.featured(d.limit(0)).count() == 0
+
+
 def test_quality_classifier(spark):
     d, labels, rows = labelled(spark)
     f = quality_qda.featured(d).cache()
@@ -254,30 +279,78 @@ def test_quality_classifier(spark):
     assert set(quality_qda.fit(f.limit(0).selectExpr("x", "1 AS y")).score(x)) == {0.5}
 
 
+def slow_model(votes, y, rounds=12):
+    """The label model by loops over documents, not over groups of equal votes: rates by class, discounts, prior."""
+    n, v = votes.shape
+    model = None
+    for turn in range(rounds + 1):
+        p = model[3](votes) if model else None
+        q = np.array([(y[i] if y[i] >= 0 else 0.0) if model is None else p[i] if y[i] < 0 else 0.5 * y[i] + 0.5 * p[i] for i in range(n)], float)
+        w = np.array([1.0 if model or y[i] >= 0 else 0.0 for i in range(n)])
+        n1, n0 = (w * q).sum(), (w * (1 - q)).sum()
+        rates = np.array([[((w * (1 - q) * votes[:, j]).sum() + 0.2) / (n0 + 20), ((w * q * votes[:, j]).sum() + 0.5) / (n1 + 2)] for j in range(v)]).clip(1e-5, 1 - 1e-5)
+        weights = np.ones(v)
+        if model:
+            left = votes - (q[:, None] * model[0][:, 1] + (1 - q[:, None]) * model[0][:, 0])
+            cov = (left * w[:, None]).T @ left / w.sum()
+            c = np.abs(cov / np.outer(np.sqrt(np.diag(cov)) + 1e-9, np.sqrt(np.diag(cov)) + 1e-9)) * (1 - np.eye(v))
+            weights = 1 / (1 + np.where(c > 0.15, c, 0).sum(1))
+        prior = np.clip(n1 / (n1 + n0), 1e-4, 1 - 1e-4)
+
+        def posterior(x, rates=rates, weights=weights, prior=prior):
+            like = [(weights * np.log(np.where(x > 0, rates[:, k], 1 - rates[:, k]))).sum(1) for k in (0, 1)]
+            return 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + like[1] - like[0], -40, 40)))
+
+        old, model = model, (rates, weights, prior, posterior)
+        if turn and np.abs(np.log(rates / old[0])).max() < 0.01 and np.abs(weights - old[1]).max() < 0.01:
+            break
+    return model
+
+
+def test_label_model_against_loops(spark):
+    r = np.random.default_rng(1)
+    truth = r.random(3000) < 0.3
+    votes = (r.random((3000, 4)) < np.where(truth[:, None], [0.7, 0.4, 0.2, 0.0], [0.05, 0.1, 0.1, 0.0])).astype(float)
+    votes = np.hstack([votes, votes[:, :1]])
+    y = np.where(r.random(3000) < 0.4, truth.astype(int), -1)
+    rows = [([int(j) for j in np.flatnonzero(x)], int(k < 0), int(k == 0), int(k == 1)) for x, k in zip(votes, y)]
+    per = spark.createDataFrame(rows, "votes array<int>, n long, n0 long, n1 long").groupBy("votes").agg(F.sum("n").alias("n"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).cache()
+    got, want = toxicity.label_model(toxicity.summed(per, 5), 5), slow_model(votes, y)
+    assert np.allclose(got.rates, want[0], rtol=1e-6) and np.allclose(got.weights, want[1]) and np.isclose(got.prior, want[2])
+    assert np.allclose(got.posterior(votes), want[3](votes))
+    assert got.weights[0] < 0.6 < 0.8 < got.weights[1]
+
+
 def test_toxicity(spark):
     d, labels, rows = labelled(spark)
-    own = labels.where(~toxicity.held_out(labels.doc_id))
-    model = toxicity.fit(d, own)
-    assert {" vileword ", " nastyword "} <= set(model.finder.terms)
-    got = {x.doc_id: x.score for x in toxicity.scored(d, model).collect()}
+    long = ("fine words " * 20_000) + "vileword nastyword vileword"
+    d = d.union(docs(spark, [(9002, long), (9003, "fine words " * 20_000), (None, rows[0][1]), (0, rows[0][1])])).withColumns({c: F.lit("theirs") for c in ("at", "n", "y", "score", "votes", "doc")})
+    own = labels.where(~toxicity.held_out(labels.doc_id)).withColumn("text", F.lit("theirs"))
+    model, features = toxicity.fit(d, own)
+    assert {" vileword ", " nastyword "} <= {t for ts in model.finder.voters for t in ts}
+    out = toxicity.scored(features, model).collect()
+    got = {x.doc_id: x.score for x in out}
+    assert len(out) == len(rows) + 6 and len({x.score for x in out if x.doc_id in (0, None)}) == 1
     held = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 5 == 0]
     assert all((got[i] >= 0.5) == bool(t) for i, _, _, t in held)
-    assert 0 <= got[9000] == got[9001] < 0.5
+    assert 0 <= got[9000] == got[9001] < 0.5 and got[9003] < 0.5
+    # scores again, from the text, by sums over all of the model's weights
+    for i, t, *_ in [*rows[:60], (9002, long), (9000, "")]:
+        x = np.zeros(model.finder.width)
+        low = " " + re.sub(r"[\W_]+", " ", t.lower()).strip() + " "
+        for j, terms in enumerate(model.finder.voters):
+            x[j] = max(sum(low.startswith(s, k) for k in range(len(low))) for s in terms)
+        at, n = model.finder.features(t)
+        x[len(model.finder.voters) :] = np.bincount(at, n, model.finder.width)[len(model.finder.voters) :]
+        z = (np.log1p(x) - model.linear.shift) / model.linear.scale
+        assert abs(got[i] - 1 / (1 + np.exp(-(z @ model.linear.weights[1:] + model.linear.weights[0])))) < 1e-5
     kept = toxicity.filter_toxic(d, labels)
     assert kept.columns == d.columns
     assert {x.doc_id for x in kept.collect()} == {i for i, s in got.items() if s < 0.5}
-    none = toxicity.fit(d, labels.where("toxic = 0"))
-    assert {x.score for x in toxicity.scored(d, none).collect()} == {0.0}
-
-
-def test_label_model_discounts_copies_of_a_voter():
-    r = np.random.default_rng(0)
-    y = (r.random(4000) < 0.3).astype(int)
-    votes = (r.random((4000, 3)) < np.where(y[:, None], 0.7, 0.1)).astype(float)
-    votes = np.hstack([votes, votes[:, :1], votes[:, :1]])
-    m = toxicity.label_model(votes, np.where(r.random(4000) < 0.5, y, -1))
-    assert np.allclose(m.rates[1, 1], 0.7, atol=0.06) and np.allclose(m.rates[1, 0], 0.1, atol=0.04)
-    assert m.correlations[0, 3] > 0.9 and m.weights[0] < 0.4 < 0.9 < m.weights[1]
+    none, features = toxicity.fit(d, labels.where("toxic = 0"))
+    assert features is None and none.linear.constant == 0.0
+    assert toxicity.fit(d.limit(0), labels)[0].linear.constant == 0.0
+    assert toxicity.scored(toxicity.featured(d.limit(0).select("text", "doc_id"), model.finder, "doc_id"), model).count() == 0
 
 
 def members(data):
