@@ -2,16 +2,18 @@
 
 Each text is measured in one pass over its own arrays, without exploding words. Fixed rules drop
 documents that are short or mostly repeat themselves. For the others the cutoffs adapt: KLL
-quantile sketches of four ratios are built per language and source and kept as a table of
-mergeable sketches; groups with fewer than MIN_GROUP documents use the merged sketch of their
-language, or of all. A document passes if every ratio is inside fences set REACH spreads beyond
-an upper quantile and its mirror image. The spread is the distance of the two; it is at least LEAST_SHARE
-of that of the language and of all, so a group of equal documents has one too, and for word lengths at least
-LEAST_PART of the language's median. Only where a ratio's quantiles are zero in all of these does
-a constant stand in for the fence. The cutoffs are joined to the documents.
+quantile sketches of four ratios are built per language and source, and those of a language and of all documents are merged
+from them. A document passes if every ratio is inside fences set REACH spreads beyond
+an upper quantile and, for word lengths, its mirror image. The spread is the distance of the two.
+
+Quantiles of a group are drawn to its language's, and those to all documents', by n : PRIOR, so a small group leans on
+more rows than its own and a large one hardly, at every size by the same rule. A spread is at least LEAST_SHARE
+of that of the language and of all, and at least LEAST_PART of the language's median, so a group of equal documents has one too. No cutoff is a constant: ratios of what most documents lack
+count one more than there is, so that their quantiles follow the group's lengths instead of being zero. The cutoffs are joined to the documents.
 
 Defined cases: a null text has no words and fails the fixed rules; null language or source is a
-group; an empty table gives no rows; repeated rows count as rows and get equal verdicts.
+group; an empty table gives no rows; repeated rows count as rows and get equal verdicts; a text of any length is measured whole.
+Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,17 +24,18 @@ from pyspark.sql import functions as F
 
 from .common import no_space, null_safe, stored, table, words
 
-MIN_GROUP = 30
+#: Documents' worth of the wider group in a group's quantiles.
+PRIOR = 30
 REACH = 4.0
 LEAST_SHARE = 0.5
-LEAST_PART = {"word_len": 0.05}
-#: Ratio name: (expression over the measures, upper quantile, least upper fence, whether low values fail too). Most documents
+LEAST_PART = {"word_len": 0.05, "symbols": 0.5, "dup_lines": 0.5, "repeats": 0.5}
+#: Ratio name: (expression over the measures, upper quantile, whether low values fail too). Most documents
 #: have no repeats, and good ones have some; junk by symbols is too common for a quantile near 1.
 RATIOS = {
-    "word_len": ("word_chars / n_words", 0.75, 0.0, True),
-    "symbols": ("n_symbols / n_words", 0.75, 0.02, False),
-    "dup_lines": ("n_dup_lines / n_words", 0.98, 0.005, False),
-    "repeats": ("n_repeat_words / n_words", 0.98, 0.05, False),
+    "word_len": ("word_chars / n_words", 0.75, True),
+    "symbols": ("(n_symbols + 1) / n_words", 0.75, False),
+    "dup_lines": ("(n_dup_lines + 1) / n_words", 0.98, False),
+    "repeats": ("(n_repeat_words + 1) / n_words", 0.98, False),
 }
 
 
@@ -86,29 +89,32 @@ def merged(states: DataFrame, *by: str) -> DataFrame:
 
 
 def cutoffs(states: DataFrame) -> DataFrame:
-    """lang, source and for each ratio its fences, from the smallest group that is large enough."""
-    every, langs = merged(states).where("n > 0"), merged(states, "lang")
+    """lang_c, source_c and for each ratio its fences."""
     names = ["n", *RATIOS]
-    rows = null_safe(states, langs.select(F.col("lang").alias("lang2"), *[F.col(k).alias(f"{k}_2") for k in names]), [("lang", "lang2")])
-    rows = rows.withColumn("one", F.lit(1)).join(every.select(F.lit(1).alias("one"), *[F.col(k).alias(f"{k}_3") for k in names]), "one")
-    pick = lambda k: F.when(F.col("n") >= MIN_GROUP, F.col(k)).when(F.col("n_2") >= MIN_GROUP, F.col(f"{k}_2")).otherwise(F.col(f"{k}_3"))
-    wide = lambda k: F.when(F.col("n_2") >= MIN_GROUP, F.col(f"{k}_2")).otherwise(F.col(f"{k}_3"))
-    out = rows.select("lang", "source", *[x for k in RATIOS for x in (pick(k).alias(k), wide(k).alias(f"{k}_2"), F.col(f"{k}_3"))])
-    at = lambda k, q: F.kll_sketch_get_quantile_double(k, F.lit(q))
+    wider = lambda df, i: [F.col(k).alias(f"{k}_{i}") for k in names]
+    rows = null_safe(states, merged(states, "lang").select(F.col("lang").alias("lang2"), *wider(states, 2)), [("lang", "lang2")])
+    rows = rows.withColumn("one", F.lit(1)).join(merged(states).where("n > 0").select(F.lit(1).alias("one"), *wider(states, 3)), "one")
+    own, lang = F.col("n") / (F.col("n") + PRIOR), F.col("n_2") / (F.col("n_2") + PRIOR)
+
+    def at(k: str, q: float, i: int) -> Column:
+        """The quantile of all documents (3), of the language (2) or of the group (1), drawn to the next wider one."""
+        x = F.kll_sketch_get_quantile_double(k if i == 1 else f"{k}_{i}", F.lit(q))
+        return x if i == 3 else (own if i == 1 else lang) * x + (1 - (own if i == 1 else lang)) * at(k, q, i + 1)
+
     fences = []
-    for k, (_, high, least, low) in RATIOS.items():
-        own, lang, every = (at(x, high) - at(x, 1 - high) for x in (k, f"{k}_2", f"{k}_3"))
-        spread = F.greatest(own, LEAST_SHARE * lang, LEAST_SHARE * every, LEAST_PART.get(k, 0.0) * at(f"{k}_2", 0.5))
-        fences.append(F.greatest(at(k, high) + REACH * spread, F.lit(least)).alias(f"{k}_max"))
+    for k, (_, high, low) in RATIOS.items():
+        spreads = [at(k, high, i) - at(k, 1 - high, i) for i in (1, 2, 3)]
+        spread = F.greatest(spreads[0], LEAST_SHARE * spreads[1], LEAST_SHARE * spreads[2], LEAST_PART[k] * at(k, 0.5, 2))
+        fences.append((at(k, high, 1) + REACH * spread).alias(f"{k}_max"))
         if low:
-            fences.append((at(k, 1 - high) - REACH * spread).alias(f"{k}_min"))
-    return out.select(F.col("lang").alias("lang_c"), F.col("source").alias("source_c"), *fences)
+            fences.append((at(k, 1 - high, 1) - REACH * spread).alias(f"{k}_min"))
+    return rows.select(F.col("lang").alias("lang_c"), F.col("source").alias("source_c"), *fences)
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """rows with kept: the fixed rules, then the joined cutoffs."""
     inside = F.lit(True)
-    for k, (e, _, _, low) in RATIOS.items():
+    for k, (e, _, low) in RATIOS.items():
         inside = inside & (F.expr(e) <= F.col(f"{k}_max"))
         if low:
             inside = inside & (F.expr(e) >= F.col(f"{k}_min"))
