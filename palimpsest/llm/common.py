@@ -42,17 +42,25 @@ def utf8_bytes(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, set here only where unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir; where it is unset, one of this machine, which must be all there is."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
+        found = spark.sparkContext.getCheckpointDir()
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = found or f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/palimpsest-{spark.sparkContext.applicationId}"
 
 
+#: Paths made by this process, oldest first.
+MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, removed when the session's file systems close."""
+    """A path of its own in the shared folder, removed by released() or when the session's file systems close."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    MADE.append(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -70,6 +78,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, since: int) -> None:
+    """Removes the tables made after the first `since`, but for the last one: what a stage needed before its result was written."""
+    jvm = spark.sparkContext._jvm
+    for path in MADE[since:-1]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del MADE[since:-1]
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "inner") -> DataFrame:
     """Equi-join in which nulls match nulls; pairs name the columns of left and right."""
     on = None
