@@ -1,11 +1,16 @@
-"""A corpus from documents: stages of the llm operators, each over all that its predecessor kept."""
+"""A corpus from documents: stages of the llm operators, each over all that its predecessor kept.
+
+Defined cases: a null text is an empty one, which is kept unless another empty one is (near-dedup) and is in the mix as whole copies;
+null and repeated ids are told apart by text; null sources are a source; empty tables give no rows; other columns of documents
+stay, but for shard and slot, which the last stage's replace.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import decontaminate, mixing, sharding, simhash, toxicity
-from palimpsest.llm.common import stored, table
+from palimpsest.llm.common import MADE, released, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), len(MADE)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        released(spark, before)  # the stage before and this one's own tables
     return STAGES[-1][1](spark, docs, sf_dir)
