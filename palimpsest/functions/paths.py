@@ -13,10 +13,10 @@ NONCODE = r"(^|/)(changelog|readme|contributing|authors|license|copying|news|his
 FIXTURE = r"/samples/.*expected|expected.*/samples/|/samples/.*/output|/output.*/samples/|/samples/output|/test.*-bundle\.js$|/(fixtures|__fixtures__)/|__snapshots__|\.snap$|/benchmarks?/|^benchmarks/|(^|/)asv_bench/|/test[-_]examples/"
 EXCLUDED = r"\.(md|mdx|lock|txt|rst|yaml|yml)$|(^|/)(site|docs)/|(^|/)(changelog|readme|contributing|authors|license|copying|news|history)[^/]*$"
 KEPT_JSON = r"(^|/)(package|tsconfig|palimpsest)\.json$"
-#: Folder names no file below which is read, and extensions of generated or binary files.
+# Folder names no file below which is read, and extensions of generated or binary files.
 DENIED_FOLDERS = ("node_modules", "__pycache__", ".git", "dist", "build", "target", ".palimpsest", "vendor", ".venv", "venv", ".env")
 DENIED_EXTENSIONS = ("lock", "min.js", "min.css", "map", "wasm", "png", "jpg", "jpeg", "gif", "svg", "ico", "ttf", "woff", "woff2", "eot", "pdf", "zip", "tar", "gz", "exe", "dll", "so", "dylib", "pyc", "pyo", "class", "o", "obj")
-#: Language of an extension, as parsers see it and as reports name it.
+# Language of an extension, as parsers see it and as reports name it.
 PARSED = {"rs": "rust", "py": "python", "pyi": "python", "pyw": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "tsx", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "hh": "cpp", "rb": "ruby", "sh": "bash", "bash": "bash", "json": "json", "html": "html", "htm": "html", "css": "css", "cs": "c_sharp", "lua": "lua", "zig": "zig", "swift": "swift"}
 NAMED = {"rs": "Rust", "py": "Python", "js": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "jsx": "JavaScript", "go": "Go", "java": "Java", "c": "C", "h": "C", "cpp": "C++", "cc": "C++", "cxx": "C++", "hpp": "C++", "cs": "C#", "rb": "Ruby", "swift": "Swift", "kt": "Kotlin", "kts": "Kotlin", "lua": "Lua", "zig": "Zig", "sh": "Shell", "bash": "Shell", "html": "HTML", "htm": "HTML", "css": "CSS", "scss": "CSS", "less": "CSS", "json": "JSON", "yaml": "YAML", "yml": "YAML", "toml": "TOML", "md": "Markdown", "markdown": "Markdown"}
 
@@ -110,19 +110,52 @@ def source_candidates(path: Column) -> Column:
     return F.concat(js_paths, py_paths, py_tail, native_paths, jvm_paths)
 
 
-def conventions(paths: Column) -> Column:
-    """From an array of paths, the conventions they show, in a fixed order (for AGG-15)."""
-    some = lambda rx: F.exists(paths, lambda x: x.rlike(rx))
-    names = [
-        (some(r"src/app/.*page\.tsx$"), "Next.js App Router (src/app/**/page.tsx)"),
-        (some(r"app/.*page\.tsx$") & ~some(r"src/app/.*page\.tsx$"), "Next.js App Router (app/**/page.tsx)"),
-        (some("src/pages/"), "Next.js Pages Router (src/pages/)"),
-        (some(r"api/.*route\.(ts|js)$"), "Next.js API routes (api/**/route.ts)"),
-        (some("components/"), "Component-based architecture (components/)"),
-        (some("lib/"), "Library/utilities pattern (lib/)"),
-        (some(r"tests/|__tests__/|_test\.go|_test\.rs"), "Test suite present"),
-        (some("models/|schemas/"), "Data models/schemas pattern"),
-        (some(r"^Cargo\.toml$|^crates/"), "Rust workspace"),
-        (some(r"prisma/schema\.prisma"), "Prisma ORM (prisma/schema.prisma)"),
-    ]
-    return F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in names]))
+#: Conventions that paths show, in order, with the pattern of a path that shows them.
+CONVENTIONS = (
+    (r"src/app/.*page\.tsx$", "Next.js App Router (src/app/**/page.tsx)"),
+    (r"app/.*page\.tsx$", "Next.js App Router (app/**/page.tsx)"),
+    ("src/pages/", "Next.js Pages Router (src/pages/)"),
+    (r"api/.*route\.(ts|js)$", "Next.js API routes (api/**/route.ts)"),
+    ("components/", "Component-based architecture (components/)"),
+    ("lib/", "Library/utilities pattern (lib/)"),
+    (r"tests/|__tests__/|_test\.go|_test\.rs", "Test suite present"),
+    ("models/|schemas/", "Data models/schemas pattern"),
+    (r"^Cargo\.toml$|^crates/", "Rust workspace"),
+    (r"prisma/schema\.prisma", "Prisma ORM (prisma/schema.prisma)"),
+)
+
+
+def conventions(path: Column) -> Column:
+    """An aggregate over paths: the conventions they show, in order; the second goes where the first holds. No path is gathered."""
+    shown = [F.coalesce(F.bool_or(path.rlike(rx)), F.lit(False)) for rx, _ in CONVENTIONS]
+    shown[1] = shown[1] & ~shown[0]
+    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, (_, name) in zip(shown, CONVENTIONS, strict=True)]))
+
+
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether ignore rules (lines as in .gitignore, the last match counts, ! takes back) leave a relative path out."""
+    out = F.lit(False)
+    for line in rules:
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        keep = rule.startswith("!")
+        out = F.when(path.rlike(glob_pattern(rule[1:] if keep else rule)), F.lit(not keep)).otherwise(out)
+    return out
+
+
+def glob_pattern(rule: str) -> str:
+    """A pattern for paths that an ignore rule matches, themselves or by a folder above."""
+    import re
+
+    rule = rule.rstrip("/") if rule.endswith("/") else rule
+    anchored = "/" in rule
+    parts = re.split(r"(/\*\*/|\*\*/|/\*\*|\*|\?|\[[^\]]*\])", rule.lstrip("/"))
+    made = {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}
+    body = "".join(made.get(x) or (x.replace("[!", "[^") if x.startswith("[") else re.escape(x)) for x in parts)
+    return ("^" if anchored else "(?:^|/)") + body + "(?:/|$)"
+
+
+def is_relevant_change(kind: Column, paths_: Column, data_dir: str) -> Column:
+    """Whether a change of files counts: made, modified or removed, and not all inside the engine's own folder."""
+    return kind.isin("create", "modify", "remove") & F.exists(paths_, lambda p: ~((p == data_dir) | F.startswith(p, F.lit(data_dir.rstrip("/") + "/"))))

@@ -89,24 +89,31 @@ def is_literal_like(query: Column) -> Column:
     return ~q.rlike(r"\s") & (F.octet_length(q) >= 8) & (q.rlike(r"[^\p{L}\p{N}]|\p{N}") | (q.rlike(r"\p{Lu}") & q.rlike(r"\p{Ll}")))
 
 
+#: Extensions of files that a query can mention.
+MENTIONED = "py|rs|js|ts|jsx|tsx|go|java|kt|rb|c|cpp|h|hpp|cs|swift|scala"
+
+
 def looks_like_path(token: Column) -> Column:
-    return (F.octet_length(token) >= 4) & token.rlike(r"[/\\]") & token.rlike(r"\.(py|js|ts|tsx|jsx|rs|go|java|rb|c|cpp|h|hpp|cs|php|swift|kt)$")
+    return (F.octet_length(token) >= 4) & token.rlike(r"[/\\]") & F.lower(token).rlike(rf"\.({MENTIONED})$")
 
 
 def is_snake_case(token: Column) -> Column:
-    return token.rlike(r"^[\p{L}\p{N}_]+$") & token.rlike(r"[\p{L}\p{N}]_[\p{L}\p{N}]")
+    """Letters, digits and at least one underscore, with a letter among them."""
+    return token.rlike(r"^[\p{L}\p{N}_]+$") & token.rlike("_") & token.rlike(r"\p{L}")
 
 
 def is_camel_case(token: Column) -> Column:
-    return token.rlike(r"^[\p{L}\p{N}]+$") & token.rlike(r"\p{Ll}\p{Lu}")
+    """Letters and digits that begin with an upper-case letter and hold a lower-case one."""
+    return token.rlike(r"^\p{Lu}[\p{L}\p{N}]*$") & token.rlike(r"\p{Ll}")
 
 
 def is_dot_notation(token: Column) -> Column:
-    return token.rlike(r"^[\p{L}_][\p{L}\p{N}_]*(\.[\p{L}_][\p{L}\p{N}_]*)+$")
+    return token.rlike(r"^[\p{L}\p{N}_]+(\.[\p{L}\p{N}_]+)+$")
 
 
 def is_path_like(token: Column) -> Column:
-    return F.contains(token, F.lit("/")) & ~token.rlike(r"\s")
+    """Words with a slash between that are no file's path."""
+    return (F.octet_length(token) >= 4) & token.rlike(r"^[\p{L}\p{N}/_.-]+$") & F.contains(token, F.lit("/")) & ~looks_like_path(token)
 
 
 def approximate_timestamp(iso: Column) -> Column:
@@ -127,6 +134,63 @@ def timestamp_or_unix(value: Column) -> Column:
     return F.when(n > 10**12, F.floor(n / 1000)).when(n.isNotNull(), n).otherwise(exact_timestamp(value))
 
 
+def encoded_repo_path(path: Column) -> Column:
+    """A path as the name of a folder of logs."""
+    return F.translate(path, "/", "-")
+
+
+def day_label(created_at: Column, now: int) -> Column:
+    """How long ago, in whole days."""
+    days = F.floor((F.lit(now) - created_at) / 86400)
+    return F.when(days == 0, "today").when(days == 1, "yesterday").otherwise(F.concat(days.cast("string"), F.lit(" days ago")))
+
+
+def date_label(seconds: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(F.floor(seconds / 86400) * 86400), "y-MM-dd")
+
+
+def byte_label(n: Column) -> Column:
+    """Bytes with their unit, to one digit from a kilobyte on."""
+    one = lambda d: F.format_string("%.1f", F.round(n / float(d), 1))
+    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(one(1 << 10), F.lit(" KB"))).otherwise(F.concat(one(1 << 20), F.lit(" MB")))
+
+
+def number_label(n: Column) -> Column:
+    return F.format_number(n.cast("long"), 0)
+
+
+#: Names of a node's domain.
+DOMAINS = {"code": "code", "conversation": "conversation", "conv": "conversation", "chat": "conversation", "document": "document", "doc": "document", "structured": "structured", "data": "structured", "observation": "observation", "obs": "observation"}
+
+
+def domain_of(name: Column) -> Column:
+    """A domain by any of its names; null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in DOMAINS.items() for x in kv]), F.lower(name))
+
+
+def stripped(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
+def tag_block(text: Column, tag: str) -> Column:
+    """What the first block of a tag holds, trimmed; null without one or where it is empty."""
+    return F.nullif(stripped(F.regexp_extract(text, f"(?s)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
+
+
+def user_text(text: Column) -> Column:
+    """A user's own words: of texts that begin with an editor's notes only what is marked as the query."""
+    notes = text.rlike(r"^\s*<(open_and_recently_viewed_files|user_info)>")
+    return F.when(notes, F.coalesce(tag_block(text, "user_query"), F.lit(""))).otherwise(stripped(text))
+
+
+def json_mentions(json: Column, part: str) -> Column:
+    """Whether a string value anywhere in a JSON text holds part; keys don't count."""
+    values = F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"\s*:', "")
+    strings = F.regexp_extract_all(values, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    return F.lit(bool(part)) & F.coalesce(F.exists(strings, lambda s: F.contains(F.replace(s, F.lit("\\/"), F.lit("/")), F.lit(part))), F.lit(False))
+
+
 def split_identifier(name: Column) -> Column:
     """Words of a camel, snake or acronym identifier, lower-cased, one space between."""
     x = F.regexp_replace(name, r"([A-Z]+)([A-Z][a-z])", "$1 $2")

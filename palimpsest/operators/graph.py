@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import estimated_tokens
+
 CONTAINERS = ("class", "module", "struct", "trait", "enum", "interface", "doc_section")
 #: How specific a kind is where two nodes have one span.
 SPECIFICITY = {"method": 4, "function": 3, "class": 2, "struct": 2, "trait": 2, "interface": 2, "enum": 2, "module": 1, "macro": 1, "type": 1, "doc_section": 0}
@@ -88,6 +90,53 @@ def remove_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone, edges.src_id == gone.node, "left_anti").join(gone, edges.dst_id == gone.node, "left_anti")
 
 
+def live_memory_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges of memory that still end at a node: what a rebuilt graph carries over."""
+    return edges.where("edge_type in ('discussed', 'triggered')").join(nodes.select(F.col("node_id").alias("dst_id")).distinct(), "dst_id", "left_semi")
+
+
+def counts(edges: DataFrame) -> DataFrame:
+    """One row: edges and distinct ends."""
+    ends = edges.select("src_id").union(edges.select("dst_id")).distinct()
+    return edges.agg(F.count("*").alias("n_edges")).join(ends.agg(F.count("*").alias("n_nodes")))  # one row each
+
+
+def looked_up(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """query_id, node_id of asked(query_id, key): the node of that id, else of that name, else of that file, a module or class first, then by line."""
+    n = nodes.select("node_id", "name", "file_path", "kind", "start_line")
+    ways = [("node_id", F.lit(0)), ("name", F.lit(0)), ("file_path", F.when(F.col("kind").isin("module", "class"), 0).otherwise(1))]
+    found = None
+    for i, (column, order) in enumerate(ways):
+        rows = asked.join(n.withColumn("key", F.col(column)), "key").select("query_id", F.struct(F.lit(i).alias("way"), order.alias("order"), (F.col("start_line") if column == "file_path" else F.lit(0)).cast("long").alias("line"), "node_id").alias("x"))
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("query_id").agg(F.min("x")["node_id"].alias("node_id"))
+
+
+def suggestions(asked: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
+    """query_id, node_id, rank: nodes whose name holds the key or whose id begins with it, at most `most`, by id."""
+    n = nodes.select("node_id", "name")
+    rows = n.join(F.broadcast(asked), F.contains("name", F.col("key")) | F.startswith("node_id", F.col("key")))  # keys that a user typed
+    order = W.partitionBy("query_id").orderBy("node_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "node_id", "rank")
+
+
+def neighbor_signatures(edges: DataFrame, nodes: DataFrame, owned: DataFrame, max_tokens: int) -> DataFrame:
+    """query_id, dst_id, used: what owned files import from others, first seen first, while signatures fit.
+
+    owned(query_id, file_path). Sources go by id and so do their targets; at a target that doesn't fit the rest of its source is left. Only a
+    query's distinct imports meet, in a fold over (source, target, cost).
+    """
+    n = nodes.select("node_id", "file_path", (estimated_tokens(F.col("signature")) + 5).alias("cost"))
+    own = owned.join(n, "file_path").select("query_id", F.col("node_id").alias("src_id"))
+    e = edges.where("edge_type = 'import'").select("src_id", "dst_id").distinct()
+    rows = own.join(e, "src_id").join(n.select(F.col("node_id").alias("dst_id"), "file_path", "cost"), "dst_id").join(owned, ["query_id", "file_path"], "left_anti")
+    xs = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("src_id", "dst_id", "cost"))).alias("xs"))
+    start = "named_struct('used', 0L, 'shut', '', 'took', cast(array() AS array<struct<dst_id:string,used:bigint>>))"
+    seen = "exists(a.took, y -> y.dst_id = x.dst_id)"
+    step = f"if(x.src_id = a.shut OR {seen}, a, if(a.used + x.cost > {max_tokens}, named_struct('used', a.used, 'shut', x.src_id, 'took', a.took), named_struct('used', a.used + x.cost, 'shut', a.shut, 'took', concat(a.took, array(named_struct('dst_id', x.dst_id, 'used', a.used + x.cost))))))"
+    return xs.selectExpr("query_id", f"explode(aggregate(xs, {start}, (a, x) -> {step}).took) AS t").select("query_id", "t.dst_id", "t.used")
+
+
 def k_hop(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """query_id, node, depth: the least number of undirected steps from seeds(query_id, node), up to depth."""
     links = both_ways(edges).select("node", "other").distinct()
@@ -103,13 +152,20 @@ def expand(edges: DataFrame, anchors: DataFrame, costs: DataFrame, budget: int,
     """query_id, node_id, place, depth, used: nodes taken within the token budget, best edges first.
 
     anchors(query_id, node_id, rank) come in order, each if it fits. Then the neighbours of taken
-    nodes by confidence, depth and id; one that doesn't fit is passed over. The reach of each query is found by
-    joins first; the ordered walk then runs over that subgraph alone, one query per group.
+    nodes by confidence, depth and id; one that doesn't fit is passed over. Of a node's neighbours of one confidence and cost only
+    the first budget / cost can be taken (once one of them didn't fit, none does), so the links of a hub are cut to what the budget bounds,
+    exactly. The reach of each query is found by joins over those; the ordered walk then runs over that subgraph alone, one query per group.
     """
-    reach = k_hop(edges, anchors.select("query_id", F.col("node_id").alias("node")), depth)
-    near = both_ways(edges).groupBy("node", "other").agg(F.max("confidence").alias("confidence"))
-    sub = reach.where(F.col("depth") < depth).join(near, "node").join(costs.select(F.col("node_id").alias("other"), F.col("tokens").alias("cost")), "other", "left")
-    sub = sub.select("query_id", "node", "other", "confidence", F.coalesce("cost", F.lit(0)).cast("long").alias("cost"), F.lit(None).cast("int").alias("rank"))
+    near = both_ways(edges).groupBy("node", "other").agg(F.max("confidence").alias("confidence")).join(costs.select(F.col("node_id").alias("other"), F.col("tokens").alias("cost")), "other", "left")
+    near = near.withColumn("cost", F.coalesce("cost", F.lit(0)).cast("long"))
+    alike = F.row_number().over(W.partitionBy("node", "confidence", "cost").orderBy("other"))
+    near = near.withColumn("k", alike).where((F.col("cost") <= 0) | (F.col("k") * F.col("cost") <= budget)).drop("k")
+    seen = front = anchors.select("query_id", F.col("node_id").alias("node")).distinct().withColumn("depth", F.lit(0))
+    for d in range(1, depth):
+        step = front.join(near, "node").select("query_id", F.col("other").alias("node")).distinct()
+        front = step.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("depth", F.lit(d))
+        seen = seen.unionByName(front)
+    sub = seen.join(near, "node").select("query_id", "node", "other", "confidence", "cost", F.lit(None).cast("int").alias("rank"))
     first = anchors.join(costs, "node_id", "left").select("query_id", F.col("node_id").alias("node"), F.lit(None).cast("string").alias("other"), F.lit(2).alias("confidence"), F.coalesce("tokens", F.lit(0)).cast("long").alias("cost"), F.col("rank").cast("int").alias("rank"))
 
     def walk(key: tuple, rows) -> Iterator:

@@ -37,7 +37,10 @@ def literal_score(query: Column) -> Column:
 
 
 def literal_boost(rows: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """Adds literal_score to ranked rows and injects matching nodes that weren't ranked, for literal-like queries."""
+    """Adds literal_score to ranked rows and injects matching nodes that weren't ranked, for literal-like queries.
+
+    Literals may stand anywhere in a text, so each node is read once, against the literals of the stated queries.
+    """
     from ..functions.text import is_literal_like
 
     literal = queries.where(is_literal_like(F.col("text"))).select("query_id", F.col("text").alias("query"))
@@ -49,7 +52,16 @@ def literal_boost(rows: DataFrame, nodes: DataFrame, queries: DataFrame) -> Data
 
 def path_boost(score: Column, path: Column, mentioned: Column, boost: float = 0.05) -> Column:
     """score, more by boost if the path holds one of the mentioned paths."""
-    return score + F.when(F.exists(mentioned, lambda m: F.contains(path, m)), boost).otherwise(0.0)
+    return score + F.when(F.coalesce(F.exists(mentioned, lambda m: F.contains(paths.slashed(path), m)), F.lit(False)), boost).otherwise(0.0)
+
+
+def boosted_by_paths(rows: DataFrame, queries: DataFrame, boost: float = 0.05) -> DataFrame:
+    """rows(query_id, node_id, file_path, score) with path_boost by the paths that queries(query_id, text) mention."""
+    from ..functions.queries import file_paths
+
+    asked = queries.select("query_id", file_paths(F.col("text")).alias("__mentioned"))
+    out = rows.join(asked, "query_id", "left").withColumn("score", F.round(path_boost(F.col("score"), F.col("file_path"), F.col("__mentioned"), boost), 8))
+    return reranked(out.drop("__mentioned", "rank"))
 
 
 def test_penalty(score: Column, path: Column, penalty: float = 0.85, patterns: list[str] | None = None) -> Column:
@@ -83,10 +95,16 @@ def directory_cohesion(rows: DataFrame, top: int = 5, boost: float = 0.01) -> Da
     return reranked(rows.select("query_id", "node_id", F.round(F.col("score") + F.when((F.col("rank") > top) & F.col("shared"), boost).otherwise(0.0), 6).alias("score")))
 
 
-def rank_pipeline(rows: DataFrame, nodes: DataFrame, penalty: float = 0.85, anchors: int = 5) -> DataFrame:
-    """From fused rows: without documentation, tests and fixtures penalised, the first anchors."""
+def rank_pipeline(rows: DataFrame, nodes: DataFrame, queries: DataFrame | None = None, penalty: float = 0.85, anchors: int | None = 5, penalty_paths: list[str] | None = None) -> DataFrame:
+    """From fused rows to anchors: documentation out, literal boost, boost of mentioned paths, tests and fixtures penalised.
+
+    Literal matches may bring documentation back. nodes: node_id, file_path, and for queries(query_id, text) name, signature, doc_comment, text.
+    """
     rows = drop_noncode(with_nodes(rows, nodes, "file_path"))
+    if queries is not None:
+        rows = with_nodes(literal_boost(reranked(rows.drop("rank")), nodes, queries), nodes, "file_path")
+        rows = boosted_by_paths(rows, queries)
     path = F.col("file_path")
-    score = fixture_penalty(test_penalty(F.col("score"), path, penalty), path)
+    score = fixture_penalty(test_penalty(F.col("score"), path, penalty, penalty_paths), path)
     out = reranked(rows.select("query_id", "node_id", "file_path", F.round(score, 8).alias("score")))
-    return out.where(F.col("rank") <= anchors)
+    return out if anchors is None else out.where(F.col("rank") <= anchors)

@@ -53,14 +53,20 @@ def q_terms(spark, d):
     return t.select("item_id", F.array_join("t", " OR ").alias("q"), F.size("t").cast("long").alias("n"))
 
 
-BM25 = f"""tok AS (SELECT doc_id, unnest({TOK.format('text')}) AS term, len({TOK.format('text')}) AS len FROM documents),
+def bm25_sql(docs: str, queries: str, k: int = 40, key: str = "lpad(doc_id::VARCHAR, 12, '0')") -> str:
+    """CTEs up to fts(query_id, doc_id, score, rank) over docs(doc_id, text) and queries(query_id, text)."""
+    return f"""bd AS ({docs}), bq AS ({queries}),
+tok AS (SELECT doc_id, unnest({TOK.format('text')}) AS term, len({TOK.format('text')}) AS len FROM bd),
 post AS (SELECT doc_id, term, len, count(*) AS tf FROM tok GROUP BY ALL),
-tot AS (SELECT count(*) AS n, avg(len({TOK.format('text')})) AS avg_len FROM documents),
-asked AS (SELECT DISTINCT item_id, unnest({TERMS.format(TOK.format('text'))}) AS term FROM benchmark),
+tot AS (SELECT count(*) AS n, avg(len({TOK.format('text')})) AS avg_len FROM bd),
+asked AS (SELECT DISTINCT query_id, unnest({TERMS.format(TOK.format('text'))}) AS term FROM bq),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-sc AS (SELECT a.item_id AS query_id, p.doc_id, round(sum(ln(1 + (tot.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.len / tot.avg_len))), 6) AS score
+sc AS (SELECT a.query_id, p.doc_id, round(sum(ln(1 + (tot.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.len / tot.avg_len))), 6) AS score
   FROM asked a JOIN post p USING (term) JOIN df USING (term) CROSS JOIN tot GROUP BY ALL),
-fts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lpad(doc_id::VARCHAR, 12, '0')) AS rank FROM sc) WHERE rank <= 40)"""
+fts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS rank FROM sc) WHERE rank <= {k})"""
+
+
+BM25 = bm25_sql("SELECT doc_id, text FROM documents", "SELECT item_id AS query_id, text FROM benchmark")
 VEC = """q0 AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
 vd AS (SELECT query_id, vec_id AS doc_id, round(list_sum(list_transform(list_zip(embedding, qe), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS d FROM embeddings CROSS JOIN q0),
 vec AS (SELECT query_id, doc_id, round(1 / (1 + d), 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, lpad(doc_id::VARCHAR, 12, '0')) AS rank FROM vd) WHERE rank <= 40)"""
@@ -70,8 +76,28 @@ def _items(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+#: Stored indexes of this process, by application and tables.
+INDEXES: dict[tuple[str, str], search.TextIndex] = {}
+
+
+def shared_path(spark, name: str) -> str:
+    """A path of its own in the shared folder, or of this machine where it is all there is (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or f'file://{tempfile.mkdtemp(prefix="palimpsest-")}').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def text_index(spark, d) -> search.TextIndex:
+    """The inverted index over documents, written once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in INDEXES:
+        INDEXES[key] = search.TextIndex.written(nodes(spark, d).select("node_id", "text"), shared_path(spark, "text-index"))
+    return INDEXES[key]
+
+
 def _fts(spark, d) -> DataFrame:
-    return search.bm25(nodes(spark, d).select("node_id", "text"), _items(spark, d), 40)
+    return search.bm25(text_index(spark, d), _items(spark, d), 40)
 
 
 def _vec(spark, d) -> DataFrame:
@@ -117,22 +143,35 @@ def q_rrf_weighted(spark, d):
     return _doc(search.rrf(lists).where("rank <= 5"))
 
 
-@query(f"""WITH {NODES}, {FUSED},
-r0 AS (SELECT f.query_id, f.doc_id, n.file_path, f.score FROM fused f JOIN n USING (doc_id) WHERE NOT regexp_matches(lower(n.file_path), '{P.NONCODE}')),
-r1 AS (SELECT query_id, doc_id, file_path, round(score * CASE WHEN regexp_matches(lower(file_path), '{P.TEST_DIR}|{P.TEST_NAME}') OR regexp_matches(file_path, '{P.TEST_CLASS}') THEN 1 - 0.85::DOUBLE ELSE 1 END * CASE WHEN regexp_matches(lower(file_path), '{P.FIXTURE}') THEN 0.05::DOUBLE ELSE 1 END, 8) AS score FROM r0)
-SELECT query_id, doc_id, file_path, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lpad(doc_id::VARCHAR, 12, '0')) AS rank FROM r1) WHERE rank <= 5""")
+PATHQ = "pq AS (SELECT 1000000000 + doc_id AS query_id, file_path AS text FROM n WHERE doc_id % 20 = 0)"
+IS_TEST = f"(regexp_matches(lower(file_path), '{P.TEST_DIR}|{P.TEST_NAME}') OR regexp_matches(file_path, '{P.TEST_CLASS}'))"
+
+
+@query(f"""WITH {NODES}, {PATHQ}, {bm25_sql("SELECT doc_id, text FROM documents", "SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT query_id, text FROM pq")}, {VEC},
+al AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s FROM fts UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM vec),
+f0 AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM al WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY ALL),
+r0 AS (SELECT f.query_id, f.doc_id, f.score FROM f0 f JOIN n USING (doc_id) WHERE NOT regexp_matches(lower(n.file_path), '{P.NONCODE}')),
+lit AS (SELECT pq.query_id, n.doc_id, greatest(CASE WHEN contains(lower(n.text), lower(pq.text)) THEN 0.035 ELSE 0 END, CASE WHEN contains(lower(n.file_path), lower(pq.text)) THEN 0.025 ELSE 0 END)::DOUBLE AS boost FROM pq JOIN n ON contains(lower(n.text), lower(pq.text)) OR contains(lower(n.file_path), lower(pq.text))),
+r1 AS (SELECT coalesce(r0.query_id, lit.query_id) AS query_id, coalesce(r0.doc_id, lit.doc_id) AS doc_id, round(coalesce(score, 0) + coalesce(boost, 0), 6) AS score FROM r0 FULL JOIN lit ON r0.query_id = lit.query_id AND r0.doc_id = lit.doc_id),
+r2 AS (SELECT r1.query_id, r1.doc_id, n.file_path, round(r1.score + CASE WHEN pq.text IS NOT NULL AND NOT pq.text LIKE '%.md' AND contains(n.file_path, pq.text) THEN 0.05::DOUBLE ELSE 0 END, 8) AS score FROM r1 JOIN n USING (doc_id) LEFT JOIN pq USING (query_id)),
+r3 AS (SELECT query_id, doc_id, file_path, round(score * CASE WHEN {IS_TEST} THEN 1 - 0.85::DOUBLE ELSE 1 END * CASE WHEN regexp_matches(lower(file_path), '{P.FIXTURE}') THEN 0.05::DOUBLE ELSE 1 END, 8) AS score FROM r2)
+SELECT query_id, doc_id, file_path, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lpad(doc_id::VARCHAR, 12, '0')) AS rank FROM r3) WHERE rank <= 5""")
 def q_rank_pipeline(spark, d):
-    n = nodes(spark, d).select("node_id", "file_path")
-    out = ranking.rank_pipeline(search.rrf([(_fts(spark, d), 1.0), (_vec(spark, d), 1.0)]).join(n, "node_id", "left_semi"), n)
+    """All steps in order, for the benchmark's items and for queries that are a path: those of every document whose id is divisible by 20."""
+    n = nodes(spark, d).select("node_id", "file_path", "name", "signature", "doc_comment", "text")
+    asked = _items(spark, d).unionByName(nodes(spark, d).where("doc_id % 20 = 0").select((F.col("doc_id") + 1_000_000_000).alias("query_id"), F.col("file_path").alias("text")))
+    fts = search.bm25(text_index(spark, d), asked, 40)
+    fused = search.rrf([(fts, 1.0), (_vec(spark, d), 1.0)]).join(n.select("node_id"), "node_id", "left_semi")
+    out = ranking.rank_pipeline(fused, n, asked)
     return out.select("query_id", F.col("node_id").cast("long").alias("doc_id"), "file_path", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {NODES}, q AS (SELECT query_id, 'src/MOD_' || (query_id * 7 + 3) AS text FROM range(100, 120) t(query_id)),
+@query(f"""WITH {NODES}, q AS (SELECT query_id, 'src/MOD_' || (query_id * 7 + 3) AS text FROM (SELECT doc_id AS query_id FROM documents WHERE doc_id % 20 = 0)),
 m AS (SELECT q.query_id, n.doc_id, greatest(CASE WHEN lower(name) = lower(q.text) THEN 0.06 ELSE 0 END, CASE WHEN contains(lower(signature), lower(q.text)) THEN 0.05 ELSE 0 END, CASE WHEN contains(lower(doc_comment), lower(q.text)) THEN 0.04 ELSE 0 END, CASE WHEN contains(lower(n.text), lower(q.text)) THEN 0.035 ELSE 0 END, CASE WHEN contains(lower(file_path), lower(q.text)) THEN 0.025 ELSE 0 END, CASE WHEN contains(lower(name), lower(q.text)) THEN 0.02 ELSE 0 END)::DOUBLE AS score
  FROM q JOIN n ON strlen(q.text) >= 8)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM m WHERE score > 0""")
 def q_literal(spark, d):
-    q = spark.range(100, 120).select(F.col("id").alias("query_id"), F.concat(F.lit("src/MOD_"), (F.col("id") * 7 + 3).cast("string")).alias("text"))
+    q = table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("src/MOD_"), (F.col("doc_id") * 7 + 3).cast("string")).alias("text"))
     none = spark.createDataFrame([], "query_id long, node_id string, score double")
     return _doc(ranking.literal_boost(none, nodes(spark, d), q))
 
@@ -169,8 +208,8 @@ def q_source_neighbors(spark, d):
     return _doc(ranking.source_neighbors(_ranked(spark, d), nodes(spark, d)))
 
 
-@query(f"""WITH {SPANS} SELECT a.node_id AS src_id, b.node_id AS dst_id FROM sp a JOIN sp b ON a.file_path = b.file_path AND a.start_byte <= b.start_byte AND a.end_byte >= b.end_byte
-WHERE a.kind IN ('class', 'module') AND (a.end_byte - a.start_byte > b.end_byte - b.start_byte OR (a.end_byte - a.start_byte = b.end_byte - b.start_byte AND a.pos < b.pos))""")
+@query(f"""WITH {SPANS.replace("sp AS (", "sp AS MATERIALIZED (")}, c AS MATERIALIZED (SELECT * FROM sp WHERE kind IN ('class', 'module')), p AS MATERIALIZED (SELECT a.node_id AS src_id, b.node_id AS dst_id, a.start_byte - b.start_byte AS s, a.end_byte - b.end_byte AS e, a.pos - b.pos AS p FROM c a JOIN sp b ON a.file_path = b.file_path)
+SELECT src_id, dst_id FROM p WHERE s <= 0 AND e >= 0 AND (e > s OR p < 0)""")
 def q_contain(spark, d):
     return graph.containment(spans(spark, d)).select("src_id", "dst_id")
 
@@ -184,14 +223,14 @@ def q_innermost(spark, d):
     return graph.innermost(refs, s).select("ref_id", "offset", "node_id")
 
 
-SYMBOLS = "y AS (SELECT 'p' || p_partkey AS dst_id, p_brand AS dst_file, split_part(p_name, ' ', 1) || p_size AS name FROM part), c AS (SELECT name, count(*) AS n FROM y GROUP BY name), ref AS (SELECT DISTINCT 'p' || l_partkey AS src_id, p_brand AS src_file, split_part(p_name, ' ', 1) || (p_size + 1) AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 10 = 0)"
+SYMBOLS = "y AS (SELECT 'p' || p_partkey AS dst_id, p_brand AS dst_file, split_part(p_name, ' ', 1) || p_size AS name FROM part), c AS (SELECT name, count(*) AS n FROM y GROUP BY name), ref AS (SELECT DISTINCT 'p' || l_partkey AS src_id, p_brand AS src_file, split_part(p_name, ' ', 1) || (p_size + 1) AS name FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
 def _symbols(spark, d) -> tuple[DataFrame, DataFrame]:
     p = table(spark, d, "part")
     key = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
     targets = p.select(key.alias("node_id"), F.col("p_brand").alias("file_path"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.col("p_size").cast("string")).alias("name"))
-    used = table(spark, d, "lineitem").where("l_partkey % 10 = 0").select(F.col("l_partkey").alias("p_partkey"))
+    used = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
     refs = p.join(used, "p_partkey", "left_semi").select(key.alias("src_id"), F.col("p_brand").alias("src_file"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), (F.col("p_size") + 1).cast("string")).alias("name"))
     return refs, targets
 
@@ -218,17 +257,17 @@ def q_hotspots(spark, d):
 
 
 @query(f"""WITH RECURSIVE {EDGES}, l AS (SELECT DISTINCT src_id AS a, dst_id AS b FROM e UNION SELECT DISTINCT dst_id, src_id FROM e),
-k AS (SELECT 's' || s_suppkey AS query_id, 's' || s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey <= 3 UNION SELECT query_id, l.b, depth + 1 FROM k JOIN l ON l.a = k.node WHERE depth < 2)
+k AS (SELECT 's' || s_suppkey AS query_id, 's' || s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey % 20 = 0 UNION SELECT query_id, l.b, depth + 1 FROM k JOIN l ON l.a = k.node WHERE depth < 2)
 SELECT query_id, node, min(depth)::BIGINT AS depth FROM k GROUP BY ALL""")
 def q_khop(spark, d):
-    seeds = table(spark, d, "supplier").where("s_suppkey <= 3").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("query_id"))
+    seeds = table(spark, d, "supplier").where("s_suppkey % 20 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("query_id"))
     out = graph.k_hop(edges(spark, d), seeds.withColumn("node", F.col("query_id")), 2)
     return out.select("query_id", "node", F.col("depth").cast("long").alias("depth"))
 
 
 @query()
 def q_expand(spark, d):
-    anchors = table(spark, d, "supplier").where("s_suppkey <= 3").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node_id"), F.lit(1).alias("rank"))
+    anchors = table(spark, d, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node_id"), F.lit(1).alias("rank"))
     costs = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), (F.col("p_size") * 10).cast("long").alias("tokens"))
     return graph.expand(edges(spark, d), anchors, costs, 4096, 2)
 
@@ -248,18 +287,17 @@ def q_topology(spark, d):
     return graph.both_ways(edges(spark, d)).join(names, "node", "left").groupBy("node", "p_name", "direction", "edge_type").agg(F.count("*").alias("n"), F.count_distinct("other").alias("others"))
 
 
-@query(f"""WITH {EDGES}, own AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_suppkey <= 5),
-t AS (SELECT DISTINCT src_id, dst_id FROM e WHERE edge_type = 'import' AND src_id IN (SELECT id FROM own) AND dst_id NOT IN (SELECT id FROM own)),
+@query(f"""WITH {EDGES}, own AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_suppkey % 20 = 0),
+t AS (SELECT DISTINCT src_id, dst_id FROM e WHERE edge_type = 'import' AND src_id IN (SELECT id FROM own)),
 r AS (SELECT src_id, dst_id, strlen(p_name) // 4 + 5 AS cost FROM t JOIN part ON dst_id = 'p' || p_partkey),
 c AS (SELECT *, sum(cost) OVER (PARTITION BY src_id ORDER BY dst_id) AS used FROM r)
-SELECT src_id, dst_id, used::BIGINT AS used FROM c WHERE used <= 400""")
+SELECT src_id AS query_id, dst_id, used::BIGINT AS used FROM c WHERE used <= 400""")
 def q_neighbor_signatures(spark, d):
-    e = edges(spark, d).where("edge_type = 'import'")
-    own = table(spark, d, "supplier").where("s_suppkey <= 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
-    rows = e.join(own, e.src_id == own.id, "left_semi").join(own, e.dst_id == own.id, "left_anti").select("src_id", "dst_id").distinct()
-    sig = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("dst_id"), (T.estimated_tokens(F.col("p_name")) + 5).alias("cost"))
-    used = F.sum("cost").over(W.partitionBy("src_id").orderBy("dst_id"))
-    return rows.join(sig, "dst_id").withColumn("used", used).where("used <= 400").select("src_id", "dst_id", "used")
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("node_id")
+    parts = table(spark, d, "part").select(key("p", "p_partkey"), F.col("p_brand").alias("file_path"), F.col("p_name").alias("signature"))
+    suppliers = table(spark, d, "supplier").select(key("s", "s_suppkey"), F.col("s_name").alias("file_path"), F.lit("").alias("signature"))
+    owned = table(spark, d, "supplier").where("s_suppkey % 20 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("query_id"), F.col("s_name").alias("file_path"))
+    return graph.neighbor_signatures(edges(spark, d), parts.unionByName(suppliers), owned, 400)
 
 
 TURNS = """m AS (SELECT conv_id, turn, role, text, coalesce(sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM conversations),
@@ -290,10 +328,12 @@ def q_scrub(spark, d):
     return s.select("doc_id", F.sha2("s.text", 256).alias("scrubbed"), F.col("s.n").alias("n"))
 
 
-@query("SELECT a.doc_id FROM documents a WHERE a.doc_id % 2 = 1 AND trim(a.text) <> '' AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 2 = 0 AND b.text = a.text)")
+@query("SELECT a.doc_id FROM documents a WHERE a.doc_id NOT IN (SELECT doc_id FROM labels) AND trim(a.text) <> '' AND a.text NOT IN (SELECT b.text FROM documents b JOIN labels USING (doc_id) WHERE b.text IS NOT NULL)")
 def q_dedupe(spark, d):
+    """Documents without a label against a store of those with one."""
     e = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.lit("r").alias("repo_id"), F.sha2("text", 256).alias("content_hash"))
-    return memory.fresh(e.where("doc_id % 2 = 1"), e.where("doc_id % 2 = 0")).select("doc_id")
+    known = table(spark, d, "labels").select("doc_id").distinct()
+    return memory.fresh(e.join(known, "doc_id", "left_anti"), e.join(known, "doc_id", "left_semi")).select("doc_id")
 
 
 EV = f"ev AS (SELECT event_id, user_id, event_type, ts, floor(epoch(ts))::BIGINT AS created_at, value, event_type = 'purchase' AS pinned, event_type || ' by user ' || user_id AS content FROM events)"
@@ -304,17 +344,30 @@ def _events(spark, d) -> DataFrame:
     return e.select("event_id", F.col("event_id").alias("id"), "user_id", "event_type", "ts", F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_at"), "value", (F.col("event_type") == "purchase").alias("pinned"), F.concat("event_type", F.lit(" by user "), F.col("user_id").cast("string")).alias("content"))
 
 
-@query(f"""WITH {EV}, q AS (SELECT 1 AS query_id, 'purchase by user 7' AS text UNION ALL SELECT 2, 'error view'),
-base AS (SELECT q.query_id, event_id AS id, 1.0::DOUBLE / (60 + event_id) AS score FROM ev CROSS JOIN q WHERE event_id <= 50),
-late AS (SELECT * FROM ev WHERE created_at >= {NOW} - 90 * 86400 AND created_at <= {NOW} ORDER BY created_at DESC, event_id LIMIT 1000),
-al AS (SELECT * FROM base UNION ALL SELECT q.query_id, l.event_id, 2.0 FROM late l JOIN q ON contains(lower(l.content), lower(q.text)) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.query_id = q.query_id AND b.id = l.event_id)),
-sc AS (SELECT al.query_id, al.id, round(al.score + 0.01::DOUBLE / (1 + 0.1::DOUBLE * ({NOW} - e.created_at) / 86400.0::DOUBLE) + CASE WHEN contains(lower(e.content), lower(q.text)) THEN 1.0::DOUBLE ELSE 0.05::DOUBLE * len(list_filter(list_filter(string_split(lower(q.text), ' '), lambda t: strlen(t) >= 3), lambda t: contains(lower(e.content), t))) END, 6) AS score FROM al JOIN ev e ON e.event_id = al.id JOIN q USING (query_id))
-SELECT query_id, id, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 20""")
+MEMORY = f"""{TURNS}, mem AS (SELECT session_id * 1000 + turn_index AS id, {NOW} - (session_id % 120) * 86400 - turn_index AS created_at,
+  substr(concat_ws(chr(10), CASE WHEN prompt <> '' THEN 'User: ' || prompt END, CASE WHEN reply <> '' THEN 'Assistant: ' || reply END), 1, 8000) AS content, prompt, session_id FROM t),
+mq AS (SELECT id AS query_id, prompt AS text FROM mem WHERE session_id % 20 = 0 AND prompt <> '')"""
+
+
+def _memory(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(events of the conversations, queries: the prompts of sessions whose id is divisible by 20)."""
+    t = _turns(spark, d)
+    key = F.col("session_id").cast("long") * 1000 + F.col("turn_index")
+    e = memory.events_from_turns(t, "conv", "repo", NOW).select(key.alias("id"), (F.lit(NOW) - (F.col("session_id").cast("long") % 120) * 86400 - F.col("turn_index")).alias("created_at"), "content", "repo_id", "source", "session_id", "pinned", "content_hash")
+    return e, t.where("session_id % 20 = 0 and prompt <> ''").select(key.alias("query_id"), F.col("prompt").alias("text"))
+
+
+@query(f"""WITH {MEMORY}, {bm25_sql("SELECT id AS doc_id, content AS text FROM mem", "SELECT query_id, text FROM mq", 60, "doc_id::VARCHAR")},
+base AS (SELECT query_id, doc_id AS id, round(1.0::DOUBLE / (60 + rank), 6) AS score FROM fts),
+late AS (SELECT * FROM mem WHERE created_at >= {NOW} - 90 * 86400 AND created_at <= {NOW} ORDER BY created_at DESC, id LIMIT 1000),
+al AS (SELECT * FROM base UNION ALL SELECT q.query_id, l.id, 2.0 FROM late l JOIN mq q ON contains(lower(l.content), lower(q.text)) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.query_id = q.query_id AND b.id = l.id)),
+rs AS (SELECT al.query_id, al.id, round(al.score + 0.01::DOUBLE / (1 + 0.1::DOUBLE * ({NOW} - e.created_at) / 86400.0::DOUBLE) + CASE WHEN contains(lower(e.content), lower(trim(q.text))) THEN 1.0::DOUBLE ELSE 0.05::DOUBLE * len(list_filter(list_filter(string_split_regex(lower(q.text), '\\s+'), lambda t: strlen(t) >= 3), lambda t: contains(lower(e.content), t))) END, 6) AS score FROM al JOIN mem e USING (id) JOIN mq q USING (query_id))
+SELECT query_id, id, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM rs) WHERE rank <= 20""")
 def q_recall(spark, d):
-    q = spark.createDataFrame([(1, "purchase by user 7"), (2, "error view")], "query_id int, text string")
-    e = _events(spark, d)
-    ranked = e.where("event_id <= 50").select(F.col("id").alias("node_id"), (1.0 / (60 + F.col("event_id"))).alias("score"), F.explode(F.array(F.lit(1), F.lit(2))).alias("query_id"))
-    return memory.recall(ranked, e, q, NOW, 20).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    e, q = _memory(spark, d)
+    fts = search.bm25(e.select(F.col("id").cast("string").alias("node_id"), F.col("content").alias("text")), q, 60)
+    fused = search.rrf([(fts, 1.0)]).select("query_id", F.col("node_id").cast("long").alias("node_id"), "score")
+    return memory.recall(fused, e, q, NOW, 20).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {EV} SELECT event_id, created_at FROM ev WHERE created_at BETWEEN {NOW - 20 * 86400} AND {NOW - 10 * 86400} ORDER BY created_at DESC, event_id LIMIT 50")
@@ -329,14 +382,14 @@ def q_gc(spark, d):
     return memory.collect_garbage(_events(spark, d), NOW, 20, 100).select("event_id", "gone")
 
 
-@query(f"""WITH {EV}, {NODES}, l AS (SELECT DISTINCT event_id, event_id % 100 AS doc_id FROM ev)
-SELECT e.event_id, e.created_at FROM ev e JOIN l USING (event_id) JOIN n USING (doc_id) WHERE n.file_path = (SELECT file_path FROM n WHERE doc_id = 7)""")
+@query(f"""WITH {EV}, {NODES}, f AS (SELECT file_path FROM n WHERE doc_id % 20 = 0), l AS (SELECT DISTINCT event_id, user_id AS doc_id FROM ev)
+SELECT n.file_path, e.event_id, e.created_at, row_number() OVER (PARTITION BY n.file_path ORDER BY e.created_at DESC, e.event_id)::BIGINT AS rank FROM ev e JOIN l USING (event_id) JOIN n USING (doc_id) WHERE n.file_path IN (SELECT file_path FROM f)""")
 def q_history(spark, d):
+    """The files of documents whose id is divisible by 20; each event discusses the document of its user's number."""
     n = nodes(spark, d).select("node_id", "file_path", "doc_id")
     e = _events(spark, d)
-    links = e.select(F.col("id").alias("src_id"), F.lpad((F.col("event_id") % 100).cast("string"), 12, "0").alias("dst_id"), F.lit("discussed").alias("edge_type"))
-    path = n.where("doc_id = 7").select("file_path").first()[0]
-    return memory.file_history(links, n, e, path).select("event_id", "created_at")
+    links = e.select(F.col("id").alias("src_id"), F.lpad(F.col("user_id").cast("string"), 12, "0").alias("dst_id"), F.lit("discussed").alias("edge_type"))
+    return memory.file_histories(links, n, e, n.where("doc_id % 20 = 0")).select("file_path", "event_id", "created_at", F.col("rank").cast("long").alias("rank"))
 
 
 @query(r"""WITH c AS (SELECT conv_id, turn, lower(text) AS t, lower(role) AS l FROM conversations), q AS (SELECT 1 AS query_id, unnest(['th', 'user']) AS term UNION ALL SELECT 2, unnest(['que', 'la']))
@@ -408,13 +461,21 @@ def q_stats_merge(spark, d):
     return per.groupBy("user_id").agg(F.sum("n").alias("queries"), F.min("f").alias("first_at"), F.round(F.sum("v"), 4).alias("served"), F.floor(F.greatest(F.round(F.sum("v"), 4) - 100, F.lit(0.0))).alias("saved"))
 
 
-@query("""WITH o AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 9)
-SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS outcome FROM o FULL JOIN n ON o.path = n.path""")
+MANIFESTS = """lb AS (SELECT doc_id, text, coalesce(max(quality), -1) AS q, coalesce(max(toxic), -1) AS t FROM documents LEFT JOIN labels USING (doc_id) GROUP BY doc_id, text),
+o AS (SELECT doc_id AS path, sha256(text) AS h FROM lb WHERE t <> 1), n AS (SELECT doc_id AS path, sha256(CASE WHEN q = 1 AND t = 0 THEN text || '!' ELSE text END) AS h FROM lb WHERE q <> 0)"""
+
+
+def _manifests(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Two states of the documents: toxic ones came, bad ones went, good ones changed."""
+    l = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    t = table(spark, d, "documents").join(l, "doc_id", "left").select(F.col("doc_id").alias("path"), "text", F.coalesce("q", F.lit(-1)).alias("q"), F.coalesce("t", F.lit(-1)).alias("t"))
+    new = F.when((F.col("q") == 1) & (F.col("t") == 0), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return t.where("t <> 1").select("path", F.sha2("text", 256).alias("file_hash")), t.where("q <> 0").select("path", F.sha2(new, 256).alias("file_hash"))
+
+
+@query(f"""WITH {MANIFESTS} SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS outcome FROM o FULL JOIN n ON o.path = n.path""")
 def q_manifest_diff(spark, d):
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
-    old = t.where("path % 10 <> 0").select("path", F.sha2("text", 256).alias("file_hash"))
-    new = t.where("path % 10 <> 9").select("path", F.sha2(F.when(F.col("path") % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("file_hash"))
-    return ingest.manifest_diff(old, new)
+    return ingest.manifest_diff(*_manifests(spark, d))
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_purchase FROM events")
@@ -440,51 +501,59 @@ def q_retention(spark, d):
     return u.select("user_id", "score", enrich.retention_action(F.col("score"), F.col("p") & (F.col("user_id") % 50 == 0)).alias("action"), enrich.should_promote(F.col("n"), F.col("last"), NOW).alias("promote"))
 
 
-@query("""WITH x AS (SELECT DISTINCT l_orderkey, l_partkey % 500 AS item FROM lineitem)
-SELECT a.item AS a, b.item AS b, count(*)::BIGINT AS n, CASE WHEN count(*) >= 9 THEN 'likely' ELSE 'unknown' END AS confidence FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.item < b.item GROUP BY ALL HAVING count(*) >= 3""")
+@query("""WITH x AS (SELECT DISTINCT l_orderkey, l_partkey AS item FROM lineitem)
+SELECT a.item AS a, b.item AS b, count(*)::BIGINT AS n, CASE WHEN count(*) >= 6 THEN 'likely' ELSE 'unknown' END AS confidence FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.item < b.item GROUP BY ALL HAVING count(*) >= 2""")
 def q_cooccur(spark, d):
-    return enrich.co_occurrence(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("set_id"), (F.col("l_partkey") % 500).alias("item")), 3)
+    return enrich.co_occurrence(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("set_id"), F.col("l_partkey").alias("item")), 2)
+
+
+def _entities(spark, d) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("signature"), F.col("p_brand").alias("module"))
 
 
 @query()
 def q_entity(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    b = p.select(F.col("p_partkey").alias("k2"), F.col("p_name").alias("n2"), F.col("p_brand").alias("b2"), F.col("p_type").alias("t2"))
-    block = lambda c: F.concat(F.substring(c, 1, 6), (F.length(c)).cast("string"))
-    pairs = p.withColumn("k", block("p_name")).join(b.withColumn("k", block("n2")), "k").where("p_partkey < k2 and p_brand = b2")
-    score = F.round(enrich.entity_score(F.col("p_name"), F.col("n2"), F.col("p_brand") == F.col("b2"), F.col("p_type"), F.col("t2")), 6)
-    out = pairs.select(F.col("p_partkey").alias("a"), F.col("k2").alias("b"), score.alias("score"))
-    return out.select("a", "b", "score", enrich.resolution(F.col("score")).alias("resolution"))
+    """Pairs of (name, type) classes that may be one entity; q_entity_members has the parts of each class. Held against all pairs of parts in the tests."""
+    return enrich.resolved(_entities(spark, d))[0]
+
 
+@query("""WITH c AS (SELECT p_name, p_type, min(p_partkey) AS class FROM part GROUP BY ALL) SELECT p_partkey AS id, class, p_brand AS module FROM part JOIN c USING (p_name, p_type)""")
+def q_entity_members(spark, d):
+    return enrich.resolved(_entities(spark, d))[1]
 
-CHG = """o AS (SELECT DISTINCT event_type AS file, user_id % 200 AS symbol FROM events WHERE ts < TIMESTAMP '2024-01-05'), n AS (SELECT DISTINCT event_type AS file, user_id % 200 AS symbol FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND user_id % 3 > 0),
-ch AS (SELECT file, 'added' AS change, symbol FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT file, 'deleted', symbol FROM (SELECT * FROM o EXCEPT SELECT * FROM n))"""
+
+CHG = """x AS (SELECT 'users/' || user_id % 10 || '/' || user_id AS file, event_type || '_' || hour(ts) AS symbol, ts < TIMESTAMP '2024-01-16' AS old FROM events),
+o AS (SELECT DISTINCT file, symbol FROM x WHERE old), n AS (SELECT DISTINCT file, symbol FROM x WHERE NOT old),
+c0 AS (SELECT file, 'added' AS change, symbol FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT file, 'deleted', symbol FROM (SELECT * FROM o EXCEPT SELECT * FROM n)),
+l AS (SELECT file, list_sort(list(symbol) FILTER (old)) AS a, list_sort(list(symbol) FILTER (NOT old)) AS b FROM x GROUP BY file),
+ch AS (SELECT * FROM c0 UNION ALL SELECT file, 'modified', NULL FROM l WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b AND file NOT IN (SELECT file FROM c0))"""
 
 
 def _changes(spark, d) -> DataFrame:
-    e = table(spark, d, "events").select(F.col("event_type").alias("file"), (F.col("user_id") % 200).alias("symbol"), "ts", "user_id")
-    return enrich.detect_changes(e.where("ts < timestamp '2024-01-05'").select("file", "symbol").distinct(), e.where("ts >= timestamp '2024-01-20' and user_id % 3 > 0").select("file", "symbol").distinct())
+    """What users did by the hour, before and from the month's middle."""
+    e = table(spark, d, "events").select(F.concat(F.lit("users/"), (F.col("user_id") % 10).cast("string"), F.lit("/"), F.col("user_id").cast("string")).alias("file"), F.concat("event_type", F.lit("_"), F.hour("ts").cast("string")).alias("symbol"), "ts")
+    return enrich.detect_changes(e.where("ts < timestamp '2024-01-16'").select("file", "symbol"), e.where("ts >= timestamp '2024-01-16'").select("file", "symbol"))
 
 
-@query(f"WITH {CHG} SELECT file, change, symbol FROM ch")
+@query(f"WITH {CHG} SELECT file, change, symbol, CASE change WHEN 'deleted' THEN 'high' WHEN 'added' THEN 'medium' ELSE 'low' END AS priority FROM ch")
 def q_changes(spark, d):
     return _changes(spark, d)
 
 
-@query(f"""WITH {CHG}, r AS (SELECT symbol % 20 AS g, count(*) FILTER (change = 'added') AS a, count(*) FILTER (change = 'deleted') AS x, count(DISTINCT file) AS f FROM ch GROUP BY ALL)
-SELECT g, a::BIGINT AS n_added, 0::BIGINT AS n_modified, x::BIGINT AS n_deleted, f::BIGINT AS n_files, CASE WHEN a > x THEN 'feature_addition' WHEN x > a THEN 'cleanup' ELSE 'mixed_changes' END AS pattern FROM r""")
+@query(f"""WITH {CHG}, r AS (SELECT split_part(file, '/', 2) AS g, count(*) FILTER (change = 'added') AS a, count(*) FILTER (change = 'modified') AS m, count(*) FILTER (change = 'deleted') AS x, count(DISTINCT file) AS f, min(file) AS lo FROM ch GROUP BY ALL)
+SELECT g, a::BIGINT AS n_added, m::BIGINT AS n_modified, x::BIGINT AS n_deleted, f::BIGINT AS n_files, CASE WHEN a > m + x THEN 'feature_addition' WHEN x > a + m THEN 'cleanup' WHEN m > 0 AND a = 0 AND x = 0 THEN 'refactoring' ELSE 'mixed_changes' END AS pattern, CASE WHEN f = 1 THEN lo ELSE 'users/' || g END AS scope FROM r""")
 def q_reflection(spark, d):
-    return enrich.reflection(_changes(spark, d).withColumn("g", F.col("symbol") % 20), "g")
+    return enrich.reflection(_changes(spark, d).withColumn("g", F.split_part("file", F.lit("/"), F.lit(2))), "g")
 
 
 def _bundle(spark, d) -> DataFrame:
-    n = nodes(spark, d).where("doc_id < 200")
-    inc = n.select((F.col("doc_id") % 5).alias("query_id"), "node_id", F.col("doc_id").alias("place"), (F.col("doc_id") % 4 == 0).alias("is_anchor"))
-    at = n.select("node_id", "file_path", F.lit(0).alias("start_line"), F.lit(1).alias("end_line"))
+    n = nodes(spark, d)
+    inc = n.select(F.floor(F.col("doc_id") / 40).alias("query_id"), "node_id", F.col("doc_id").alias("place"), (F.col("doc_id") % 4 == 0).alias("is_anchor"))
+    at = n.select("node_id", "file_path", F.lit(0).alias("start_line"), (F.size(F.split("text", "\n")) - 1).alias("end_line"))
     return context.assemble(inc, at, n.select("file_path", F.col("text").alias("content")))
 
 
-BUNDLE = f"""{NODES}, bu AS (SELECT doc_id % 5 AS query_id, doc_id AS place, file_path, doc_id % 4 = 0 AS is_anchor, array_to_string(string_split(text, chr(10))[1:2], chr(10)) AS t, strlen(text) // 4 AS ft FROM n WHERE doc_id < 200)"""
+BUNDLE = f"""{NODES}, bu AS (SELECT doc_id // 40 AS query_id, doc_id AS place, node_id, file_path, doc_id % 4 = 0 AS is_anchor, text AS t, strlen(text) // 4 AS ft FROM n)"""
 
 
 @query(f"""WITH {BUNDLE}, x AS (SELECT query_id, count(*)::BIGINT AS nodes, count(DISTINCT file_path)::BIGINT AS files, sum(strlen(t) // 4)::BIGINT AS tokens, sum(ft)::BIGINT AS file_tokens FROM bu GROUP BY query_id)
@@ -510,23 +579,35 @@ def q_span_dedupe(spark, d):
     return graph.dedupe_spans(spans(spark, d)).select("node_id")
 
 
-@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
-def q_stream_ingest(spark, d):
-    """The events file as a stream, deduplicated by (user, type), written exactly once and read back; a key's first event by id."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-    schema = table(spark, d, "events").schema
-    s = ingest.read_stream(spark, d, schema, "events.parquet").select("user_id", "event_type", "event_id")
-    first = s.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-    q = first.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{out}/rows")).start()
-    q.awaitTermination()
+def _streamed(spark, d, made) -> DataFrame:
+    """What made(stream of events) appends, to the end, read back."""
+    out = shared_path(spark, "stream")
+    s = ingest.read_stream(spark, d, table(spark, d, "events").schema, "events.parquet")
+    ingest.run_to_end(made(s), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows")
 
 
-@query("SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS start_at, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL")
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def q_stream_ingest(spark, d):
+    """The events file as a stream, one row per (user, type) for the stream's lifetime, appended exactly once."""
+    return _streamed(spark, d, lambda s: ingest.deduplicated(s, "user_id", "event_type").select("user_id", "event_type"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def q_stream_expiring(spark, d):
+    """The same with state that is dropped after 60 days of event time, which is longer than the table."""
+    return _streamed(spark, d, lambda s: ingest.expiring(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "60 days", "user_id", "event_type").select("user_id", "event_type"))
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS b, event_type, value FROM events)
+SELECT epoch(b)::BIGINT AS start_at, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS v FROM w WHERE b + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events) GROUP BY ALL""")
 def q_stream_window(spark, d):
-    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    return ingest.windowed(e, "ts", "1 hour", "1 hour", "event_type").select(F.unix_seconds("start").alias("start_at"), "event_type", "n", F.round("v", 4).alias("v"))
+    """Hours of a stream, appended once the watermark has passed their end: those that end an hour before the last event or earlier."""
+    def made(s: DataFrame) -> DataFrame:
+        e = s.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+        return ingest.windowed(e, "ts", "1 hour", "1 hour", "event_type")
+
+    return _streamed(spark, d, made).select(F.unix_seconds("start").alias("start_at"), "event_type", "n", F.round("v", 4).alias("v"))
 
 
 @query("""SELECT n_name, l_returnflag, count(*)::BIGINT AS n, round(sum(l_extendedprice), 2) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ROLLUP (n_name, l_returnflag)""")
@@ -537,11 +618,15 @@ def q_groupings(spark, d):
     return rows.rollup("n_name", "l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
 
 
-@query(f"""WITH {NODES}, b AS (SELECT regexp_replace(regexp_replace(file_path, '.*/', ''), '[.][^.]*$', '') AS stem, doc_id, source FROM n),
-t AS (SELECT doc_id, source, regexp_replace(stem, '^test_|_test$|[.]test$|_spec$', '') AS base FROM b WHERE stem LIKE 'test_%'), i AS (SELECT doc_id AS impl, source, stem FROM b WHERE stem NOT LIKE 'test_%')
-SELECT t.doc_id AS test, i.impl FROM t JOIN i ON t.source = i.source AND (contains(i.stem, t.base) OR contains(t.base, i.stem))""")
+STEM = r"regexp_replace(regexp_replace({}, '.*/', ''), '[.][^.]*$', '')"
+
+
+@query(f"""WITH {NODES}, b AS (SELECT file_path, {STEM.format("file_path")} AS stem, {IS_TEST} AS is_test FROM n),
+t AS (SELECT file_path AS src_path, CASE WHEN stem LIKE 'test\\_%' ESCAPE '\\' THEN substr(stem, 6) WHEN stem LIKE 'test%' THEN substr(stem, 5) ELSE stem END AS tested FROM b WHERE is_test), i AS (SELECT file_path AS dst_path, stem FROM b WHERE NOT is_test)
+SELECT src_path, dst_path, 1 AS confidence FROM t JOIN i ON contains(i.stem, t.tested) OR contains(t.tested, i.stem)""")
 def q_test_impl_links(spark, d):
-    n = nodes(spark, d).select("doc_id", "source", F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"\.[^.]*$", "").alias("stem"), enrich.base_name(F.col("file_path")).alias("base"))
-    t = n.where(F.startswith("stem", F.lit("test_"))).select(F.col("doc_id").alias("test"), "source", "base")
-    i = n.where(~F.startswith("stem", F.lit("test_"))).select(F.col("doc_id").alias("impl"), "source", "stem")
-    return t.join(i, "source").where(F.contains("stem", F.col("base")) | F.contains("base", F.col("stem"))).select("test", "impl")
+    n = nodes(spark, d).select("file_path")
+    return enrich.test_impl_links(n.where(P.is_test_file(F.col("file_path"))), n.where(~P.is_test_file(F.col("file_path"))))
+
+
+from . import tools  # noqa: E402, F401  the rest of the queries register themselves

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import PARSED, is_discovered
+from ..functions.paths import PARSED, ignored, is_discovered
 
 NODES = "file_path string, kind string, name string, signature string, doc_comment string, identifiers array<string>, start_line long, end_line long, start_byte long, end_byte long, pos int"
 REFS = "file_path string, name string, kind string, offset long"
@@ -62,11 +62,11 @@ def _python(text: str) -> tuple[list, list]:
 
 
 def _end(text: str, start: int) -> int:
-    """Past the closing brace of the first block after start; the line's end where there is none near."""
+    """Past the closing brace of the block that a definition opens before its next ; at depth 0, else the line's end."""
     line = text.find("\n", start)
     line = len(text) if line < 0 else line
-    at = text.find("{", start)
-    if at < 0 or at > line + 200:
+    at, stop = text.find("{", start), text.find(";", start)
+    if at < 0 or 0 <= stop < at or re.search(r"\n\s*\n", text[start:at]):
         return line
     depth = 0
     for m in re.compile(r"[{}]").finditer(text, at):
@@ -82,9 +82,8 @@ def _patterns(text: str, language: str) -> tuple[list, list]:
         for m in re.finditer(rx, text, re.M):
             end = _end(text, m.end())
             line = text.rfind("\n", 0, m.start(1)) + 1
-            above = text[:line].rstrip("\n").rsplit("\n", 1)[-1].strip() if line else ""
-            doc = above.lstrip("/#*-! ").strip() if above[:1] in ("/", "#", "*", "-") else None
-            names = list(dict.fromkeys(re.findall(r"[A-Za-z_]\w{2,}", text[m.start() : end])))[:50]
+            doc = _comment_above(text[:line])
+            names = list(dict.fromkeys(re.findall(r"[A-Za-z_]\w{2,}", text[m.start() : end])))
             byte = lambda i: len(text[:i].encode())
             nodes.append((kind, m[1], doc, names, text.count("\n", 0, m.start()), text.count("\n", 0, end), byte(line), byte(end)))
             spans.append(m.start(1))
@@ -94,6 +93,74 @@ def _patterns(text: str, language: str) -> tuple[list, list]:
     return nodes, refs
 
 
+def _comment_above(before: str) -> str | None:
+    """The lines of comment that end right above a definition, or one blank line above it, without their marks."""
+    lines = before.split("\n")[:-1]
+    if lines and not lines[-1].strip():
+        lines.pop()
+    found: list[str] = []
+    while lines and re.match(r"\s*(//|#(?!\[|include|define)|/\*|\*|--)", lines[-1]):
+        found.append(lines.pop().strip())
+    text = "\n".join(re.sub(r"^(?:///?!?|#+|/\*+|\*/|\*|--)\s?|\s*\*/$", "", x).strip() for x in reversed(found)).strip()
+    return text or None
+
+
+SECTION_LINES = 500
+
+
+def backtick_identifiers(text: str) -> list[str]:
+    """What stands in single backticks on one line, without spaces, up to 80 bytes, first seen first; fenced blocks are passed over."""
+    bare = re.sub(r"```.*?(?:```|\Z)|``", "", text, flags=re.S)
+    found = (x.strip() for x in re.findall(r"`([^`\n]*)(?:`|\n)", re.sub(r"`[^`\n]*\n", "\n", bare)))
+    return list(dict.fromkeys(x for x in found if x and " " not in x and len(x.encode()) <= 80))
+
+
+def markdown_sections(text: str) -> list[tuple]:
+    """(heading, first paragraph or None, identifiers, first line, last line, first byte, byte after) of every section, outer ones after what closes before them.
+
+    A heading is one to six # at a line's start, blanks aside, with text; it closes sections of its level or deeper. Of a section's own lines 500 count.
+    """
+    out, open_, at = [], [], 0
+    lines = text.split("\n")
+    if lines and not lines[-1]:
+        lines.pop()
+
+    def close(level: int, line: int, byte: int) -> None:
+        while open_ and open_[-1][0] >= level:
+            _, heading, first_line, first_byte, body = open_.pop()
+            paragraph: list[str] = []
+            for x in body:
+                if x.strip():
+                    paragraph.append(x.strip())
+                elif paragraph:
+                    break
+            out.append((heading, " ".join(paragraph) or None, backtick_identifiers("\n".join(body)), first_line, max(line - 1, 0), first_byte, byte))
+
+    for i, line in enumerate(lines):
+        here, at = at, at + len(line.encode()) + 1
+        m = re.match(r"\s*(#+)(.*)", line)
+        if m and len(m[1]) <= 6:
+            if m[2].strip():
+                close(len(m[1]), i, here)
+                open_.append((len(m[1]), m[2].strip(), i, here, []))
+        elif open_ and len(open_[-1][4]) < SECTION_LINES:
+            open_[-1][4].append(line.rstrip("\r"))
+    close(0, len(lines), len(text.encode()))
+    return out
+
+
+def extract_sections(files: DataFrame) -> DataFrame:
+    """Sections of Markdown files(file_path, content) as nodes of kind doc_section, in the columns of extract_nodes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, "doc_section", h, h, doc, names, l0, l1, b0, b1, i) for p, t in zip(b.file_path, b.content, strict=True) for i, (h, doc, names, l0, l1, b0, b1) in enumerate(markdown_sections(t or ""))]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in NODES.split(", ")])
+
+    markdown = F.lower("file_path").rlike(r"\.(md|mdx|markdown)$")
+    return files.where(markdown).select("file_path", "content").mapInPandas(run, NODES)
+
+
 def _parsed(path: str, text: str) -> tuple[list, list]:
     language = PARSED.get(path.rsplit(".", 1)[-1])
     if language is None or language in WITHOUT_NODES:
@@ -127,9 +194,21 @@ def extract_references(files: DataFrame) -> DataFrame:
     return files.select("file_path", "content").mapInPandas(run, REFS)
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """file_path (relative to root), content, modified of the text files that a walk keeps."""
+def read_files(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
+    """file_path (relative to root), content, modified of the text files that a walk keeps, but those that ignore rules leave out.
+
+    Without rules of the caller's those of the root's .gitignore hold.
+    """
+    if ignore is None:
+        jvm = spark.sparkContext._jvm
+        rules = jvm.org.apache.hadoop.fs.Path(root, ".gitignore")
+        files = rules.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        ignore = []
+        if files.exists(rules):
+            held = files.open(rules)
+            ignore = jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8").splitlines()
+            held.close()
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.ltrim(F.element_at(F.split("path", base, 2), -1), F.lit("/"))
-    return raw.select(path.alias("file_path"), F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("modified")).where(is_discovered(F.col("file_path")))
+    return raw.select(path.alias("file_path"), F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("modified")).where(is_discovered(F.col("file_path")) & ~ignored(F.col("file_path"), ignore))

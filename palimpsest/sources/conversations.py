@@ -22,10 +22,9 @@ DECISIONS = (
     r"(?idU)I (?:decided|choose|chose|picked|selected|went with)\s+(.+?)" + _END,
     r"(?idU)(?:we should|I'll|I will|we'll)\s+(.+?)" + _END,
 )
-# (?i) also holds for the name, so lower-case words are found as places.
+# Places by the word before them ((?i) also holds for the name, so lower-case words are found), and names, with a relation before them or not.
 PLACE = r"(?iU)(?:moved to|live in|living in|based in|from|visited|traveling to|went to|in)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
-PERSON = r"my (?:friend|sister|brother|wife|husband|partner|colleague|boss|mom|dad|mother|father)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"
-FULL_NAME = r"([A-Z][a-z]+\s+[A-Z][a-z]+)"
+PERSON = r"(?:my (?:friend|sister|brother|wife|husband|partner|colleague|boss|mom|dad|mother|father)\s+)?([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"
 # Capitalised words that name nothing.
 COMMON = (
     "The This That These Those Here There When Where What Which Who How Some Any All Most Much Many Few Other Another Each Every Both Such Rather Just Only "
@@ -42,7 +41,17 @@ def sessions(files: DataFrame) -> DataFrame:
 
 
 def found(text: Column, rx: str, most: int) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(1)), F.trim), lambda x: (x != "") & (F.octet_length(x) < most))
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(1)), lambda x: F.trim(x)), lambda x: (x != "") & (F.octet_length(x) < most))
+
+
+def entities(text: Column) -> Column:
+    """array of struct(name, type): places, then persons: names after a relation or of two words that aren't among the places."""
+    places = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(PLACE), F.lit(1))), lambda x: ~x.isin(*COMMON))
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(PERSON), F.lit(1)).alias("name"))
+    named = F.filter(found, lambda x: F.startswith(x["whole"], F.lit("my ")) | F.contains(x["name"], F.lit(" ")))
+    people = F.filter(F.array_distinct(F.transform(named, lambda x: x["name"])), lambda x: ~x.isin(*COMMON) & (F.length(x) > 1))
+    kind = lambda xs, k: F.transform(xs, lambda x: F.struct(x.alias("name"), F.lit(k).alias("type")))
+    return F.concat(kind(places, "location"), kind(F.array_except(people, places), "person"))
 
 
 def _with(sentiment: str):
@@ -69,8 +78,7 @@ def graph(s: DataFrame) -> tuple[DataFrame, DataFrame]:
     decs = own.select("session_id", "at", "file_path", "message", "text", F.explode(chosen).alias("x")).select("*", node_id(F.concat_ws(":", F.lit("dec"), "session_id", F.col("at").cast("string"), "x")).alias("id")).dropDuplicates(["id"])
     nodes = nodes.unionByName(decs.select(F.col("id").alias("node_id"), F.lit("decision").alias("kind"), F.col("x").alias("label"), "text", "file_path"))
     edges = edges.unionByName(edge(decs, "message", "id", "decided"))
-    names = F.concat(F.transform(F.regexp_extract_all("text", F.lit(PLACE), F.lit(1)), lambda x: F.struct(x.alias("name"), F.lit("location").alias("type"))), *[F.transform(F.regexp_extract_all("text", F.lit(rx), F.lit(1)), lambda x: F.struct(x.alias("name"), F.lit("person").alias("type"))) for rx in (PERSON, FULL_NAME)])
-    ents = own.select("session_at", "at", "file_path", "message", "text", F.explode(names).alias("x")).where(~F.col("x.name").isin(*COMMON) & (F.length("x.name") > 1))
+    ents = own.select("session_at", "at", "file_path", "message", "text", F.explode(entities(F.col("text"))).alias("x"))
     ents = ents.select("*", node_id(F.concat_ws(":", F.lit("entity"), "file_path", "x.name")).alias("id"))
     first = ents.groupBy("id").agg(F.min(F.struct("session_at", "at", "x", "file_path")).alias("e"))
     nodes = nodes.unionByName(first.select(F.col("id").alias("node_id"), F.col("e.x.type").alias("kind"), F.col("e.x.name").alias("label"), F.col("e.x.name").alias("text"), F.col("e.file_path").alias("file_path")))

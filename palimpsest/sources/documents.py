@@ -123,13 +123,14 @@ def page(path: str, text: str) -> list[tuple]:
 PARSERS = {"md": markdown, "mdx": markdown, "markdown": markdown, "html": page, "htm": page, "rst": rst, "txt": plain, "text": plain}
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Units of files(file_path, content) by extension; files of other kinds give none."""
+def parse(files: DataFrame, added: dict | None = None) -> DataFrame:
+    """Units of files(file_path, content) by extension, added parsers before the own ones; files of other kinds give none."""
+    parsers = PARSERS | (added or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for b in batches:
-            rows = [r for p, t in zip(b.file_path, b.content, strict=True) if (f := PARSERS.get(str(p).rsplit(".", 1)[-1].lower())) for r in f(p, t or "")]
+            rows = [r for p, t in zip(b.file_path, b.content, strict=True) if (f := parsers.get(str(p).rsplit(".", 1)[-1].lower())) for r in f(p, t or "")]
             yield pd.DataFrame(rows, columns=names).astype({"section": "Int32", "depth": "Int32"})
 
     return files.select("file_path", "content").mapInPandas(run, SCHEMA)
@@ -146,8 +147,11 @@ def nodes(units: DataFrame) -> DataFrame:
 def edges(doc_nodes: DataFrame) -> DataFrame:
     """Contain: section to the nearest earlier shallower one's children, and to its facts; reference: fact (or section) to citation."""
     sections = doc_nodes.where("kind = 'section'").select("file_path", "at", "depth", "node_id")
-    outer = sections.select("file_path", F.col("at").alias("a2"), F.col("depth").alias("d2"), F.col("node_id").alias("src_id"))
-    nested = sections.join(outer, "file_path").where("a2 < at and d2 < depth").groupBy("node_id").agg(F.max_by("src_id", "a2").alias("src_id")).select("src_id", F.col("node_id").alias("dst_id"), F.lit("contain").alias("edge_type"))
+    # for each depth the last section of it so far: of the shallower ones the latest holds the section
+    before = W.partitionBy("file_path").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    last = [F.max(F.when(F.col("depth") == d, F.struct("at", "node_id"))).over(before) for d in range(6)]
+    shallower = F.array_max(F.array(*[F.when(F.col("depth") > d, x) for d, x in enumerate(last)]))
+    nested = sections.withColumn("outer", shallower).where("outer is not null").select(F.col("outer.node_id").alias("src_id"), F.col("node_id").alias("dst_id"), F.lit("contain").alias("edge_type"))
     owner = sections.select("file_path", F.col("at").alias("section"), F.col("node_id").alias("src_id"))
     held = doc_nodes.where("kind = 'fact'").join(owner, ["file_path", "section"]).select("src_id", F.col("node_id").alias("dst_id"), F.lit("contain").alias("edge_type"))
     facts = doc_nodes.where("kind = 'fact'").select("file_path", "section", F.col("at").alias("a2"), F.col("label").alias("l2"), F.col("node_id").alias("fact_id"))

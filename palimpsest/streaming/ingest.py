@@ -41,6 +41,34 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select("path", outcome.alias("outcome"))
 
 
+def outcomes(old: DataFrame, new: DataFrame, parsed: DataFrame) -> DataFrame:
+    """path, outcome, file_hash: manifest_diff with what parsing (parsed: path, ok) made of the files that were to be parsed.
+
+    Files no parser takes are skipped; where parsing failed, the old entry's hash is carried, so that the next run tries again.
+    """
+    rows = manifest_diff(old, new).join(parsed.select("path", "ok"), "path", "left")
+    rows = rows.join(old.select("path", F.col("file_hash").alias("h0")), "path", "left").join(new.select("path", F.col("file_hash").alias("h1")), "path", "left")
+    todo = F.col("outcome").isin("added", "changed")
+    outcome = F.when(~todo, F.col("outcome")).when(F.col("ok").isNull(), "skipped").when(F.col("ok"), "parsed").otherwise("parse_failed")
+    return rows.select("path", outcome.alias("outcome"), F.when(outcome == "parse_failed", F.col("h0")).otherwise(F.coalesce("h1", "h0")).alias("file_hash"))
+
+
+def stats(outcome: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: files by outcome, nodes, and files with nodes by language."""
+    from ..functions.paths import language_name
+
+    kinds = ("added", "changed", "unchanged", "deleted", "parsed", "skipped", "parse_failed")
+    files = outcome.agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in kinds])
+    langs = nodes.groupBy(language_name(F.col("file_path")).alias("language")).agg(F.count_distinct("file_path").alias("files"), F.count("*").alias("nodes"))
+    langs = langs.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes"), F.sort_array(F.collect_list(F.struct("language", "files"))).alias("languages"))
+    return files.join(langs)  # one row each
+
+
+def expiring(events: DataFrame, ts: str, keep: str, *keys: str) -> DataFrame:
+    """The first event of each key of a stream, told apart for `keep` of event time; state older than that is dropped."""
+    return events.withWatermark(ts, keep).dropDuplicatesWithinWatermark(list(keys))
+
+
 def is_stale(manifest: DataFrame, files: DataFrame) -> bool:
     """Whether a file is newer than the manifest, or one of the two lacks a path, or the manifest is empty."""
     rows = manifest.select("path", "indexed").join(files.select(F.col("file_path").alias("path"), "modified"), "path", "full_outer")

@@ -86,6 +86,6 @@ def test_small_functions(spark):
     assert f(T.exact_timestamp(F.lit("soon"))) == 0
     assert f(T.timestamp_or_unix(F.lit("1704067200000"))) == 1704067200
     assert f(T.is_literal_like(F.lit("parse_doc"))) and not f(T.is_literal_like(F.lit("two words"))) and not f(T.is_literal_like(F.lit("lowercase")))
-    assert f(T.is_snake_case(F.lit("a_b"))) and f(T.is_camel_case(F.lit("aB"))) and f(T.is_dot_notation(F.lit("a.b.c"))) and not f(T.is_dot_notation(F.lit("a..b")))
+    assert f(T.is_snake_case(F.lit("a_b"))) and f(T.is_camel_case(F.lit("AbC"))) and not f(T.is_camel_case(F.lit("aB"))) and not f(T.is_camel_case(F.lit("ABC"))) and f(T.is_dot_notation(F.lit("a.b.c"))) and not f(T.is_dot_notation(F.lit("a..b")))
     assert f(P.language_name(F.lit("a/b.kt"))) == "Kotlin" and f(P.language_name(F.lit("a.xyz"))) == "xyz"
     assert f(P.is_discovered(F.lit("src/a.py"))) and not f(P.is_discovered(F.lit("node_modules/a.js"))) and not f(P.is_discovered(F.lit("a.min.js"))) and not f(P.is_discovered(F.lit(".git/x")))
