@@ -165,10 +165,11 @@ def decided(sizes: DataFrame, by_source: DataFrame, by_octave: DataFrame, most:
     return rows.withColumn("__mix_copies", F.col("whole") + F.when(extra, 1).otherwise(0)).drop("s2", "k2")
 
 
-def measured(docs: DataFrame, seed: int, importance: str | None) -> list[Column]:
-    size = word_count(F.col("text"))
-    weight = importance_steps(F.col(f"`{importance}`").cast("double")) if importance else length_steps(size)
-    return [F.col("source").alias("__mix_source"), F.col("doc_id").alias("__mix_id"), size.alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), weight.alias("w")]
+def measured(docs: DataFrame, seed: int, importance: str | None, *more: Column) -> DataFrame:
+    """more columns of docs, __mix_source, __mix_id, size, u and w (importance) of each row."""
+    own = [F.col("source").alias("__mix_source"), F.col("doc_id").alias("__mix_id"), word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u")]
+    rows = docs.select(*more, *own, *([F.col(f"`{importance}`").cast("double").alias("w")] if importance else []))
+    return rows.withColumn("w", importance_steps(F.col("w")) if importance else length_steps(F.col("size")))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, importance: str | None = None) -> DataFrame:
@@ -177,15 +178,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     importance: a column that the expected copies of a source's rows are proportional to, up to `most`, in place of their length's;
     the words taken stay the source's target.
     """
-    by_source, by_octave = plan(stored(docs.select(*measured(docs, seed, importance)), "mix-sizes"), weights, share, most)
+    by_source, by_octave = plan(stored(measured(docs, seed, importance), "mix-sizes"), weights, share, most)
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row")
-    taken = decided(docs.select(held, *measured(docs, seed, importance)), by_source, by_octave, most).where("__mix_copies > 0")
+    taken = decided(measured(docs, seed, importance, held), by_source, by_octave, most).where("__mix_copies > 0")
     return taken.select("__mix_row", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))).alias("__mix_copy")).select("__mix_row.*")
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    small = stored(docs.select(*measured(docs, 42, None)), "mix-sizes")
+    small = stored(measured(docs, 42, None), "mix-sizes")
     return decided(small, *plan(small)).select(F.col("__mix_id").alias("doc_id"), "size", "source_size", "target", (F.col("__mix_copies") * F.col("size")).alias("taken"))
 
 

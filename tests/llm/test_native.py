@@ -43,7 +43,7 @@ def level(sizes):
 
 def mixed(spark, rows):
     d = docs(spark, rows)
-    small = d.select(*mixing.measured(d, 42, None)).cache()
+    small = mixing.measured(d, 42, None).cache()
     return mixing.decided(small, *mixing.plan(small)).collect()
 
 
@@ -78,7 +78,7 @@ def test_mix_inclusion_probabilities(spark):
     rows = [(i, " ".join(["w"] * r.choice([5, 30, 200, 900])), "a" if i < 4000 else "b") for i in range(4200)]
     d = docs(spark, rows).withColumn("n_chars", F.when(F.col("doc_id") % 4 == 0, 8.0).otherwise(F.when(F.col("doc_id") % 4 == 1, 1.0).otherwise(2.0)))
     for column in (None, "n_chars"):
-        small = d.select(*mixing.measured(d, 1, column)).cache()
+        small = mixing.measured(d, 1, column).cache()
         got = mixing.decided(small, *mixing.plan(small)).collect()
         for source in "ab":
             own = [x for x in got if x["__mix_source"] == source]
