@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import given_back, stored, table
 
 #: Found by exhaustive trial: any 13 places with two gaps hold one of the first two without a gap at a 1. The others are for shorter items.
 MASKS = ("111001011", "101100111", "111", "1111", "11111", "111111")
@@ -157,7 +157,7 @@ def hits(docs: DataFrame, filter_words: np.ndarray, masks: list[int]) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(around), _lists(seeds), _lists(places)], names=["doc_id", "around", "seeds", "places"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, around array<long>, seeds array<long>, places array<long>")
+    return rows.mapInArrow(given_back(run), "doc_id long, around array<long>, seeds array<long>, places array<long>")
 
 
 def best_window(around: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:

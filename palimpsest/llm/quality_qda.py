@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import given_back, stored, table
 
 NAMES = ("words", "word_len", "word_len_sd", "upper", "digit", "mark", "symbol", "shout", "foreign", "lines", "distinct", "triples", "top", "same_next", "dup_lines", "first_upper", "ends")
 THRESHOLD = 0.7
@@ -78,7 +78,7 @@ def featured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t.as_py()) for t in b.column(1)], LIST)], names=["doc_id", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, x array<double>")
+    return rows.mapInArrow(given_back(run), "doc_id long, x array<double>")
 
 
 @dataclass

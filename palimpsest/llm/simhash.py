@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import given_back, stored, table
 
 DISTANCE = 2
 #: Blocks that a key is made of.
@@ -70,7 +70,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp, text_hash for every row. bytes.lower() maps A-Z only and bytes.split() splits at U+0020, U+0009 to U+000D."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
+    return rows.mapInArrow(given_back(_fingerprints), "doc_id long, fp long, text_hash long")
 
 
 def block_masks(distance: int = DISTANCE) -> list[int]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import given_back, stored, table
 
 SAMPLE = 40_000
 #: Lexicon voters at most, and terms that they are made of, the surest first: they bound the model, which is quadratic in voters.
@@ -147,7 +147,7 @@ def without_copies(rows: DataFrame) -> DataFrame:
                 least.append(min((xxh3_64_intdigest(" ".join(w[i : i + 3])) >> 1 for i in range(max(1, len(w) - 2))), default=0))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], names=["text", "y", "least"])
 
-    return rows.select("text", "y").mapInArrow(run, "text string, y int, least long").dropDuplicates(["least", "y"]).select("text", "y")
+    return rows.select("text", "y").mapInArrow(given_back(run), "text string, y int, least long").dropDuplicates(["least", "y"]).select("text", "y")
 
 
 def mined(rows: DataFrame) -> list[list[str]]:
@@ -164,7 +164,7 @@ def mined(rows: DataFrame) -> list[list[str]]:
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return []
-    c = rows.select("text", "y").mapInArrow(run, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    c = rows.select("text", "y").mapInArrow(given_back(run), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1.0)) - F.log((F.col("good") + 0.5) / (n[0] + 1.0))
     # a term counts by how sure its odds are: less one standard error of the log odds
     sure = odds - F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
@@ -301,7 +301,7 @@ def featured(rows: DataFrame, finder: Finder, *keys: str) -> DataFrame:
             found = [finder.features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float32()))], names=[*keys, "at", "n"])
 
-    return rows.select("text", *keys).mapInArrow(run, schema)
+    return rows.select("text", *keys).mapInArrow(given_back(run), schema)
 
 
 def summed(patterns: DataFrame, v: int) -> Callable[[LabelModel | None], np.ndarray]:
@@ -379,7 +379,7 @@ def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
             x = dense(pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float32())), finder.width)
             yield b.filter(pa.array(linear.score(x) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(given_back(run), docs.schema)
 
 
 def op8_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
