@@ -223,3 +223,17 @@ def test_relevant_changes_and_expiring_stream(spark, tmp_path):
     assert [r.ok for r in rows.select(P.is_relevant_change(F.col("kind"), F.col("paths"), "/r/.data").alias("ok")).collect()] == [True, False, False, True]
     b = ingest.bursts(spark.createDataFrame([(0.0, "b"), (0.5, "a"), (3.0, "a")], "s double, path string").select(F.timestamp_seconds("s").alias("ts"), "path"), "ts", "800 milliseconds")
     assert sorted((r.n, r.paths) for r in b.collect()) == [(1, ["a"]), (2, ["a", "b"])]
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from palimpsest.__main__ import main
+
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "a.py").write_text("def helper():\n    return 1\n\n\ndef other():\n    return helper()\n")
+    assert main(["init"]) == 0 and Config.load("palimpsest.toml") == Config()
+    assert main(["index", f"file://{tmp_path}/tree"], spark) == 0 and '"added":1' in capsys.readouterr().out
+    assert main(["query", "helper", "--format", "json"], spark) == 0 and "def helper" in capsys.readouterr().out
+    assert main(["inspect", "helper"], spark) == 0 and '"name":"other"' in capsys.readouterr().out
+    assert main(["inspect", "help"], spark) == 1 and "helper" in capsys.readouterr().out
+    assert main(["memory", "status"], spark) == 0
