@@ -55,11 +55,11 @@ def q_terms(spark, d):
 
 def bm25_sql(docs: str, queries: str, k: int = 40, key: str = "lpad(doc_id::VARCHAR, 12, '0')") -> str:
     """CTEs up to fts(query_id, doc_id, score, rank) over docs(doc_id, text) and queries(query_id, text)."""
-    return f"""bd AS ({docs}), bq AS ({queries}),
-tok AS (SELECT doc_id, unnest({TOK.format('text')}) AS term, len({TOK.format('text')}) AS len FROM bd),
-post AS (SELECT doc_id, term, len, count(*) AS tf FROM tok GROUP BY ALL),
-tot AS (SELECT count(*) AS n, avg(len({TOK.format('text')})) AS avg_len FROM bd),
-asked AS (SELECT DISTINCT query_id, unnest({TERMS.format(TOK.format('text'))}) AS term FROM bq),
+    return f"""bd AS MATERIALIZED (SELECT doc_id, {TOK.format('text')} AS w FROM ({docs})), bq AS ({queries}),
+tok AS (SELECT doc_id, unnest(w) AS term, len(w) AS len FROM bd),
+post AS MATERIALIZED (SELECT doc_id, term, len, count(*) AS tf FROM tok GROUP BY ALL),
+tot AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM bd),
+asked AS MATERIALIZED (SELECT DISTINCT query_id, unnest({TERMS.format(TOK.format('text'))}) AS term FROM bq),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 sc AS (SELECT a.query_id, p.doc_id, round(sum(ln(1 + (tot.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.len / tot.avg_len))), 6) AS score
   FROM asked a JOIN post p USING (term) JOIN df USING (term) CROSS JOIN tot GROUP BY ALL),
