@@ -106,7 +106,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     keyed = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.m", "x.key")
     sizes = keyed.groupBy("m", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select(F.col("m").alias("m1"), F.col("key").alias("key1"), "n")
-    met = stored(keyed.join(sizes, (keyed.m == sizes.m1) & (keyed.key == sizes.key1)).select("fp", "m", "key", "n"), "simhash-met")
+    # the planner takes exploded rows for as large as the fingerprints, so a broadcast of these would be a row for each key in the driver
+    met = stored(keyed.hint("merge").join(sizes, (keyed.m == sizes.m1) & (keyed.key == sizes.key1)).select("fp", "m", "key", "n"), "simhash-met")
     small = met.where(F.col("n") <= limit)
     left, right = small.select(F.col("fp").alias("a"), "m", "key"), small.select(F.col("fp").alias("b"), "m", "key")
     near = left.join(right, ["m", "key"]).where((F.col("a") < F.col("b")) & (_distance(F.col("a"), F.col("b")) <= distance)).select("a", "b")

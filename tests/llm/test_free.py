@@ -86,6 +86,23 @@ def test_simhash_links_in_crowded_buckets(spark, distance):
     assert {f: got.get(f, f) for f in fps} == want
 
 
+def test_simhash_keys_are_not_broadcast(spark, monkeypatch):
+    """A fingerprint has 35 keys at distance 4, which the planner's sizes leave out: the driver must not gather them."""
+    plans, write = {}, simhash.stored
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "stored", noted)
+    flips = F.lit(sum(1 << i for i in (3, 20, 41, 62)))
+    pairs = spark.range(50).select(F.xxhash64("id").alias("a"), F.xxhash64("id").bitwiseXOR(flips).alias("b"))
+    fps = spark.range(2_000).select(F.xxhash64("id").alias("fp")).union(pairs.select("b"))
+    got = {(x.a, x.b) for x in simhash.links(fps, 4).collect()}
+    assert got == {(min(x), max(x)) for x in pairs.collect()}
+    assert "Generate explode" in plans["simhash-met"] and "Broadcast" not in plans["simhash-met"]
+
+
 def test_simhash_keys_are_lossless():
     """Whatever bits differ, some key holds none of them."""
     r = random.Random(2)
