@@ -9,7 +9,8 @@ through Spark's own writer and reader: any file system works, and a lost task is
 
 Encoding is that of the tokenizers library. Its pretokens never cross a single space or line
 feed between two other characters, so a text is cut there and each word is encoded once per
-worker and kept in a bounded cache; a text with other white space or with the string of a special
+worker and kept in a bounded cache, which is asked once for a word of a batch: Arrow numbers a batch's words
+and puts their ids in place; a text with other white space or with the string of a special
 token is encoded whole.
 
 Defined cases: null text is empty and has the end id alone; null doc_id comes first; rows with
@@ -19,6 +20,7 @@ the input are not written.
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import zlib
@@ -26,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +40,8 @@ CACHE = 800_000
 #: The letters that byte-level vocabularies write bytes as: printable ones as themselves, the others from U+0100 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+#: Texts that can't be cut into words: none at all, white space at an end or in a row or other than a space or line feed (what str.split knows).
+UNEVEN = r"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WRITER = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -57,7 +62,7 @@ class Pieces(dict):
     """Ids, as bytes, of words that follow `before` (a space, or nothing at a line's start), made when first asked for.
 
     A word of letters is one pretoken, so the library's model takes it as it is; its closing signs are a
-    pretoken of their own, so a word seen with one sign is known with another. Any other word goes through the whole library.
+    pretoken of their own, so a word is kept without them, once for all that follow it. Any other word goes through the whole library.
     Words live in two generations: when the younger has `most` words it becomes the older and the one before that goes,
     so words in use stay and memory is bounded.
     """
@@ -69,6 +74,9 @@ class Pieces(dict):
         self.head = before.replace(" ", "\u0120")
 
     def __missing__(self, w: str) -> bytes:
+        word = w.rstrip(SIGNS)
+        if word and len(word) < len(w) and word[-1].isalpha():
+            return self[word] + self.sign(w[len(word) :])
         found = self.older.get(w) or self.made(w)
         if len(self) >= self.most:
             self.older = dict(self)
@@ -77,13 +85,10 @@ class Pieces(dict):
         return found
 
     def made(self, w: str) -> bytes:
-        if w.isalpha() and max(w) < "\u0250":
+        if w.isalpha() and (w.isascii() or max(w) < "\u0250"):
             # the model's own alphabet has a letter per byte
             x = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS)
             return packed([t.id for t in self.model(self.head + x)])
-        word = w.rstrip(SIGNS)
-        if word and word != w and word[-1].isalpha():
-            return self[word] + self.sign(w[len(word) :])
         return packed(self.whole(self.before + w))
 
     def sign(self, x: str) -> bytes:
@@ -95,7 +100,7 @@ class Pieces(dict):
         return found
 
 
-def encoder(path: str, plain_marks: bool = False) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str, plain_marks: bool = False) -> Callable[[list[str] | pa.Array], list[bytes]]:
     """Texts to their ids as little-endian 32-bit bytes, with one tokenizer and cache per process.
 
     A special token's string in a text becomes that token, as the library has it; with plain_marks it is text.
@@ -112,24 +117,31 @@ def encoder(path: str, plain_marks: bool = False) -> Callable[[list[str]], list[
         marks = [] if plain_marks else [t.content for t in tok.get_added_tokens_decoder().values()]
         kept[path, plain_marks] = (tok, marks, Pieces("", tok, CACHE // 16), Pieces(" ", tok, CACHE // 2))
     tok, marks, starts, inner = kept[path, plain_marks]
+    uneven = "|".join([UNEVEN, *map(re.escape, marks)])
     line_end = packed(tok.encode("\n", add_special_tokens=False).ids)
-    get = inner.__getitem__
-
-    def even(t: str) -> bool:
-        """Whether t is words with one space or line feed between two of them, no other white space and no special token."""
-        if any(m in t for m in marks):
-            return False
-        if t.isascii():
-            return bool(t) and not (t[0] in " \n" or t[-1] in " \n" or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or any(c in t for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"))
-        words, gaps = t.split(), t.count(" ") + t.count("\n")
-        return len(words) == gaps + 1 and sum(map(len, words)) + gaps == len(t)
-
-    def line(x: str) -> bytes:
-        first, *rest = x.split(" ")
-        return starts[first] + b"".join(map(get, rest))
 
-    def encode(texts: list[str]) -> list[bytes]:
-        return [line_end.join(map(line, t.split("\n"))) if even(t) else packed(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    def lines(x: str, first: Pieces) -> bytes:
+        """Ids of a piece between two spaces: a word, and the words alone in their lines after it."""
+        if "\n" not in x:
+            return first[x]
+        head, *rest = x.split("\n")
+        return line_end.join([first[head], *map(starts.__getitem__, rest)])
+
+    def encode(texts: list[str] | pa.Array) -> list[bytes]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        whole = pc.match_substring_regex(column, uneven)
+        pieces = pc.split_pattern(pc.if_else(whole, "", column), " ")  # a text that is encoded whole is one piece here
+        at, flat = pieces.offsets.to_numpy(), pieces.flatten()
+        words = flat.dictionary_encode()
+        ids = [lines(x, inner) for x in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        place = words.indices.to_numpy().copy()
+        place[at[:-1]] = np.arange(len(ids), len(ids) + len(column))
+        firsts = flat.take(pa.array(at[:-1])).to_numpy(zero_copy_only=False).tolist()
+        for k, odd in enumerate(whole.to_pylist()):
+            ids.append(packed(tok.encode(column[k].as_py(), add_special_tokens=False).ids) if odd else lines(firsts[k], starts))
+        out = pa.array(ids, pa.large_binary()).take(pa.array(place))
+        ends, data = np.frombuffer(out.buffers()[1], np.int64)[at].tolist(), memoryview(out.buffers()[2] or b"")
+        return [bytes(data[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
 
     return encode
 
@@ -140,9 +152,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], "<i4").tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                ids = encode(part.column(1).to_pylist())
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                ids = encode(part.column(1))
                 offsets = np.cumsum([0, *[len(x) // 4 + 1 for x in ids]]).astype(np.int32)
                 flat = np.frombuffer(b"".join(y for x in ids for y in (x, end)), "<i4")
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))

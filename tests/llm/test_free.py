@@ -180,6 +180,26 @@ def test_token_cache_eviction(monkeypatch):
     tokenizers.__dict__["_palimpsest_encoders"].clear()
 
 
+def test_token_words_of_a_batch(monkeypatch):
+    """A batch asks for a word once, whatever signs follow it, and as a part of a larger array too."""
+    import pyarrow as pa
+
+    name = public.path("byte_bpe_50k.json")
+    tok = tokenizers.Tokenizer.from_file(name)
+    tokenizers.__dict__.get("_palimpsest_encoders", {}).clear()
+    encode, made = token_ids.encoder(name), []
+    one = token_ids.Pieces.made
+    monkeypatch.setattr(token_ids.Pieces, "made", lambda self, w: made.append((self.before, w)) or one(self, w))
+    texts = ["so word, word. word; élan!", "la word?! word\nword: word\nso, élan", "x word,word word)", "<|endoftext|> a", "", "a  b"] * 20
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for k, n in ((0, 120), (7, 50)):
+            assert [np.frombuffer(x, "<i4").tolist() for x in encode(pa.array(texts, kind).slice(k, n))] == want[k : k + n]
+    kept = tokenizers.__dict__["_palimpsest_encoders"][name, False][3]
+    assert len(made) == len(set(made)) and {"word", "élan", "word,word"} <= set(kept) and not any(w.endswith(tuple(token_ids.SIGNS)) for w in kept)
+    tokenizers.__dict__["_palimpsest_encoders"].clear()
+
+
 def test_masks_are_lossless():
     """Whatever two of thirteen places differ, some mask fits between."""
     fits = [frozenset(i + o for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS[:2] for o in range(decontaminate.WINDOW - len(m) + 1)]
