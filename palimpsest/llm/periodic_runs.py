@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import given_back, table, word_count, words
+from .common import given_back, table, words
 
 GAP = re.compile(rb"[\x20\x09-\x0D]")
 RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
@@ -232,15 +232,16 @@ def find_runs(docs: DataFrame, min_length: int = 6, min_exponent: int = 4) -> Da
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id, text: a tenth of the documents, chosen by id, repeat their words with a period from a place on."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    g = F.expr("h div 10")
-    n = F.col("n")
-    rows = docs.select("doc_id", F.col("text").alias("text"), h.alias("h"), F.when(h % 10 == 0, word_count(F.col("text"))).otherwise(0).alias("n"))
-    rows = rows.select("doc_id", "text", "n", g.alias("g"))
-    rows = rows.select("*", F.when(n > 0, F.expr("g % n")).alias("a")).select("*", F.expr("1 + (n - a) div (3 + g % 8)").alias("p"))
-    own = words(F.col("text"))
-    planted = F.expr("array_join(transform(sequence(0, n - 1), i -> w[int(if(i < a, i, a + (i - a) % p))]), ' ')")
-    rows = rows.select("doc_id", "text", "n", "a", "p", F.when(n > 0, own).alias("w"))
-    return rows.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+    def planted(x: Column) -> Column:
+        # x holds the words once; named in a lambda, they aren't split again for each word
+        n = F.size(x.w).cast("long")
+        a = x.g % n
+        p = 1 + F.floor((n - a) / (3 + x.g % 8))
+        return F.when(n == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(x.w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " "))
+
+    held = F.array(F.struct(words(F.col("text")).alias("w"), F.floor(h / 10).alias("g")))
+    return docs.select("doc_id", F.when(h % 10 == 0, F.transform(held, planted)[0]).otherwise(F.col("text")).alias("text"))
 
 
 def digest(rows: DataFrame) -> DataFrame:
