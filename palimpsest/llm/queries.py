@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, mixing, periodic_runs, quality_qda, quality_rules, sharding, simhash, token_ids, toxicity, warc
+from . import chat_format, decontaminate, mixing, periodic_runs, quality_qda, quality_rules, sharding, simhash, token_alignment, token_ids, toxicity, warc
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_adaptive_rules": quality_rules.op9_adaptive_rules,
     "op10_spaced_seed_overlaps": decontaminate.op10_spaced_seed_overlaps,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
 }
 
 ORACLES = {
