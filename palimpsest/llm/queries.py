@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, mixing, periodic_runs, quality_qda, quality_rules, sharding, simhash, token_alignment, token_ids, toxicity, warc
+from . import chat_format, decontaminate, language_kernel, mixing, periodic_runs, quality_qda, quality_rules, sharding, simhash, token_alignment, token_ids, toxicity, warc
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_spaced_seed_overlaps": decontaminate.op10_spaced_seed_overlaps,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_language_kernel": language_kernel.op13_language_kernel,
 }
 
 ORACLES = {
