@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import estimated_tokens
+from .literals import holding
 
 CONTAINERS = ("class", "module", "struct", "trait", "enum", "interface", "doc_section")
 #: How specific a kind is where two nodes have one span.
@@ -115,7 +116,7 @@ def looked_up(asked: DataFrame, nodes: DataFrame) -> DataFrame:
 def suggestions(asked: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
     """query_id, node_id, rank: nodes whose name holds the key or whose id begins with it, at most `most`, by id."""
     n = nodes.select("node_id", "name")
-    rows = n.join(F.broadcast(asked), F.contains("name", F.col("key")) | F.startswith("node_id", F.col("key")))  # keys that a user typed
+    rows = holding(n, "node_id", F.concat_ws("\n", "name", "node_id"), asked, F.col("key")).where(F.contains("name", F.col("key")) | F.startswith("node_id", F.col("key")))
     order = W.partitionBy("query_id").orderBy("node_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "node_id", "rank")
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import day_label, node_id, scrubbed, stripped
+from .literals import holding
 
 DAY = 86400
 MAX_CHARS = 8000
@@ -86,14 +87,15 @@ def recall_literal(content: Column, query: Column) -> Column:
     return F.when(F.contains(c, q), 1.0).otherwise(0.05 * F.size(F.filter(terms, lambda t: F.contains(c, t))))
 
 
-def recall(ranked: DataFrame, events: DataFrame, queries: DataFrame, now: int, limit: int, days: int = 90, most: int = 1000) -> DataFrame:
+def recall(ranked: DataFrame, events: DataFrame, queries: DataFrame, now: int, limit: int, days: int = 90, most: int | None = 1000) -> DataFrame:
     """query_id, id, score, rank: fused rows with recency and literal boosts; literal matches that weren't ranked enter at 2.
 
     ranked: query_id, node_id (an event id), score. Literal matches are looked for among the
-    newest `most` events of the last `days`.
+    newest `most` events of the last `days`, or among all of these days' with most=None.
     """
-    latest = events.where((F.col("created_at") >= now - days * DAY) & (F.col("created_at") <= now)).orderBy(F.desc("created_at"), "id").limit(most)
-    found = latest.join(queries.select("query_id", F.col("text").alias("query")), F.contains(F.lower("content"), F.lower(F.trim("query"))))
+    latest = events.where((F.col("created_at") >= now - days * DAY) & (F.col("created_at") <= now))
+    latest = latest if most is None else latest.orderBy(F.desc("created_at"), "id").limit(most)
+    found = holding(latest.select("id", "content"), "id", F.lower("content"), queries.select("query_id", F.col("text").alias("query")), F.lower(F.trim("query")))
     base = ranked.select("query_id", F.col("node_id").alias("id"), "score")
     missing = found.select("query_id", "id").join(base, ["query_id", "id"], "left_anti").withColumn("score", F.lit(2.0))
     rows = base.unionByName(missing).join(events.select("id", "created_at", "content"), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")

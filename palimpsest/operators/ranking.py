@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .literals import holding
+
 
 def reranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("node_id"))))
@@ -39,12 +41,13 @@ def literal_score(query: Column) -> Column:
 def literal_boost(rows: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """Adds literal_score to ranked rows and injects matching nodes that weren't ranked, for literal-like queries.
 
-    Literals may stand anywhere in a text, so each node is read once, against the literals of the stated queries.
+    Literals may stand anywhere in a text; nodes meet them under their rarest grams (literals.holding).
     """
     from ..functions.text import is_literal_like
 
     literal = queries.where(is_literal_like(F.col("text"))).select("query_id", F.col("text").alias("query"))
-    found = nodes.join(literal, F.contains(F.lower(F.concat_ws("\n", "name", "signature", "doc_comment", "text", "file_path")), F.lower(F.trim("query"))))
+    columns = ("name", "signature", "doc_comment", "text", "file_path")
+    found = holding(nodes.select("node_id", *columns), "node_id", F.lower(F.concat_ws("\n", *columns)), literal, F.lower(F.trim("query")))
     found = found.select("query_id", "node_id", literal_score(F.col("query")).alias("boost")).where("boost > 0")
     out = rows.select("query_id", "node_id", "score").join(found, ["query_id", "node_id"], "full_outer")
     return reranked(out.select("query_id", "node_id", F.round(F.coalesce("score", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0)), 6).alias("score")))
