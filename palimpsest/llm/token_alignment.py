@@ -8,11 +8,13 @@ Texts are cut before white space that begins with a space or a line feed and fol
 past such a place, and none of B's pieces holds a line feed or a space after another character (both are looked up in
 the tokenizers; where they don't hold, a text is one segment), so segments are encoded by themselves just as within the text.
 
-1. Texts are read once, in chunks of about 16 MB; a chunk names its distinct segments by numbers, most frequent first,
+1. Texts are read once, in chunks of about 32 MB; a chunk names its distinct segments by numbers, most frequent first,
    and its documents become rows of numbers.
-2. Distinct segments of all chunks are encoded and aligned once, with how often they occur; pairs of ids are counted from these.
-3. What a segment adds up to goes back to the chunks it is in, and each chunk composes its documents. Words that are
-   everywhere cost a row per chunk, not per occurrence.
+2. Chunks' segments are dealt and sorted by segment, so each distinct one is encoded and aligned once, and its tokens go to all chunks
+   that have it: words that are everywhere cost a row per chunk, not per occurrence.
+3. Pairs of ids are counted from these rows. Of two tokens that end together one's bytes end with the other's, so the vocabularies bound the pairs: at most
+   the number of tokens' endings that are tokens of the other side, some hundreds of thousands, whatever the texts. These counts are sent to all tasks.
+4. Each chunk composes its documents.
 
 Defined cases: null, empty texts, and texts whose joined tokens are not a space and the text (for B one with U+2581), have
 no tokens, count for no pair, and have zeros and an empty string of groups; repeated rows and null ids are rows like any other; an
@@ -36,14 +38,18 @@ from .common import given_back, stored, table
 from .token_ids import BYTE_LETTERS, UNEVEN
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 #: Texts that are cut at once.
 STEP = 64
 #: Before white space that begins with a space or line feed; not before a lone space at the end, which B can't encode by itself.
 CUT = re.compile(r"(?<=\S)(?=[ \n])(?! \Z)")
 BREAK = "\0"
-CHUNKS = "chunk long, code int, segment string, n long, doc_id long, codes binary"
-SEGMENTS = "segment string, n long, ok boolean, n_a int, n_b int, groups string, a array<int>, b array<int>"
+#: Documents of a chunk whose numbers are kept together.
+BLOCK = 512
+CHUNKS = "chunk long, code int, segment string, n long, doc_ids array<long>, sizes array<int>, codes binary"
+LINKS = "chunk long, code int, n long, ok boolean, tokens binary"
+#: Tokens are written in 24 bits, in the order of groups, A's before B's: the id, whether it is B's, whether it ends its group.
+IDS, OF_B, ENDS = (1 << 22) - 1, 1 << 22, 1 << 23
 COMPOSED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -68,6 +74,7 @@ class Tokenizers:
             self.bytes_a[i] = bytes(letters.get(c, ord(c) & 255) for c in piece)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id("▁")
         spec = json.loads(self.a.to_str())
         split = spec["pre_tokenizer"] or {}
@@ -82,8 +89,8 @@ class Tokenizers:
         found = self.b.encode([s[1:] if s[:1] == " " else s for s in segments], num_threads=1)
         return [ids if s[:1] == " " else ids[1:] for s, ids in zip(segments, found, strict=True)]
 
-    def align(self, segments: list[str]) -> pa.RecordBatch:
-        """ok, n_a, n_b, groups, and the linked ids a and b of each segment."""
+    def align(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each segment fits, its number of tokens, and the tokens of all as numbers of 24 bits."""
         own_a, own_b, ok = [], [], []
         for s, x, y in zip(segments, self.a.encode_batch_fast(segments, add_special_tokens=False), self.encode_b(segments), strict=True):
             x, raw = x.ids, s.encode()
@@ -91,23 +98,15 @@ class Tokenizers:
             ok.append(fits)
             own_a.append(x if fits else [])
             own_b.append(y if fits else [])
-        n_a, n_b = (np.fromiter(map(len, own), np.int32, len(own)) for own in (own_a, own_b))
-        a, b = ([i for ids in own for i in ids] for own in (own_a, own_b))
-        ends_a, ends_b = (np.cumsum(np.fromiter((len(of[i]) for i in ids), np.int64, len(ids))) for of, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+        n = np.fromiter((len(x) + len(y) for x, y in zip(own_a, own_b, strict=True)), np.int64, len(ok))
+        a, b = (np.array([i for ids in own for i in ids], np.int64) for own in (own_a, own_b))
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        # places count on through all segments; the last tokens of each end together, so no group goes on into the next one
         both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        at_a, at_b = np.searchsorted(ends_a, both), np.searchsorted(ends_b, both)
-        text_a, text_b, groups, i, j = list(map(str, a)), list(map(str, b)), [], 0, 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            groups.append(f"{','.join(text_a[i:x])}|{','.join(text_b[j:y])}")
-            i, j = x, y
-        # the last tokens of a segment end together, so groups never go on into the next one
-        offsets = np.concatenate([[0], np.searchsorted(at_a, np.cumsum(n_a))]).astype(np.int32)
-        lists = lambda values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-        joined = [";".join(groups[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ok), pa.array(n_a), pa.array(n_b), pa.array(joined, pa.string()), lists(np.array(a, np.int32)[at_a]), lists(np.array(b, np.int32)[at_b])],
-            names=["ok", "n_a", "n_b", "groups", "a", "b"],
-        )
+        group = np.concatenate([np.searchsorted(both, ends_a) * 2, np.searchsorted(both, ends_b) * 2 + 1])
+        last = np.concatenate([both[group[: len(a)] // 2] == ends_a, both[group[len(a) :] // 2] == ends_b]) if len(both) else np.zeros(0, bool)
+        tokens = np.concatenate([a, b | OF_B]) | np.where(last, ENDS, 0)
+        return np.array(ok), n, tokens[np.argsort(group, kind="stable")]
 
 
 def loaded(a: str, b: str) -> Tokenizers:
@@ -136,115 +135,136 @@ def segments_of(texts: pa.Array, cuts: bool) -> pa.ListArray:
 
 
 def packed(codes: np.ndarray) -> bytes:
-    """Numbers by planes of their bytes: the upper ones are mostly zeros, which compress to little."""
-    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Numbers by planes of their bytes, compressed."""
+    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
 
 
-def unpacked(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def unpacked(planes: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(planes, 4 * n, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def three_bytes(tokens: np.ndarray) -> bytes:
+    return tokens.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all rows of a binary column, and the place of each row's first one (and the end)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 3).astype(np.int64)
+    return raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16, (offsets - offsets[0]).astype(np.int64) // 3
+
+
+def links_of(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pair (a << 32 | b) and the row of each link."""
+    ends = tokens & ENDS > 0
+    at_b = np.flatnonzero(ends & (tokens & OF_B > 0))
+    pairs = (tokens[ends & (tokens & OF_B == 0)] & IDS) << 32 | tokens[at_b] & IDS
+    return pairs, np.searchsorted(starts, at_b, side="right") - 1
 
 
 def chunked(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows of documents (chunk, doc_id, codes) and of their chunk's distinct segments (chunk, code, segment, n)."""
-
-    def chunk(name: int, ids: list[pa.Array], lists: list[pa.ListArray]) -> Iterator[pa.RecordBatch]:
-        ids, lists = pa.concat_arrays(ids), pa.concat_arrays(lists)
-        distinct = lists.flatten().dictionary_encode()
-        codes = distinct.indices.to_numpy(zero_copy_only=False)
-        n = np.bincount(codes, minlength=len(distinct.dictionary))
-        order = np.argsort(-n, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        codes = rank[codes]
-        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        segments = distinct.dictionary.take(pa.array(order))
-
-        def rows(m: int, **own: pa.Array) -> pa.RecordBatch:
-            kinds = {"chunk": pa.int64(), "code": pa.int32(), "segment": pa.string(), "n": pa.int64(), "doc_id": pa.int64(), "codes": pa.binary()}
-            own["chunk"] = pa.array(np.full(m, name))
-            return pa.RecordBatch.from_arrays([own[k].cast(t) if k in own else pa.nulls(m, t) for k, t in kinds.items()], names=list(kinds))
-
-        for k in range(0, len(segments), 20_000):
-            part = segments.slice(k, 20_000)
-            yield rows(len(part), code=pa.array(np.arange(k, k + len(part))), segment=part, n=pa.array(n[order[k : k + len(part)]]))
-        for k in range(0, len(ids), 1000):
-            part = [packed(codes[x:y]) for x, y in zip(ends[k : k + 1000], ends[k + 1 : k + 1001], strict=False)]
-            yield rows(len(part), doc_id=ids.slice(k, 1000), codes=pa.array(part, pa.binary()))
+    """Rows of blocks of documents (chunk, doc_ids, sizes, codes) and of their chunk's distinct segments (chunk, code, segment, n)."""
+
+    class Chunk:
+        def __init__(self, name: int) -> None:
+            self.name, self.known, self.ids, self.sizes, self.codes, self.bytes = name, {}, [], [], [], 0
+
+        def add(self, part: pa.RecordBatch, cuts: bool) -> None:
+            lists = segments_of(part.column(1), cuts)
+            own = lists.flatten().dictionary_encode()
+            names = np.array([self.known.setdefault(s, len(self.known)) for s in own.dictionary.to_pylist()], np.int32)
+            self.ids += part.column(0).to_pylist()
+            self.sizes.append(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            self.codes.append(names[own.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int32))
+            self.bytes += part.column(1).nbytes
+
+        def rows(self) -> Iterator[pa.RecordBatch]:
+            codes, sizes, segments = np.concatenate(self.codes), np.concatenate(self.sizes), list(self.known)
+            n = np.bincount(codes, minlength=len(segments))
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            codes, ends = rank[codes], np.concatenate([[0], np.cumsum(sizes)])
+            kinds = {"chunk": pa.int64(), "code": pa.int32(), "segment": pa.string(), "n": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "codes": pa.binary()}
+
+            def batch(m: int, **own) -> pa.RecordBatch:
+                own["chunk"] = np.full(m, self.name)
+                return pa.RecordBatch.from_arrays([pa.array(own[k], t) if k in own else pa.nulls(m, t) for k, t in kinds.items()], names=list(kinds))
+
+            for k in range(0, len(segments), 20_000):
+                part = order[k : k + 20_000]
+                yield batch(len(part), code=np.arange(k, k + len(part)), segment=[segments[x] for x in part], n=n[part])
+            for k in range(0, len(sizes), BLOCK):
+                m = min(k + BLOCK, len(sizes))
+                yield batch(1, doc_ids=[self.ids[k:m]], sizes=[sizes[k:m]], codes=[packed(codes[ends[k] : ends[m]])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, name, ids, lists, size = loaded(a, b).cuts, TaskContext.get().partitionId() << 32, [], [], 0
+        cuts, chunk = loaded(a, b).cuts, Chunk(TaskContext.get().partitionId() << 32)
         for batch in batches:
             for k in range(0, batch.num_rows, STEP):
                 part = batch.slice(k, STEP)
-                if size and size + part.column(1).nbytes > CHUNK:
-                    yield from chunk(name, ids, lists)
-                    name, ids, lists, size = name + 1, [], [], 0
-                ids.append(part.column(0))
-                lists.append(segments_of(part.column(1), cuts))
-                size += part.column(1).nbytes
-        if ids:
-            yield from chunk(name, ids, lists)
+                if chunk.bytes and chunk.bytes + part.column(1).nbytes > CHUNK:
+                    yield from chunk.rows()
+                    chunk = Chunk(chunk.name + 1)
+                chunk.add(part, cuts)
+        if chunk.sizes:
+            yield from chunk.rows()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(given_back(run), CHUNKS)
 
 
-def aligned(segments: DataFrame, a: str, b: str) -> DataFrame:
-    """segments(segment, n), each once, with their alignment."""
+def linked(segments: DataFrame, a: str, b: str) -> DataFrame:
+    """segments(chunk, code, segment, n) with their tokens in groups; equal segments come one after the other and are encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = loaded(a, b)
+        pair, before = loaded(a, b), (None, None, None)
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                made = pair.align(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, *made.columns], names=[*part.schema.names, *made.schema.names])
+            own = batch.column(2).dictionary_encode()
+            names = own.dictionary.to_pylist()
+            known = names[:1] == [before[0]]
+            ok, n, tokens = pair.align(names[1:] if known else names)
+            ends = np.concatenate([[0], np.cumsum(n)]).tolist()
+            rows = [three_bytes(tokens[x:y]) for x, y in zip(ends, ends[1:], strict=False)]
+            ok = ok.tolist()
+            if known:
+                ok, rows = [before[1], *ok], [before[2], *rows]
+            before = (names[-1], ok[-1], rows[-1]) if names else before
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(ok).take(own.indices), pa.array(rows, pa.binary()).take(own.indices)], names=["chunk", "code", "n", "ok", "tokens"])
 
-    return segments.mapInArrow(given_back(run), SEGMENTS)
+    return segments.select("chunk", "code", "segment", "n").repartition("segment").sortWithinPartitions("segment").mapInArrow(given_back(run), LINKS)
 
 
-def without_bad(found: DataFrame, segments: DataFrame, docs: DataFrame) -> DataFrame:
-    """found with n less the occurrences in documents that hold a segment which doesn't fit."""
+def pair_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs (a << 32 | b) and how often each is linked, of rows(n, tokens); the vocabularies bound their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, bad, planes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                code, n = np.unique(unpacked(planes), return_counts=True)
-                if np.isin(code, bad).any():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), chunk)), pa.array(code.astype(np.int32)), pa.array(n)], names=["chunk", "code", "k"])
-
-    bad = segments.join(found.where("NOT ok").select("segment"), "segment").groupBy("chunk").agg(F.collect_set("code").alias("bad"))
-    lost = docs.join(bad, "chunk").select("chunk", "bad", "codes").mapInArrow(run, "chunk long, code int, k long").groupBy("chunk", "code").agg(F.sum("k").alias("k"))
-    lost = segments.join(lost, ["chunk", "code"]).groupBy("segment").agg(F.sum("k").alias("k"))
-    return found.join(lost, "segment", "left").withColumn("n", F.col("n") - F.coalesce("k", F.lit(0))).select(found.columns)
-
+            pairs, row = links_of(*tokens_of(b.column(1)))
+            found, at = np.unique(pairs, return_inverse=True)
+            n = np.zeros(len(found), np.int64)
+            np.add.at(n, at, b.column(0).to_numpy()[row])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["pair", "n"])
 
-def linked(found: DataFrame) -> DataFrame:
-    """segment, a, b, n: a row per link of a distinct segment."""
-    return found.select("segment", "n", F.explode(F.arrays_zip("a", "b")).alias("x")).select("segment", "x.a", "x.b", "n")
+    found = rows.select("n", "tokens").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
+    return found.column(0).to_numpy(), found.column(1).to_numpy()
 
 
-def pair_counts(found: DataFrame) -> DataFrame:
-    """a, b, count, best (whether no pair of that b counts more); vocabularies bound its rows."""
-    counts = stored(linked(found).groupBy("a", "b").agg(F.sum("n").alias("count")).where("count > 0"), "align-counts")
-    most = counts.groupBy("b").agg(F.max("count").alias("most"))
-    return counts.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
+def unfit(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """n, tokens: what documents that hold a segment which doesn't fit have in links."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, bad, sizes, planes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                codes, doc = unpacked(planes, sum(sizes)), np.repeat(np.arange(len(sizes)), sizes)
+                lost = np.isin(doc, doc[np.isin(codes, bad)])
+                code, n = np.unique(codes[lost], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), chunk)), pa.array(code.astype(np.int32)), pa.array(n)], names=["chunk", "code", "k"])
 
-def _compose(docs: pa.Table, segments: pa.Table) -> pa.Table:
-    segments = segments.combine_chunks().sort_by("code")
-    column = lambda name: segments.column(name).to_numpy()
-    sums = np.stack([column(c).astype(np.int64) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")]) if len(segments) else np.zeros((5, 0), np.int64)
-    ok, groups = column("ok").astype(bool), segments.column("groups").combine_chunks()
-    n, text, ids = [], [], docs.column("doc_id")
-    for planes in docs.column("codes"):
-        codes = unpacked(planes.as_py())
-        fits = ok[codes].all()
-        n.append(sums[:, codes].sum(1) if fits else np.zeros(5, np.int64))
-        text.append(";".join(groups.take(pa.array(codes)).to_pylist()) if fits else "")
-    n = np.array(n, np.int64).reshape(-1, 5)
-    parts = [n[:, 0], n[:, 1], n[:, 2], n[:, 2], n[:, 3], n[:, 4]]
-    return pa.table([ids, *map(pa.array, parts), pa.array(text, pa.string())], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+    bad = links.where("NOT ok").groupBy("chunk").agg(F.collect_set("code").alias("bad"))  # of one chunk, which is bounded
+    lost = docs.join(bad, "chunk").select("chunk", "bad", "sizes", "codes").mapInArrow(run, "chunk long, code int, k long").groupBy("chunk", "code").agg(F.sum("k").alias("k"))
+    return links.join(lost, ["chunk", "code"]).select(F.col("k").alias("n"), "tokens")
 
 
 def align(docs: DataFrame, a: str, b: str) -> DataFrame:
@@ -253,14 +273,47 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     a and b are the paths of the tokenizers' files on every executor.
     """
     rows = stored(chunked(docs, a, b), "align-chunks")
-    segments, documents = rows.where("segment IS NOT NULL").select("chunk", "code", "segment", "n"), rows.where("segment IS NULL").selectExpr("chunk AS chunk", "doc_id", "codes")
-    found = stored(aligned(segments.groupBy("segment").agg(F.sum("n").alias("n")), a, b), "align-segments")
-    if not found.where("NOT ok").isEmpty():
-        found = stored(without_bad(found, segments, documents), "align-fitting")
-    own = linked(found).join(pair_counts(found), ["a", "b"]).groupBy("segment").agg(F.sum("count").alias("count_sum"), F.sum(F.col("best").cast("long")).alias("n_best"))
-    known = found.select("segment", "ok", "n_a", "n_b", F.size("a").alias("n_groups"), "groups").join(own, "segment", "left").fillna(0, ["count_sum", "n_best"])
-    back = segments.select("chunk", "code", "segment").join(known, "segment").drop("segment")
-    return documents.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_compose, COMPOSED)
+    segments, documents = rows.where("segment IS NOT NULL"), rows.where("segment IS NULL").selectExpr("chunk AS chunk", "doc_ids", "sizes", "codes")
+    links = stored(linked(segments, a, b), "align-links")
+    pairs, count = pair_counts(links)
+    if not links.where("NOT ok").isEmpty():
+        lost, n = pair_counts(unfit(links, documents))
+        count = count.copy()
+        count[np.searchsorted(pairs, lost)] -= n
+    of_b = pairs & 0xFFFFFFFF
+    most = np.zeros(of_b.max(initial=0) + 1, np.int64)
+    np.maximum.at(most, of_b, count)
+    sent = docs.sparkSession.sparkContext.broadcast((pairs, count, count == most[of_b]))
+
+    def compose(docs: pa.Table, links: pa.Table) -> pa.Table:
+        pairs, count, best = sent.value
+        links = links.combine_chunks().sort_by("code")
+        tokens, starts = tokens_of(links.column("tokens").combine_chunks()) if len(links) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        own, row = links_of(tokens, starts)
+        at = np.searchsorted(pairs, own)
+        of_rows = lambda x: np.bincount(row, x, len(links)).astype(np.int64)
+        both = np.diff(starts)
+        n_b = np.diff(np.concatenate([[0], np.cumsum(tokens & OF_B > 0)])[starts])
+        counts = np.zeros(len(links), np.int64)
+        np.add.at(counts, row, count[at])
+        sums = np.stack([both - n_b, n_b, of_rows(np.ones(len(row))), of_rows(best[at].astype(float)), counts])
+        ids = pc.cast(pa.array(tokens & IDS), pa.string())
+        signs = pa.array([",", "|", ";"]).take(pa.array(np.where(tokens & ENDS == 0, 0, np.where(tokens & OF_B == 0, 1, 2))))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pc.binary_join_element_wise(ids, signs, "")), "")
+        fits = links.column("ok").to_numpy().astype(bool)
+        out = []
+        for doc_ids, sizes, planes in zip(*(docs.column(c).to_pylist() for c in ("doc_ids", "sizes", "codes")), strict=True):
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            codes = unpacked(planes, int(ends[-1]))
+            good = np.array([fits[codes[x:y]].all() for x, y in zip(ends, ends[1:], strict=False)], bool)
+            total = np.concatenate([np.zeros((5, 1), np.int64), np.cumsum(sums[:, codes], axis=1)], axis=1)[:, ends]
+            n = np.where(good, np.diff(total, axis=1), 0)
+            groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), text.take(pa.array(codes))), "")
+            groups = pc.if_else(pa.array(good), pc.utf8_slice_codeunits(groups, 0, -1), "")
+            out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *map(pa.array, (n[0], n[1], n[2], n[2], n[3], n[4])), groups], names=[c.split()[0] for c in COMPOSED.split(", ")]))
+        return pa.Table.from_batches(out)
+
+    return documents.groupBy("chunk").cogroup(links.select("chunk", "code", "ok", "tokens").groupBy("chunk")).applyInArrow(compose, COMPOSED)
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
