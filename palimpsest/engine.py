@@ -71,10 +71,14 @@ class Engine:
         read = self.store.read if self.store else lambda _, default: default
         self.nodes, self.edges = read("nodes", empty(NODES)), read("edges", empty(EDGES))
         self.files = read("files", empty("file_path string, content string, file_hash string"))
-        self.vectors = read("vectors", None)
+        self.known = read("text_vectors", None)
+        self.vectors = None
+        if self.known is not None:
+            own = self.nodes.select("node_id", embed.hash_of(text.embedding_text(F.col("signature"), F.col("identifiers"), F.col("doc_comment"))).alias("text_hash"))
+            self.vectors = own.join(self.known, "text_hash").select("node_id", "vector")
         self.events, self.memories = read("events", empty(EVENTS)), read("memories", empty(UNIVERSAL))
-        if self.store and self.store.versions("nodes") and self.store._files.exists(self.store._at("index", "totals", "_SUCCESS")):
-            self.index_ = search.TextIndex.read(self.spark, f"{self.store.path}/index")
+        if self.store and self.store.versions("nodes") and self.store.names("index/versions/segments"):
+            self.index_ = search.StoredIndex(self.spark, f"{self.store.path}/index").reader()
 
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
         return self.store.write(name, df) if self.store else df
@@ -114,14 +118,23 @@ class Engine:
         )
         self.edges = self._kept("edges", built.unionByName(graph.live_memory_edges(discussed, self.nodes).select(*built.columns)))
         if self.store:
-            self.index_ = search.TextIndex.written(self.nodes.select("node_id", "text"), f"{self.store.path}/index")
+            self.index_ = search.StoredIndex(self.spark, f"{self.store.path}/index").sync(self.nodes.select("node_id", "text"))
         else:
             self.index_ = search.TextIndex.of(self.nodes.select("node_id", "text"))
         if self.encode:
-            texts = self.nodes.select("node_id", text.embedding_text(F.col("signature"), F.col("identifiers"), F.col("doc_comment")).alias("text"))
-            self.vectors = self._kept("vectors", embed.embedded(texts, self.encode))
+            self._embed_nodes()
         return ingest.stats(outcome, self.nodes)
 
+    def _embed_nodes(self) -> None:
+        """Vectors of all nodes; only texts that have none are encoded, and vectors of texts that are gone go."""
+        texts = self.nodes.select("node_id", text.embedding_text(F.col("signature"), F.col("identifiers"), F.col("doc_comment")).alias("text"))
+        own = texts.select("node_id", embed.hash_of(F.col("text")).alias("text_hash"))
+        fresh = self._kept("text_vectors_new", embed.missing(texts, self.known, self.encode))
+        if self.known is None or not self.store or not fresh.isEmpty():
+            known = fresh if self.known is None else self.known.join(own, "text_hash", "left_semi").unionByName(fresh)
+            self.known = self._kept("text_vectors", known)
+        self.vectors = own.join(self.known, "text_hash").select("node_id", "vector")
+
     def _parsed(self, files: DataFrame) -> DataFrame:
         found = graph.dedupe_spans(code.extract_nodes(files)).unionByName(code.extract_sections(files))
         key = text.node_id(F.col("file_path"), F.col("kind"), F.col("signature"), F.col("start_byte").cast("string"))

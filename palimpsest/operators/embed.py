@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -31,7 +31,7 @@ def hashed(dim: int) -> Encoder:
 
 
 def embedded(texts: DataFrame, encode: Encoder, batch: int = 256) -> DataFrame:
-    """node_id, vector of texts(node_id, text). Each task sorts its texts by length, so that a batch is padded little."""
+    """node_id, vector of texts(node_id, text). Texts are dealt and sorted by length, so a batch is padded little and batches of any length are spread over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -40,5 +40,19 @@ def embedded(texts: DataFrame, encode: Encoder, batch: int = 256) -> DataFrame:
                 made = encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(made.astype(np.float32)), pa.list_(pa.float32()))], names=["node_id", "vector"])
 
-    rows = texts.select("node_id", "text").sortWithinPartitions(F.length("text"))
-    return rows.mapInArrow(run, "node_id string, vector array<float>")
+    length = F.length(F.coalesce("text", F.lit("")))
+    rows = texts.select("node_id", "text", length.alias("n")).repartitionByRange("n", "node_id").sortWithinPartitions("n", "node_id")
+    return rows.select("node_id", "text").mapInArrow(run, "node_id string, vector array<float>")
+
+
+def hash_of(text: Column) -> Column:
+    """What a text's vector is kept under."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def missing(texts: DataFrame, known: DataFrame | None, encode: Encoder, batch: int = 256) -> DataFrame:
+    """text_hash, vector of those of texts(node_id, text) that known(text_hash, vector) doesn't have; equal texts are encoded once."""
+    rows = texts.select(hash_of(F.col("text")).alias("node_id"), "text").dropDuplicates(["node_id"])
+    if known is not None:
+        rows = rows.join(known.select(F.col("text_hash").alias("node_id")), "node_id", "left_anti")
+    return embedded(rows, encode, batch).select(F.col("node_id").alias("text_hash"), "vector")

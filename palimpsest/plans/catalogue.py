@@ -76,8 +76,8 @@ def _items(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-#: Stored indexes of this process, by application and tables.
-INDEXES: dict[tuple[str, str], search.TextIndex] = {}
+#: Stored indexes of this process, by application and files.
+INDEXES: dict[tuple[str, tuple], search.TextIndex] = {}
 
 
 def shared_path(spark, name: str) -> str:
@@ -88,11 +88,22 @@ def shared_path(spark, name: str) -> str:
     return f"{(base or f'file://{tempfile.mkdtemp(prefix="palimpsest-")}').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def files_of(df: DataFrame) -> tuple:
+    """The files that a table is read from, with their size and time."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for f in sorted(df.inputFiles()):
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        status = at.getFileSystem(conf).getFileStatus(at)
+        found.append((f, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def text_index(spark, d) -> search.TextIndex:
-    """The inverted index over documents, written once per application."""
-    key = (spark.sparkContext.applicationId, d)
+    """The inverted index over documents, written once per application and state of the table's files."""
+    key = (spark.sparkContext.applicationId, files_of(table(spark, d, "documents")))
     if key not in INDEXES:
-        INDEXES[key] = search.TextIndex.written(nodes(spark, d).select("node_id", "text"), shared_path(spark, "text-index"))
+        INDEXES[key] = search.StoredIndex(spark, shared_path(spark, "text-index")).sync(nodes(spark, d).select("node_id", "text"))
     return INDEXES[key]
 
 
@@ -115,6 +126,17 @@ def q_bm25(spark, d):
     return _doc(_fts(spark, d))
 
 
+@query(f"WITH {BM25} SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM fts")
+def q_index_update(spark, d):
+    """Full-text search of an index that was made of other texts and then brought up to date, with what changed alone: like one made anew."""
+    now = nodes(spark, d).select("node_id", "doc_id", "text")
+    old = now.where("doc_id % 20 <> 1").withColumn("text", F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("before "), F.reverse("text"))).otherwise(F.col("text")))
+    old = old.unionByName(now.where("doc_id % 20 = 2").withColumn("node_id", F.concat(F.lit("gone-"), "node_id")))
+    index = search.StoredIndex(spark, shared_path(spark, "index-update"))
+    index.sync(old)
+    return _doc(search.bm25(index.sync(now), _items(spark, d), 40))
+
+
 @query(f"WITH {VEC} SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM vec")
 def q_vector(spark, d):
     return _doc(_vec(spark, d))

@@ -25,6 +25,14 @@ class Store:
         found = [str(x.getPath().getName()) for x in self._files.listStatus(self._at(name))]
         return sorted(int(v[1:]) for v in found if v[:1] == "v" and v[1:].isdigit() and self._files.exists(self._at(name, v, "_SUCCESS")))
 
+    def names(self, folder: str) -> list[str]:
+        """What a folder beside the tables holds."""
+        at = self._at(folder)
+        return [str(x.getPath().getName()) for x in self._files.listStatus(at)] if self._files.exists(at) else []
+
+    def remove(self, folder: str) -> None:
+        self._files.delete(self._at(folder), True)
+
     def read(self, name: str, default: DataFrame | None = None) -> DataFrame | None:
         """The last version of a table; default where there is none."""
         found = self.versions(name)

@@ -186,7 +186,7 @@ def test_vector_search_in_blocks(spark, monkeypatch):
 
 def test_index_on_disk_prunes(spark, tmp_path):
     n = spark.createDataFrame([(f"n{i}", f"word{i} shared text {'rare' if i == 7 else ''}") for i in range(50)], "node_id string, text string")
-    index = search.TextIndex.written(n, f"file://{tmp_path}/index")
+    index = search.StoredIndex(spark, f"file://{tmp_path}/index").sync(n)
     q = spark.createDataFrame([(1, "rare"), (2, "word3 shared"), (3, "absent")], "query_id int, text string")
     key = lambda df: sorted(map(tuple, df.select("query_id", "node_id", "score", "rank").collect()))
     assert key(search.bm25(index, q, 10)) == key(search.bm25(n, q, 10)) and len(key(search.bm25(index, q, 10))) == 11
