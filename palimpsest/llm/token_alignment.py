@@ -8,7 +8,7 @@ Texts are cut before white space that begins with a space or a line feed and fol
 past such a place, and none of B's pieces holds a line feed or a space after another character (both are looked up in
 the tokenizers; where they don't hold, a text is one segment), so segments are encoded by themselves just as within the text.
 
-1. Texts are read once, in chunks of about 32 MB; a chunk names its distinct segments by numbers, most frequent first,
+1. Texts are read once, in chunks of about 16 MB; a chunk names its distinct segments by numbers, most frequent first,
    and its documents become rows of numbers.
 2. Chunks' segments are dealt and sorted by segment, so each distinct one is encoded and aligned once, and its tokens go to all chunks
    that have it: words that are everywhere cost a row per chunk, not per occurrence.
@@ -38,14 +38,16 @@ from .common import given_back, stored, table
 from .token_ids import BYTE_LETTERS, UNEVEN
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 #: Texts that are cut at once.
-STEP = 64
+STEP = 256
 #: Before white space that begins with a space or line feed; not before a lone space at the end, which B can't encode by itself.
 CUT = re.compile(r"(?<=\S)(?=[ \n])(?! \Z)")
 BREAK = "\0"
 #: Documents of a chunk whose numbers are kept together.
 BLOCK = 512
+#: Segments of a chunk whose tokens are unpacked together.
+PART = 50_000
 CHUNKS = "chunk long, code int, segment string, n long, doc_ids array<long>, sizes array<int>, codes binary"
 LINKS = "chunk long, code int, n long, ok boolean, tokens binary"
 #: Tokens are written in 24 bits, in the order of groups, A's before B's: the id, whether it is B's, whether it ends its group.
@@ -151,15 +153,17 @@ def three_bytes(tokens: np.ndarray) -> bytes:
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all rows of a binary column, and the place of each row's first one (and the end)."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 3).astype(np.int64)
-    return raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16, (offsets - offsets[0]).astype(np.int64) // 3
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 3)
+    tokens = np.zeros((len(raw), 4), np.uint8)
+    tokens[:, :3] = raw
+    return tokens.view("<i4").ravel(), (offsets - offsets[0]) // 3
 
 
 def links_of(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pair (a << 32 | b) and the row of each link."""
     ends = tokens & ENDS > 0
     at_b = np.flatnonzero(ends & (tokens & OF_B > 0))
-    pairs = (tokens[ends & (tokens & OF_B == 0)] & IDS) << 32 | tokens[at_b] & IDS
+    pairs = (tokens[ends & (tokens & OF_B == 0)] & IDS).astype(np.int64) << 32 | tokens[at_b] & IDS
     return pairs, np.searchsorted(starts, at_b, side="right") - 1
 
 
@@ -285,29 +289,36 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     np.maximum.at(most, of_b, count)
     sent = docs.sparkSession.sparkContext.broadcast((pairs, count, count == most[of_b]))
 
-    def compose(docs: pa.Table, links: pa.Table) -> pa.Table:
+    def totals(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """n_a, n_b, n_groups, n_best, count_sum of each segment."""
         pairs, count, best = sent.value
-        links = links.combine_chunks().sort_by("code")
-        tokens, starts = tokens_of(links.column("tokens").combine_chunks()) if len(links) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
         own, row = links_of(tokens, starts)
-        at = np.searchsorted(pairs, own)
-        of_rows = lambda x: np.bincount(row, x, len(links)).astype(np.int64)
-        both = np.diff(starts)
+        at, n = np.searchsorted(pairs, own), len(starts) - 1
         n_b = np.diff(np.concatenate([[0], np.cumsum(tokens & OF_B > 0)])[starts])
-        counts = np.zeros(len(links), np.int64)
+        counts = np.zeros(n, np.int64)
         np.add.at(counts, row, count[at])
-        sums = np.stack([both - n_b, n_b, of_rows(np.ones(len(row))), of_rows(best[at].astype(float)), counts])
+        return np.stack([np.diff(starts) - n_b, n_b, np.bincount(row, minlength=n), np.bincount(row[best[at]], minlength=n), counts])
+
+    def texts(tokens: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """The groups of each segment, with a semicolon after each."""
         ids = pc.cast(pa.array(tokens & IDS), pa.string())
         signs = pa.array([",", "|", ";"]).take(pa.array(np.where(tokens & ENDS == 0, 0, np.where(tokens & OF_B == 0, 1, 2))))
-        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pc.binary_join_element_wise(ids, signs, "")), "")
-        fits = links.column("ok").to_numpy().astype(bool)
-        out = []
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pc.binary_join_element_wise(ids, signs, "")), "")
+
+    def compose(docs: pa.Table, links: pa.Table) -> pa.Table:
+        links = links.combine_chunks().sort_by("code").combine_chunks()
+        fits, sums, text = links.column("ok").to_numpy().astype(bool), [np.zeros((5, 0), np.int64)], [pa.array([], pa.string())]
+        for k in range(0, len(links), PART):
+            tokens, starts = tokens_of(links.column("tokens").slice(k, PART).combine_chunks())
+            sums.append(totals(tokens, starts))
+            text.append(texts(tokens, starts))
+        del links
+        sums, text, out = np.concatenate(sums, axis=1), pa.concat_arrays(text), []
         for doc_ids, sizes, planes in zip(*(docs.column(c).to_pylist() for c in ("doc_ids", "sizes", "codes")), strict=True):
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             codes = unpacked(planes, int(ends[-1]))
             good = np.array([fits[codes[x:y]].all() for x, y in zip(ends, ends[1:], strict=False)], bool)
-            total = np.concatenate([np.zeros((5, 1), np.int64), np.cumsum(sums[:, codes], axis=1)], axis=1)[:, ends]
-            n = np.where(good, np.diff(total, axis=1), 0)
+            n = [np.where(good, np.diff(np.concatenate([[0], np.cumsum(own[codes])])[ends]), 0) for own in sums]
             groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), text.take(pa.array(codes))), "")
             groups = pc.if_else(pa.array(good), pc.utf8_slice_codeunits(groups, 0, -1), "")
             out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *map(pa.array, (n[0], n[1], n[2], n[2], n[3], n[4])), groups], names=[c.split()[0] for c in COMPOSED.split(", ")]))
