@@ -1,4 +1,4 @@
-"""Source files to nodes and references: the ast module for Python, patterns for other languages."""
+"""Source files to nodes and references: the ast module for Python, patterns over scanned code (scanner.Source) for other languages."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import PARSED, ignored, is_discovered
+from .scanner import Source
 
 NODES = "file_path string, kind string, name string, signature string, doc_comment string, identifiers array<string>, start_line long, end_line long, start_byte long, end_byte long, pos int"
 REFS = "file_path string, name string, kind string, offset long"
@@ -30,7 +31,8 @@ DEFINITIONS = {
 }
 DEFINITIONS["typescript"] = DEFINITIONS["tsx"] = [*DEFINITIONS["javascript"], ("interface", rf"\binterface\s+{_WORD}"), ("type", rf"\btype\s+{_WORD}\s*=")]
 DEFINITIONS["cpp"] = [*DEFINITIONS["c"], ("class", rf"\bclass\s+{_WORD}")]
-_CALL = re.compile(rf"{_WORD}\s*\(")
+_CALL = re.compile(rf"{_WORD}(?:\s*\(|!\s*[(\[{{])")
+_MEMBER = re.compile(rf"^[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*[*#]?{_WORD}\s*(?:<[^>\n]*>)?\s*\(", re.M)
 _IMPORT = re.compile(r"^\s*(?:import|use|from|require|#include)\b.*$", re.M)
 _NOT_CALLS = {"if", "for", "while", "switch", "return", "catch", "function", "func", "fn", "match", "def", "sizeof", "new", "await"}
 
@@ -61,46 +63,56 @@ def _python(text: str) -> tuple[list, list]:
     return nodes, refs
 
 
-def _end(text: str, start: int) -> int:
-    """Past the closing brace of the block that a definition opens before its next ; at depth 0, else the line's end."""
-    line = text.find("\n", start)
-    line = len(text) if line < 0 else line
-    at, stop = text.find("{", start), text.find(";", start)
-    if at < 0 or 0 <= stop < at or re.search(r"\n\s*\n", text[start:at]):
-        return line
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(text, at):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return m.end()
-    return len(text)
+def _methods(source: Source, bodies: dict[int, str]) -> Iterator[tuple[str, int, int, int]]:
+    """(name, place, body, end) of what stands in a class's braces like a call with a block."""
+    for m in _MEMBER.finditer(source.bare):
+        if m[1] in _NOT_CALLS or m[1] == "constructor" or bodies.get(source.brace_place(source.enclosing(m.start(1)))) != "class":
+            continue
+        past = source.closing(m.end() - 1)
+        brace, end = source.block(past)
+        if brace < end and re.fullmatch(r"\s*(?::[^{};]*)?", source.bare[past:brace]):
+            yield m[1], m.start(1), brace, end
 
 
 def _patterns(text: str, language: str) -> tuple[list, list]:
-    nodes, spans = [], []
+    source = Source(text, language)
+    bare, found = source.bare, []
     for kind, rx in DEFINITIONS.get(language, []):
-        for m in re.finditer(rx, text, re.M):
-            end = _end(text, m.end())
-            line = text.rfind("\n", 0, m.start(1)) + 1
-            doc = _comment_above(text[:line])
-            names = list(dict.fromkeys(re.findall(r"[A-Za-z_]\w{2,}", text[m.start() : end])))
-            byte = lambda i: len(text[:i].encode())
-            nodes.append((kind, m[1], doc, names, text.count("\n", 0, m.start()), text.count("\n", 0, end), byte(line), byte(end)))
-            spans.append(m.start(1))
-    refs = [(m[1], "call", len(text[: m.start()].encode())) for m in _CALL.finditer(text) if m[1] not in _NOT_CALLS and m.start(1) not in spans]
-    for m in _IMPORT.finditer(text):
-        refs.extend((w, "import", len(text[: m.start()].encode())) for w in re.findall(r"[A-Za-z_]\w*", m[0])[1:] if w not in ("from", "import", "as", "use"))
+        for m in re.finditer(rx, bare, re.M):
+            if language in ("ruby", "lua"):
+                word = re.compile(r"[a-z]").search(bare, m.start()).start()
+                found.append((kind, m[1], m.start(1), -1, source.ends.get(word, source.line_end(m.end()))))
+            else:
+                brace, end = source.block(m.end() - 1 if m[0].endswith("{") else m.end())
+                found.append((kind, m[1], m.start(1), brace, end))
+    bodies = {brace: kind for kind, _, _, brace, _ in found}
+    if language == "rust":
+        # functions in the braces of a type's implementation or of a trait are its methods
+        bodies |= {source.block(m.end())[0]: "impl" for m in re.finditer(r"^[ \t]*(?:unsafe\s+)?impl\b", bare, re.M)}
+        found = [("method" if kind == "function" and bodies.get(source.brace_place(source.enclosing(at))) in ("impl", "trait") else kind, name, at, *rest) for kind, name, at, *rest in found]
+    if language in ("javascript", "typescript", "tsx"):
+        found += [("method", name, at, brace, end) for name, at, brace, end in _methods(source, bodies)]
+    nodes, own = [], {at for _, _, at, _, _ in found}
+    for kind, name, at, _, end in found:
+        line = source.line_start(at)
+        names = list(dict.fromkeys(re.findall(r"[A-Za-z_]\w{2,}", bare[line:end])))
+        nodes.append((kind, name, _comment_above(source.lines, source.line_of(at)), names, source.line_of(at), source.line_of(end), source.byte(line), source.byte(end)))
+    refs = [(m[1], "call", source.byte(m.start())) for m in _CALL.finditer(bare) if m[1] not in _NOT_CALLS and m.start(1) not in own]
+    for m in _IMPORT.finditer(bare):
+        words = re.findall(r"[A-Za-z_]\w*", source.code[m.start() : m.end()])[1:]
+        refs.extend((w, "import", source.byte(m.start())) for w in words if w not in ("from", "import", "as", "use"))
     return nodes, refs
 
 
-def _comment_above(before: str) -> str | None:
+def _comment_above(lines: list[str], line: int) -> str | None:
     """The lines of comment that end right above a definition, or one blank line above it, without their marks."""
-    lines = before.split("\n")[:-1]
-    if lines and not lines[-1].strip():
-        lines.pop()
+    k = line - 1
+    if k >= 0 and not lines[k].strip():
+        k -= 1
     found: list[str] = []
-    while lines and re.match(r"\s*(//|#(?!\[|include|define)|/\*|\*|--)", lines[-1]):
-        found.append(lines.pop().strip())
+    while k >= 0 and re.match(r"\s*(//|#(?!\[|include|define)|/\*|\*|--)", lines[k]):
+        found.append(lines[k].strip())
+        k -= 1
     text = "\n".join(re.sub(r"^(?:///?!?|#+|/\*+|\*/|\*|--)\s?|\s*\*/$", "", x).strip() for x in reversed(found)).strip()
     return text or None
 
