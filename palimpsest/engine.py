@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import paths, text
 from .operators import context, embed, enrich, graph, memory, ranking, search
 from .sources import code, conversations, documents
-from .store import Store
+from .store import Store, shared_path
 from .streaming import ingest
 
 EVENTS = "id string, repo_id string, source string, session_id string, turn_index long, content string, content_hash string, created_at long, importance int, pinned boolean, files_touched array<string>, tool_calls array<string>, redactions long"
@@ -54,13 +54,13 @@ class Config:
 class Engine:
     """Tables of nodes, edges, files, events and memories, and the verbs over them; every verb returns a DataFrame.
 
-    With a path the tables are kept there as versions (store.Store) and a later engine on that path has them; without one they
-    live with the object. encode, if given, makes vectors (operators.embed) for the search.
+    The tables are kept as versions (store.Store) under path, and a later engine on that path has them; without a path they
+    are in the session's shared folder and go with the session, so plans never grow with the number of calls. encode, if given, makes vectors (operators.embed) for the search.
     """
 
     def __init__(self, spark: SparkSession, config: Config | None = None, path: str | None = None, encode: embed.Encoder | None = None) -> None:
         self.spark, self.config, self.encode = spark, config or Config(), encode
-        self.store = Store(spark, path) if path else None
+        self.store = Store(spark, path or shared_path(spark, "engine"))
         self.parsers: dict[str, Callable[[str, str], list[tuple]]] = {}
         self.index_: search.TextIndex | None = None
         self.refresh()
@@ -68,7 +68,7 @@ class Engine:
     def refresh(self) -> None:
         """Reads the last version of every table."""
         empty = lambda schema: self.spark.createDataFrame([], schema)
-        read = self.store.read if self.store else lambda _, default: default
+        read = self.store.read
         self.nodes, self.edges = read("nodes", empty(NODES)), read("edges", empty(EDGES))
         self.files = read("files", empty("file_path string, content string, file_hash string"))
         self.known = read("text_vectors", None)
@@ -77,11 +77,11 @@ class Engine:
             own = self.nodes.select("node_id", embed.hash_of(text.embedding_text(F.col("signature"), F.col("identifiers"), F.col("doc_comment"))).alias("text_hash"))
             self.vectors = own.join(self.known, "text_hash").select("node_id", "vector")
         self.events, self.memories = read("events", empty(EVENTS)), read("memories", empty(UNIVERSAL))
-        if self.store and self.store.versions("nodes") and self.store.names("index/versions/segments"):
+        if self.store.versions("nodes") and self.store.names("index/versions/segments"):
             self.index_ = search.StoredIndex(self.spark, f"{self.store.path}/index").reader()
 
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
-        return self.store.write(name, df) if self.store else df
+        return self.store.write(name, df)
 
     def add_parser(self, extension: str, parser: Callable[[str, str], list[tuple]]) -> None:
         """A parser (path, text) -> rows of documents.SCHEMA for files of an extension."""
@@ -117,10 +117,7 @@ class Engine:
             .dropDuplicates(["src_id", "dst_id", "edge_type"])
         )
         self.edges = self._kept("edges", built.unionByName(graph.live_memory_edges(discussed, self.nodes).select(*built.columns)))
-        if self.store:
-            self.index_ = search.StoredIndex(self.spark, f"{self.store.path}/index").sync(self.nodes.select("node_id", "text"))
-        else:
-            self.index_ = search.TextIndex.of(self.nodes.select("node_id", "text"))
+        self.index_ = search.StoredIndex(self.spark, f"{self.store.path}/index").sync(self.nodes.select("node_id", "text"))
         if self.encode:
             self._embed_nodes()
         return ingest.stats(outcome, self.nodes)
@@ -130,7 +127,7 @@ class Engine:
         texts = self.nodes.select("node_id", text.embedding_text(F.col("signature"), F.col("identifiers"), F.col("doc_comment")).alias("text"))
         own = texts.select("node_id", embed.hash_of(F.col("text")).alias("text_hash"))
         fresh = self._kept("text_vectors_new", embed.missing(texts, self.known, self.encode))
-        if self.known is None or not self.store or not fresh.isEmpty():
+        if self.known is None or not fresh.isEmpty():
             known = fresh if self.known is None else self.known.join(own, "text_hash", "left_semi").unionByName(fresh)
             self.known = self._kept("text_vectors", known)
         self.vectors = own.join(self.known, "text_hash").select("node_id", "vector")
@@ -181,9 +178,8 @@ class Engine:
 
     def _add_events(self, events: DataFrame) -> DataFrame:
         new = memory.fresh(events, self.events)
-        if self.store:
-            # written before the table it is compared with changes
-            new = self.store.write("added_events", new)
+        # written before the table it is compared with changes
+        new = self.store.write("added_events", new)
         self.events = self._kept("events", memory.upsert(self.events, new))
         links = memory.discussed_edges(new, self.nodes).select(*self.edges.columns)
         self.edges = self._kept("edges", self.edges.unionByName(links).dropDuplicates(["src_id", "dst_id", "edge_type"]))
@@ -226,8 +222,7 @@ class Engine:
         marked = memory.collect_garbage(self.events, now, self.config.retention_days, self.config.max_events)
         gone = marked.where("gone is not null")
         if not dry_run:
-            if self.store:
-                gone = self.store.write("collected_events", gone)
+            gone = self.store.write("collected_events", gone)
             self.events = self._kept("events", marked.where("gone is null").drop("gone"))
         return gone
 

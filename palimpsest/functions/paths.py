@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns that say what a path is, over the lower-cased path with forward slashes.
@@ -144,16 +144,61 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
-def glob_pattern(rule: str) -> str:
-    """A pattern for paths that an ignore rule matches, themselves or by a folder above."""
+def _glob_body(rule: str) -> str:
     import re
 
-    rule = rule.rstrip("/") if rule.endswith("/") else rule
-    anchored = "/" in rule
-    parts = re.split(r"(/\*\*/|\*\*/|/\*\*|\*|\?|\[[^\]]*\])", rule.lstrip("/"))
+    parts = re.split(r"(/\*\*/|\*\*/|/\*\*|\*|\?|\[[^\]]*\]|\\.)", rule.lstrip("/"))
     made = {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}
-    body = "".join(made.get(x) or (x.replace("[!", "[^") if x.startswith("[") else re.escape(x)) for x in parts)
-    return ("^" if anchored else "(?:^|/)") + body + "(?:/|$)"
+    return "".join(made.get(x) or (x.replace("[!", "[^") if x.startswith("[") else re.escape(x[1:] if x[:1] == "\\" else x)) for x in parts)
+
+
+def glob_pattern(rule: str) -> str:
+    """A pattern for paths that an ignore rule matches, themselves or by a folder above."""
+    rule = rule.rstrip("/") if rule.endswith("/") else rule
+    return ("^" if "/" in rule else "(?:^|/)") + _glob_body(rule) + "(?:/|$)"
+
+
+def rule_parts(line: str) -> tuple[str, bool, bool] | None:
+    """(pattern of what is matched itself, relative to the rule's folder; whether it is kept; whether only folders match) of a line of an ignore file."""
+    rule = line.rstrip("\r\n")
+    while rule.endswith(" ") and not rule.endswith("\\ "):
+        rule = rule[:-1]
+    if not rule or rule.startswith("#"):
+        return None
+    keep = rule.startswith("!")
+    rule = rule[1:] if keep else rule
+    folders = rule.endswith("/")
+    rule = rule.rstrip("/")
+    return (("^" if "/" in rule else "(?:^|/)") + _glob_body(rule) + "$", keep, folders) if rule else None
+
+
+def left_out(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """file_path of files(file_path) that rules(folder, rank, place, rule) leave out: the lines of ignore files of every folder ('' for the root).
+
+    A rule holds for what lies in its folder. Of those that match, the one of the highest rank counts, then of the deepest folder, then the last; a file is left
+    out if it or a folder above it is, whatever is said of it below such a folder. Folders are decided once for all files in them.
+    """
+    parts = F.split("file_path", "/")
+    upto = lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    every = files.select("file_path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(upto(n).alias("target"), (n < F.size(parts)).alias("is_folder")))).alias("t")).select("file_path", "t.*")
+    targets = every.select("target", "is_folder").distinct()
+    pieces = F.split("target", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), lambda n: F.struct(F.array_join(F.slice(pieces, 1, n), "/").alias("folder"), n.alias("depth"), F.array_join(F.slice(pieces, n + 1, 1 << 30), "/").alias("rest")))
+    met = targets.select("target", "is_folder", F.explode(above).alias("a")).select("target", "is_folder", "a.*").join(_parsed_rules(rules), "folder")
+    met = met.where(F.regexp("rest", F.col("pattern")) & (F.col("is_folder") | ~F.col("folders")))
+    last = met.groupBy("target", "is_folder").agg(F.max_by("keep", F.struct("rank", "depth", "place")).alias("keep"))
+    return every.join(last.where("NOT keep"), ["target", "is_folder"], "left_semi").select("file_path").distinct()
+
+
+def _parsed_rules(rules: DataFrame) -> DataFrame:
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = [(folder, rank, place, *made) for folder, rank, place, rule in b.itertuples(index=False) if (made := rule_parts(rule or ""))]
+            yield pd.DataFrame(rows, columns=["folder", "rank", "place", "pattern", "keep", "folders"])
+
+    return rules.select("folder", "rank", "place", "rule").mapInPandas(run, "folder string, rank int, place int, pattern string, keep boolean, folders boolean")
 
 
 def is_relevant_change(kind: Column, paths_: Column, data_dir: str) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import context, enrich, graph, memory, ranking, search
 from ..sources import conversations, documents
+from ..store import shared_path
 from ..streaming import ingest
 from .views import EDGES, NODES, SPANS, edges, nodes, spans, table
 
@@ -80,14 +79,6 @@ def _items(spark, d) -> DataFrame:
 INDEXES: dict[tuple[str, tuple], search.TextIndex] = {}
 
 
-def shared_path(spark, name: str) -> str:
-    """A path of its own in the shared folder, or of this machine where it is all there is (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(base or f'file://{tempfile.mkdtemp(prefix="palimpsest-")}').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def files_of(df: DataFrame) -> tuple:
     """The files that a table is read from, with their size and time."""
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()

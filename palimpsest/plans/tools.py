@@ -381,3 +381,44 @@ def q_conv_entities(spark, d):
 def q_document_nodes(spark, d):
     """The pages' sections, facts and citations as nodes."""
     return documents.nodes(documents.parse(table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.col("html").alias("content"))))
+
+
+SOURCES = """src AS (SELECT doc_id, coalesce(replace(text, '*/', ''), '') AS t FROM documents),
+defs AS (SELECT doc_id, lpad(doc_id::VARCHAR, 12, '0') || '.js' AS file_path, 7 + strlen(t) AS s, 1 + len(t) - len(replace(t, chr(10), '')) AS l,
+  strlen('function f' || doc_id || '(a) {' || chr(10) || '  const s = "}"; // ghost();' || chr(10) || '  return f' || doc_id + 1 || '(a);' || chr(10) || '}') AS n FROM src)"""
+
+
+def _sources(spark, d) -> DataFrame:
+    """A file per document: its text as a comment, and a function that holds a brace in a string and calls the next document's."""
+    i = F.col("doc_id")
+    body = F.concat(F.lit("/* "), F.coalesce(F.replace("text", F.lit("*/"), F.lit("")), F.lit("")), F.lit(" */\nfunction f"), i.cast("string"), F.lit('(a) {\n  const s = "}"; // ghost();\n  return f'), (i + 1).cast("string"), F.lit("(a);\n}\n"))
+    return table(spark, d, "documents").select(F.concat(F.lpad(i.cast("string"), 12, "0"), F.lit(".js")).alias("file_path"), body.alias("content"))
+
+
+@query(f"""WITH {SOURCES} SELECT file_path, 'function' AS kind, 'f' || doc_id AS name, 'function f' || doc_id || '(a)' AS signature, l AS start_line, l + 3 AS end_line, s AS start_byte, s + n AS end_byte FROM defs""")
+def q_code_nodes(spark, d):
+    """Definitions of source files whose comments and strings hold anything."""
+    return code.extract_nodes(_sources(spark, d)).select("file_path", "kind", "name", "signature", "start_line", "end_line", "start_byte", "end_byte")
+
+
+@query(f"""WITH {SOURCES} SELECT a.file_path AS src_file, b.file_path AS dst_file, 'call' AS edge_type, 1 AS confidence FROM defs a JOIN defs b ON b.doc_id = a.doc_id + 1""")
+def q_code_edges(spark, d):
+    """Source files to calls between their definitions: parsed, each reference put in its innermost definition, names resolved."""
+    files = _sources(spark, d)
+    n = code.extract_nodes(files).withColumn("node_id", F.concat_ws("|", "file_path", "start_byte"))
+    refs = code.extract_references(files).where("kind = 'call'").withColumn("ref_id", F.concat_ws("|", "file_path", "offset", "name"))
+    inside = graph.innermost(refs.select("ref_id", "file_path", "offset"), n).select("ref_id", F.col("node_id").alias("src_id"))
+    e = graph.call_edges(refs.join(inside, "ref_id").select("src_id", F.col("file_path").alias("src_file"), "name"), n)
+    return e.select(F.substring_index("src_id", "|", 1).alias("src_file"), F.substring_index("dst_id", "|", 1).alias("dst_file"), "edge_type", "confidence")
+
+
+IGNORED = r"""(doc_id % 5 = 0 AND NOT (source = 'src1' AND doc_id % 10 = 0)) OR lang = 'fr' OR (source = 'src2' AND lang = 'en')"""
+
+
+@query(f"SELECT file_path FROM (SELECT *, source || '/' || lang || '/' || doc_id || '.' || CASE WHEN doc_id % 5 = 0 THEN 'log' ELSE 'py' END AS file_path FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) WHERE {IGNORED}")
+def q_left_out(spark, d):
+    """Ignore files of several folders over a path per document: a name everywhere, a folder's exception, folders themselves."""
+    i = F.col("doc_id").cast("string")
+    files = table(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/"), i, F.when(F.col("doc_id") % 5 == 0, ".log").otherwise(".py")).alias("file_path")).where("file_path IS NOT NULL")
+    rules = [("", 1, 0, "*.log"), ("", 1, 1, "fr/"), ("src1", 1, 0, "!*0.log"), ("src2", 1, 0, "/en"), ("src2/en", 1, 0, "!*.py")]
+    return P.left_out(files, spark.createDataFrame(rules, "folder string, rank int, place int, rule string"))

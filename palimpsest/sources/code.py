@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import PARSED, ignored, is_discovered
+from ..functions.paths import PARSED, is_discovered, left_out
 from .scanner import Source
 
 NODES = "file_path string, kind string, name string, signature string, doc_comment string, identifiers array<string>, start_line long, end_line long, start_byte long, end_byte long, pos int"
@@ -206,21 +206,42 @@ def extract_references(files: DataFrame) -> DataFrame:
     return files.select("file_path", "content").mapInPandas(run, REFS)
 
 
-def read_files(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """file_path (relative to root), content, modified of the text files that a walk keeps, but those that ignore rules leave out.
+#: Ignore files and how much they count: those by other tools' name over the version control's, these over its own exclude file, the caller's excludes over all.
+IGNORE_FILES = {".ignore": 2, ".gitignore": 1}
+EXCLUDES = 3
 
-    Without rules of the caller's those of the root's .gitignore hold.
-    """
-    if ignore is None:
-        jvm = spark.sparkContext._jvm
-        rules = jvm.org.apache.hadoop.fs.Path(root, ".gitignore")
-        files = rules.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        ignore = []
-        if files.exists(rules):
-            held = files.open(rules)
-            ignore = jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8").splitlines()
-            held.close()
+
+def ignore_rules(spark: SparkSession, root: str, depth: int, exclude: list[str] | None = None) -> DataFrame:
+    """folder, rank, place, rule: the lines of the ignore files in folders of up to `depth` parts under root, and the caller's excludes."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = str(files.makeQualified(at).toUri().getPath()).rstrip("/")
+    rows = [("", EXCLUDES, i, rule) for i, rule in enumerate(exclude or [])]
+
+    def read(path, folder: str, rank: int) -> None:
+        held = files.open(path)
+        rows.extend((folder, rank, i, line) for i, line in enumerate(jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8").splitlines()))
+        held.close()
+
+    own = jvm.org.apache.hadoop.fs.Path(root, ".git/info/exclude")
+    if files.exists(own):
+        read(own, "", 0)
+    for name, rank in IGNORE_FILES.items():
+        for n in range(depth + 1):
+            # a name that stands in that many folders: the file system lists them, no file is looked at otherwise
+            for found in files.globStatus(jvm.org.apache.hadoop.fs.Path("/".join([root.rstrip("/"), *["*"] * n, name]))) or []:
+                path = str(found.getPath().toUri().getPath())
+                read(found.getPath(), path[len(base) + 1 :].rpartition("/")[0], rank)
+    return spark.createDataFrame(rows, "folder string, rank int, place int, rule string")
+
+
+def read_files(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
+    """file_path (relative to root), content, modified of the text files that a walk keeps, but those that ignore files of any folder, or the caller's excludes, leave out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.ltrim(F.element_at(F.split("path", base, 2), -1), F.lit("/"))
-    return raw.select(path.alias("file_path"), F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("modified")).where(is_discovered(F.col("file_path")) & ~ignored(F.col("file_path"), ignore))
+    found = raw.select(path.alias("file_path"), "content", F.col("modificationTime").alias("modified")).where(is_discovered(F.col("file_path")))
+    depth = found.agg(F.coalesce(F.max(F.size(F.split("file_path", "/"))), F.lit(1))).first()[0] - 1
+    gone = left_out(found.select("file_path"), ignore_rules(spark, root, depth, exclude))
+    return found.join(gone, "file_path", "left_anti").select("file_path", F.col("content").cast("string").alias("content"), "modified")

@@ -115,3 +115,24 @@ def test_engine(spark, tmp_path):
     assert e.remember(turns, "t", "r", 100).count() == 0
     assert e.recall(spark.createDataFrame([(1, "helper")], "query_id int, text string"), 200).count() == 1
     assert Config.load("/nowhere").anchors == 5
+
+
+def test_ignore_files_of_folders(spark, tmp_path):
+    """Deeper rules over those above, later ones over earlier ones; ! doesn't reach below a folder that is left out; excludes count most."""
+    made = {
+        ".gitignore": "*.log\n/only_root.py\nout/\ngen/**/tmp\n# no rule\n\\#odd.py\n!main.log\n",
+        ".git/info/exclude": "local.py\nkept.py\n",
+        "sub/.gitignore": "!b.log\nc.py\ndeep/*.txt\n!kept.py\n",
+        "sub/deep/.ignore": "!d.txt\n",
+        "out/.gitignore": "!a.py\n",
+    }
+    rows = {"a.py": 1, "x.log": 0, "main.log": 1, "only_root.py": 0, "sub/only_root.py": 1, "out/a.py": 0, "sub/out/b.py": 0, "sub/out.py": 1, "gen/1/2/tmp": 0, "gen/tmp/x.py": 0, "#odd.py": 0, "local.py": 0, "sub/local.py": 0, "kept.py": 0, "sub/kept.py": 1,
+            "sub/a.log": 0, "sub/b.log": 1, "sub/c.py": 0, "c.py": 1, "sub/deep/c.py": 0, "sub/deep/d.txt": 1, "sub/deep/e.txt": 0, "sub/deep/f/e.txt": 1, "sub/mine/z.py": 0}
+    for path, text in (made | dict.fromkeys(rows, "x")).items():
+        at = tmp_path / "tree" / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(text)
+    got = {r.file_path for r in code.read_files(spark, f"file://{tmp_path}/tree", ["mine/"]).collect()}
+    assert got == {p for p, kept in rows.items() if kept}
+    got = {r.file_path for r in code.read_files(spark, f"file://{tmp_path}/tree", ["*.log"]).collect()}
+    assert "main.log" not in got and "sub/b.log" not in got and "sub/mine/z.py" in got
