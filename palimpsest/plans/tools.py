@@ -404,7 +404,11 @@ def q_code_nodes(spark, d):
 @query(f"""WITH {SOURCES} SELECT a.file_path AS src_file, b.file_path AS dst_file, 'call' AS edge_type, 1 AS confidence FROM defs a JOIN defs b ON b.doc_id = a.doc_id + 1""")
 def q_code_edges(spark, d):
     """Source files to calls between their definitions: parsed, each reference put in its innermost definition, names resolved."""
-    files = _sources(spark, d)
+    return code_edges(_sources(spark, d))
+
+
+def code_edges(files: DataFrame) -> DataFrame:
+    """src_file, dst_file, edge_type, confidence of the calls in files(file_path, content)."""
     n = code.extract_nodes(files).withColumn("node_id", F.concat_ws("|", "file_path", "start_byte"))
     refs = code.extract_references(files).where("kind = 'call'").withColumn("ref_id", F.concat_ws("|", "file_path", "offset", "name"))
     inside = graph.innermost(refs.select("ref_id", "file_path", "offset"), n).select("ref_id", F.col("node_id").alias("src_id"))

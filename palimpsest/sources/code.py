@@ -25,7 +25,7 @@ DEFINITIONS = {
     "go": [("method", rf"\bfunc\s+\([^)]*\)\s*{_WORD}"), ("function", rf"\bfunc\s+{_WORD}"), ("struct", rf"\btype\s+{_WORD}\s+struct\b"), ("interface", rf"\btype\s+{_WORD}\s+interface\b")],
     "java": [("class", rf"\bclass\s+{_WORD}"), ("interface", rf"\binterface\s+{_WORD}"), ("enum", rf"\benum\s+{_WORD}"), ("method", rf"(?:public|private|protected|static)[\w<>\[\]\s,]*\s{_WORD}\s*\([^)]*\)\s*(?:throws[\w\s,.]*)?\{{")],
     "c": [("function", rf"^[A-Za-z_][\w\s*]*\s\*?{_WORD}\s*\([^;{{]*\)\s*\{{"), ("struct", rf"\bstruct\s+{_WORD}\s*\{{"), ("enum", rf"\benum\s+{_WORD}\s*\{{")],
-    "ruby": [("class", rf"^\s*class\s+{_WORD}"), ("module", rf"^\s*module\s+{_WORD}"), ("method", r"^\s*def\s+(?:self\.)?([\w?!]+)")],
+    "ruby": [("class", rf"^[ \t]*class\s+{_WORD}"), ("module", rf"^[ \t]*module\s+{_WORD}"), ("method", r"^[ \t]*def\s+(?:self\.)?([\w?!]+)")],
     "lua": [("function", r"\bfunction\s+([\w.:]+)")],
     "swift": [("function", rf"\bfunc\s+{_WORD}"), ("class", rf"\bclass\s+{_WORD}"), ("struct", rf"\bstruct\s+{_WORD}"), ("enum", rf"\benum\s+{_WORD}"), ("interface", rf"\bprotocol\s+{_WORD}")],
 }
@@ -33,7 +33,7 @@ DEFINITIONS["typescript"] = DEFINITIONS["tsx"] = [*DEFINITIONS["javascript"], ("
 DEFINITIONS["cpp"] = [*DEFINITIONS["c"], ("class", rf"\bclass\s+{_WORD}")]
 _CALL = re.compile(rf"{_WORD}(?:\s*\(|!\s*[(\[{{])")
 _MEMBER = re.compile(rf"^[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*[*#]?{_WORD}\s*(?:<[^>\n]*>)?\s*\(", re.M)
-_IMPORT = re.compile(r"^\s*(?:import|use|from|require|#include)\b.*$", re.M)
+_IMPORT = re.compile(r"^[ \t]*(?:import|use|from|require|#include)\b.*$", re.M)
 _NOT_CALLS = {"if", "for", "while", "switch", "return", "catch", "function", "func", "fn", "match", "def", "sizeof", "new", "await"}
 
 

@@ -37,7 +37,8 @@ _LUA = re.compile(r"(?<![.:\w])(?:(?P<open>function|if|do|repeat)|(?P<close>end|
 
 
 def _blank(text: str) -> str:
-    return text if text.isspace() else re.sub(r"[^\n]", " ", text)
+    """Spaces in place of all but line ends."""
+    return "\n".join([" " * len(x) for x in text.split("\n")])
 
 
 class Source:
