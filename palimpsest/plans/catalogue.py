@@ -12,8 +12,8 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import context, enrich, graph, memory, ranking, search
 from ..sources import conversations, documents
-from ..store import shared_path
-from ..streaming import ingest
+from ..store import Store, shared_path
+from ..streaming import ingest, stateful
 from .views import EDGES, NODES, SPANS, edges, nodes, spans, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -606,10 +606,39 @@ def q_stream_ingest(spark, d):
     return _streamed(spark, d, lambda s: ingest.deduplicated(s, "user_id", "event_type").select("user_id", "event_type"))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("""WITH RECURSIVE ev AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS ms FROM events),
+r AS (SELECT user_id, event_type, min(ms) AS ms FROM ev GROUP BY ALL UNION ALL SELECT e.user_id, e.event_type, min(e.ms) FROM r JOIN ev e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.ms >= r.ms + 259200000 GROUP BY e.user_id, e.event_type)
+SELECT user_id, event_type, ms::BIGINT AS given_at FROM r""")
 def q_stream_expiring(spark, d):
-    """The same with state that is dropped after 60 days of event time, which is longer than the table."""
-    return _streamed(spark, d, lambda s: ingest.expiring(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "60 days", "user_id", "event_type").select("user_id", "event_type"))
+    """Each (user, type) of a stream once in three days; what was given before is forgotten with the watermark."""
+    return _streamed(spark, d, lambda s: stateful.first_again(s.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "event_type"], 3 * 86_400_000, "1 hour")).withColumnRenamed("at", "given_at")
+
+
+@query("""WITH ev AS (SELECT user_id, event_type AS path, epoch_us(ts) // 1000 AS ms FROM events),
+g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) < 1800000 THEN 0 ELSE 1 END AS opens FROM ev),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS k FROM g),
+b AS (SELECT user_id, k, min(ms) AS first, max(ms) AS last, count(*) AS n, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM s GROUP BY ALL)
+SELECT user_id, first::BIGINT AS first, last::BIGINT AS last, n::BIGINT AS n, paths FROM b WHERE last + 1800000 <= (SELECT max(ms) FROM ev) - 3600000 OR k < (SELECT max(k) FROM b c WHERE c.user_id = b.user_id)""")
+def q_stream_bursts(spark, d):
+    """Bursts of each user's events less than half an hour apart: those that a later event or the watermark, an hour behind the last event, has ended."""
+    def made(s: DataFrame) -> DataFrame:
+        return stateful.debounced(s.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("path")), ["user_id"], 1_800_000, late="1 hour")
+
+    return _streamed(spark, d, made).withColumn("paths", F.array_join("paths", ","))
+
+
+@query("""WITH k AS (SELECT DISTINCT doc_id FROM labels), known AS (SELECT text FROM documents JOIN k USING (doc_id) WHERE text IS NOT NULL)
+SELECT min(doc_id) AS doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k) AND trim(text) <> '' AND text NOT IN (SELECT text FROM known) GROUP BY text""")
+def q_memory_stream(spark, d):
+    """A stream of the documents without a label into a store of those with one: each new text once, the first by id; a batch that comes again changes nothing."""
+    out, known = shared_path(spark, "memory"), table(spark, d, "labels").select("doc_id").distinct()
+    made = lambda df: df.select(F.col("doc_id").alias("id"), F.lit("r").alias("repo_id"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("content"))
+    docs, store = table(spark, d, "documents"), Store(spark, f"{out}/store")
+    store.write("events", made(docs.join(known, "doc_id", "left_semi")))
+    fresh = ingest.read_stream(spark, d, docs.schema, "documents.parquet").join(known, "doc_id", "left_anti")
+    stateful.remember_stream(made(fresh), store, f"{out}/checkpoint")
+    again = stateful.remembered(made(docs.join(known, "doc_id", "left_anti")), store, "events", store.last_key("events"))
+    return again.select(F.col("id").alias("doc_id")).join(known, "doc_id", "left_anti")
 
 
 @query("""WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS b, event_type, value FROM events)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.text import timestamp_or_unix
 
@@ -67,17 +67,21 @@ class KeyValueReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
 
-    def partitions(self) -> list[InputPartition]:
-        """Ranges of row ids, so that a large store is read in parallel."""
+    def _last(self) -> int:
         import sqlite3
 
         with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
-            last = db.execute(f"select coalesce(max(rowid), 0) from {self.options.get('table', 'cursorDiskKV')}").fetchone()[0]
+            return db.execute(f"select coalesce(max(rowid), 0) from {self.options.get('table', 'cursorDiskKV')}").fetchone()[0]
+
+    def _ranges(self, first: int, last: int) -> list[InputPartition]:
+        """Ranges of row ids, so that a large store is read in parallel."""
         n = int(self.options.get("partitions", "4"))
-        first = int(self.options.get("after", "0"))
         cuts = [first + (last - first) * k // n for k in range(n + 1)]
         return [InputPartition((a, b)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
+    def partitions(self) -> list[InputPartition]:
+        return self._ranges(int(self.options.get("after", "0")), self._last())
+
     def read(self, partition: InputPartition):
         import sqlite3
 
@@ -87,8 +91,30 @@ class KeyValueReader(DataSourceReader):
                 yield rowid, key, value.decode("utf-8", "replace") if isinstance(value, bytes) else value
 
 
+class KeyValueStream(DataSourceStreamReader):
+    """The same by micro-batches: an offset is the last row id read. A row that is replaced gets a new id and comes again."""
+
+    def __init__(self, options: dict) -> None:
+        self.reader = KeyValueReader(options)
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"rowid": int(self.reader.options.get("after", "0"))}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"rowid": self.reader._last()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return self.reader._ranges(start["rowid"], end["rowid"])
+
+    def read(self, partition: InputPartition):
+        return self.reader.read(partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing to keep: the checkpoint has the offset."""
+
+
 class KeyValueSource(DataSource):
-    """spark.read.format("sqlite_kv").option("path", file): rowid, key, value; option after: the row id read so far."""
+    """spark.read or spark.readStream .format("sqlite_kv").option("path", file): rowid, key, value; option after: the row id read so far."""
 
     @classmethod
     def name(cls) -> str:
@@ -100,6 +126,92 @@ class KeyValueSource(DataSource):
     def reader(self, schema) -> KeyValueReader:
         return KeyValueReader(dict(self.options))
 
+    def streamReader(self, schema) -> KeyValueStream:  # noqa: N802
+        return KeyValueStream(dict(self.options))
+
+
+class LogLines(DataSourceStreamReader):
+    """Lines of JSON-lines logs under a folder by micro-batches. An offset is, per file, the byte after the last line that ends a turn: what
+    comes after it is read again with the rest of its turn, and the offset stays where no turn came out."""
+
+    BLOCK = 1 << 16
+    #: Bytes of a log that a task reads.
+    PART = 8 << 20
+
+    def __init__(self, options: dict) -> None:
+        self.path, self.ends = options["path"], options.get("ends", "assistant").encode()
+
+    def _end(self, file: str) -> int:
+        """The byte after the last whole line that has the word that ends turns; found from the end backwards."""
+        import os
+
+        with open(file, "rb") as f:
+            at = f.seek(0, os.SEEK_END)
+            tail, whole = b"", False
+            while at > 0:
+                size = min(self.BLOCK, at)
+                at -= size
+                f.seek(at)
+                tail = f.read(size) + tail
+                if not whole:
+                    # what follows the last line end is no whole line yet
+                    whole, tail = b"\n" in tail, tail[: tail.rfind(b"\n") + 1] if b"\n" in tail else tail
+                    if not whole:
+                        continue
+                lines = tail.split(b"\n")[:-1]
+                end = at + len(tail)
+                for k in range(len(lines) - 1, 0 if at else -1, -1):
+                    if self.ends in lines[k]:
+                        return end
+                    end -= len(lines[k]) + 1
+                # the first line may begin further up
+                tail = lines[0] + b"\n" if lines else b""
+        return 0
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        import glob
+
+        found = {f: self._end(f) for f in sorted(glob.glob(f"{self.path.rstrip('/')}/**/*.jsonl", recursive=True))}
+        return {f: n for f, n in found.items() if n}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        out = []
+        for file, b in end.items():
+            a = start.get(file, 0)
+            out += [InputPartition((file, a, x, min(x + self.PART, b))) for x in range(a, b, self.PART)]
+        return out
+
+    def read(self, partition: InputPartition):
+        import os
+
+        file, first, a, b = partition.value
+        with open(file, "rb") as f:
+            f.seek(a if a == first else a - 1)
+            if a != first:
+                f.readline()  # of the part before
+            while (at := f.tell()) < b:
+                yield os.path.basename(file).rpartition(".")[0], at, f.readline().decode("utf-8", "replace").rstrip("\r\n")
+
+    def commit(self, end: dict) -> None:
+        """Nothing to keep: the checkpoint has the offset."""
+
+
+class LogSource(DataSource):
+    """spark.readStream.format("jsonl_log").option("path", folder): session_id (the file's name), at (the line's first byte), value."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "jsonl_log"
+
+    def schema(self) -> str:
+        return "session_id string, at long, value string"
+
+    def streamReader(self, schema) -> LogLines:  # noqa: N802
+        return LogLines(dict(self.options))
+
 
 def composer_messages(rows: DataFrame) -> DataFrame:
     """Messages of key-value rows: composerData:<id> with bubbles inside, or bubbleId:<id>:<bubble> rows in order of row id."""

@@ -32,12 +32,19 @@ class Store:
         self._at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
         self._files = self._at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _folders(self, name: str) -> list[tuple[int, str]]:
+        """Number and folder of the whole versions of a table, oldest first; a folder is v<number> or v<number>-<key>."""
+        found = [v for v in self.names(name) if v[:1] == "v" and v[1:].split("-")[0].isdigit() and self._files.exists(self._at(name, v, "_SUCCESS"))]
+        return sorted((int(v[1:].split("-")[0]), v) for v in found)
+
     def versions(self, name: str) -> list[int]:
         """Numbers of the whole versions of a table, oldest first."""
-        if not self._files.exists(self._at(name)):
-            return []
-        found = [str(x.getPath().getName()) for x in self._files.listStatus(self._at(name))]
-        return sorted(int(v[1:]) for v in found if v[:1] == "v" and v[1:].isdigit() and self._files.exists(self._at(name, v, "_SUCCESS")))
+        return [n for n, _ in self._folders(name)]
+
+    def last_key(self, name: str) -> str | None:
+        """The key that the last version of a table was written under."""
+        found = self._folders(name)
+        return found[-1][1].partition("-")[2] or None if found else None
 
     def names(self, folder: str) -> list[str]:
         """What a folder beside the tables holds."""
@@ -49,16 +56,16 @@ class Store:
 
     def read(self, name: str, default: DataFrame | None = None) -> DataFrame | None:
         """The last version of a table; default where there is none."""
-        found = self.versions(name)
-        return self.spark.read.parquet(f"{self.path}/{name}/v{found[-1]}") if found else default
-
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        """df as the next version, read back; df may be made of the version before."""
-        found = self.versions(name)
-        n = found[-1] + 1 if found else 1
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{n}")
-        for old in found[:-1]:
-            self._files.delete(self._at(name, f"v{old}"), True)
+        found = self._folders(name)
+        return self.spark.read.parquet(f"{self.path}/{name}/{found[-1][1]}") if found else default
+
+    def write(self, name: str, df: DataFrame, key: str | None = None) -> DataFrame:
+        """df as the next version, read back; df may be made of the version before. A version's key is whole with it."""
+        found = self._folders(name)
+        n = found[-1][0] + 1 if found else 1
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{n}{f'-{key}' if key else ''}")
+        for _, old in found[:-1]:
+            self._files.delete(self._at(name, old), True)
         return self.read(name)
 
     def upsert(self, name: str, new: DataFrame, key: str) -> DataFrame:
