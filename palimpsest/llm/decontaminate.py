@@ -207,7 +207,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = F.xxhash64("doc_id", "text")
     held, checked, _ = matched(docs.select(key.alias("doc_id"), "text"), benchmark)
     bad = stored(held.join(checked.select("near").distinct(), "near", "left_semi").select(F.col("doc_id").alias("__dc_id")).distinct(), "decon-bad")
-    return docs.join(bad, key == F.col("__dc_id"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__dc_row"), key.alias("__dc_key"))
+    return rows.join(bad, F.col("__dc_key") == F.col("__dc_id"), "left_anti").select("__dc_row.*")
 
 
 def op10_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

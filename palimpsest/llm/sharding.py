@@ -141,9 +141,9 @@ def grouped(small: DataFrame) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """docs(doc_id, text, ...) with shard int and slot long; a clashing column of docs is replaced."""
+    """docs(doc_id, text, ...) with shard int and slot long; a clashing column of docs, in any case, is replaced."""
     cuts = cut_points(grouped(stored(slim(docs), "shard-sizes")), shards)
-    keep = [c for c in docs.columns if c not in ("shard", "slot")]
+    keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__sh_row"), F.col("doc_id").alias("__sh_id"), F.crc32(text.cast("binary")).alias("__sh_crc"), shard_of(group_key(F.col("text")), cuts).alias("__sh_shard"))
     return numbered(rows).select("__sh_row.*", F.col("__sh_shard").alias("shard"), F.col("__sh_slot").alias("slot"))

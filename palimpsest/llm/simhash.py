@@ -15,7 +15,7 @@ Components come from large-star and small-star rounds over links between fingerp
 to the shared folder each round; nothing about single documents reaches the driver.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of one
-or two words hash as one shingle; a text of any length is hashed in parts of 65,536 shingles; equal rows share a component; a null doc_id is not a name for
+or two words hash as one shingle; a text of any length is made into words and hashed a megabyte at a time; equal rows share a component; a null doc_id is not a name for
 a component unless it has no other; an empty table gives no rows. dedupe tells rows apart by doc_id and
 a hash of the text, so null or repeated ids cost no component its document.
 """
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import given_back, stored, table
+from .periodic_runs import parts
 
 DISTANCE = 2
 #: Blocks that a key is made of.
@@ -38,28 +39,33 @@ KEY_BLOCKS = 3
 
 
 def fingerprint(text: bytes) -> int:
-    """The fingerprint of a UTF-8 text as a signed 64-bit number."""
+    """The fingerprint of a UTF-8 text as a signed 64-bit number; about a megabyte of it is made into words at a time."""
     from xxhash import xxh64_intdigest
 
-    tokens = text.lower().split()
-    if not tokens:
-        return 0
-    if len(tokens) < 3:
-        hashes = [xxh64_intdigest(b" ".join(tokens), 42)]
-    else:
+    n, counts, tokens = 0, np.zeros(64, np.int64), []
+
+    def count(hashes: list[int]) -> None:
+        nonlocal n
+        n += len(hashes)
+        counts[:] += np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+    for part in parts(text.lower()):
+        # shingles over a cut begin with the last two words before it
+        tokens = tokens + part
+        if len(tokens) < 3:
+            continue
         joined = b" ".join(tokens)
         ends, at = [], -1
         for t in tokens:
             at += len(t) + 1
             ends.append(at)
         starts = [0, *[e + 1 for e in ends[:-3]]]
-        hashes = [xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[2:], strict=True)]
-    n, counts = len(hashes), np.zeros(64, np.int64)
-    values = np.array(hashes, np.uint64)
-    for k in range(0, n, 1 << 16):
-        counts += np.unpackbits(values[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        count([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[2:], strict=True)])
+        tokens = tokens[-2:]
+    if not n and tokens:
+        count([xxh64_intdigest(b" ".join(tokens), 42)])
     bits = np.packbits(counts * 2 > n, bitorder="little")
-    return int(bits.view(np.int64)[0])
+    return int(bits.view(np.int64)[0]) if n else 0
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

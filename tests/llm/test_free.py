@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, quality_qda, simhash, token_ids, toxicity, warc
+from palimpsest.llm import decontaminate, quality_qda, sharding, simhash, token_ids, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, fp string"
 
@@ -467,3 +467,27 @@ def test_warc_round_trip(spark, tmp_path):
         assert b"WARC-Type: warcinfo" in singles[0] and len(singles) == sum(x.path.endswith(f.name) for x in back)
     assert warc.derive(b"WARC/1.1\r\nWARC-Type: request\r\n\r\nx") == []
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_fingerprints_over_parts(monkeypatch):
+    """Texts cut into words at any size have the fingerprints of whole ones."""
+    r = random.Random(21)
+    texts = ["", " ", "one", "one two", "One two three", *(" ".join(r.choice("abcdefg") * r.randint(1, 4) for _ in range(r.randint(0, 60))) + r.choice(["", "\n", " "]) for _ in range(80))]
+    whole = [simhash.fingerprint(t.encode()) for t in texts]
+    assert [x & (2**64 - 1) for x in whole] == [slow_fingerprint(t) for t in texts]
+    parts = simhash.parts
+    for size in (1, 3, 10):
+        monkeypatch.setattr(simhash, "parts", lambda text, size=size: parts(text, size))
+        assert [simhash.fingerprint(t.encode()) for t in texts] == whole
+
+
+def test_clashing_names(spark, tmp_path):
+    """Columns named like the operators' own, in any case, stay or are replaced."""
+    passage = " ".join(f"word{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, passage, 5, 6, "x"), (2, "clean text of some words here", 7, 8, "y")], "doc_id long, text string, __dc_id long, __dc_key long, __dc_row string")
+    bench = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    assert [tuple(x) for x in decontaminate.decontaminate(docs, bench).collect()] == [(2, "clean text of some words here", 7, 8, "y")]
+    docs = spark.createDataFrame([(i, f"text {i}", -1, "s") for i in range(20)], "doc_id long, text string, Shard int, SLOT string")
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", 3)
+    got = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert sorted(c.lower() for c in got.columns) == ["doc_id", "shard", "slot", "text"] and got.where("shard between 0 and 2").count() == 20
