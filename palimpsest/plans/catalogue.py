@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -332,12 +332,31 @@ def q_events(spark, d):
     return memory.events_from_turns(_turns(spark, d), "conv", "repo", NOW).select("id", "session_id", "turn_index", "content", "content_hash")
 
 
-EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+#: A secret of each family, put together so that no file here holds one; the last three are none.
+PARTS = (("sk-proj", "-" + "a1B2" * 11), ("sk-", "Zz09" * 6), ("github", "_pat_" + "a_1" * 8), ("ghp", "_" + "k9" * 19), ("AK", "IA" + "Q7" * 8), ("-----BEGIN RSA", " PRIVATE KEY-----|ab+/|-----END RSA PRIVATE KEY-----"), ("Bearer", " abc.def-ghi/jk=="), ("xox", "b-" + "12ab" * 4), ("me.you", "@mail.example.org"), ("sk-", "short"), ("AKI", "Aqq"), ("me", "@ home"))
+SECRET_SQL = f"CASE doc_id % {len(PARTS)} {' '.join(f"WHEN {k} THEN '{a}' || replace('{b}', '|', chr(10))" for k, (a, b) in enumerate(PARTS))} END"
 
 
-@query(f"SELECT doc_id, sha256(regexp_replace(text, '{EMAIL}', '<REDACTED_EMAIL>', 'g')) AS scrubbed, len(regexp_extract_all(text, '{EMAIL}'))::BIGINT AS n FROM documents")
+def secret(key: Column) -> Column:
+    return F.element_at(F.array(*[F.lit((a + b).replace("|", "\n")) for a, b in PARTS]), (key % len(PARTS) + 1).cast("int"))
+
+
+def scrub_sql(text: str) -> str:
+    """All families, one after the other."""
+    for rx, name in T.SECRETS:
+        text = f"regexp_replace({text}, '{rx}', '{name}', 'g')"
+    return text
+
+
+STEPS = ["s0 AS (SELECT doc_id, text || ' ' || " + SECRET_SQL + " || ' ' || substr(text, 1, 99) AS t, 0 AS n FROM documents)"]
+STEPS += [f"s{k + 1} AS (SELECT doc_id, regexp_replace(t, '{rx}', '{name}', 'g') AS t, n + len(regexp_extract_all(t, '{rx}')) AS n FROM s{k})" for k, (rx, name) in enumerate(T.SECRETS)]
+
+
+@query(f"WITH {', '.join(STEPS)} SELECT doc_id, sha256(t) AS scrubbed, n::BIGINT AS n FROM s{len(T.SECRETS)}")
 def q_scrub(spark, d):
-    s = table(spark, d, "documents").select("doc_id", T.scrubbed(F.col("text")).alias("s"))
+    """Documents with a secret of each of nine families among their words."""
+    text = F.concat("text", F.lit(" "), secret(F.col("doc_id")), F.lit(" "), F.substring("text", 1, 99))
+    s = table(spark, d, "documents").select("doc_id", T.scrubbed(text).alias("s"))
     return s.select("doc_id", F.sha2("s.text", 256).alias("scrubbed"), F.col("s.n").alias("n"))
 
 

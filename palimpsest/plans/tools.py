@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import context, enrich, graph, memory, ranking, search
 from ..sources import code, conversations, documents
 from ..streaming import ingest
-from .catalogue import BUNDLE, EV, IS_TEST, MANIFESTS, MEMORY, NOW, RANKED, TURNS, _bundle, _events, _manifests, _memory, _ranked, _turns, bm25_sql, query
+from .catalogue import BUNDLE, EV, IS_TEST, MANIFESTS, MEMORY, NOW, RANKED, SECRET_SQL, TURNS, _bundle, _events, _manifests, _memory, _ranked, _turns, bm25_sql, query, scrub_sql, secret
 from .views import EDGES, NODES, edges, nodes, table
 
 
@@ -42,8 +42,9 @@ def q_path_boost(spark, d):
     return out.select("query_id", F.col("node_id").cast("long").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {NODES}, k AS (SELECT doc_id AS query_id, CASE doc_id % 3 WHEN 0 THEN node_id WHEN 1 THEN name ELSE file_path END AS key FROM n WHERE doc_id % 20 = 0 UNION ALL SELECT -1, 'nothing')
-SELECT query_id, query_id AS doc_id FROM k WHERE query_id >= 0""")
+@query(f"""WITH {NODES}, k AS (SELECT doc_id AS query_id, CASE doc_id % 3 WHEN 0 THEN node_id WHEN 1 THEN name ELSE file_path END AS key FROM n WHERE doc_id % 20 = 0 UNION ALL SELECT -1, 'nothing'),
+m AS (SELECT query_id, doc_id, 0 AS way, 0 AS o FROM k JOIN n ON key = node_id UNION ALL SELECT query_id, doc_id, 1, 0 FROM k JOIN n ON key = name UNION ALL SELECT query_id, doc_id, 2, CASE WHEN kind IN ('module', 'class') THEN 0 ELSE 1 END FROM k JOIN n ON key = file_path)
+SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY way, o, doc_id) AS r FROM m) WHERE r = 1""")
 def q_lookup(spark, d):
     """Nodes by id, name or file, for documents whose id is divisible by 20."""
     n = nodes(spark, d).withColumn("start_line", F.lit(0).cast("long"))
@@ -76,7 +77,7 @@ def q_live_edges(spark, d):
     return graph.live_memory_edges(_memory_edges(spark, d), live).select("src_id", "dst_id", "edge_type")
 
 
-@query(f"WITH {EDGES} SELECT count(*)::BIGINT AS n_edges, (SELECT count(*) FROM (SELECT src_id FROM e UNION SELECT dst_id FROM e))::BIGINT AS n_nodes FROM e WHERE src_id NOT IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal < 0) OR TRUE")
+@query(f"WITH {EDGES} SELECT count(*)::BIGINT AS n_edges, (SELECT count(*) FROM (SELECT src_id FROM e UNION SELECT dst_id FROM e))::BIGINT AS n_nodes FROM e")
 def q_graph_counts(spark, d):
     return graph.counts(edges(spark, d))
 
@@ -191,9 +192,12 @@ def q_user_scope(spark, d):
     return found.agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
-@query("""SELECT substr(sha256('notes|' || conv_id || '|' || turn || '|' || role), 1, 32) AS id, substr(trim(text), 1, 8000) AS content, substr(sha256(trim(text)), 1, 32) AS content_hash, 50 AS importance FROM conversations WHERE trim(coalesce(text, '')) <> '' AND NOT contains(text, '@')""")
+@query(f"""WITH t AS (SELECT *, trim(text || ' ' || CASE WHEN turn % 3 = 0 THEN {SECRET_SQL.replace("doc_id", "conv_id")} ELSE '' END) AS said FROM conversations)
+SELECT substr(sha256('notes|' || conv_id || '|' || turn || '|' || role), 1, 32) AS id, substr({scrub_sql("said")}, 1, 8000) AS content, substr(sha256(said), 1, 32) AS content_hash, 50 AS importance FROM t WHERE coalesce(said, '') <> ''""")
 def q_remembered(spark, d):
-    notes = table(spark, d, "conversations").where("not contains(coalesce(text, ''), '@')").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_index"), "role", F.col("text").alias("content"))
+    """Every message as a note, a third of them with a secret of some family."""
+    said = F.concat("text", F.lit(" "), F.when(F.col("turn") % 3 == 0, secret(F.col("conv_id"))).otherwise(""))
+    notes = table(spark, d, "conversations").withColumn("text", said).select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_index"), "role", F.col("text").alias("content"))
     return memory.remembered(notes, "notes", "repo", NOW).select("id", "content", "content_hash", "importance")
 
 
@@ -253,10 +257,9 @@ def q_budget_list(spark, d):
     return context.budgeted_list(items, 150, 20).select("group", "id", F.col("place").cast("long").alias("place"), "left")
 
 
-@query(f"""WITH {BUNDLE} SELECT query_id, place, sha256('{{"node_id":"' || node_id || '","file_path":"' || file_path || '","is_anchor":' || is_anchor || ',"tokens":' || (strlen(t) // 4) || '}}') AS json FROM bu""")
+@query(f"""WITH {BUNDLE} SELECT query_id, place, sha256('{{"node_id":"' || node_id || '","file_path":"' || file_path || '","is_anchor":' || is_anchor || ',"text":' || to_json(t)::VARCHAR || ',"tokens":' || (strlen(t) // 4) || '}}') AS json FROM bu""")
 def q_bundle_json(spark, d):
-    j = context.as_json(_bundle(spark, d).withColumn("text", F.lit(None).cast("string")))
-    return j.select("query_id", "place", F.sha2("json", 256).alias("json"))
+    return context.as_json(_bundle(spark, d)).select("query_id", "place", F.sha2("json", 256).alias("json"))
 
 
 @query(f"""WITH {BUNDLE}, f AS (SELECT query_id, file_path, string_agg(t, chr(10) ORDER BY place) AS x, sum(strlen(t) // 4) AS tk FROM bu GROUP BY ALL)
@@ -274,12 +277,19 @@ def q_label_bundle(spark, d):
     return context.label_bundle(found, c).select(F.col("node_id").alias("node"), F.col("text").alias("label"), "tokens", F.col("place").cast("long").alias("place"))
 
 
-@query(f"""WITH {NODES} SELECT 'tests' AS k, count(*) FILTER (regexp_matches(file_path, 'tests/|__tests__/|_test\\.go|_test\\.rs'))::BIGINT AS n FROM n""")
+SHOWN = [f"coalesce(bool_or(regexp_matches(path, '{rx}')), false)" for rx, _ in P.CONVENTIONS]
+SHOWN[1] = f"{SHOWN[1]} AND NOT {SHOWN[0]}"
+#: A path per document that shows one convention of ten, or none.
+TREE = ("src/app/{}/page.tsx", "app/{}/page.tsx", "src/pages/{}.tsx", "api/{}/route.ts", "components/{}.tsx", "lib/{}.py", "x/{}_test.go", "models/{}.py", "crates/{}.rs", "prisma/schema.prisma", "main/{}.c")
+
+
+@query(f"""WITH t AS (SELECT doc_id % 97 AS tree, CASE (doc_id * 7 + doc_id // 97) % {len(TREE)} {" ".join(f"WHEN {k} THEN replace('{x}', '{{}}', doc_id::VARCHAR)" for k, x in enumerate(TREE))} END AS path FROM documents)
+SELECT tree, concat_ws('; ', {", ".join(f"CASE WHEN {rule} THEN '{name}' END" for rule, (_, name) in zip(SHOWN, P.CONVENTIONS, strict=True))}) AS shown FROM t GROUP BY tree""")
 def q_conventions(spark, d):
-    n = nodes(spark, d)
-    shown = n.agg(P.conventions(F.col("file_path")).alias("c")).select(F.array_contains("c", "Test suite present").alias("has"))
-    count = n.agg(F.count_if(F.col("file_path").rlike(r"tests/|__tests__/|_test\.go|_test\.rs")).alias("n"))
-    return shown.join(count).select(F.when(F.col("has") == (F.col("n") > 0), "tests").alias("k"), "n")  # one row each
+    """What conventions the files of 97 trees show, all ten of them."""
+    i = F.col("doc_id")
+    at = F.element_at(F.array(*[F.replace(F.lit(x), F.lit("{}"), i.cast("string")) for x in TREE]), ((i * 7 + F.floor(i / 97)) % len(TREE) + 1).cast("int"))
+    return table(spark, d, "documents").groupBy((i % 97).alias("tree")).agg(F.array_join(P.conventions(at), "; ").alias("shown"))
 
 
 # enrichment
@@ -327,9 +337,9 @@ def q_active(spark, d):
     return e.select("event_id", N.is_active(F.when(kind == "error", F.col("created_at")), start, end, 1_705_276_800).alias("active"))
 
 
-@query(f"""WITH {NODES} SELECT doc_id, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) >= 3 AND strlen(text) >= 50 AS worth, CASE regexp_extract(file_path, '[.]([^.]*)$', 1) WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' ELSE 'code' END AS language, round((({len(N.PROMPT.encode())} + strlen(text)) // 4) / 1e6::DOUBLE * 3 + 150 / 1e6::DOUBLE * 15, 9) AS cost FROM n WHERE text <> ''""")
+@query(f"""WITH {NODES} SELECT doc_id, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) >= 3 AND strlen(text) >= 50 AS worth, CASE regexp_extract(file_path, '[.]([^.]*)$', 1) WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' ELSE 'code' END AS language, round((({len(N.PROMPT.encode())} + strlen(text)) // 4) / 1e6::DOUBLE * 3 + 150 / 1e6::DOUBLE * 15, 9) AS cost FROM n""")
 def q_summary_plan(spark, d):
-    n = nodes(spark, d).where("text <> ''")
+    n = nodes(spark, d)
     return n.select("doc_id", N.should_summarize(F.col("text")).alias("worth"), N.prompt_language(F.col("file_path")).alias("language"), F.round(N.summary_cost(F.octet_length("text"), 3.0, 15.0), 9).alias("cost"))
 
 
@@ -356,10 +366,11 @@ def q_number_labels(spark, d):
     return table(spark, d, "part").select("p_partkey", T.byte_label(k).alias("size"), T.number_label(k).alias("number"))
 
 
-@query(r"""SELECT doc_id, (strlen(text) + 36)::BIGINT AS end_byte, len(string_split(text, chr(10)))::BIGINT + 3 AS end_line, CASE WHEN doc_id % 3 = 0 THEN 'b_' || doc_id ELSE 'b_' || doc_id || ',call()' END AS identifiers FROM documents WHERE NOT regexp_matches(text, '(^|\n)[\s\p{Z}]*#') AND NOT contains(text, '`') AND NOT contains(text, chr(13)) AND text <> ''""")
+@query(r"""WITH t AS (SELECT doc_id, replace(replace(replace(coalesce(text, ''), '#', '+'), '`', chr(39)), chr(13), ' ') AS text FROM documents)
+SELECT doc_id, (strlen(text) + 36)::BIGINT AS end_byte, len(string_split(text, chr(10)))::BIGINT + 3 AS end_line, CASE WHEN doc_id % 3 = 0 THEN 'b_' || doc_id ELSE 'b_' || doc_id || ',call()' END AS identifiers FROM t""")
 def q_code_sections(spark, d):
-    """The section that a heading before each document opens, up to the next one of its level."""
-    t = table(spark, d, "documents").where(r"not regexp(text, '(^|\n)[\\s\\p{Z}]*#') and not contains(text, '`') and not contains(text, '\r') and text <> ''")
+    """The section that a heading before each document opens, up to the next one of its level; marks of headings and of code in the text are other signs here."""
+    t = table(spark, d, "documents").withColumn("text", F.translate(F.coalesce("text", F.lit("")), "#`\r", "+' "))
     i = F.col("doc_id").cast("string")
     pad = F.lpad(i, 8, "0")
     body = F.concat(F.lit("# H"), pad, F.lit("\n`b_"), i, F.lit("` "), F.when(F.col("doc_id") % 3 == 0, "`two words`").otherwise("`call()`"), F.lit("\n"), "text", F.lit("\n#### \n# End\n"))
