@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import split_identifier
+from .literals import holding
 
 # Half-lives in days, thresholds of actions.
 HALF_LIFE_DAYS = {"intent": 30.0, "observation": 14.0, "reflection": 30.0, "cross_domain": 60.0, "prediction": 7.0}
@@ -147,21 +148,13 @@ def tested_name(path: Column) -> Column:
 def test_impl_links(tests: DataFrame, impls: DataFrame) -> DataFrame:
     """src_path, dst_path, confidence: tests(file_path) to impls(file_path) whose name holds the tested name, or is held by it.
 
-    Names are joined, not files: equal names of many files are one. A name that holds another has each of the other's runs of three
-    letters, so names meet under the rarest way to be held: shared runs of up to 3 letters, then the test itself.
+    Names are joined, not files: equal names of many files are one. They meet both ways under the rarest gram of what is held (literals.holding).
     """
     t = tests.select(F.col("file_path").alias("src_path"), tested_name(F.col("file_path")).alias("tested")).where(base_name(F.col("file_path")) != "")
     i = impls.select(F.col("file_path").alias("dst_path"), base_name(F.col("file_path")).alias("stem"))
-    held = F.contains("stem", F.col("tested")) | F.contains("tested", F.col("stem"))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda k: F.substring(c, k, 3)))
     a, b = t.select("tested").distinct(), i.select("stem").distinct()
-    # of the shorter name the first run is enough, and every run of the longer may be it
-    first = lambda c: F.array(F.substring(c, 1, 3))
-    met = a.select("tested", F.explode(grams(F.col("tested"))).alias("g")).join(b.select("stem", F.explode(first(F.col("stem"))).alias("g")), "g").select("tested", "stem")
-    met = met.unionByName(a.select("tested", F.explode(first(F.col("tested"))).alias("g")).join(b.select("stem", F.explode(grams(F.col("stem"))).alias("g")), "g").select("tested", "stem"))
-    # names of one or two letters are runs of their own and can start anywhere
-    short = a.where(F.length("tested") < 3).join(b, F.contains("stem", F.col("tested"))).unionByName(a.join(b.where(F.length("stem") < 3), F.contains("tested", F.col("stem"))))
-    pairs = met.unionByName(short).where(held).distinct()
+    one, two = holding(b, "stem", F.col("stem"), a, F.col("tested")), holding(a, "tested", F.col("tested"), b, F.col("stem"))
+    pairs = one.select("tested", "stem").unionByName(two.select("tested", "stem")).distinct()
     return pairs.join(t, "tested").join(i, "stem").select("src_path", "dst_path", F.lit(1).alias("confidence"))
 
 

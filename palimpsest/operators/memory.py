@@ -129,7 +129,7 @@ def collect_garbage(events: DataFrame, now: int, retention_days: int = 30, max_e
 
     Expired: unpinned and older than the retention. Raw turns (event_type 'turn') may have a shorter one. Then the oldest unpinned go until no more
     than max_events stay (pinned ones count, but don't go). How many fall on each day and then on each second of the day of the cut
-    says where it is; only events of that second are put in order, by id.
+    says where it is, and ranges of ids do so within that second; only events of the last range are put in order, by id.
     """
     expired = ~F.col("pinned") & (F.col("created_at") < now - retention_days * DAY)
     raw = F.lit(False)
@@ -150,8 +150,14 @@ def collect_garbage(events: DataFrame, now: int, retention_days: int = 30, max_e
     of_day = cut(days, "base").select(F.col("t").alias("day"), F.col("below").alias("base"), "over")
     seconds = free.join(F.broadcast(of_day), day == F.col("day")).groupBy(F.col("created_at").alias("t"), "base", "over").agg(F.count("*").alias("n"))
     at = cut(seconds, "base").select(F.col("t").alias("cut_at"), (F.col("over") - F.col("below")).alias("rest"))
-    # at the cut's second the least ids go; without a cut nobody does
-    near = free.join(F.broadcast(at), F.col("created_at") == F.col("cut_at")).withColumn("k", F.row_number().over(W.orderBy("id"))).where("k <= rest").select(F.col("id").alias("id1"))
+    # at the cut's second the least ids go, found the same way by ranges of ids; without a cut nobody does
+    ranges = F.substring("id", 1, 4) if dict(events.dtypes)["id"] == "string" else F.floor(F.col("id") / 4096)
+    inside = free.join(F.broadcast(at), F.col("created_at") == F.col("cut_at")).select("id", "rest", ranges.alias("part"))
+    parts = inside.groupBy(F.col("part").alias("t"), F.lit(0).alias("base"), F.col("rest").alias("over")).agg(F.count("*").alias("n"))
+    of_part = cut(parts, "base").select(F.col("t").alias("cut_part"), (F.col("over") - F.col("below")).alias("rest_part"))
+    inside = inside.join(F.broadcast(of_part), F.col("part") <= F.col("cut_part"))  # one row
+    last = inside.where("part = cut_part").withColumn("k", F.row_number().over(W.orderBy("id"))).where("k <= rest_part")
+    near = inside.where("part < cut_part").select(F.col("id").alias("id1")).unionByName(last.select(F.col("id").alias("id1")))
     one = over.join(at, how="left").select(F.when(F.col("over") > 0, F.coalesce("cut_at", F.lit(2**62))).alias("cut_at"))  # one row
     rows = events.withColumn("gone", gone).join(F.broadcast(one)).join(near, F.col("id") == F.col("id1"), "left")
     oldest = F.col("gone").isNull() & ~F.col("pinned") & ((F.col("created_at") < F.col("cut_at")) | F.col("id1").isNotNull())

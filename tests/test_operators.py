@@ -93,3 +93,14 @@ def test_entities(spark):
 def test_overlaps(spark):
     b = spark.createDataFrame([(1, "f", 0, 9, 1, False), (1, "f", 2, 3, 2, False), (1, "f", 4, 5, 3, True), (1, "f", 0, 9, 4, False), (1, "g", 2, 3, 5, False)], "query_id int, file_path string, start_line int, end_line int, place int, is_anchor boolean")
     assert rows(context.without_overlaps(b), "place") == [(1,), (3,), (5,)]
+
+
+def test_garbage_of_one_second(spark):
+    """A bulk load of one second: the least ids go, numbers and strings, from ranges that end within and at their edges."""
+    from palimpsest.operators import memory
+
+    for kind, ids in [("long", list(range(0, 30_000, 3))), ("string", [f"{i * 7919 % 65536:04x}{i:04d}" for i in range(6000)])]:
+        rows = spark.createDataFrame([(i, 1000, False) for i in ids] + [(ids[0] + (1 if kind == "long" else "x"), 2000, True)], f"id {kind}, created_at long, pinned boolean")
+        for most in (1, 1366, len(ids) - 1, len(ids) + 5):
+            gone = {r.id for r in memory.collect_garbage(rows, 3000, 30, most).where("gone = 'over_limit'").select("id").collect()}
+            assert gone == set(sorted(ids)[: max(0, len(ids) + 1 - most)])
