@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths, text
 from .operators import context, embed, enrich, graph, memory, ranking, search
-from .sources import code, conversations, documents
+from .sources import chatlogs, code, conversations, documents
 from .store import Store, shared_path
 from .streaming import ingest
 
@@ -185,6 +185,27 @@ class Engine:
         self.edges = self._kept("edges", self.edges.unionByName(links).dropDuplicates(["src_id", "dst_id", "edge_type"]))
         return new
 
+    def sync_logs(self, folder: str, repo_id: str, now: int, cooldown: int = 60, source: str = "jsonl") -> DataFrame | None:
+        """Takes the turns that ended in a folder's JSON-lines logs since the last time into the memory, each once; None within the cooldown's seconds of the last time.
+
+        Meant to run before a read: offsets stay in a checkpoint beside the tables. A turn's number is the place of its answer in its log.
+        """
+        last = self.store.read("synced")
+        if last is not None and now - last.agg(F.max("at")).first()[0] < cooldown:
+            return None
+        self.store.write("synced", self.spark.createDataFrame([(now,)], "at long"))
+        self.spark.dataSource.register(chatlogs.LogSource)
+        lines, added = self.spark.readStream.format("jsonl_log").option("path", folder).load(), []
+
+        def take(batch: DataFrame, n: int) -> None:
+            turns = memory.paired_turns(chatlogs.typed_messages(batch)).withColumn("turn_index", F.col("pos"))
+            added.append(self._add_events(memory.events_from_turns(turns, source, repo_id, now)))
+
+        name = text.node_id(F.lit(folder), F.lit(repo_id))
+        name = self.spark.range(1).select(name).first()[0]
+        lines.writeStream.foreachBatch(take).option("checkpointLocation", f"{self.store.path}/sync-{name}").trigger(availableNow=True).start().awaitTermination()
+        return added[-1] if added else self.events.limit(0)
+
     def recall(self, queries: DataFrame, now: int, limit: int = 10, repo_id: str | None = None) -> DataFrame:
         """Ranked events: full text and vectors, fused; recency and literal matches count."""
         events = memory.scoped(self.events, repo_id)

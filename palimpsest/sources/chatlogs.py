@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from ..functions.text import timestamp_or_unix
+from ..functions.text import json_mentions, timestamp_or_unix
 
 BLOCK = "type string, text string, name string, input map<string,string>"
 
@@ -213,16 +213,46 @@ class LogSource(DataSource):
         return LogLines(dict(self.options))
 
 
+BUBBLE = "struct<bubbleId:string, type:int, text:string, createdAt:string>"
+
+
+def _bubble_rows(rows: DataFrame) -> DataFrame:
+    """session_id, bubble_id, rowid, value of bubbleId:<id>:<bubble> rows."""
+    apart = rows.where(F.startswith("key", F.lit("bubbleId:")))
+    return apart.select(F.get(F.split("key", ":"), F.lit(1)).alias("session_id"), F.get(F.split("key", ":"), F.lit(2)).alias("bubble_id"), "rowid", "value")
+
+
 def composer_messages(rows: DataFrame) -> DataFrame:
-    """Messages of key-value rows: composerData:<id> with bubbles inside, or bubbleId:<id>:<bubble> rows in order of row id."""
-    bubble = "struct<bubbleId:string, type:int, text:string, createdAt:string>"
-    inline = rows.where(F.startswith("key", F.lit("composerData:"))).select(F.substring_index("key", ":", -1).alias("session_id"), F.from_json("value", f"createdAt string, conversation array<{bubble}>").alias("j"))
-    a = inline.select("session_id", F.col("j.createdAt").alias("t"), F.posexplode("j.conversation").alias("pos", "b"))
-    apart = rows.where(F.startswith("key", F.lit("bubbleId:"))).select(F.get(F.split("key", ":"), F.lit(1)).alias("session_id"), F.col("rowid").cast("int").alias("pos"), F.from_json("value", bubble).alias("b"))
-    apart = apart.join(a.select("session_id").distinct(), "session_id", "left_anti").select("session_id", F.lit(None).cast("string").alias("t"), "pos", "b")
-    x = a.unionByName(apart).where("b.type in (1, 2)")
+    """Messages of key-value rows, by the first layout that a session has: composerData:<id> with bubbles inside; bubbleId:<id>:<bubble> rows in the order of
+    the bubbleIds that its composerData lists; those rows in order of row id. Where a bubble has no time the last one before it counts, else its composer's.
+    """
+    composers = rows.where(F.startswith("key", F.lit("composerData:"))).select(F.substring_index("key", ":", -1).alias("session_id"), F.from_json("value", f"createdAt string, conversation array<{BUBBLE}>, bubbleIds array<string>").alias("j"))
+    bubbles = _bubble_rows(rows).select("session_id", "bubble_id", "rowid", F.from_json("value", BUBBLE).alias("b"))
+    inline = composers.select("session_id", F.lit(1).alias("way"), F.posexplode("j.conversation").alias("pos", "b"))
+    listed = composers.select("session_id", F.posexplode("j.bubbleIds").alias("pos", "bubble_id")).join(bubbles, ["session_id", "bubble_id"]).select("session_id", F.lit(2).alias("way"), "pos", "b")
+    found = inline.unionByName(listed).unionByName(bubbles.select("session_id", F.lit(3).alias("way"), F.col("rowid").cast("int").alias("pos"), "b"))
+    first = found.groupBy("session_id").agg(F.min("way").alias("way"))
+    x = found.join(first, ["session_id", "way"]).join(composers.select("session_id", timestamp_or_unix(F.col("j.createdAt")).alias("made")), "session_id", "left")
+    x = as_of(x, "session_id", "pos", F.nullif(timestamp_or_unix(F.col("b.createdAt")), F.lit(0)), "said").where("b.type in (1, 2)")
     none = F.array().cast("array<string>")
-    return x.select("session_id", "pos", F.when(F.col("b.type") == 1, "user").otherwise("assistant").alias("role"), F.coalesce("b.text", F.lit("")).alias("text"), timestamp_or_unix(F.coalesce("b.createdAt", "t")).alias("timestamp"), none.alias("tools"), none.alias("files"))
+    return x.select("session_id", "pos", F.when(F.col("b.type") == 1, "user").otherwise("assistant").alias("role"), F.coalesce("b.text", F.lit("")).alias("text"), F.coalesce("said", "made").alias("timestamp"), none.alias("tools"), none.alias("files"))
+
+
+def relevant_sessions(rows: DataFrame, repo: str, marker: str) -> DataFrame:
+    """session_id, layer of the sessions of key-value rows that belong to a repository, by the first layer that says so.
+
+    1: a string of the composer's record holds the repository's path. 2: a bubble's record holds the marker that the engine leaves. 3: a bubble selects a file under the path (or the
+    path is under what it selects), or names the path in its text or in a file's address. A session that none answers for isn't taken: shared logs hold those of other repositories.
+    """
+    path = F.lit(repo)
+    composer = rows.where(F.startswith("key", F.lit("composerData:"))).select(F.substring_index("key", ":", -1).alias("session_id"), F.when(json_mentions(F.col("value"), repo), 1).alias("layer"))
+    b = F.from_json("value", "text string, context struct<fileSelections: array<struct<path: string, uri: string>>>")
+    chosen = F.exists("b.context.fileSelections", lambda x: F.coalesce(F.contains(x["path"], path) | F.contains(path, x["path"]), F.lit(False)) | F.coalesce(F.contains(x["uri"], path), F.lit(False)))
+    said = F.coalesce(chosen, F.lit(False)) | F.coalesce(F.contains(F.col("b.text"), path), F.lit(False))
+    bubble = _bubble_rows(rows).withColumn("b", b).select("session_id", F.when(F.contains("value", F.lit(marker)), 2).when(said, 3).alias("layer"))
+    known = composer.select("session_id").distinct()
+    every = composer.unionByName(bubble.join(known, "session_id", "left_semi")).groupBy("session_id").agg(F.min("layer").alias("layer"))
+    return every.where(F.col("layer").isNotNull() & F.lit(bool(repo)))
 
 
 def as_of(rows: DataFrame, partition: str, order: str, value: Column, name: str) -> DataFrame:
