@@ -11,7 +11,7 @@ from ..functions import paths as P
 from ..functions import queries as Q
 from ..functions import text as T
 from ..operators import context, enrich, graph, memory, ranking, search
-from ..sources import code, conversations, documents
+from ..sources import chatlogs, code, conversations, documents
 from ..streaming import ingest
 from .catalogue import BUNDLE, EV, IS_TEST, MANIFESTS, MEMORY, NOW, RANKED, SECRET_SQL, TURNS, _bundle, _events, _manifests, _memory, _ranked, _turns, bm25_sql, query, scrub_sql, secret
 from .views import EDGES, NODES, edges, nodes, table
@@ -437,3 +437,35 @@ def q_left_out(spark, d):
     files = table(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/"), i, F.when(F.col("doc_id") % 5 == 0, ".log").otherwise(".py")).alias("file_path")).where("file_path IS NOT NULL")
     rules = [("", 1, 0, "*.log"), ("", 1, 1, "fr/"), ("src1", 1, 0, "!*0.log"), ("src2", 1, 0, "/en"), ("src2/en", 1, 0, "!*.py")]
     return P.left_out(files, spark.createDataFrame(rules, "folder string, rank int, place int, rule string"))
+
+
+def _key_values(spark, d) -> DataFrame:
+    """Conversations as a shared key-value log: a third with the messages in the session's record, a third listed there, a third as rows alone.
+
+    A quarter each names the repository in the session's record, has a marker in a message, selects a file of it in one, or none of these.
+    """
+    c = table(spark, d, "conversations").withColumn("sid", F.col("conv_id").cast("string"))
+    kind = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(0)
+    way, layer = F.floor(F.col("conv_id") / 4) % 3, F.col("conv_id") % 4
+    chosen = F.when((layer == 2) & (F.col("turn") == 0), F.array(F.struct(F.lit("/w/repo/a.py").alias("path")))).otherwise(F.array().cast("array<struct<path:string>>"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when((layer == 1) & (F.col("turn") == 0), " [mark:repo]").otherwise(""))
+    bubble = F.struct(kind.alias("type"), text.alias("text"), (1_700_000_000 + F.col("turn")).cast("string").alias("createdAt"), F.struct(chosen.alias("fileSelections")).alias("context"))
+    rows = c.select(F.col("conv_id") * 1000 + F.col("turn") + 1, F.concat_ws(":", F.lit("bubbleId"), "sid", F.col("turn").cast("string")), F.to_json(bubble)).toDF("rowid", "key", "value")
+    own = c.groupBy("sid", "conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", bubble.alias("b")))).alias("m"))
+    record = F.to_json(F.struct(F.when(layer == 0, "/w/repo/x").alias("root"), F.when(way == 0, F.transform("m", lambda x: x["b"])).alias("conversation"), F.when(way == 1, F.transform("m", lambda x: x["turn"].cast("string"))).alias("bubbleIds")))
+    return rows.unionByName(own.select((F.col("conv_id") * 1000).alias("rowid"), F.concat(F.lit("composerData:"), "sid").alias("key"), record.alias("value")))
+
+
+@query("""SELECT DISTINCT conv_id::VARCHAR AS session_id, CASE WHEN conv_id % 4 = 0 OR conv_id % 4 = 2 AND conv_id // 4 % 3 = 0 THEN 1 WHEN conv_id % 4 = 1 THEN 2 ELSE 3 END AS layer
+FROM conversations WHERE conv_id % 4 = 0 OR conv_id % 4 IN (1, 2) AND turn = 0""")
+def q_shared_logs(spark, d):
+    """Sessions of a shared log that belong to a repository, with the layer that says so; a file chosen in a message of the session's record counts as the record's."""
+    return chatlogs.relevant_sessions(_key_values(spark, d), "/w/repo", "[mark:repo]")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') || CASE WHEN conv_id % 4 = 1 AND turn = 0 THEN ' [mark:repo]' ELSE '' END AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+SELECT conv_id::VARCHAR AS session_id, CASE WHEN conv_id // 4 % 3 = 2 THEN conv_id * 1000 + turn + 1 ELSE i END::BIGINT AS pos, role, sha256(text) AS text, 1700000000 + turn AS ts FROM c WHERE role IN ('user', 'assistant')""")
+def q_log_messages(spark, d):
+    """The messages of a shared log, whatever way a session is laid out."""
+    m = chatlogs.composer_messages(_key_values(spark, d))
+    return m.select("session_id", F.col("pos").cast("long").alias("pos"), "role", F.sha2("text", 256).alias("text"), F.col("timestamp").alias("ts"))
