@@ -106,9 +106,11 @@ class Engine:
         discussed = self.edges.where("edge_type in ('discussed', 'triggered')")
         self.files, self.nodes = self._kept("files", files), self._kept("nodes", kept)
         source = self.nodes.where("kind <> 'doc_section'")
-        refs = code.extract_references(self.files).withColumn("ref_id", F.concat_ws("|", "file_path", "offset", "name", "kind"))
-        inside = graph.innermost(refs.select("ref_id", "file_path", "offset"), source).select("ref_id", F.col("node_id").alias("src_id"))
-        refs = refs.join(inside, "ref_id").select("src_id", F.col("file_path").alias("src_file"), "name", "kind")
+        # references are parsed once too; those of files that changed or are gone go
+        known = self.store.read("references", self.spark.createDataFrame([], code.REFS))
+        refs = self._kept("references", known.join(stale, "file_path", "left_anti").unionByName(code.extract_references(todo)))
+        refs = graph.innermost(refs.withColumn("ref_id", F.concat_ws("|", "file_path", "offset", "name", "kind")), source)
+        refs = refs.select(F.col("node_id").alias("src_id"), F.col("file_path").alias("src_file"), "name", "kind")
         built = (
             graph.containment(source)
             .unionByName(graph.call_edges(refs.where("kind = 'call'"), source))

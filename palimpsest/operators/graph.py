@@ -37,11 +37,11 @@ def containment(nodes: DataFrame) -> DataFrame:
 
 
 def innermost(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """refs(ref_id, file_path, offset) with node_id: the smallest span around the offset (start in, end out), the earlier of equal ones."""
+    """Distinct refs(ref_id, file_path, offset, ...) with node_id: the smallest span around the offset (start in, end out), the earlier of equal ones; refs in no span go."""
     spans = nodes.select("node_id", "file_path", "start_byte", "end_byte", "pos", _buckets("start_byte", "end_byte").alias("bucket"))
     rows = refs.withColumn("bucket", F.floor(F.col("offset") / BUCKET)).join(spans, ["file_path", "bucket"]).where("start_byte <= offset and offset < end_byte")
-    best = rows.groupBy("ref_id").agg(F.min(F.struct((F.col("end_byte") - F.col("start_byte")).alias("size"), "pos", "node_id")).alias("b"))
-    return refs.join(best, "ref_id").select("ref_id", "file_path", "offset", F.col("b.node_id").alias("node_id"))
+    best = rows.groupBy(*refs.columns).agg(F.min(F.struct((F.col("end_byte") - F.col("start_byte")).alias("size"), "pos", "node_id")).alias("b"))
+    return best.select(*refs.columns, F.col("b.node_id").alias("node_id"))
 
 
 def call_edges(refs: DataFrame, nodes: DataFrame) -> DataFrame:
