@@ -11,6 +11,8 @@ from .literals import holding
 
 DAY = 86400
 MAX_CHARS = 8000
+#: Events of a bounded search that the driver may hold: 16 MB of text.
+HELD = 2000
 
 
 def paired_turns(messages: DataFrame) -> DataFrame:
@@ -94,8 +96,13 @@ def recall(ranked: DataFrame, events: DataFrame, queries: DataFrame, now: int, l
     newest `most` events of the last `days`, or among all of these days' with most=None.
     """
     latest = events.where((F.col("created_at") >= now - days * DAY) & (F.col("created_at") <= now))
-    latest = latest if most is None else latest.orderBy(F.desc("created_at"), "id").limit(most)
-    found = holding(latest.select("id", "content"), "id", F.lower("content"), queries.select("query_id", F.col("text").alias("query")), F.lower(F.trim("query")))
+    if most is not None:
+        latest = latest.orderBy(F.desc("created_at"), "id").limit(most)
+    latest = latest.select("id", "content")
+    if most is not None and most <= HELD:
+        # so few are read once and not again for each step of the matching
+        latest = events.sparkSession.createDataFrame(latest.toArrow())
+    found = holding(latest, "id", F.lower("content"), queries.select("query_id", F.col("text").alias("query")), F.lower(F.trim("query")))
     base = ranked.select("query_id", F.col("node_id").alias("id"), "score")
     missing = found.select("query_id", "id").join(base, ["query_id", "id"], "left_anti").withColumn("score", F.lit(2.0))
     rows = base.unionByName(missing).join(events.select("id", "created_at", "content"), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
