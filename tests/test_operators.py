@@ -104,3 +104,21 @@ def test_garbage_of_one_second(spark):
         for most in (1, 1366, len(ids) - 1, len(ids) + 5):
             gone = {r.id for r in memory.collect_garbage(rows, 3000, 30, most).where("gone = 'over_limit'").select("id").collect()}
             assert gone == set(sorted(ids)[: max(0, len(ids) + 1 - most)])
+
+
+def test_edges_of_common_names(spark):
+    """Every pair of a common name comes once, without all pairs being compared: also of targets with two names, of sources in two files, of rows that come again."""
+    import random
+
+    r = random.Random(2)
+    refs = [(f"s{r.randint(0, 30)}", f"f{r.randint(0, 2)}", r.choice("abc")) for _ in range(120)] + [("t1", "f1", "a")]
+    targets = [(f"t{i}", f"f{i % 3}", "abcd"[i % 4]) for i in range(40)] + [("t1", "f1", "a"), ("t1", "f2", "b"), ("t5", "f2", "b"), ("t9", "f0", "z"), ("s3", "f1", "c")]
+    n = {x: sum(t[2] == x for t in targets) for x in "abcdz"}
+    kind = lambda a, b, x: 2 if a == b else 1 if n[x] == 1 else 0
+    want = {(s, t, kind(f, g, x)) for s, f, x in refs for t, g, y in targets if x == y and s != t}
+    a, b = spark.createDataFrame(refs, "src_id string, src_file string, name string"), spark.createDataFrame(targets, "node_id string, file_path string, name string")
+    calls, imports = graph.call_edges(a, b), graph.import_edges(a, b)
+    assert rows(calls, "src_id", "dst_id", "confidence") == sorted(want)
+    assert rows(imports, "src_id", "dst_id", "confidence") == sorted({(s, t, 0) for s, t, _ in want})
+    for e in (calls, imports):
+        assert e._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
