@@ -89,3 +89,10 @@ def test_small_functions(spark):
     assert f(T.is_snake_case(F.lit("a_b"))) and f(T.is_camel_case(F.lit("AbC"))) and not f(T.is_camel_case(F.lit("aB"))) and not f(T.is_camel_case(F.lit("ABC"))) and f(T.is_dot_notation(F.lit("a.b.c"))) and not f(T.is_dot_notation(F.lit("a..b")))
     assert f(P.language_name(F.lit("a/b.kt"))) == "Kotlin" and f(P.language_name(F.lit("a.xyz"))) == "xyz"
     assert f(P.is_discovered(F.lit("src/a.py"))) and not f(P.is_discovered(F.lit("node_modules/a.js"))) and not f(P.is_discovered(F.lit("a.min.js"))) and not f(P.is_discovered(F.lit(".git/x")))
+
+
+def test_long_strings_in_json(spark):
+    """A string of half a million signs and escapes takes no stack."""
+    long = '{"k": "' + 'a\\n"'.replace('"', '\\"') * 150_000 + '", "/w/repo": 1, "p": "at /w/repo/x"}'
+    df = spark.createDataFrame([(long,), (long.replace("at /w/repo", "at /w"),)], "j string")
+    assert [r.x for r in df.select(T.json_mentions(F.col("j"), "/w/repo").alias("x")).collect()] == [True, False]
