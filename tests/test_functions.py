@@ -96,3 +96,10 @@ def test_long_strings_in_json(spark):
     long = '{"k": "' + 'a\\n"'.replace('"', '\\"') * 150_000 + '", "/w/repo": 1, "p": "at /w/repo/x"}'
     df = spark.createDataFrame([(long,), (long.replace("at /w/repo", "at /w"),)], "j string")
     assert [r.x for r in df.select(T.json_mentions(F.col("j"), "/w/repo").alias("x")).collect()] == [True, False]
+
+
+def test_labels_of_large_numbers(spark):
+    df = spark.createDataFrame([(x,) for x in (0, 999, 1023, 1024, 1_048_575, 1_048_576, 1_234_567, 1_234_567_890)], "n long")
+    got = [tuple(r) for r in df.select(T.byte_label(F.col("n")), T.byte_label(F.col("n"), "KB"), T.number_label(F.col("n")), T.number_label(F.col("n"), 1)).collect()]
+    assert got[:2] == [("0 B", "0 B", "0", "0"), ("999 B", "999 B", "999", "999")]
+    assert got[5] == ("1.0 MB", "1024.0 KB", "1,048,576", "1048,576") and got[7][2:] == ("1,234,567,890", "1234567,890")
