@@ -12,6 +12,11 @@ def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None)
     return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
 
 
+def stream_of(spark: SparkSession, table: str, schema) -> DataFrame:
+    """A stream of a Parquet table that is one file or a folder of them: as a pattern its path may be either."""
+    return read_stream(spark, f"{table[:-1]}[{table[-1]}]", schema)
+
+
 def deduplicated(events: DataFrame, *keys: str) -> DataFrame:
     """The first event of each key, for the stream's lifetime."""
     return events.dropDuplicates(list(keys))
