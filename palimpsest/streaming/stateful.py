@@ -31,40 +31,46 @@ class Bursts(StatefulProcessor):
         self.burst = handle.getValueState("burst", f"{BURST}, due long")
         self.ended = handle.getValueState("ended", "at long")
 
-    def _made(self, key: tuple, burst: tuple) -> pd.DataFrame:
-        first, last, n, paths, due = burst
-        self.ended.update((due,))
-        return pd.DataFrame([(*key, first, last, n, sorted(set(paths)))], columns=[*self.by, "first", "last", "n", "paths"])
+    def _made(self, key: tuple, bursts: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, first, last, n, sorted(paths)) for first, last, n, paths, _ in bursts], columns=[*self.by, "first", "last", "n", "paths"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        changes = sorted((int(a), p) for part in rows for a, p in zip(part["at"], part["path"], strict=True))
-        burst = self.burst.get() if self.burst.exists() else None
-        burst = list(burst) if burst else None
-        now = timerValues.getCurrentProcessingTimeInMs() if self.clock else None
+        # state is asked for and told once a key, and a key's bursts go out together: each of these is a message to the JVM
+        changes = sorted((a, p) for part in rows for a, p in zip(part["at"].tolist(), part["path"], strict=True))
+        burst, now = self.burst.get(), timerValues.getCurrentProcessingTimeInMs() if self.clock else None
+        burst, had, made = [*burst[:3], set(burst[3]), burst[4]] if burst else None, bool(burst), []
+        ended = self.ended.get() if self.rest else None
+        ended = ended[0] if ended else None
         for at, path in changes:
             t = now if self.clock else at
             if burst and not self.clock and at - burst[1] >= self.gap:
-                yield self._made(key, burst)
-                burst = None
+                made.append(burst)
+                burst, ended = None, burst[4]
             if burst is None:
-                if self.rest and self.ended.exists() and t - self.ended.get()[0] < self.rest:
+                if self.rest and ended is not None and t - ended < self.rest:
                     continue
-                burst = [at, at, 0, [], 0]
+                burst = [at, at, 0, set(), 0]
             burst[0], burst[1], burst[2] = min(burst[0], at), max(burst[1], at), burst[2] + 1
-            burst[3] = sorted({*burst[3], path})
+            burst[3].add(path)
             burst[4] = (now if self.clock else burst[1]) + self.gap
+        if self.rest and made:
+            self.ended.update((ended,))
         if burst:
-            self.burst.update(tuple(burst))
+            self.burst.update((*burst[:3], sorted(burst[3]), burst[4]))
             self.handle.registerTimer(burst[4])
-        elif self.burst.exists():
+        elif had:
             self.burst.clear()
+        if made:
+            yield self._made(key, made)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         # timers of a burst that went on, or has ended, are none of its own
-        if self.burst.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.burst.get()[4]:
-            burst = self.burst.get()
+        burst = self.burst.get()
+        if burst and expiredTimerInfo.getExpiryTimeInMs() >= burst[4]:
             self.burst.clear()
-            yield self._made(key, burst)
+            if self.rest:
+                self.ended.update((burst[4],))
+            yield self._made(key, [burst])
 
     def close(self) -> None:
         pass
@@ -80,8 +86,9 @@ class Firsts(StatefulProcessor):
         self.handle, self.last = handle, handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, given = self.last.get()[0] if self.last.exists() else None, []
-        for at in sorted(int(a) for part in rows for a in part["at"]):
+        last, given = self.last.get(), []
+        last = last[0] if last else None
+        for at in sorted(a for part in rows for a in part["at"].tolist()):
             if last is None or at - last >= self.keep:
                 last = at
                 given.append((*key, at))
@@ -91,7 +98,8 @@ class Firsts(StatefulProcessor):
             yield pd.DataFrame(given, columns=[*self.by, "at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.last.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.last.get()[0] + self.keep:
+        last = self.last.get()
+        if last and expiredTimerInfo.getExpiryTimeInMs() >= last[0] + self.keep:
             self.last.clear()
         yield from ()
 

@@ -133,3 +133,40 @@ def test_batches_are_remembered_once(spark, tmp_path):
     assert store.last_key("events") == "batch1"
     # cut off before its version was whole, a batch comes again under its key
     assert ids(stateful.remembered(two, store, "events", "batch2")) == ["a", "d", "f"]
+
+
+def test_a_table_in_parts_streams_whole(spark, sf, tmp_path):
+    """Tables that are folders of files give the same as those of one file."""
+    from palimpsest.plans import catalogue
+
+    for name in ("documents", "labels", "events"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    for name in ("q_memory_stream", "q_stream_ingest"):
+        one, parts = (sorted(tuple(r) for r in catalogue.QUERIES[name](spark, d).collect()) for d in (sf, f"file://{tmp_path}"))
+        assert one == parts and one
+
+
+def test_a_keys_bursts_go_out_together():
+    """However many bursts a key has, its state is told once and one frame comes out."""
+    import pandas as pd
+
+    said = []
+
+    class State:
+        def get(self):
+            said.append("get")
+
+        def update(self, value):
+            said.append("update")
+
+    class Handle:
+        def getValueState(self, name, kind):  # noqa: N802
+            return State()
+
+        def registerTimer(self, at):  # noqa: N802
+            said.append("timer")
+
+    b = stateful.Bursts(["u"], 10)
+    b.init(Handle())
+    frames = list(b.handleInputRows((1,), iter([pd.DataFrame({"at": range(0, 2000, 20), "path": ["x"] * 100})]), None))
+    assert [len(f) for f in frames] == [99] and said == ["get", "update", "timer"]
