@@ -2,9 +2,13 @@
 
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators import search
+from palimpsest.plans import tools
+from palimpsest.sources import documents
 
 
 @pytest.mark.parametrize("limits", [None, {"CELLS": 5, "ROWS": 3, "CLASSES": 4}])
@@ -34,3 +38,32 @@ def test_bm25_pairs_stay_with_their_nodes(spark, monkeypatch, limits):
                     scores[k] = scores.get(k, 0) + math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(v) / mean))
         want += [(q, rank, k, s) for rank, (s, k) in enumerate(sorted((-round(s, 6), k) for k, s in scores.items())[:7], 1)]
     assert sorted((x.query_id, x["rank"], x.node_id, -x.score) for x in found.collect()) == sorted(want)
+
+
+def test_parsers_hold_parts(spark, monkeypatch):
+    """However many files and rows, a task makes Arrow batches of bounded rows; the rows are those of the files."""
+    monkeypatch.setattr(documents, "PART_ROWS", 7)
+    monkeypatch.setattr(documents, "PART_BYTES", 400)
+    files = spark.createDataFrame([(f"f{i:02d}.html", f"<h1>H{i}</h1>" + "".join(f"<p>fact {i} {k}</p>" for k in range(i % 30))) for i in range(60)] + [("n.html", None), ("x.bin", "no")], "file_path string, content string").coalesce(1)
+    units = documents.parse(files)
+
+    assert units.count() == 60 + sum(i % 30 for i in range(60)) + 1
+    batch = pa.RecordBatch.from_pydict({"p": [f"f{i}" for i in range(90)], "t": ["x" * 50] * 90})
+    made = list(documents.parts([batch], lambda p, t: [(p, k) for k in range(9 if p == "f3" else 1)], pa.schema([("p", pa.string()), ("k", pa.int32())])))
+    assert sum(b.num_rows for b in made) == 98 and max(b.num_rows for b in made) <= 7
+
+
+def test_code_is_parsed_once(spark, tmp_path):
+    """Nodes, references and all that is made of them come of one reading of each file."""
+    log = str(tmp_path / "log")
+
+    def seen(path):
+        with open(log, "a") as f:
+            f.write(f"{path}\n")
+        return path
+
+    files = spark.createDataFrame([(f"m{k}.js", f"function f{k}(a) {{\n  return f{k + 1}(a);\n}}\n") for k in range(20)], "file_path string, content string")
+    files = files.select(F.udf(seen)("file_path").alias("file_path"), "content")
+    assert tools.code_edges(files).count() == 19
+    with open(log) as f:
+        assert sorted(f.read().split()) == sorted(f"m{k}.js" for k in range(20))
