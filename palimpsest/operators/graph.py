@@ -158,7 +158,7 @@ def neighbor_signatures(edges: DataFrame, nodes: DataFrame, owned: DataFrame, ma
 
 def k_hop(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """query_id, node, depth: the least number of undirected steps from seeds(query_id, node), up to depth."""
-    links = both_ways(edges).select("node", "other").distinct()
+    links = both_ways(edges).select("node", "other")  # parallel edges reach what one reaches: steps are made distinct, not all edges
     seen = front = seeds.select("query_id", "node").distinct().withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
         step = front.join(links, "node").select("query_id", F.col("other").alias("node")).distinct()
@@ -175,7 +175,9 @@ def expand(edges: DataFrame, anchors: DataFrame, costs: DataFrame, budget: int,
     the first budget / cost can be taken (once one of them didn't fit, none does), so the links of a hub are cut to what the budget bounds,
     exactly. The reach of each query is found by joins over those; the ordered walk then runs over that subgraph alone, one query per group.
     """
-    near = both_ways(edges).groupBy("node", "other").agg(F.max("confidence").alias("confidence")).join(costs.select(F.col("node_id").alias("other"), F.col("tokens").alias("cost")), "other", "left")
+    # only edges at nodes that a query reaches can be taken, so the walk's edges are looked at and not the table's
+    reached = k_hop(edges, anchors.select("query_id", F.col("node_id").alias("node")), depth - 1).select("node").distinct()
+    near = both_ways(edges).join(reached, "node", "left_semi").groupBy("node", "other").agg(F.max("confidence").alias("confidence")).join(costs.select(F.col("node_id").alias("other"), F.col("tokens").alias("cost")), "other", "left")
     near = near.withColumn("cost", F.coalesce("cost", F.lit(0)).cast("long"))
     alike = F.row_number().over(W.partitionBy("node", "confidence", "cost").orderBy("other"))
     near = near.withColumn("k", alike).where((F.col("cost") <= 0) | (F.col("k") * F.col("cost") <= budget)).drop("k")
