@@ -64,9 +64,13 @@ def compressed(bundle: DataFrame, depth: int) -> DataFrame:
 
 def without_overlaps(bundle: DataFrame) -> DataFrame:
     """bundle(query_id, file_path, start_line, end_line, place, is_anchor, ...) without what another of its nodes holds; anchors stay."""
-    a = bundle.select("query_id", "file_path", F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.col("place").alias("p"))
-    held = bundle.join(a, ["query_id", "file_path"]).where((F.col("s") <= F.col("start_line")) & (F.col("e") >= F.col("end_line")) & ((F.col("s") != F.col("start_line")) | (F.col("e") != F.col("end_line")) | (F.col("p") < F.col("place"))))
-    gone = held.where(~F.col("is_anchor")).select("query_id", "place").distinct()
+    # what can hold a span comes before it by start, then length; of that, the farthest end, and the first start with it, say whether anything does
+    files, s, e = ["query_id", "file_path"], F.col("start_line"), F.col("end_line")
+    before = W.partitionBy(*files).orderBy(s, e.desc(), "place").rowsBetween(W.unboundedPreceding, -1)
+    farthest = F.max(F.when(s.isNotNull() & e.isNotNull(), F.struct(e.alias("e"), (-s).alias("s")))).over(before)
+    rows = bundle.select(*files, "start_line", "end_line", "place", "is_anchor", farthest.alias("f"), F.min("place").over(W.partitionBy(*files, "start_line", "end_line")).alias("p"))
+    within = (F.col("f.e") > e) | ((F.col("f.e") == e) & (-F.col("f.s") < s)) | (F.col("p") < F.col("place"))
+    gone = rows.where(~F.col("is_anchor") & s.isNotNull() & e.isNotNull() & within).select("query_id", "place").distinct()
     return bundle.join(gone, ["query_id", "place"], "left_anti")
 
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import search
+from palimpsest.operators import context, enrich, graph, literals, search
 from palimpsest.plans import tools
 from palimpsest.sources import documents
 
@@ -67,3 +67,48 @@ def test_code_is_parsed_once(spark, tmp_path):
     assert tools.code_edges(files).count() == 19
     with open(log) as f:
         assert sorted(f.read().split()) == sorted(f"m{k}.js" for k in range(20))
+
+
+def test_overlaps_without_pairs(spark):
+    """Spans of one file aren't compared with each other: no join by file; equal spans, equal places and missing lines as before."""
+    import random
+
+    r = random.Random(8)
+    rows = [(1, r.choice("ab"), r.choice([None, *range(6)]), r.choice([None, *range(4, 9)]), r.randint(0, 40), r.random() < 0.2) for _ in range(150)]
+    b = spark.createDataFrame(rows, "query_id int, file_path string, start_line int, end_line int, place int, is_anchor boolean")
+    holds = lambda y, x: None not in (*y[2:4], *x[2:4]) and y[1] == x[1] and y[2] <= x[2] and y[3] >= x[3] and (y[2:4] != x[2:4] or y[4] < x[4])
+    gone = {x[4] for x in rows if not x[5] and any(holds(y, x) for y in rows)}
+    found = context.without_overlaps(b)
+    assert "file_path" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+    assert sorted(map(str, found.select(*b.columns).collect())) == sorted(str(x) for x in b.collect() if x.place not in gone)
+
+
+def test_walks_look_at_edges_where_they_are(spark):
+    """Reach and expansion put no order on all edges: k_hop makes steps distinct, expand groups edges at reached nodes alone."""
+    e = spark.createDataFrame([("a", "b", "call", 1), ("a", "b", "import", 2), ("b", "c", "call", 0), ("c", "d", "call", 0), ("x", "y", "call", 0)], "src_id string, dst_id string, edge_type string, confidence int")
+    seeds = spark.createDataFrame([(1, "a")], "query_id int, node string")
+    found = graph.k_hop(e, seeds, 2)
+    assert "keys=[node" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 0), (1, "b", 1), (1, "c", 2)]
+    costs = spark.createDataFrame([(n, 10) for n in "abcdxy"], "node_id string, tokens long")
+    got = graph.expand(e, seeds.select("query_id", F.col("node").alias("node_id"), F.lit(1).alias("rank")), costs, 30, 3)
+    assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.node_id, x.place, x.depth, x.used) for x in got.collect()) == [("a", 1, 0, 10), ("b", 2, 1, 20), ("c", 3, 2, 30)]
+
+
+def test_pairs_of_sets_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(enrich, "SET_ROWS", 10)
+    x = spark.createDataFrame([(i // 3, i % 7) for i in range(300)], "set_id int, item int")
+    found = enrich.co_occurrence(x, 2)
+    assert "hashpartitioning(set_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and re.search(r"hashpartitioning\(set_id#\d+, 30\)", plan)
+    assert found.agg(F.sum("n")).first()[0] == 300
+
+
+def test_grams_leave_by_steps(spark, monkeypatch):
+    """A task holds the grams of a step of texts and not those of its batch."""
+    monkeypatch.setattr(literals, "STEP", 5)
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(literals.np, "unique", lambda x, *a, f=literals.np.unique, **b: seen.add(len(x) > 5 * 40) or f(x, *a, **b))
+    n = spark.createDataFrame([(i, f"common words here {i:04d}") for i in range(200)], "key long, text string").coalesce(1)
+    found = literals.candidates(n, spark.createDataFrame([("common words here 0123",)], "literal string")).collect()
+    assert [x.key for x in found] == [123]
