@@ -13,6 +13,8 @@ from .literals import holding
 # Half-lives in days, thresholds of actions.
 HALF_LIFE_DAYS = {"intent": 30.0, "observation": 14.0, "reflection": 30.0, "cross_domain": 60.0, "prediction": 7.0}
 ARCHIVE, PRUNE, REFRESH = 0.05, 0.15, 0.65
+#: Rows of sets whose pairs one task makes, about.
+SET_ROWS = 1 << 19
 
 
 def retention_score(importance: Column, accesses: Column, last_access: Column, now: int, half_life_days: float) -> Column:
@@ -34,6 +36,8 @@ def co_occurrence(results: DataFrame, threshold: int = 3) -> DataFrame:
     A set's items are compared in one array of its distinct items (sets are result lists of
     bounded length); pairs are counted with partial sums.
     """
+    # tasks of some rows each: few bytes here make many pairs
+    results = results.repartition(max(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-results.count() // SET_ROWS)), "set_id")
     sets = results.groupBy("set_id").agg(F.sort_array(F.collect_set("item")).alias("items")).where("size(items) > 1")
     pairs = sets.select(F.explode(F.flatten(F.transform("items", lambda a, i: F.transform(F.slice(F.col("items"), i + 2, F.size("items")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
     counts = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
