@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import estimated_tokens
+from ..store import kept
 from .literals import holding
 
 CONTAINERS = ("class", "module", "struct", "trait", "enum", "interface", "doc_section")
@@ -174,19 +175,37 @@ def expand(edges: DataFrame, anchors: DataFrame, costs: DataFrame, budget: int,
     nodes by confidence, depth and id; one that doesn't fit is passed over. Of a node's neighbours of one confidence and cost only
     the first budget / cost can be taken (once one of them didn't fit, none does), so the links of a hub are cut to what the budget bounds,
     exactly. The reach of each query is found by joins over those; the ordered walk then runs over that subgraph alone, one query per group.
+
+    It runs twice. Nodes without a cost that no query reaches before the last step take no budget and open no links, so what else is taken is the same without them:
+    a first walk leaves them out and tells which nodes are taken, a second one goes over the links of those alone, all of them.
     """
-    # only edges at nodes that a query reaches can be taken, so the walk's edges are looked at and not the table's
-    reached = k_hop(edges, anchors.select("query_id", F.col("node_id").alias("node")), depth - 1).select("node").distinct()
-    near = both_ways(edges).join(reached, "node", "left_semi").groupBy("node", "other").agg(F.max("confidence").alias("confidence")).join(costs.select(F.col("node_id").alias("other"), F.col("tokens").alias("cost")), "other", "left")
-    near = near.withColumn("cost", F.coalesce("cost", F.lit(0)).cast("long"))
-    alike = F.row_number().over(W.partitionBy("node", "confidence", "cost").orderBy("other"))
-    near = near.withColumn("k", alike).where((F.col("cost") <= 0) | (F.col("k") * F.col("cost") <= budget)).drop("k")
+    links = both_ways(edges).select("node", "other", "confidence")
+    price = costs.select(F.col("node_id").alias("other"), F.col("tokens").alias("cost"))
+
+    def near(rows: DataFrame) -> DataFrame:
+        """Links of rows(node, other, confidence) with their cost, each once and cut to the budget."""
+        rows = rows.groupBy("node", "other").agg(F.max("confidence").alias("confidence")).join(price, "other", "left")
+        rows = rows.withColumn("cost", F.coalesce("cost", F.lit(0)).cast("long"))
+        alike = F.row_number().over(W.partitionBy("node", "confidence", "cost").orderBy("other"))
+        return rows.withColumn("k", alike).where((F.col("cost") <= 0) | (F.col("k") * F.col("cost") <= budget)).drop("k")
+
+    # only edges at nodes that a query reaches can be taken, so the walk's edges are looked at and not the table's; what is reached is kept, so that plans know its size
     seen = front = anchors.select("query_id", F.col("node_id").alias("node")).distinct().withColumn("depth", F.lit(0))
+    inner = near(links.join(k_hop(edges, seen.drop("depth"), depth - 2).select("node").distinct(), "node", "left_semi"))
+    inner = kept(inner, "expand-links") if depth > 1 else inner
     for d in range(1, depth):
-        step = front.join(near, "node").select("query_id", F.col("other").alias("node")).distinct()
+        step = front.join(inner, "node").select("query_id", F.col("other").alias("node")).distinct()
         front = step.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("depth", F.lit(d))
         seen = seen.unionByName(front)
-    sub = seen.join(near, "node").select("query_id", "node", "other", "confidence", "cost", F.lit(None).cast("int").alias("rank"))
+    seen = kept(seen, "expand-seen")
+    last, before = seen.where(F.col("depth") >= depth - 1).select("query_id", "node"), seen.where(F.col("depth") < depth - 1).select("query_id", "node")
+    # the nodes that count in the first walk: both ends of a last step's edge are among them
+    known = costs.where("tokens <> 0").select(F.col("node_id").alias("node")).union(seen.select("node")).distinct()
+    known = kept(known, "expand-known")
+    both = edges.join(known.select(F.col("node").alias("src_id")), "src_id", "left_semi").join(known.select(F.col("node").alias("dst_id")), "dst_id", "left_semi")
+    ends = near(both_ways(both).select("node", "other", "confidence").join(last.select("node").distinct(), "node", "left_semi"))
+    sub = before.join(inner, "node").unionByName(last.join(ends, "node")).select("query_id", "node", "other", "confidence", "cost", F.lit(None).cast("int").alias("rank"))
+    sub = kept(sub, "expand-first")
     first = anchors.join(costs, "node_id", "left").select("query_id", F.col("node_id").alias("node"), F.lit(None).cast("string").alias("other"), F.lit(2).alias("confidence"), F.coalesce("tokens", F.lit(0)).cast("long").alias("cost"), F.col("rank").cast("int").alias("rank"))
 
     def walk(key: tuple, rows) -> Iterator:
@@ -216,6 +235,12 @@ def expand(edges: DataFrame, anchors: DataFrame, costs: DataFrame, budget: int,
                 take(node, cost, at)
         return pd.DataFrame([(key[0], n, *v) for n, v in taken.items()], columns=["query_id", "node_id", "place", "depth", "used"])
 
-    rows = sub.unionByName(first.select(*sub.columns))
-    kind = dict(anchors.dtypes)
-    return rows.groupBy("query_id").applyInPandas(walk, f"query_id {kind['query_id']}, node_id string, place int, depth int, used long")
+    def walked(rows: DataFrame) -> DataFrame:
+        return rows.unionByName(first.select(*sub.columns)).groupBy("query_id").applyInPandas(walk, f"query_id {dict(anchors.dtypes)['query_id']}, node_id string, place int, depth int, used long")
+
+    taken = kept(walked(sub).where(F.col("depth") < depth).select("query_id", F.col("node_id").alias("node")), "expand-taken")
+    opened = last.join(taken, ["query_id", "node"], "left_semi")
+    free = links.join(opened.select("node").distinct(), "node", "left_semi").join(known.select(F.col("node").alias("other")), "other", "left_anti")
+    free = free.groupBy("node", "other").agg(F.max("confidence").alias("confidence"))
+    rest = opened.join(free, "node").select("query_id", "node", "other", "confidence", F.lit(0).cast("long").alias("cost"), F.lit(None).cast("int").alias("rank"))
+    return walked(sub.join(taken, ["query_id", "node"], "left_semi").select(*sub.columns).unionByName(rest))

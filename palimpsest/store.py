@@ -20,6 +20,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as it is now, written to the shared folder and read back: later plans begin here and know its size."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Parquet tables under a folder of any file system: <table>/v<number>, of which the last that was finished counts.
 
