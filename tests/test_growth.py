@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import context, enrich, graph, literals, search
-from palimpsest.plans import tools
+from palimpsest.plans import catalogue, tools
 from palimpsest.sources import documents
 
 
@@ -110,3 +110,32 @@ def test_grams_leave_by_steps(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"key": list(range(40)), "text": [f"word {i:04d}".encode() for i in range(40)]})
     made = list(literals._counts([batch], [4], literals.np.ones(1 << literals.FILTER_BITS, bool)))
     assert len(made) == 8 and sum(sum(b.column(1).to_pylist()) for b in made) == 40 * 6
+
+
+def test_queries_of_a_table_read_its_texts_once(spark, tmp_path, monkeypatch):
+    """Without a stored index each text is read once and its other words stay where they are; with too many terms to send, an index gives the same."""
+    log = str(tmp_path / "log")
+
+    def seen(text):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return text
+
+    docs = [(f"n{i:02d}", f"w{i % 7} w{i % 5} w{i % 5} other{i}, Common") for i in range(60)] + [("null", None), ("empty", ""), ("signs", " -- "), ("n03", "w1 twice")]
+    n = spark.createDataFrame(docs, "node_id string, text string").coalesce(2)
+    q = spark.createDataFrame([(1, "w1 w2"), (2, "common nothing"), (3, "w4"), (4, ""), (5, None)], "query_id int, text string")
+    found = search.bm25(n.select("node_id", F.udf(seen)("text").alias("text")), q, 9).collect()
+    with open(log) as f:
+        assert len(f.readlines()) == len(docs)
+    monkeypatch.setattr(search, "WORDS", 5)
+    parts = search.bm25(n, q, 9).collect()
+    monkeypatch.setattr(search, "CLASS_TERMS", 2)
+    assert search.Scan.of(n, q.select(F.col("text").alias("term"))) is None
+    assert sorted(found) == sorted(parts) == sorted(search.bm25(n, q, 9).collect()) and {x.query_id for x in found} == {1, 2, 3}
+    assert search.bm25(n.limit(0), q, 9).count() == search.bm25(n, q.limit(0), 9).count() == 0
+
+
+def test_ranking_makes_no_index(spark, sf, monkeypatch):
+    """One batch of queries of the table itself doesn't write an index of all its words first."""
+    monkeypatch.setattr(catalogue, "text_index", lambda *a: 1 / 0)
+    assert catalogue.QUERIES["q_rank_pipeline"](spark, sf).count()
