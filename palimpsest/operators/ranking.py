@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from .literals import holding
+from .literals import held
 
 
 def reranked(rows: DataFrame) -> DataFrame:
@@ -41,14 +41,16 @@ def literal_score(query: Column) -> Column:
 def literal_boost(rows: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """Adds literal_score to ranked rows and injects matching nodes that weren't ranked, for literal-like queries.
 
-    Literals may stand anywhere in a text; nodes meet them under their rarest grams (literals.holding).
+    Literals may stand anywhere in a text; nodes meet them under their rarest grams (literals.held).
     """
     from ..functions.text import is_literal_like
 
-    literal = queries.where(is_literal_like(F.col("text"))).select("query_id", F.col("text").alias("query"))
+    literal = queries.where(is_literal_like(F.col("text"))).select("query_id", F.lower(F.trim("text")).alias("literal"))
     columns = ("name", "signature", "doc_comment", "text", "file_path")
-    found = holding(nodes.select("node_id", *columns), "node_id", F.lower(F.concat_ws("\n", *columns)), literal, F.lower(F.trim("query")))
-    found = found.select("query_id", "node_id", literal_score(F.col("query")).alias("boost")).where("boost > 0")
+    found = held(nodes.select("node_id", *columns), F.lower(F.concat_ws("\n", *columns)), literal.select("literal").distinct())
+    # scored before it moves to its queries
+    found = found.select("node_id", F.col("__found").alias("literal"), literal_score(F.col("__found")).alias("boost")).where("boost > 0")
+    found = found.join(literal, "literal").select("query_id", "node_id", "boost")
     out = rows.select("query_id", "node_id", "score").join(found, ["query_id", "node_id"], "full_outer")
     return reranked(out.select("query_id", "node_id", F.round(F.coalesce("score", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0)), 6).alias("score")))
 
