@@ -139,3 +139,38 @@ def test_ranking_makes_no_index(spark, sf, monkeypatch):
     """One batch of queries of the table itself doesn't write an index of all its words first."""
     monkeypatch.setattr(catalogue, "text_index", lambda *a: 1 / 0)
     assert catalogue.QUERIES["q_rank_pipeline"](spark, sf).count()
+
+
+def most_written(plan):
+    """Rows of the largest exchange of a plan that has run."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return most_written(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return most_written(plan.plan())
+    own, below = plan.metrics().get("shuffleRecordsWritten"), plan.children()
+    return max([own.get().value() if own.isDefined() else 0, *(most_written(below.apply(i)) for i in range(below.size()))])
+
+
+def test_common_names_are_dealt_as_grids(spark, monkeypatch):
+    """Sources and targets of a common name go to the rows and columns of a grid, and not targets to every part of its pairs; the edges stay the same."""
+    monkeypatch.setattr(graph, "PAIRS", 16)
+    refs = [(f"s{i}", f"f{i % 3}", "a") for i in range(200)] + [(f"s{i}", "f9", "a") for i in range(0, 200, 9)] + [(f"s{i}", "f0", "b") for i in range(9)]
+    targets = [(f"t{i}", f"f{i % 3}", "a") for i in range(200)] + [(f"t{i}", "f1", "b") for i in range(0, 90, 9)] + [("t1", "f1", "a"), ("s3", "f1", "a"), ("u", "f0", "c")]
+    want = {(s, t, 2 if f == g else 0) for s, f, x in refs for t, g, y in targets if x == y and s != t}
+    a, b = spark.createDataFrame(refs, "src_id string, src_file string, name string"), spark.createDataFrame(targets, "node_id string, file_path string, name string")
+    for found, edges in ((graph.call_edges(a, b), want), (graph.import_edges(a, b), {(s, t, 0) for s, t, _ in want})):
+        assert sorted((x.src_id, x.dst_id, x.confidence) for x in found.collect()) == sorted(edges)
+    own = graph.import_edges(a, b.where("name = 'a'").dropDuplicates(["node_id"]))
+    assert len(own.collect()) == 200 * 201 - 1 and most_written(own._jdf.queryExecution().executedPlan()) < 2000
+
+
+def test_symbols_shuffle_no_line_items(spark, sf):
+    """The parts that are used leave the tasks that read line items once each."""
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("q_import_edges", "q_call_edges"):
+            found = catalogue.QUERIES[name](spark, sf)
+            assert found.collect() and most_written(found._jdf.queryExecution().executedPlan()) < spark.read.parquet(f"{sf}/lineitem.parquet").count() / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
